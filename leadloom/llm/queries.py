@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, mixing
-from leadloom.llm.common import documents
+from leadloom.llm import exact_dedup, mixing, pii, sentencepiece_viterbi, token_ids
+from leadloom.llm.common import documents, new_path
+
+#: The folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +19,20 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_source_mixing)}
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    token_ids.write(documents(spark, sf_dir), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_ids.read(spark, path)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.digests(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_source_mixing, op6_token_ids, op7_pii, op8_sentencepiece)}
 
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL}

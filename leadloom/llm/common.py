@@ -53,3 +53,30 @@ def tokens(text: bytes | None) -> list[bytes]:
 def as_bytes(column: str = "text"):
     """The text as UTF-8 for Python tasks, which saves decoding there; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+class Memory:
+    """Values by key, computed for many keys at once. It keeps the keys used last: size of them at least, twice as many at most."""
+
+    def __init__(self, compute, size: int):
+        self.compute, self.size = compute, size
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def values(self, keys: list) -> list:
+        try:
+            return [self.recent[k] for k in keys]
+        except KeyError:
+            pass
+        if len(self.recent) > self.size:
+            self.recent, self.older = {}, self.recent
+        absent = [k for k in dict.fromkeys(keys) if k not in self.recent]
+        new = []
+        for k in absent:
+            if k in self.older:
+                self.recent[k] = self.older[k]
+            else:
+                new.append(k)
+        if new:
+            self.recent.update(zip(new, self.compute(new), strict=True))
+        return [self.recent[k] for k in keys]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import exact_dedup, mixing, pii, sentencepiece_viterbi, token_ids
+from leadloom.llm import exact_dedup, jaccard_join, mixing, pii, sentencepiece_viterbi, token_ids, toxicity
 from leadloom.llm.common import documents, new_path
 
 #: The folder of the public tokenizers' files.
@@ -33,6 +33,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.digests(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_source_mixing, op6_token_ids, op7_pii, op8_sentencepiece)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_source_mixing, op6_token_ids, op7_pii, op8_sentencepiece, op9_toxicity, op10_jaccard_join)}
 
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL}

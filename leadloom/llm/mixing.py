@@ -70,7 +70,7 @@ def _rank(seed: str) -> tuple[Column, Column]:
     """Random odds over inclusion odds, and its place in 2^24 equal bins of q / (1 + q)."""
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed))), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     p = F.col("factor") * F.col("size")
-    q = F.when(p >= 1, F.lit(0.0)).otherwise((u / (1 - u)) / (p / (1 - p)))
+    q = F.when(p >= 1, F.lit(0.0)).otherwise(F.try_divide(u / (1 - u), p / (1 - p)))
     return q, F.when(F.col("q") == 0, F.lit(-1)).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * float(BINS * BINS))).cast("long")
 
 

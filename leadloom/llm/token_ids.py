@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm import dac
-from leadloom.llm.common import as_bytes
+from leadloom.llm.common import Memory, as_bytes
 
-#: Words whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps at least.
+KEPT_WORDS = 400_000
 #: Ids in a block, but for one longer document.
 BLOCK_IDS = 1 << 20
 
@@ -44,7 +44,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
+        self.words = Memory(self._encode, KEPT_WORDS)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -52,21 +52,22 @@ class WordEncoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Many words at once, with a space between; offsets tell to which word an id belongs."""
+        out = []
+        for k in range(0, len(words), 256):
+            part = [w.decode("utf-8", "replace") for w in words[k : k + 256]]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            of = np.searchsorted(np.cumsum([len(w) + 1 for w in part]), starts, side="right")
+            cuts = np.searchsorted(of, np.arange(len(part) + 1))
+            out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
     def encode(self, text: bytes) -> bytes:
         """All ids of the text as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        try:
-            return b"".join([self.ids[w] for w in words])
-        except KeyError:
-            pass
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.ids))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.ids.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, found, strict=True))
-        return b"".join([self.ids[w] for w in words])
+        return b"".join(self.words.values(text.split()))
 
 
 WRITTEN = "shard int, block int, before long, n_docs long, n_ids long, payload binary"

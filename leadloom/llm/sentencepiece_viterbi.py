@@ -29,7 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT_PARTS = 300_000
+from leadloom.llm.common import Memory
+
+#: Parts whose ids a worker keeps at least.
+KEPT_PARTS = 400_000
 SPACE = "▁"
 #: Parts at whose ends all paths meet: spaces with the word after them, single line feeds, spaces alone.
 PART = re.compile(r" *[^ \n]+|\n| +")
@@ -63,7 +66,8 @@ class Pieces:
             raise ValueError("a piece crosses a word's start or a line feed: texts can't be encoded in parts")
         self.longest = max(map(len, self.scores))
         self.byte_score = -math.log(rank + 2) - 1
-        self.known: dict[str, bytes] = {}
+        self.kind = "H" if len(self.bytes) <= 65536 else "I"
+        self.parts = Memory(self._encode, KEPT_PARTS)
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -114,22 +118,15 @@ class Pieces:
 
     def encode(self, text: str) -> array:
         """The ids of a text: a space is put in front, as the model asks for."""
-        out = array("H" if len(self.bytes) <= 65536 else "I")
+        out = array(self.kind)
         if not text:
             return out
-        parts = PART.findall(" " + text)
-        if len(self.known) > KEPT_PARTS:
-            self.known.clear()
-        known = self.known
-        try:
-            out.frombytes(b"".join([known[p] for p in parts]))
-        except KeyError:
-            for p in parts:
-                if p not in known:
-                    known[p] = array(out.typecode, [x for ids in self.stream(p) for x in ids]).tobytes()
-            out.frombytes(b"".join([known[p] for p in parts]))
+        out.frombytes(b"".join(self.parts.values(PART.findall(" " + text))))
         return out
 
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [array(self.kind, [x for ids in self.stream(p) for x in ids]).tobytes() for p in parts]
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 

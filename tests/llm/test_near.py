@@ -95,3 +95,32 @@ def test_components(spark):
         parent[y] = x
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {x: root(x) for x in parent if root(x) != x}
+
+
+def test_embedding_join_is_brute_force(spark, monkeypatch):
+    from leadloom.llm import embedding_join
+
+    monkeypatch.setattr(embedding_join, "BLOCK", 40)
+    monkeypatch.setattr(embedding_join, "LEAF", 7)
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(25):
+        base = rng.normal(size=12)
+        rows += [(base + rng.normal(size=12) * rng.choice([0, 0.05, 0.15, 0.25])).tolist() for _ in range(rng.integers(1, 15))]
+    rows += [[3.0 * x for x in rows[0]], rows[1], None, [], [0.0] * 12, [1.0, None], [float("nan")] * 12, [float("inf")] + [0.0] * 11, [1.0] * 5, [2.0] * 5, [1e-200] * 5, [1e200] * 5]
+    table = [(7 * k % len(rows) if len(rows) % 7 else k, v, 0) for k, v in enumerate(rows)]
+    n = len(table)
+    ok = {i: np.array(v, float) for i, v, _ in table if v and None not in v and np.isfinite(v).all() and any(v)}
+    unit = {i: (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max()) for i, v in ok.items()}
+    near = {i: {j for j in unit if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9} for i in unit}
+    wanted = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        wanted.append((i, len(near.get(i, ())), min(seen), i == min(seen)))
+    found = embedding_join.join(spark.createDataFrame(table, "vec_id long, embedding array<double>, n_links int").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == wanted
+    assert embedding_join.join(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import embedding_join, exact_dedup, html_extract, jaccard_join, mixing, pii, sentencepiece_viterbi, token_ids, toxicity
+from leadloom.llm import embedding_join, exact_dedup, html_extract, jaccard_join, language_model, mixing, pii, sentencepiece_viterbi, token_ids, toxicity
 from leadloom.llm.common import documents, new_path
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -49,6 +53,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_embedding_join, op4_exact_dedup, op5_source_mixing, op6_token_ids, op7_pii, op8_sentencepiece, op9_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_html_extraction, op3_embedding_join, op4_exact_dedup, op5_source_mixing, op6_token_ids, op7_pii, op8_sentencepiece, op9_toxicity, op10_jaccard_join)}
 
 ORACLE_SQL = {"op3_embedding_join": embedding_join.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL}

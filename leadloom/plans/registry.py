@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of leadloom.plans that declare QUERIES and ORACLE_SQL.
-MODULES: list[str] = []
+MODULES: list[str] = ["kpi_queries"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -136,7 +136,7 @@ def fuzzy_match(leads: DataFrame, threshold: float = 0.72, exact_ratio: bool = T
     scored = rated.withColumn("score", (F.col("known") + F.col("ratio")) / F.col("weight")).where(F.col("score") >= threshold)
     # The best of each target by a max, not a sort of its candidates.
     best = scored.groupBy(F.col("t_id").alias("id")).agg(F.max(F.struct("score", (-F.col("d_id")).alias("i"))).alias("b"), F.count_distinct("d_id").alias("n_candidates"))
-    return best.select("id", (-F.col("b.i")).alias("donor_id"), F.round("b.score", 4).alias("score"), "n_candidates")
+    return best.select("id", (-F.col("b.i")).alias("donor_id"), F.round("b.score", 6).alias("score"), "n_candidates")
 
 
 def filled_from_donors(leads: DataFrame, matches: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def filled_from_donors(leads: DataFrame, matches: DataFrame) -> DataFrame:
     donors = leads.select(F.col("id").alias("donor_id"), F.col("discovery_source").alias("donor_source"), *[F.col(c).alias(f"d_{c}") for c in fields])
     both = leads.select("id", "contact_name", *fields).join(matches, "id").join(donors, "donor_id")
     fill = {c: F.when(present(F.col(c)), F.col(c)).otherwise(F.col(f"d_{c}")) for c in fields}
-    return both.select("id", "donor_id", *[fill[c].alias(c) for c in fields], F.concat(F.lit("cross_portal:"), "donor_source").alias("contact_source"), contact_confidence(*[fill[c] for c in fields], F.col("contact_name")).alias("contact_confidence"))
+    return both.select("id", "donor_id", *[fill[c].alias(c) for c in fields], F.concat(F.lit("cross_portal:"), "donor_source").alias("contact_source"), contact_confidence(fill["contact_phone"], fill["contact_whatsapp"], fill["contact_email"], fill["contact_website"], F.col("contact_name")).alias("contact_confidence"))
 
 
 def propagate_by_name(rows: DataFrame, name: str, zone: str, phone: str = "phone") -> DataFrame:

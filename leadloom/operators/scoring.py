@@ -119,15 +119,16 @@ def learned_benchmark(leads: DataFrame, min_count: int = 5) -> DataFrame:
     return both.join(zones, "zone").select("zone", "typology", "n", F.round(F.when(F.col("n") >= min_count, F.col("own")).otherwise(F.col("zone_median")), 2).alias("benchmark"))
 
 
-def with_benchmark(leads: DataFrame, table: DataFrame, fallback: Sequence[str] = ("T2", "T3", "T1", "T0"), default: float = 2500.0, digits: int = 2) -> DataFrame:
+def with_benchmark(leads: DataFrame, table: DataFrame, fallback: Sequence[str] = ("T2", "T3", "T1", "T0"), default: float = 2500.0, digits: int | None = 2) -> DataFrame:
     """Benchmark by (zone, typology), else of the zone's first fallback typology, else the default; and the difference in per cent."""
+    rounded = lambda c: c if digits is None else F.round(c, digits)
     exact = table.select("zone", "typology", F.col("benchmark").alias("exact"))
     rank = F.coalesce(*[F.when(F.col("typology") == t, k) for k, t in enumerate(fallback)])
     zone = table.where(rank.isNotNull()).groupBy("zone").agg(F.min_by("benchmark", rank).alias("zone_value"))
     joined = leads.join(exact, ["zone", "typology"], "left").join(zone, "zone", "left")
     bench = F.coalesce("exact", "zone_value", F.lit(default))
-    per = F.when((F.col("price") > 0) & (F.col("area_m2") > 0), F.round(F.col("price") / F.col("area_m2"), digits))
-    return joined.select("id", "zone", "typology", per.alias("price_per_m2"), bench.alias("price_benchmark"), F.round((bench - per) / bench * 100, digits).alias("delta_pct"))
+    per = F.when((F.col("price") > 0) & (F.col("area_m2") > 0), rounded(F.col("price") / F.col("area_m2")))
+    return joined.select("id", "zone", "typology", per.alias("price_per_m2"), bench.alias("price_benchmark"), rounded((bench - per) / bench * 100).alias("delta_pct"))
 
 
 def window_rank(leads: DataFrame, partition: str, order: Sequence[Column], k: int, name: str = "place") -> DataFrame:

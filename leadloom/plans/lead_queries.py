@@ -49,7 +49,7 @@ def d13_learned_benchmark(spark, sf):
 def d12_benchmark_join(spark, sf):
     bench = table(spark, sf, "nation").where("n_nationkey < 15").select(F.col("n_name").alias("zone"), F.explode(F.array(*map(F.lit, ("T2", "T1", "Moradia")))).alias("typology"), (F.col("n_nationkey") * 100.0 + 1000).alias("base"))
     bench = bench.where("NOT (zone = 'NATION_5' AND typology = 'T2')").withColumn("benchmark", F.col("base") + F.length("typology"))
-    return scoring.with_benchmark(leads(spark, sf), bench, digits=6)
+    return scoring.with_benchmark(leads(spark, sf), bench, digits=None)
 
 
 def g1_price_drops(spark, sf):
@@ -222,7 +222,7 @@ ORACLE_SQL = {
     "f12_phone_frequency": with_leads("SELECT contact_phone, count(*) AS n FROM leads WHERE contact_phone IS NOT NULL AND NOT is_demo GROUP BY 1"),
     "f13_needs_rescore": with_leads("SELECT id, score FROM leads WHERE NOT archived AND (scored_at IS NULL OR scored_at < TIMESTAMP '1994-12-30')"),
     "f14_score_bump": with_leads("SELECT id, least(100, coalesce(score, 0) + 15) AS score, CASE WHEN coalesce(score, 0) + 15 >= 60 THEN 'HOT' WHEN coalesce(score, 0) + 15 >= 40 THEN 'WARM' ELSE 'COLD' END AS score_label FROM leads WHERE priority_flag"),
-    "d12_benchmark_join": with_leads("""SELECT id, zone, typology, per AS price_per_m2, bench AS price_benchmark, round((bench - per) / bench * 100, 6) AS delta_pct FROM (SELECT id, zone, typology, CASE WHEN price > 0 AND area_m2 > 0 THEN round(price / area_m2, 6) END AS per,
+    "d12_benchmark_join": with_leads("""SELECT id, zone, typology, per AS price_per_m2, bench AS price_benchmark, (bench - per) / bench * 100 AS delta_pct FROM (SELECT id, zone, typology, CASE WHEN price > 0 AND area_m2 > 0 THEN price / area_m2 END AS per,
   CASE WHEN n_nationkey < 15 AND typology IN ('T2', 'T1', 'Moradia') AND NOT (zone = 'NATION_5' AND typology = 'T2') THEN n_nationkey * 100.0::DOUBLE + 1000 + length(typology) WHEN n_nationkey < 15 THEN n_nationkey * 100.0::DOUBLE + 1000 + 2 ELSE 2500.0::DOUBLE END AS bench FROM leads JOIN nation ON zone = n_name)"""),
     "d13_learned_benchmark": with_leads("""SELECT b.zone, typology, n, round(CASE WHEN n >= 5 THEN own ELSE zm END, 2) AS benchmark FROM (SELECT zone, typology, count(*) AS n, median(price / area_m2) AS own FROM leads WHERE price > 0 AND area_m2 > 0 GROUP BY 1, 2) b
   JOIN (SELECT zone, median(price / area_m2) AS zm FROM leads WHERE price > 0 AND area_m2 > 0 GROUP BY 1) z ON b.zone = z.zone"""),

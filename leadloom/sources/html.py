@@ -59,7 +59,7 @@ def page_phones(html: Column) -> Column:
         take(r"""(?i)(?:sellerPhone|phone(?:Number)?|telephone)["']?\s*[:=]\s*["']([^"']+)"""),
         take(r"(?i)href=[\"'](?:tel|callto):([^\"']+)"),
     ]
-    return F.array_distinct(F.concat(valid_phones(F.concat(*passes)), phones_in_text(F.regexp_replace(h, "<[^>]*>", " "))))
+    return F.array_distinct(F.concat(valid_phones(F.concat(*passes)), phones_in_text(F.regexp_replace(F.regexp_replace(h, r"(?is)<script.*?</script>", " "), "<[^>]*>", " "))))
 
 
 def kept_urls(urls: DataFrame, paths: Sequence[str], slugs: Sequence[str], limit: int = 5000) -> DataFrame:

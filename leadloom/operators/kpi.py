@@ -45,9 +45,6 @@ def any_contact() -> Column:
     return has_phone() | present(F.col("contact_email")) | present(F.col("contact_whatsapp")) | present(F.col("contact_website"))
 
 
-ONE = F.lit(1)
-
-
 def summary(leads: DataFrame, hot: int = HOT, warm: int = WARM) -> DataFrame:
     """Every headline figure in one row, from one global aggregate: coverage, owners, labels, channels, tiers."""
     n = F.count("*")

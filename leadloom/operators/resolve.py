@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from leadloom.functions.text import fingerprint, half_even, norm_text, present, slug
 from leadloom.operators.history import is_change, similarity
@@ -62,7 +63,7 @@ def merged_sources(sightings: DataFrame, key: str = "fp") -> DataFrame:
     return first.groupBy(key).agg(listed.alias("sources"), F.count("*").alias("n_sources"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two texts, as the standard library has it."""
     from difflib import SequenceMatcher

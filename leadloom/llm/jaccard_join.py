@@ -8,15 +8,18 @@ linked sets agree in some whole block (pigeonhole); a block's odd bits are folde
 Sizes are in geometric bands with a sketch layout each; a set near a band's upper end is also keyed in
 the next band, so every pair that can link shares one layout.
 
-Thin blocks (under THIN elements) agree by chance, so the layout has SPARE more blocks: linked sets then
-agree in more than SPARE blocks, and a set with at most SPARE thin ones needn't be keyed by them. A set
-with more is keyed by all its blocks. If one of a pair has few thin blocks, they share a key that isn't
-thin; if neither has, both are keyed by everything: nothing is lost.
-
-Equal sets share a node from the start. Of the sets with one key, first each set is compared with the
-smallest of a key (once per set), and components are found; then, within a key, only pairs from different
-components are compared. Comparison is on the whole sets. So copies never form all pairs, and no link
-between components is missed.
+The layout has spare blocks: linked sets agree in more than spare of them. Blocks with few elements agree
+by chance, so a set isn't keyed by blocks under a count of its own, the largest up to THICK with which it
+leaves out at most half of spare. Of two linked sets take the one with the larger count: it leaves out
+fewer blocks than the two agree in, and the other keeps all that it keeps. So they share at least m keys,
+more than half of spare, a number that depends on the band alone. Then every set gives up a third of m
+keys, those that most rows have (frequent passages); two linked sets still share a third of m or more, and
+candidates with fewer keys in common are dropped unseen. Nothing is lost by any of this.
+
+Equal sets share a node from the start. Of the sets with one key, first each set is compared with one
+smallest set of its keys, the one it shares most with, and components are found; then, within a key, only
+pairs from different components are counted and compared. Comparison is on the whole sets. So copies never
+form all pairs, and no link between components is missed.
 
 Cases: sets of null, empty or blank texts are empty and link with nothing; under n words the whole text is
 one shingle; of rows with one doc_id and different texts each gets the component of its own text; a null
@@ -30,15 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import as_bytes, released, tokens, written
 from leadloom.llm.components import components
 
 #: Width of a size band: its upper end over its lower end.
-BAND = 1.6
-THIN = 3
+BAND = 1.3
+#: Blocks with as many elements are always keyed.
+THICK = 3
 #: Candidate documents whose ids may be broadcast (a few MB); above it their texts are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -75,29 +79,31 @@ class Layout:
         self.percent = percent
         self.lows = [1]
 
+    def low(self, band: int) -> int:
+        """The smallest size of a band; the one below the next band's is its largest."""
+        while len(self.lows) <= band:
+            self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND)))
+        return self.lows[band]
+
     def band(self, size: int) -> int:
         while self.lows[-1] <= size:
-            self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND)))
+            self.low(len(self.lows))
         return int(np.searchsorted(self.lows, size, side="right")) - 1
 
     def most_different(self, band: int) -> int:
         """The largest symmetric difference of linked sets in a band: both below its upper end."""
-        self.band(self.lows[-1])
-        both = 2 * (self.lows[band + 1] - 1)
+        both = 2 * (self.low(band + 1) - 1)
         return (100 - self.percent) * both // (100 + self.percent)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """Per band: a set's keys, how many of them may be given up, and how many linked sets then share at least."""
         size, found = len(s), []
         own = self.band(size)
-        upper = self.lows[own + 1] if own + 1 < len(self.lows) else None
-        if upper is None:
-            self.band(self.lows[-1])
-            upper = self.lows[own + 1]
-        for band in (own, own + 1) if 100 * size >= self.percent * upper else (own,):
+        for band in (own, own + 1) if 100 * size >= self.percent * self.low(own + 1) else (own,):
             k = self.most_different(band)
             if k == 0:  # only equal sets link
                 continue
-            spare = k // 4 + 4
+            spare = k // 2 + 3
             blocks = k + 1 + spare
             at = (s % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(at, kind="stable")
@@ -106,38 +112,40 @@ class Layout:
             parity = np.zeros(blocks, np.uint64)
             # The sketch has 2^64 bits a block; folding the odd ones by XOR of their names is a hash of the block.
             parity[full] = np.bitwise_xor.reduceat(mixed(s)[order], (np.cumsum(counts) - counts)[full]) if size else 0
-            thick = counts >= THIN
-            chosen = np.flatnonzero(thick) if blocks - thick.sum() <= spare else np.arange(blocks)
-            found.append(mixed(parity[chosen] + mixed(np.uint64(band * 2**32) + chosen.astype(np.uint64))))
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+            fewest = max(c for c in range(THICK + 1) if (counts < c).sum() <= spare // 2)
+            chosen = np.flatnonzero(counts >= fewest)
+            shared = spare - spare // 2 + 1
+            found.append((mixed(parity[chosen] + mixed(np.uint64(band * 2**32) + chosen.astype(np.uint64))), shared // 3, shared - 2 * (shared // 3)))
+        return found
 
 
 def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit digest of the set), node (its first half) and keys of every document."""
+    """doc_id, n_shingles, node (a digest of the set) and keys of every document.
+
+    keys are those of the bands one after another; first is how many are the first band's, spared how many of each
+    band's may be given up, and least how many linked sets then share at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(percent)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sizes, ids, nodes, lengths, keys = [], [], [], [0], []
+                rows, lengths, keys = [], [0], []
                 for text in part.column("text"):
                     s = shingle_set(text.as_py(), n)
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
-                    sizes.append(len(s))
-                    ids.append(digest)
-                    nodes.append(_node(digest))
-                    found = layout.keys(s) if len(s) else s
-                    keys.append(found.view(np.int64))
-                    lengths.append(lengths[-1] + len(found))
-                listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(keys)))
+                    bands = layout.keys(s) if len(s) else []
+                    keys += [k.view(np.int64) for k, _, _ in bands]
+                    lengths.append(lengths[-1] + sum(len(k) for k, _, _ in bands))
+                    rows.append((len(s), _node(xxhash.xxh3_128_digest(s.tobytes())), len(bands[0][0]) if bands else 0, [x for _, x, _ in bands], min((x for _, _, x in bands), default=1)))
+                listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(nodes, pa.int64()), listed],
-                    ["doc_id", "n_shingles", "set_id", "node", "keys"],
+                    [part.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), listed], ["doc_id", "n_shingles", "node", "first", "spared", "least", "keys"]
                 )
 
     rows = docs.select("doc_id", as_bytes().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, node long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, first int, spared array<int>, least int, keys array<long>")
 
 
 def _node(digest: bytes) -> int:
@@ -190,30 +198,41 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     prof, _ = written(profiles(docs, n, percent), "profiles")
     real = prof.where("doc_id is not null and n_shingles > 0")
-    keyed = real.select(F.explode("keys").alias("key"), "node")
-    shared = kept(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub != top").select("key", "hub"), "shared")
+    exploded = real.select(F.posexplode("keys").alias("pos", "key"), "node", "first", "spared", "least")
+    second_band = F.col("pos") >= F.col("first")
+    keyed = exploded.select("key", "node", second_band.alias("second"), F.element_at("spared", F.when(second_band, 2).otherwise(1)).alias("spared"), "least")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low != high")
+    shared = kept(shared.select("key", "rows"), "shared")
     # Written before copies are collapsed, so that the join can split hot keys and the collapse starts map-side.
-    members = kept(kept(keyed.join(shared, "key"), "met").distinct(), "members")
-    ids = kept(real.groupBy("node").agg(F.min("doc_id").alias("least")), "ids")
-    wanted = kept(ids.join(members.select("node").distinct(), "node").select("node", F.col("least").alias("doc_id")), "wanted")
-    sets = kept(_sets(docs, wanted, n), "sets")
-
-    first = kept(members.where("node != hub").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), "first")
-    links = kept(_linked(first, sets, percent), "links")
-    found = kept(components(links), "found")
-    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = kept(placed, "placed")
+    met = kept(kept(keyed.join(shared, "key"), "met").distinct(), "unique")
+    frequent = Window.partitionBy("node", "second").orderBy(F.desc("rows"), "key")
+    rare = kept(met.withColumn("place", F.row_number().over(frequent)).where("place > spared").select("key", "node", "least"), "rare")
+    hubs = kept(rare.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub != top").select("key", "hub"), "hubs")
+    members = kept(rare.join(hubs, "key"), "members")
+    ids = kept(real.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("least").alias("least")), "ids")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) of nodes that are linked."""
+        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = kept(_sets(docs, kept(ids.join(nodes, "node").select("node", F.col("smallest").alias("doc_id")), "wanted"), n), "sets")
+        return kept(_linked(pairs, sets, percent), "links")
+
+    common = members.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("common"), F.min("least").alias("least"))
+    most = common.groupBy("node").agg(F.max(F.struct("common", "hub")).alias("m"), F.min("least").alias("least"))
+    most = most.select(F.col("m.hub").alias("a"), F.col("node").alias("b"), F.col("m.common").alias("common"), "least").join(ids.select(F.col("node").alias("a"), F.col("least").alias("other")), "a")
+    found = kept(components(linked(kept(most.where(F.col("common") >= F.least("least", "other")).select("a", "b"), "first"))), "found")
+    placed = kept(members.join(found, "node", "left").select("key", "node", "least", F.coalesce("component", "node").alias("component")), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     open_ = kept(placed.join(mixed_keys, "key"), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    cross = open_.withColumnRenamed("node", "a").join(other, "key").where("a < b and component != other").select("a", "b").distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = kept(_linked(cross.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
+    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("least").alias("least_b"))
+    cross = open_.withColumnRenamed("node", "a").join(other, "key").where("a < b and component != other")
+    cross = cross.groupBy("a", "b").agg(F.count("*").alias("common"), F.least(F.min("least"), F.min("least_b")).alias("need")).where("common >= need")
+    second = linked(kept(cross.select("a", "b"), "second"))
     if not second.isEmpty():
         found = kept(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second)), "found")
 
-    grouped = ids.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    grouped = ids.join(found, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("component"))
+    smallest = grouped.groupBy("component").agg(F.min("smallest").alias("component_id"))
     classes, _ = written(grouped.join(smallest, "component").select("node", "component_id"), "classes")
     released(docs.sparkSession, *paths)
     rows = prof.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")).alias("node"))

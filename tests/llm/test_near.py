@@ -62,8 +62,9 @@ def test_sketch_bound_is_lossless():
         if both < len(a) == len(b) or both != len(b):
             if 100 * both >= 85 * (len(a) + len(b) - both):
                 met += 1
-                (x, m), (y, n) = layout.keys(a), layout.keys(b)
-                assert len(np.intersect1d(x, y)) >= min(m, n) >= 1, (len(a), len(b), both)
+                # Both may give up d keys and still share the rest.
+                common = [(len(np.intersect1d(x, y)), 2 * d + rest) for x, d, rest in layout.keys(a) for y, e, other in layout.keys(b) if (d, rest) == (e, other)]
+                assert any(n >= m for n, m in common), (len(a), len(b), both)
     assert met > 50
 
 

@@ -14,6 +14,9 @@ from leadloom.llm import exact_dedup, jaccard_join, mixing, sentencepiece_viterb
 from leadloom.llm.common import documents, new_path, written
 from leadloom.llm.queries import TOKENIZERS
 
+#: Near copies: documents whose sets of five-word shingles have at least this Jaccard similarity in percent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 #: Tables of kept ids up to this many rows (16 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -48,7 +51,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest doc_id stays."""
-    found = jaccard_join.join(docs)
+    found = jaccard_join.join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     return _kept(docs, found.where("doc_id <=> component_id").select("doc_id").distinct())
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
 import hashlib
+import random
 import re
 
 import corpus_pipeline
@@ -41,3 +42,31 @@ def test_stages(spark, tmp_path):
 
     texts = {r["doc_id"]: r["text"] for r in rows[4]}
     assert len(rows[5]) == len(rows[4]) and all(r["round_trip"] and bool(r["ids"]) == bool(texts[r["doc_id"]]) for r in rows[5])
+
+
+def near_groups(rows, n, percent):
+    """The smallest id of each group of texts linked by their sets of word n-grams."""
+    sets = [(i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) for i, t in rows for w in [t.split()]]
+    group = {i: i for i, _ in sets}
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if 100 * len(a & b) >= percent * len(a | b) and group[i] != group[j]:
+                x, y = sorted((group[i], group[j]))
+                group = {g: x if c == y else c for g, c in group.items()}
+    return sorted(set(group.values()))
+
+
+def test_near_copies_are_five_words_and_four_fifths(spark):
+    rng, rows = random.Random(8), []
+    for family in range(40):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 400))]
+        scattered, added = list(base), list(base)
+        for at in range(5, len(base) - 5, 48):
+            scattered[at] = "edited"
+        at = rng.randrange(len(base))
+        added[at:at] = [f"x{family}_{k}" for k in range(rng.randint(len(base) // 8, len(base) // 3))]
+        rows += [(3 * family + k, " ".join(words)) for k, words in enumerate((base, scattered, added))]
+    wanted = near_groups(rows, 5, 80)
+    assert wanted != near_groups(rows, 4, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == wanted

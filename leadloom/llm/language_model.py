@@ -2,11 +2,10 @@
 
 Symbols are the DICTIONARY most frequent training words, one symbol for all rarer words, and the end of
 a text. Every preceding symbol has a context restaurant; its dishes are the symbols that follow, and all
-context restaurants share one parent, whose customers are their tables and whose base is uniform. Table
-seatings are sampled by Gibbs: in a sweep, customers picked at random from every dish of every restaurant
-leave and are seated again, at a table of that dish in proportion to its size less the discount, or at a
-new one in proportion to the restaurant's mass for the dish. Totals of tables are those of the last sweep,
-so all restaurants are sampled at once. After BURN_IN sweeps the predictive probabilities of SAMPLES
+context restaurants share one parent, whose customers are their tables and whose base is uniform. Tables
+are sampled by Gibbs: in a sweep, every dish of every restaurant gets a new number of tables, drawn given all
+its customers and the restaurant's mass for the dish. Totals of tables are those of the last sweep, at first
+one table for every pair, so all restaurants are sampled at once. After BURN_IN sweeps the predictive probabilities of SAMPLES
 sweeps are averaged. A rare word is its symbol's probability times the word's smoothed share of the rare
 training words, so probabilities of all words sum to one.
 
@@ -24,6 +23,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +40,11 @@ from leadloom.llm.common import as_bytes, new_path, released, tokens, written
 
 #: The most words with a symbol of their own: the bound of what is broadcast and gathered on the driver.
 DICTIONARY = 1 << 18
-BURN_IN, SAMPLES, RESEATED = 2, 3, 4
+BURN_IN, SAMPLES = 2, 3
+#: Numbers of tables are drawn from their whole distribution up to so many customers; above, by so many proposals.
+WHOLE, PROPOSALS = 128, 40
+#: From so many expected tables on, or proposed ones, their number is drawn as a normal variable.
+NORMAL, MOST_PROPOSED = 1000, 50_000
 CONCENTRATION = 1.0
 PART_TOKENS = 2_000_000
 CHUNK_DOCS, CHUNK_TOKENS = 4096, 500_000
@@ -248,7 +252,7 @@ def pair_counts(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seated(c: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A first seating: about as many tables as expected, of nearly equal sizes."""
+    """A seating for reseated: about as many tables as expected, of nearly equal sizes."""
     t = np.clip(np.round(mass * np.log1p(c / mass)), 1, c).astype(np.int64)
     small, rest = c // t, c % t
     sizes = np.repeat(small, t)
@@ -257,7 +261,7 @@ def seated(c: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def reseated(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, sizes: np.ndarray, mass: np.ndarray, discount: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gibbs steps: in each round one customer of every dish leaves and is seated again. All c are at least 2."""
+    """Gibbs steps: in each round one customer of every dish leaves and is seated again. All c are at least 2. The tests hold drawn to it."""
     if not len(c):
         return t, sizes
     t, sizes = t.copy(), sizes.copy()
@@ -280,6 +284,87 @@ def reseated(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, sizes: np.n
     return t, sizes
 
 
+_log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def stirling_logs(most: int, discount: float) -> np.ndarray:
+    """[c, t]: log of the weight of all seatings of c customers at t tables, a table of n weighing (1 - d)(2 - d)...(n - 1 - d)."""
+    logs = np.full((most + 1, most + 1), -np.inf)
+    logs[0, 0] = 0.0
+    for c in range(most):
+        joined = c - discount * np.arange(1, most + 1)
+        logs[c + 1, 1:] = np.logaddexp(logs[c, :-1], logs[c, 1:] + np.log(np.where(joined > 0, joined, 1.0)))
+    return logs
+
+
+def drawn(rng: np.random.Generator, c: np.ndarray, mass: np.ndarray, discount: float) -> np.ndarray:
+    """The number of tables of every dish, t with weight mass^t times that of all seatings of its c customers at t tables."""
+    t = np.minimum(c, 1)
+    few = np.flatnonzero((c > 1) & (c <= WHOLE))
+    if len(few):
+        logs = stirling_logs(int(c[few].max()), discount)
+        few = few[np.argsort(c[few], kind="stable")]
+        for group in np.split(few, np.flatnonzero(np.diff(c[few])) + 1):
+            n = int(c[group[0]])
+            for at in range(0, len(group), 1 << 16):
+                rows = group[at : at + (1 << 16)]
+                w = logs[n, 1 : n + 1] + np.log(mass[rows])[:, None] * np.arange(1, n + 1)
+                w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+                t[rows] = 1 + (w < (rng.random(len(rows)) * w[:, -1])[:, None]).sum(axis=1)
+    many = np.flatnonzero(c > WHOLE)
+    if len(many):
+        t[many] = _drawn_many(rng, c[many], mass[many], discount)
+    return t
+
+
+def _drawn_many(rng: np.random.Generator, c: np.ndarray, mass: np.ndarray, discount: float) -> np.ndarray:
+    """drawn for dishes with many customers, at a cost that follows the tables.
+
+    A dish's tables are a Poisson number, of mean mass / d, of sizes with chance d (1 - d)...(n - 1 - d) / n!, given that
+    the sizes add up to c. Each size n may be thinned by z^n, which is the same for all that add up to c; z = 1 - e makes
+    c the mean. One table, picked by size, is what the others leave of c. The others are proposed from the thinned
+    process, and taken or not by the chance of what they leave (Metropolis).
+    """
+    low, high = np.full(len(c), -700.0), np.zeros(len(c))
+    for _ in range(60):  # of log e
+        middle = (low + high) / 2
+        above = np.log(mass) + np.log(-np.expm1(middle)) + (discount - 1) * middle > np.log(c)
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    e = np.exp((low + high) / 2)
+    rate = mass / discount
+    mean = -rate * np.expm1(discount * np.log(e))
+    spread = c + c * (1 - discount) * (1 - e) / e
+    normal = (mean > NORMAL) | (rate > MOST_PROPOSED)
+    t = np.round(mean + rng.standard_normal(len(c)) * np.sqrt(np.maximum(mean - c * (c / spread), 0.0)))
+    t = np.clip(t, 1, c).astype(np.int64)
+    left = np.flatnonzero(~normal)
+    if not len(left):
+        return t
+    c, rate, thin = c[left], rate[left], np.log1p(-e[left])
+
+    def weight(s: np.ndarray) -> np.ndarray:
+        rest = np.maximum(c - s, 1.0)
+        return np.where(s < c, (_log_gamma(rest - discount) - _log_gamma(rest)).astype(np.float64) - s * thin, -np.inf)
+
+    others = np.zeros(len(c), np.int64)  # at first all customers are at one table
+    now = weight(np.zeros(len(c)))
+    for _ in range(PROPOSALS):
+        n = rng.poisson(rate)
+        dish = np.repeat(np.arange(len(c)), n)
+        p = rng.beta(discount, 1 - discount, len(dish))
+        with np.errstate(divide="ignore"):
+            sizes = np.ceil(np.log(1 - rng.random(len(dish))) / np.log1p(-p))
+        sizes = np.clip(np.nan_to_num(sizes, nan=1.0, posinf=2.0**60), 1.0, c[dish])
+        kept = np.log(1 - rng.random(len(dish))) < sizes * thin[dish]
+        dish, sizes = dish[kept], sizes[kept]
+        then = weight(np.bincount(dish, sizes, len(c)))
+        taken = np.log(1 - rng.random(len(c))) < then - now
+        others = np.where(taken, np.bincount(dish, minlength=len(c)), others)
+        now = np.where(taken, then, now)
+    t[left] = others + 1
+    return t
+
+
 class Totals:
     """Tables by context and by symbol over all parts, and the parent restaurant's seating: bounded by the dictionary."""
 
@@ -296,8 +381,7 @@ class Totals:
         t = np.minimum(m, 1)
         if len(many):
             mass = np.full(len(many), (CONCENTRATION + d0 * (before.root_tables if before else len(many))) / n)
-            first, sizes = seated(m[many], mass)
-            t[many] = reseated(rng, m[many], first, sizes, mass, d0, RESEATED)[0]
+            t[many] = drawn(rng, m[many], mass, d0)
         self.root_tables = int(t.sum())
         self.base = (m - d0 * t + (CONCENTRATION + d0 * self.root_tables) / n) / (CONCENTRATION + m.sum())
         return self
@@ -342,18 +426,19 @@ def gathered(rows: DataFrame, symbols: int, contexts: int, parts: int) -> tuple[
 
 
 def started(parts_table: DataFrame, symbols: int) -> DataFrame:
-    """Per part: state (pairs seen twice or more, with counts), tables of pairs seen once, and how many were seen once and twice."""
+    """Per part: state (pairs seen twice or more, with counts), tables of pairs seen once, one table for each of the others, and how many were seen once and twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 key, c = pair_counts([x.as_py() for x in batch.column("chunks")[k].values])
                 one, many = key[c == 1], c > 1
-                row = [batch.column("part")[k].as_py(), pressed(key[many], c[many]), tables_of(one >> 20, one & (SHIFT - 1), np.ones(len(one), np.int64), symbols), len(one), int((c == 2).sum())]
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], ["part", "state", "tables", "n1", "n2"])
+                once, least = (tables_of(x >> 20, x & (SHIFT - 1), np.ones(len(x), np.int64), symbols) for x in (one, key[many]))
+                row = [batch.column("part")[k].as_py(), pressed(key[many], c[many]), once, least, len(one), int((c == 2).sum())]
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], ["part", "state", "tables", "least", "n1", "n2"])
 
-    return parts_table.select("part", "chunks").mapInArrow(run, "part int, state binary, tables binary, n1 long, n2 long")
+    return parts_table.select("part", "chunks").mapInArrow(run, "part int, state binary, tables binary, least binary, n1 long, n2 long")
 
 
 def swept(states: DataFrame, shared, sweep: int, symbols: int) -> DataFrame:
@@ -366,12 +451,11 @@ def swept(states: DataFrame, shared, sweep: int, symbols: int) -> DataFrame:
                 part, state = batch.column("part")[k].as_py(), unpressed(batch.column("state")[k].as_py())
                 key, c = state[:2]
                 u, w = key >> 20, key & (SHIFT - 1)
-                mass = totals.mass(u, w)
-                t, sizes, added = state[2:] if len(state) > 2 else (*seated(c, mass), np.zeros(len(c), np.int64))
-                t, sizes = reseated(np.random.default_rng([1, sweep, part]), c, t, sizes, mass, totals.discount, RESEATED)
+                added = state[2] if len(state) > 2 else np.zeros(len(c), np.int64)
+                t = drawn(np.random.default_rng([1, sweep, part]), c, totals.mass(u, w), totals.discount)
                 if sweep >= BURN_IN:
                     added = added + t
-                row = [part, pressed(key, c, t, sizes, added), tables_of(u, w, t, symbols)]
+                row = [part, pressed(key, c, added), tables_of(u, w, t, symbols)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "state", "tables"])
 
     return states.select("part", "state").mapInArrow(run, "part int, state binary, tables binary")
@@ -403,7 +487,7 @@ def part_scores(parts_table: DataFrame, states: DataFrame, shared) -> DataFrame:
                 chunks = [x.as_py() for x in batch.column("chunks")[k].values]
                 key, c = pair_counts(chunks)
                 t = np.minimum(c, 1).astype(np.float64)
-                known, _, _, _, added = unpressed(batch.column("state")[k].as_py())
+                known, _, added = unpressed(batch.column("state")[k].as_py())
                 t[np.searchsorted(key, known)] = added / len(predictor.samples)
                 logs = np.log10(predictor.probability(key >> 20, key & (SHIFT - 1), c, t))
                 for chunk in chunks:
@@ -454,7 +538,8 @@ def score(docs: DataFrame, dictionary: int = DICTIONARY, part_tokens: int = PART
     seen = states.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"), F.coalesce(F.sum("n2"), F.lit(0)).alias("n2")).first()
     discount = seen.n1 / (seen.n1 + 2 * seen.n2) if seen.n1 and seen.n2 else 0.5
     rng, samples = np.random.default_rng(0), []
-    totals = Totals(*once, discount).seat(rng, None)
+    least = gathered(states.select(F.col("least").alias("tables")), symbols, contexts, parts)
+    totals = Totals(once[0] + least[0], once[1] + least[1], discount).seat(rng, None)
     for sweep in range(BURN_IN + SAMPLES):
         after, after_path = written(swept(states, sc.broadcast(totals), sweep, symbols), "states")
         released(spark, state_path)

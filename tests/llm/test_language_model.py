@@ -77,3 +77,29 @@ def test_gibbs_reaches_the_seating_distribution():
     # Sequential seating with a fixed mass: the second joins with 1 - d, the third with its table's size less d.
     weights = np.array([(1 - d) * (2 - d), (1 - d) * mass + 2 * mass * (1 - d), mass * mass])
     assert np.abs(np.bincount(t, minlength=4)[1:] / many - weights / weights.sum()).max() < 0.015
+
+
+def chances(c, mass, d):
+    """The exact chances of 1 to c tables, by adding one customer after another."""
+    w = np.array([1.0])
+    for n in range(1, c):
+        w = np.append(w * (n - d * np.arange(1, n + 1)), 0.0) + mass * np.append(0.0, w)
+        w /= w.max()
+    return w / w.sum()
+
+
+def test_tables_of_frequent_pairs_have_the_exact_distribution():
+    many = 8000
+    for c, mass, d in ((2, 0.3, 0.4), (100, 5.0, 0.7), (128, 60.0, 0.6), (129, 40.0, 0.5), (500, 0.01, 0.8), (500, 150.0, 0.7), (2000, 30.0, 0.75), (4000, 300.0, 0.6), (4000, 3000.0, 0.7)):
+        t = lm.drawn(np.random.default_rng(c), np.full(many, c), np.full(many, mass), d)
+        wanted = chances(c, mass, d)
+        place = np.arange(1, c + 1)
+        mean = (wanted * place).sum()
+        deviation = math.sqrt((wanted * (place - mean) ** 2).sum())
+        found = np.cumsum(np.bincount(t, minlength=c + 1)[1:]) / many
+        assert abs(t.mean() - mean) < 0.08 * deviation + 0.002 * mean and np.abs(found - np.cumsum(wanted)).max() < 0.05, (c, mass, d, t.mean(), mean)
+
+
+def test_a_sweep_moves_a_dish_of_a_million():
+    t = lm.drawn(np.random.default_rng(1), np.full(200, 1_000_000), np.full(200, 300.0), 0.6)
+    assert 400 < t.mean() < 550 and len(set(t.tolist())) > 20

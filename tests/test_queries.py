@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -42,6 +45,16 @@ def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("with_pipeline", [False, True])
+def test_entry_without_llm(tmp_path, with_pipeline):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{root}/leadloom", tmp_path / "leadloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", "corpus_pipeline.py"][: 1 + (with_pipeline and os.path.exists(f"{root}/corpus_pipeline.py"))]:
+        shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
 def test_plans_have_no_cartesian_product(spark):
     for name in ("d4_fuzzy_match", "d11_find_existing", "d16_near_codes", "k4_similar_items"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

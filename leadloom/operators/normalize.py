@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -100,25 +101,53 @@ def permits(rows: DataFrame, as_of: str, days: int = 90, top: int = 100) -> Data
     return rows.where((F.col("issued_at") >= since) & renovation).orderBy(F.desc("issued_at"), "id").limit(top)
 
 
+#: Price gaps and what they add, times 1.5, where both sides have a price.
+RELAXED_RUNGS = ((0.02, 1.0), (0.10, 0.6), (0.20, 0.25))
+
+
 def relaxed_match(targets: DataFrame, donors: DataFrame, strict: float = 0.60, loose: float = 0.65) -> DataFrame:
     """Best donor of the same zone and kind (an unknown donor kind fits any) by title and price; without both prices the threshold is higher.
 
-    Columns: id, zone_n, kind, price, title_n, phone. Title agreement is one less the edit distance over the longer length.
+    Columns: id, zone_n, kind, price, title_n, phone; no row is both target and donor. Title agreement is one less the edit distance over the longer length.
+    Priced pairs meet in log-price buckets as wide as the largest gap with which equal titles still reach strict. Pairs
+    without both prices are rated by distinct titles of a zone and kind whose lengths leave them in play, with the first
+    donor of each title, so rows with equal titles don't multiply.
     """
     from leadloom.operators.history import similarity
 
-    d = donors.alias("d")
     kinds = F.array_distinct(F.array(F.col("kind"), F.lit("")))
-    keyed = targets.withColumn("k", F.explode(kinds)).alias("t")
-    pairs = keyed.join(d, (F.col("t.zone_n") == F.col("d.zone_n")) & (F.col("t.k") == F.col("d.kind")) & (F.col("t.id") != F.col("d.id")))
-    priced = F.coalesce((F.col("t.price") > 0) & (F.col("d.price") > 0), F.lit(False))
-    one_sided = F.coalesce(F.col("t.price") > 0, F.lit(False)) != F.coalesce(F.col("d.price") > 0, F.lit(False))
+    keyed = targets.withColumn("kind", F.explode(kinds))
+    priced = F.coalesce(F.col("price") > 0, F.lit(False))
+
+    # Both priced.
+    within = [gap for gap, points in RELAXED_RUNGS if (1 + 1.5 * points) / 2.5 >= strict]
+    width = -math.log(1 - max(within)) if within and strict > 1 / 2.5 else None
+    bucket = F.floor(F.log("price") / width) if width else F.lit(0)
+    t = keyed.where(priced).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)) if width else bucket).alias("t")
+    d = donors.where(priced).withColumn("bucket", bucket).alias("d")
+    meet = [F.col(f"t.{c}") == F.col(f"d.{c}") for c in ("zone_n", "kind", "bucket")]
     gap = F.abs(F.col("t.price") - F.col("d.price")) / F.greatest("t.price", "d.price")
-    step = F.when(gap <= 0.02, 1.0).when(gap <= 0.10, 0.6).when(gap <= 0.20, 0.25).otherwise(0.0)
-    title = similarity(F.col("t.title_n"), F.col("d.title_n"))
-    total = title + F.when(priced, step * 1.5).when(one_sided, 0.20 * 0.5).otherwise(0.0)
-    weight = 1.0 + F.when(priced, 1.5).when(one_sided, 0.5).otherwise(0.0)
-    rated = pairs.select(F.col("t.id").alias("id"), F.col("d.id").alias("donor_id"), F.col("d.phone").alias("phone"), (total / weight).alias("score"), priced.alias("priced"))
-    good = rated.where(F.col("score") >= F.when(F.col("priced"), strict).otherwise(loose))
-    best = good.groupBy("id").agg(F.max(F.struct("score", (-F.col("donor_id")).alias("i"), "phone")).alias("b"))
+    step = F.lit(0.0)
+    for most, points in reversed(RELAXED_RUNGS):
+        step = F.when(gap <= most, points).otherwise(step)
+    la, lb = F.length("t.title_n"), F.length("d.title_n")
+    bound = F.when(F.greatest(la, lb) == 0, 1.0).otherwise(F.least(la, lb) / F.greatest(la, lb))
+    near = t.join(d, meet[0] & meet[1] & meet[2]).where((bound + 1.5 * step) / 2.5 >= strict - 1e-9)
+    rated = near.select(F.col("t.id").alias("id"), F.col("d.id").alias("donor_id"), F.col("d.phone").alias("phone"), ((similarity(F.col("t.title_n"), F.col("d.title_n")) + step * 1.5) / 2.5).alias("score"))
+    found = rated.where(F.col("score") >= strict)
+
+    # A side without a price: by distinct titles, with the first donor of each.
+    def titles(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("zone_n", "kind", F.col("title_n").alias(side)).distinct()
+
+    for some, others, extra, weight in ((~priced, priced, 0.20 * 0.5, 1.5), (priced, ~priced, 0.20 * 0.5, 1.5), (~priced, ~priced, 0.0, 1.0)):
+        t, d = keyed.where(some), donors.where(others)
+        a, b = F.length("a"), F.length("b")
+        bound = F.when(F.greatest(a, b) == 0, 1.0).otherwise(F.least(a, b) / F.greatest(a, b))
+        score = (similarity(F.col("a"), F.col("b")) + extra) / weight
+        near = titles(t, "a").join(titles(d, "b"), ["zone_n", "kind"]).where((bound + extra) / weight >= loose - 1e-9).withColumn("score", score).where(F.col("score") >= loose)
+        first = d.groupBy("zone_n", "kind", F.col("title_n").alias("b")).agg(F.min("id").alias("donor_id"), F.min_by("phone", "id").alias("phone"))
+        pairs = t.select("id", "zone_n", "kind", F.col("title_n").alias("a")).join(near, ["zone_n", "kind", "a"]).join(first, ["zone_n", "kind", "b"])
+        found = found.unionByName(pairs.select("id", "donor_id", "phone", "score"))
+    best = found.groupBy("id").agg(F.max(F.struct("score", (-F.col("donor_id")).alias("i"), "phone")).alias("b"))
     return best.select("id", (-F.col("b.i")).alias("donor_id"), F.round("b.score", 6).alias("score"), "b.phone")

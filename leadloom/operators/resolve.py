@@ -87,23 +87,23 @@ def candidate_pairs(targets: DataFrame, donors: DataFrame) -> DataFrame:
 
     A pair with both prices more than 20 % apart reaches 4/6 at most, so priced rows meet in log-price buckets
     of that width and their neighbours; a pair without a price needs typology, area and title on both sides
-    and meets by typology. Columns: zone_n, typology, price, area, title_n, source, id.
+    and meets by typology and area. Columns: zone_n, typology, price, area, title_n, source, id.
     """
     width = -math.log(0.8)
     bucket = F.floor(F.log("price") / width)
-    t, d = targets.alias("t"), donors.alias("d")
-    priced_t = targets.where(F.col("price") > 0).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("t")
-    priced_d = donors.where(F.col("price") > 0).withColumn("bucket", bucket).alias("d")
+    priced = F.coalesce(F.col("price") > 0, F.lit(False))
+    priced_t = targets.where(priced).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("t")
+    priced_d = donors.where(priced).withColumn("bucket", bucket).alias("d")
     other_source = F.col("t.source") != F.col("d.source")
     same_kind = (F.coalesce("t.typology", F.lit("")) == "") | (F.coalesce("d.typology", F.lit("")) == "") | (F.upper("t.typology") == F.upper("d.typology"))
     columns = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "td" for c in ("id", "price", "area", "typology", "title_n")]
     with_price = priced_t.join(priced_d, (F.col("t.zone_n") == F.col("d.zone_n")) & (F.col("t.bucket") == F.col("d.bucket")) & other_source & same_kind).select(*columns)
-    without = t.join(
-        d,
-        (F.col("t.zone_n") == F.col("d.zone_n")) & (F.upper("t.typology") == F.upper("d.typology")) & other_source
-        & ~(F.coalesce(F.col("t.price") > 0, F.lit(False)) & F.coalesce(F.col("d.price") > 0, F.lit(False)))
-        & (F.col("t.typology") != "") & (F.col("t.area") > 0) & (F.col("d.area") > 0),
-    ).select(*columns)
+    # Without a price, areas more than 20 % apart reach 2.5 / 4 at most, so such pairs meet in log-area buckets; priced pairs are left out first.
+    area = F.floor(F.log("area") / width)
+    whole = (F.col("typology") != "") & (F.col("area") > 0)
+    left, right = targets.where(whole).withColumn("bucket", F.explode(F.array(area - 1, area, area + 1))), donors.where(whole).withColumn("bucket", area)
+    meet = (F.col("t.zone_n") == F.col("d.zone_n")) & (F.upper("t.typology") == F.upper("d.typology")) & (F.col("t.bucket") == F.col("d.bucket")) & other_source
+    without = left.where(~priced).alias("t").join(right.alias("d"), meet).select(*columns).unionByName(left.where(priced).alias("t").join(right.where(~priced).alias("d"), meet).select(*columns))
     return with_price.unionByName(without)
 
 
@@ -179,26 +179,45 @@ def find_existing(batch: DataFrame, leads: DataFrame, band: float = 0.05) -> Dat
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 
+def code_classes(codes: DataFrame) -> DataFrame:
+    """id and class_id (the smallest id with the same code) of every row."""
+    return codes.join(codes.groupBy("code").agg(F.min("id").alias("class_id")), "code").select("id", "class_id")
+
+
 def near_codes(codes: DataFrame, most: int = 5) -> DataFrame:
-    """Pairs (a, b) of different sources whose 64-bit codes differ in at most most (5 or fewer) bits.
+    """Pairs of classes of equal 64-bit codes that differ in at most most (5 or fewer) bits, if rows of different sources lie in them.
 
-    Rows with one code meet once, as a class with its members per source counted by join; classes meet in bands.
+    a and b are the smallest ids of the classes (a class is near itself), links counts the pairs of rows of different
+    sources that they stand for: all but those of equal sources. Classes meet in bands.
     """
     if most > len(BANDS) - 1:
         raise ValueError(f"at most {len(BANDS) - 1} differing bits")
-    classes = codes.select("code").distinct()
+    classes = codes.groupBy("code").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     band = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("code", at).bitwiseAND(F.lit(2**n - 1)).alias("v")) for k, (at, n) in enumerate(BANDS)])
-    keyed = classes.select("code", F.explode(band).alias("k")).select("code", "k.*")
-    a, b = keyed.select("band", "v", F.col("code").alias("x")), keyed.select("band", "v", F.col("code").alias("y"))
-    distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    keyed = classes.select("code", "id", "n", F.explode(band).alias("k")).select("code", "id", "n", "k.*")
+    a, b = (keyed.select("band", "v", *(F.col(c).alias(f"{c}_{s}") for c in ("code", "id", "n"))) for s in "xy")
+    differing = F.col("code_x").bitwiseXOR(F.col("code_y"))
     # The first band in which two codes agree names the pair, so none comes twice and no distinct is needed.
-    agrees = [F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), at).bitwiseAND(F.lit(2**n - 1)) == 0 for at, n in BANDS]
+    agrees = [F.shiftrightunsigned(differing, at).bitwiseAND(F.lit(2**n - 1)) == 0 for at, n in BANDS]
     first = F.coalesce(*[F.when(c, k) for k, c in enumerate(agrees)])
-    near = a.join(b, ["band", "v"]).where("x <= y").where(distance <= most).where(first == F.col("band")).select("x", "y", distance.alias("bits"))
-    left = codes.select(F.col("id").alias("i"), F.col("source").alias("si"), F.col("code").alias("x"))
-    right = codes.select(F.col("id").alias("j"), F.col("source").alias("sj"), F.col("code").alias("y"))
-    pairs = near.join(left, "x").join(right, "y").where((F.col("si") != F.col("sj")) & ((F.col("x") != F.col("y")) | (F.col("i") < F.col("j"))))
-    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("bits").cast("int").alias("bits"))
+    met = a.join(b, ["band", "v"]).where((F.col("id_x") <= F.col("id_y")) & (F.bit_count(differing) <= most) & (first == F.col("band")))
+    pairs = met.select("code_x", "code_y", "id_x", "id_y", (F.col("n_x") * F.col("n_y")).alias("all"), F.bit_count(differing).cast("int").alias("bits"))
+    per_source = codes.groupBy("code", "source").agg(F.count("*").alias("m"))
+    x, y = (per_source.select(F.col("code").alias(f"code_{s}"), "source", F.col("m").alias(f"m_{s}")) for s in "xy")
+    alike = pairs.select("code_x", "code_y").join(x, "code_x").join(y, ["code_y", "source"]).groupBy("code_x", "code_y").agg(F.sum(F.col("m_x") * F.col("m_y")).alias("alike"))
+    found = pairs.join(alike, ["code_x", "code_y"], "left").withColumn("both", F.col("all") - F.coalesce("alike", F.lit(0)))
+    links = F.when(F.col("id_x") == F.col("id_y"), F.expr("both div 2")).otherwise(F.col("both"))
+    return found.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "bits", links.alias("links")).where("links > 0")
+
+
+def same_contact(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Links (a, b) of each row with the first row that has the same value in a field: a star per value, not its pairs."""
+    found = None
+    for c in fields:
+        known = rows.where(present(F.col(c))).select(F.col("id").alias("a"), F.col(c).alias("value"))
+        star = known.join(known.groupBy("value").agg(F.min("a").alias("b")), "value").where("a != b").select("a", "b")
+        found = star if found is None else found.unionByName(star)
+    return found.distinct()
 
 
 def clusters(pairs: DataFrame, checkpoint: bool = True) -> DataFrame:

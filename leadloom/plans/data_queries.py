@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import norm_text
 from leadloom.operators import learn, resolve, search
 from leadloom.plans.kpi_queries import EMAIL, PHONE
-from leadloom.plans.views import leads, table, view, with_leads
+from leadloom.plans.views import leads, shared_dir, table, view, with_leads
 from leadloom.sources import ingest
 from leadloom.streaming import streams
 
@@ -55,7 +55,7 @@ def a5_novelty(spark, sf):
 def a14_upsert(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.lit(1).alias("version"))
     new = orders.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit(2).alias("version"))
-    return ingest.upserted(orders.where("o_orderkey % 2 = 0"), new, "o_orderkey", F.col("version"))
+    return ingest.upserted(orders, new, "o_orderkey", F.col("version"))
 
 
 def d1_listing_key(spark, sf):
@@ -76,21 +76,17 @@ def d3_merged_sources(spark, sf):
     return found.select("fp", "n_sources", F.array_join(F.transform("sources", lambda s: F.concat(s["source"], F.lit("@"), s["url"])), ",").alias("sources"))
 
 
-def _recent(spark, sf):
-    return leads(spark, sf).where("first_seen_at >= timestamp_ntz'1997-01-01 00:00:00'")
-
-
 def d4_fuzzy_match(spark, sf):
     """With the edit-distance ratio, which SQL has too."""
-    return resolve.fuzzy_match(_recent(spark, sf), exact_ratio=False)
+    return resolve.fuzzy_match(leads(spark, sf), exact_ratio=False)
 
 
 def d4_fuzzy_match_exact_ratio(spark, sf):
-    return resolve.fuzzy_match(_recent(spark, sf))
+    return resolve.fuzzy_match(leads(spark, sf))
 
 
 def d6_filled_from_donors(spark, sf):
-    rows = _recent(spark, sf)
+    rows = leads(spark, sf)
     return resolve.filled_from_donors(rows, resolve.fuzzy_match(rows, exact_ratio=False).select("id", "donor_id"))
 
 
@@ -103,13 +99,19 @@ def d11_find_existing(spark, sf):
 
 
 def d16_near_codes(spark, sf):
-    return resolve.near_codes(view(spark, sf, CODES_SPARK.replace("o_orderkey AS id", "o_orderkey AS id")).where("id % 2 = 0 OR id % 7 = 1"))
+    """Pairs of classes of equal codes; d16_code_classes has their members."""
+    return resolve.near_codes(view(spark, sf, CODES_SPARK))
+
+
+def d16_code_classes(spark, sf):
+    return resolve.code_classes(view(spark, sf, CODES_SPARK))
 
 
 def d17_merge_clusters(spark, sf):
+    """Leads with a telephone or e-mail in common are one."""
     rows = leads(spark, sf)
-    pairs = rows.where("id % 40 = 0").select(F.col("id").alias("a"), (F.col("id") - 8 * (F.col("id") % 3)).alias("b")).where("a != b")
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_dir(spark)
+    pairs = resolve.same_contact(rows, ["contact_phone", "contact_email"])
     return resolve.merge_clusters(rows, resolve.clusters(pairs)).select("cluster", "canonical_id", "contact_phone", "score", "members", F.array_join("sources", ",").alias("sources"))
 
 
@@ -149,12 +151,19 @@ def k4_similar_items(spark, sf):
     return search.similar(weights, rows, rows.where("id % 20 = 0").select("id"), top=5)
 
 
+def _labelled(spark, sf):
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    return table(spark, sf, "documents").join(labels, "doc_id").select("doc_id", "text", "label")
+
+
 def l2_text_classifier(spark, sf):
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")), "doc_id").select("doc_id", "text", "label")
-    known = learn.training_rows(rows)
-    model = learn.train(known, least=30)
-    predictions = learn.scored(model, rows, "doc_id")
-    return learn.relabelled(rows.select("doc_id", "label", (F.col("doc_id") % 10 == 0).alias("locked")), predictions, "doc_id").groupBy("outcome").agg(F.count("*").alias("n"))
+    rows = _labelled(spark, sf)
+    model = learn.train(learn.training_rows(rows), least=30)
+    return learn.relabelled(rows.select("doc_id", "label", (F.col("doc_id") % 10 == 0).alias("locked")), learn.scored(model, rows, "doc_id"), "doc_id")
+
+
+def l2_cross_validation(spark, sf):
+    return learn.cross_validated(learn.training_rows(_labelled(spark, sf)), "doc_id", 3, least=20)
 
 
 def _stream(spark, sf):
@@ -169,10 +178,7 @@ def _is_folder(df) -> bool:
 
 
 def _drained(spark, stream, mode="append"):
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-    from uuid import uuid4
-
-    base = f"{root}/stream-{uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     return streams.drained(stream, f"{base}/out", f"{base}/checkpoint", mode)
 
 
@@ -189,12 +195,12 @@ def n3_stream_sessions(spark, sf):
     return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (a2_delta_ingest, a3_queue, a4_known_ids, a4_landed_today, a5_novelty, a14_upsert, d1_listing_key, d2_upsert_merge, d3_merged_sources, d4_fuzzy_match, d4_fuzzy_match_exact_ratio, d6_filled_from_donors, d8_name_propagation, d11_find_existing, d16_near_codes, d17_merge_clusters, d22_geo_resolved, k1_search, k1_phrase_near, k1_bm25, k3_contains, k4_similar_items, l2_text_classifier, n1_stream_dedup, n3_stream_sessions)}
+QUERIES = {f.__name__: f for f in (a2_delta_ingest, a3_queue, a4_known_ids, a4_landed_today, a5_novelty, a14_upsert, d1_listing_key, d2_upsert_merge, d3_merged_sources, d4_fuzzy_match, d4_fuzzy_match_exact_ratio, d6_filled_from_donors, d8_name_propagation, d11_find_existing, d16_near_codes, d16_code_classes, d17_merge_clusters, d22_geo_resolved, k1_search, k1_phrase_near, k1_bm25, k3_contains, k4_similar_items, l2_text_classifier, l2_cross_validation, n1_stream_dedup, n3_stream_sessions)}
 
 _REACH = f"({PHONE} OR {EMAIL} OR coalesce(contact_whatsapp <> '', false))"
 _RUNGS = lambda d, rungs: "CASE " + " ".join(f"WHEN {d} <= {m} THEN {v}" for m, v in rungs) + " ELSE 0.0 END"
 _GAP = lambda c: f"abs(t.{c} - d.{c}) / greatest(t.{c}, d.{c})"
-_MATCH = f"""base AS (SELECT id, lower(zone) AS zone, typology, price, area_m2 AS area, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS title, discovery_source AS source, {_REACH} AS reach, is_demo, coalesce(contact_source, '') AS cs FROM leads WHERE NOT archived AND first_seen_at >= TIMESTAMP '1997-01-01'),
+_MATCH = f"""base AS (SELECT id, lower(zone) AS zone, typology, price, area_m2 AS area, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS title, discovery_source AS source, {_REACH} AS reach, is_demo, coalesce(contact_source, '') AS cs FROM leads WHERE NOT archived),
 rated AS (SELECT t.id, d.id AS donor_id, CASE WHEN t.price > 0 AND d.price > 0 THEN 1 ELSE 0 END AS hp, CASE WHEN t.area > 0 AND d.area > 0 THEN 1 ELSE 0 END AS ha,
   CASE WHEN t.price > 0 AND d.price > 0 THEN ({_RUNGS(_GAP("price"), resolve.PRICE_RUNGS)})::DOUBLE * 2.0 ELSE 0.0 END AS p, CASE WHEN t.area > 0 AND d.area > 0 THEN ({_RUNGS(_GAP("area"), resolve.AREA_RUNGS)})::DOUBLE * 1.5 ELSE 0.0 END AS a,
   1 - levenshtein(t.title, d.title) / greatest(length(t.title), length(d.title))::DOUBLE AS ratio
@@ -209,7 +215,7 @@ ORACLE_SQL = {
     "a4_known_ids": f"SELECT DISTINCT source, external_id FROM ({LANDED}) WHERE external_id IS NOT NULL",
     "a4_landed_today": f"SELECT source, count(*) AS n FROM ({LANDED}) WHERE scraped_at >= TIMESTAMP '2024-01-28' GROUP BY 1",
     "a5_novelty": f"WITH l AS ({LANDED}) SELECT batch_id, count(*) AS n, round(avg(s), 4) AS known_share, avg(s) >= 0.6 AS stop FROM (SELECT batch_id, CASE WHEN (source, external_id) IN (SELECT (source, external_id) FROM l WHERE {OLD} AND external_id IS NOT NULL) THEN 1.0 ELSE 0.0 END AS s FROM l WHERE {NEW} AND external_id IS NOT NULL) GROUP BY 1",
-    "a14_upsert": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "a14_upsert": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM orders",
     "d1_listing_key": with_leads("SELECT id, sha256(concat_ws('|', lower(typology), lower(zone), (round_even(coalesce(price, 0) / 1000, 0)::BIGINT * 1000)::VARCHAR, (round_even(coalesce(area_m2, 0) / 5, 0)::BIGINT * 5)::VARCHAR, regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g')))[:16] AS fingerprint FROM leads"),
     "d2_upsert_merge": f"""WITH b AS ({BATCH}), f AS (SELECT fp, id % 3 = 0 AS old, arg_max(price, (scraped_at, id)) AS price, arg_min(contact_phone, (scraped_at, id)) AS contact_phone, arg_min(contact_email, (scraped_at, id)) AS contact_email, max(length(description)) AS n FROM b GROUP BY 1, 2),
   j AS (SELECT coalesce(o.fp, n.fp) AS fp, o.fp IS NULL AS is_new, o.price AS p0, n.price AS p1, coalesce(o.contact_phone, n.contact_phone) AS contact_phone, coalesce(o.contact_email, n.contact_email) AS contact_email, greatest(coalesce(o.n, 0), coalesce(n.n, 0)) AS text_chars FROM (SELECT * FROM f WHERE old) o FULL JOIN (SELECT * FROM f WHERE NOT old) n ON o.fp = n.fp)
@@ -221,7 +227,11 @@ ORACLE_SQL = {
     "d8_name_propagation": f"WITH s AS ({SELLERS}) SELECT a.id, b.phone FROM s a JOIN (SELECT lower(name) AS n, lower(zone) AS z, arg_min(phone, id) AS phone FROM s WHERE phone IS NOT NULL GROUP BY 1, 2) b ON lower(a.name) = n AND lower(a.zone) = z WHERE a.phone IS NULL",
     "d11_find_existing": with_leads(f"""SELECT id, coalesce(p, e, r) AS lead_id, CASE WHEN p IS NOT NULL THEN 'phone' WHEN e IS NOT NULL THEN 'email' WHEN r IS NOT NULL THEN 'price' ELSE 'new' END AS matched_by FROM (SELECT i.id, (SELECT min(l.id) FROM leads l WHERE l.contact_phone = i.contact_phone) AS p, (SELECT min(l.id) FROM leads l WHERE l.contact_email = i.contact_email) AS e,
   (SELECT min(l.id) FROM leads l WHERE l.zone = i.zone AND l.typology = i.typology AND l.price >= i.price * 0.95::DOUBLE AND l.price <= i.price * 1.05::DOUBLE) AS r FROM (SELECT * REPLACE (price::DOUBLE AS price) FROM ({IMPORTS})) i)"""),
-    "d16_near_codes": f"WITH c AS (SELECT * FROM ({CODES}) WHERE id % 2 = 0 OR id % 7 = 1) SELECT x.id AS a, y.id AS b, bit_count(xor(x.code, y.code))::INT AS bits FROM c x JOIN c y ON x.id < y.id AND x.source <> y.source AND bit_count(xor(x.code, y.code)) <= 5",
+    "d16_near_codes": f"""WITH c AS (SELECT code, min(id) AS id, count(*) FILTER (WHERE source = 'a') AS na, count(*) FILTER (WHERE source = 'b') AS nb FROM ({CODES}) GROUP BY 1)
+  SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, bit_count(xor(x.code, y.code))::INT AS bits, CASE WHEN x.id = y.id THEN x.na * x.nb ELSE x.na * y.nb + x.nb * y.na END AS links FROM c x JOIN c y ON x.id <= y.id AND bit_count(xor(x.code, y.code)) <= 5 WHERE CASE WHEN x.id = y.id THEN x.na * x.nb ELSE x.na * y.nb + x.nb * y.na END > 0""",
+    "d16_code_classes": f"SELECT id, min(id) OVER (PARTITION BY code) AS class_id FROM ({CODES})",
+    "d17_merge_clusters": with_leads("""SELECT min(id) AS cluster, arg_min(id, (first_seen_at, id)) AS canonical_id, any_value(contact_phone) AS contact_phone, max(score) AS score, count(*) AS members, array_to_string(list_sort(list_distinct(list(discovery_source))), ',') AS sources
+  FROM leads WHERE contact_phone <> '' OR contact_email <> '' GROUP BY coalesce(contact_phone, contact_email) HAVING count(*) > 1"""),
     "d22_geo_resolved": with_leads("SELECT id, CASE WHEN hit THEN 1.5 WHEN n_nationkey % 2 = 0 THEN n_nationkey * 1.0 END::DOUBLE AS lat, CASE WHEN hit THEN 2.5 WHEN n_nationkey % 2 = 0 THEN 0.5 END::DOUBLE AS lon, CASE WHEN hit THEN 'cache' WHEN n_nationkey % 2 = 0 THEN 'zone' ELSE 'none' END AS geo_source FROM (SELECT id, zone, (title, zone) IN (SELECT (title, zone) FROM leads WHERE id % 5 = 0) AS hit FROM leads) JOIN nation ON zone = n_name"),
     "k1_search": f"WITH {_TERMS} SELECT id FROM terms GROUP BY id HAVING bool_or(term = 'the') AND bool_or(term = 'of') AND bool_or(term LIKE 'tion%') AND NOT bool_or(term = 'license')",
     "k1_phrase_near": f"WITH {_TERMS} SELECT DISTINCT id FROM terms WHERE id IN (SELECT a.id FROM terms a JOIN terms b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the') AND id IN (SELECT a.id FROM terms a JOIN terms b ON a.id = b.id AND abs(a.pos - b.pos) <= 4 WHERE a.term = 'and' AND b.term = 'to') AND term IN ('in', 'de')",

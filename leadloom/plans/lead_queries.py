@@ -10,7 +10,7 @@ from leadloom.plans.views import AS_OF, NOTES, PRICES, leads, table, view, with_
 
 SIGNALS = "SELECT s_suppkey AS id, n_name AS zone, CASE s_suppkey % 3 WHEN 0 THEN 'building_permit' ELSE 'renovation_ad' END AS signal_type, s_suppkey % 4 = 0 AS promoted, concat('fp', CAST(s_suppkey AS STRING)) AS fingerprint, CAST(s_suppkey % 100 AS INT) AS signal_score FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 2 = 0"
 ALERTS = "SELECT event_id AS id, value AS v, user_id AS lead_id, ts AS sent_at, event_type <> 'error' AS success FROM events WHERE event_type IN ('click', 'error')"
-REQUESTS = "SELECT user_id AS lead_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'contactado' WHEN 'error' THEN 'perdido' WHEN 'click' THEN 'negociacao' WHEN 'view' THEN 'arquivado' ELSE 'novo' END AS to_stage FROM events WHERE event_id % 10 = 0"
+REQUESTS = "SELECT user_id AS lead_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'contactado' WHEN 'error' THEN 'perdido' WHEN 'click' THEN 'negociacao' WHEN 'view' THEN 'arquivado' ELSE 'novo' END AS to_stage FROM events"
 STATUSES = "SELECT o_orderkey AS id, CAST(CASE o_orderkey % 5 WHEN 0 THEN 404 WHEN 1 THEN 200 WHEN 2 THEN 301 WHEN 3 THEN 410 ELSE 503 END AS INT) AS status FROM orders"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 ZONES = {"NATION_1": 5, "NATION_2": 5, "NATION_3": 3, "NATION_4": 2}
@@ -69,7 +69,7 @@ def g2_accepted_changes(spark, sf):
 
 
 def _versions(spark, sf):
-    old = leads(spark, sf).where("id % 3 = 0")
+    old = leads(spark, sf)
     new = old.select("id", F.when(F.col("id") % 2 == 0, F.concat("title", F.lit(" novo"))).otherwise(F.col("title")).alias("title"), F.when(F.col("id") % 9 == 0, F.concat("description", F.lit(" com todas as divisoes renovadas e luz"))).when(F.col("id") % 12 == 0, F.reverse("description")).otherwise(F.col("description")).alias("description"), F.when(F.col("id") % 5 == 0, F.lit("Other House")).otherwise(F.col("agency_name")).alias("agency_name"), F.when(F.col("id") % 7 == 0, F.lit("+351910000001")).otherwise(F.col("contact_phone")).alias("contact_phone"))
     return old, new
 
@@ -79,7 +79,7 @@ def g3_text_edits(spark, sf):
 
 
 def g4_edit_notes(spark, sf):
-    return history.edit_notes(history.edits(*_versions(spark, sf))).select("id", "n_changes")
+    return history.edit_notes(history.edits(*_versions(spark, sf)))
 
 
 def g5_best_per_phone(spark, sf):
@@ -87,7 +87,7 @@ def g5_best_per_phone(spark, sf):
 
 
 def g7_price_in_force(spark, sf):
-    return history.price_in_force(_notes(spark, sf).where("id % 3 = 0"), _prices(spark, sf).where("id % 3 <> 0"))
+    return history.price_in_force(_notes(spark, sf).withColumn("created_at", F.expr("created_at - interval 1 hour")), _prices(spark, sf))
 
 
 def c1_active_page(spark, sf):
@@ -188,7 +188,7 @@ _DROP_ROWS = f"""SELECT lead_id, observations, peak_price, last_price, round((pe
 _SIMILAR = "(1 - levenshtein(lower({a}), lower({b})) / greatest(length({a}), length({b}))::DOUBLE)"
 _EDITS = f"""pairs AS (SELECT id, title AS t0, CASE WHEN id % 2 = 0 THEN concat(title, ' novo') ELSE title END AS t1, description AS d0,
   CASE WHEN id % 9 = 0 THEN concat(description, ' com todas as divisoes renovadas e luz') WHEN id % 12 = 0 THEN reverse(description) ELSE description END AS d1,
-  agency_name AS a0, CASE WHEN id % 5 = 0 THEN 'Other House' ELSE agency_name END AS a1, contact_phone AS p0, CASE WHEN id % 7 = 0 THEN '+351910000001' ELSE contact_phone END AS p1 FROM leads WHERE id % 3 = 0),
+  agency_name AS a0, CASE WHEN id % 5 = 0 THEN 'Other House' ELSE agency_name END AS a1, contact_phone AS p0, CASE WHEN id % 7 = 0 THEN '+351910000001' ELSE contact_phone END AS p1 FROM leads),
 edits AS (
   SELECT id, 'title' AS field, CASE WHEN {_SIMILAR.format(a="t0", b="t1")} < 0.78 THEN 'rewrite' WHEN contains(t1, t0) AND length(t1) > length(t0) + 30 THEN 'appended' ELSE 'edit' END AS severity, t0[:200] AS old, t1[:200] AS new FROM pairs WHERE t0 <> t1
   UNION ALL SELECT id, 'description', CASE WHEN {_SIMILAR.format(a="d0", b="d1")} < 0.78 THEN 'rewrite' WHEN contains(d1, d0) AND length(d1) > length(d0) + 30 THEN 'appended' ELSE 'edit' END, d0[:200], d1[:200] FROM pairs WHERE d0 <> d1
@@ -231,9 +231,9 @@ ORACLE_SQL = {
     "g2_price_changes": with_leads("SELECT lead_id, count(*) AS observations, count(*) FILTER (WHERE abs((price - before) / before) > 0.005) AS changes, arg_min(price, (recorded_at, id)) AS first_price, arg_max(price, (recorded_at, id)) AS last_price FROM (SELECT *, lag(price) OVER (PARTITION BY lead_id ORDER BY recorded_at, id) AS before FROM prices) GROUP BY 1"),
     "g2_accepted_changes": with_leads("""SELECT lead_id, len(acc) - 1 AS accepted, acc[-1] AS price FROM (SELECT lead_id, list_reduce(list_transform(list(price ORDER BY recorded_at, id), lambda x: [x]), lambda a, x: CASE WHEN abs((x[1] - a[-1]) / a[-1]) > 0.5 THEN list_append(a, x[1]) ELSE a END) AS acc FROM prices GROUP BY 1)"""),
     "g3_text_edits": with_leads("").rstrip() + f", {_EDITS} SELECT id, field, severity, old, new FROM edits",
-    "g4_edit_notes": with_leads("").rstrip() + f", {_EDITS} SELECT id, count(*) AS n_changes FROM edits GROUP BY 1",
+    "g4_edit_notes": with_leads("").rstrip() + f""", {_EDITS} SELECT id, count(*) AS n_changes, '[' || string_agg('{{"field":' || to_json(field) || ',"severity":' || to_json(severity) || ',"old":' || to_json(old) || ',"new":' || to_json(new) || '}}', ',' ORDER BY field) || ']' AS changeset FROM edits GROUP BY 1""",
     "g5_best_per_phone": with_leads(_BEST),
-    "g7_price_in_force": with_leads("SELECT n.id AS note_id, n.lead_id, p.price AS in_force FROM (SELECT * FROM notes WHERE id % 3 = 0) n ASOF LEFT JOIN (SELECT * FROM prices WHERE id % 3 <> 0) p ON n.lead_id = p.lead_id AND n.created_at >= p.recorded_at"),
+    "g7_price_in_force": with_leads("SELECT n.id AS note_id, n.lead_id, p.price AS in_force FROM (SELECT * REPLACE (created_at - INTERVAL 1 HOUR AS created_at) FROM notes) n ASOF LEFT JOIN prices p ON n.lead_id = p.lead_id AND n.created_at >= p.recorded_at"),
     "c1_active_page": with_leads(f"SELECT id, score, is_demo FROM leads WHERE NOT archived AND zone = 'NATION_1' AND score >= 30 AND ({PHONE} OR {EMAIL}) ORDER BY is_demo, score DESC NULLS LAST, id LIMIT 50 OFFSET 20"),
     "c5_preset": with_leads(f"SELECT id, score FROM leads WHERE NOT archived AND score >= 60 AND {PHONE}"),
     "c8_without_demo": with_leads("SELECT id, lead_id FROM notes WHERE lead_id NOT IN (SELECT id FROM leads WHERE is_demo)"),

@@ -44,9 +44,9 @@ def a15_permits(spark, sf):
 
 
 def d9_relaxed_match(spark, sf):
-    rows = leads(spark, sf).where("first_seen_at >= timestamp_ntz'1997-06-01 00:00:00'")
+    rows = leads(spark, sf).where("NOT archived AND NOT is_demo")
     base = rows.select("id", F.lower("zone").alias("zone_n"), F.when(F.col("id") % 3 == 0, "").otherwise(F.col("typology")).alias("kind"), "price", "title", F.lower("title").alias("title_n"), F.col("contact_phone").alias("phone"))
-    return normalize.relaxed_match(base.where("phone IS NULL AND id % 4 = 0"), base.where("phone IS NOT NULL AND id % 2 = 1"))
+    return normalize.relaxed_match(base.where("phone IS NULL"), base.where("phone IS NOT NULL"))
 
 
 def c6_row_filters(spark, sf):
@@ -84,7 +84,7 @@ QUERIES = {f.__name__: f for f in (a10_first_per_key, a15_permits, b47_agency_si
 _SIGNAL_KEY = "sha256(concat_ws('|', signal_type, lower(zone), signal_text))[:16]"
 _RELAXED = """SELECT t.id, d.id AS donor_id, d.phone, (1 - levenshtein(t.title_n, d.title_n) / greatest(length(t.title_n), length(d.title_n))::DOUBLE + CASE WHEN t.price > 0 AND d.price > 0 THEN CASE WHEN g <= 0.02 THEN 1.0 WHEN g <= 0.10 THEN 0.6 WHEN g <= 0.20 THEN 0.25 ELSE 0.0 END::DOUBLE * 1.5 WHEN coalesce(t.price > 0, false) <> coalesce(d.price > 0, false) THEN 0.1 ELSE 0.0 END)
   / (1.0 + CASE WHEN t.price > 0 AND d.price > 0 THEN 1.5 WHEN coalesce(t.price > 0, false) <> coalesce(d.price > 0, false) THEN 0.5 ELSE 0.0 END)::DOUBLE AS score, coalesce(t.price > 0 AND d.price > 0, false) AS priced
-  FROM b t JOIN b d ON t.zone_n = d.zone_n AND (t.kind = d.kind OR d.kind = '') AND t.id <> d.id, LATERAL (SELECT abs(t.price - d.price) / greatest(t.price, d.price) AS g) WHERE t.phone IS NULL AND t.id % 4 = 0 AND d.phone IS NOT NULL AND d.id % 2 = 1"""
+  FROM b t JOIN b d ON t.zone_n = d.zone_n AND (t.kind = d.kind OR d.kind = '') AND t.id <> d.id, LATERAL (SELECT abs(t.price - d.price) / greatest(t.price, d.price) AS g) WHERE t.phone IS NULL AND d.phone IS NOT NULL"""
 
 ORACLE_SQL = {
     "a10_first_per_key": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS place FROM documents) WHERE place = 1",
@@ -92,7 +92,7 @@ ORACLE_SQL = {
     "b47_agency_site": with_raw("SELECT id, CASE id % 6 WHEN 0 THEN 'remax.pt' WHEN 2 THEN 'era.pt' WHEN 3 THEN 'century21.pt' WHEN 5 THEN 'kwportugal.pt' END AS site, array_to_string(list_distinct_ordered, ',') AS candidates FROM (SELECT id, CASE WHEN contains(core, '-') THEN [replace(core, '-', '') || '.pt', core || '.pt', replace(core, '-', '') || '.com'] ELSE [core || '.pt', core || '.com'] END AS list_distinct_ordered FROM (SELECT id, CASE id % 6 WHEN 0 THEN 'remax-vantagem-' WHEN 1 THEN 'era-uma-vez-' WHEN 2 THEN 'era-' WHEN 3 THEN 'century-21-x-' WHEN 4 THEN 'casa-boa-' ELSE 'keller-williams-' END || id AS core FROM raw))"),
     "b51_message": with_leads("SELECT id, 'Bom dia Ana, vi o seu anuncio ' || typology || ' em ' || zone || CASE WHEN price > 0 THEN ', por ' || floor(price)::BIGINT || ' EUR' ELSE '' END || '. ' || CASE WHEN owner_type = 'agency' THEN 'Podemos falar do imovel?' ELSE 'Podemos falar diretamente?' END AS message FROM leads"),
     "c6_row_filters": with_leads("SELECT id, lead_type FROM leads WHERE NOT archived AND contact_phone LIKE '+3519%' AND price_changes > 0 AND NOT contains(lower(title), 'loja')"),
-    "d9_relaxed_match": with_leads("").rstrip() + f", b AS (SELECT id, lower(zone) AS zone_n, CASE WHEN id % 3 = 0 THEN '' ELSE typology END AS kind, price, lower(title) AS title_n, contact_phone AS phone FROM leads WHERE first_seen_at >= TIMESTAMP '1997-06-01') SELECT id, donor_id, round(score, 6) AS score, phone FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, donor_id) AS place FROM ({_RELAXED}) WHERE score >= CASE WHEN priced THEN 0.60 ELSE 0.65 END) WHERE place = 1",
+    "d9_relaxed_match": with_leads("").rstrip() + f", b AS (SELECT id, lower(zone) AS zone_n, CASE WHEN id % 3 = 0 THEN '' ELSE typology END AS kind, price, lower(title) AS title_n, contact_phone AS phone FROM live) SELECT id, donor_id, round(score, 6) AS score, phone FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, donor_id) AS place FROM ({_RELAXED}) WHERE score >= CASE WHEN priced THEN 0.60 ELSE 0.65 END) WHERE place = 1",
     "e23_executive_summary": with_leads(f"SELECT CASE WHEN score >= 70 THEN 'premium' ELSE 'expanded' END AS list, count(*) AS n, {N} (WHERE score_label = 'HOT') AS hot, {N} (WHERE score_label = 'WARM') AS warm, min(score) AS min_score, round(avg(score), 1) AS avg_score, max(score) AS max_score, {N} (WHERE phone_type = 'mobile') AS mobile FROM live WHERE score IS NOT NULL GROUP BY 1"),
     "e28_system_counts": with_leads(f"SELECT count(*) AS leads, {N} (WHERE is_demo) AS demo, {N} (WHERE archived) AS archived, {N} (WHERE {PHONE}) AS with_phone, count(DISTINCT zone) AS zones, count(DISTINCT discovery_source) AS sources FROM leads"),
     "h7_top_zones": with_leads("SELECT zone AS name, count(*) AS total, round(avg(score), 1) AS avg_score FROM live GROUP BY 1 HAVING count(*) >= 3 ORDER BY avg_score DESC, name LIMIT 15"),

@@ -34,7 +34,7 @@ def raw(spark, sf):
 
 def b2_norm_text(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.md5(text.norm_text(F.col("text"), keep_punctuation=True)).alias("norm_md5"), F.length(text.slug(F.substring("text", 1, 80))).alias("slug_chars"), F.length(text.clean_text(F.col("text"))).alias("clean_chars"))
+    return docs.select("doc_id", F.md5(text.norm_text(F.col("text"), keep_punctuation=True)).alias("norm_md5"), F.md5(text.slug(F.col("text"))).alias("slug_md5"), F.md5(text.clean_text(F.col("text"))).alias("clean_md5"))
 
 
 def b6_split_name(spark, sf):
@@ -148,7 +148,7 @@ _RULES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(
 _ALL = "concat_ws(' ', title, description)"
 
 ORACLE_SQL = {
-    "b2_norm_text": r"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\s+', ' ', 'g'), ' ')) AS norm_md5, length(regexp_replace(regexp_replace(translate(lower(text[:80]), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug_chars, length(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS clean_chars FROM documents",
+    "b2_norm_text": r"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\s+', ' ', 'g'), ' ')) AS norm_md5, md5(regexp_replace(regexp_replace(translate(lower(text), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug_md5, md5(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS clean_md5 FROM documents",
     "b6_split_name": with_raw("SELECT id, string_split(p_name, ' ')[1] AS first, array_to_string(string_split(p_name, ' ')[2:], ' ') AS last, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS header FROM raw"),
     "b12_listing_numbers": with_raw(r"""SELECT id, CASE WHEN p > 5000 AND p < 10000000 THEN p END AS price, CASE WHEN a > 5 AND a < 50000 THEN a END AS area FROM (SELECT id, try_cast(replace(regexp_replace(regexp_extract(price_raw, '[\d\s.,]+'), '[\s.]', '', 'g'), ',', '.') AS DOUBLE) AS p, try_cast(replace(regexp_extract(area_raw, '(?i)(\d+[.,]?\d*)\s*m²?', 1), ',', '.') AS DOUBLE) AS a FROM raw)"""),
     "b14_import_values": with_raw(r"""SELECT id, try_cast(CASE WHEN contains(s, ',') AND contains(s, '.') AND strpos(reverse(s), ',') < strpos(reverse(s), '.') THEN replace(replace(s, '.', ''), ',', '.') WHEN contains(s, ',') AND contains(s, '.') THEN replace(s, ',', '') WHEN contains(s, ',') THEN replace(s, ',', '.') WHEN regexp_matches(s, '\.\d{3}$') THEN replace(s, '.', '') ELSE s END AS DOUBLE) AS price,

@@ -93,9 +93,68 @@ def test_near_codes_are_brute_force(spark):
         for _ in range(rng.randint(0, 6)):
             code ^= 1 << rng.randrange(64)
         rows.append((k, rng.choice("ab"), code - 2**63))
-    found = resolve.near_codes(spark.createDataFrame(rows, "id long, source string, code long")).collect()
-    wanted = [(i, j, ((x ^ y) & (2**64 - 1)).bit_count()) for i, s, x in rows for j, t, y in rows if i < j and s != t and ((x ^ y) & (2**64 - 1)).bit_count() <= 5]
-    assert sorted(map(tuple, found)) == sorted(wanted)
+    table = spark.createDataFrame(rows, "id long, source string, code long")
+    class_of = dict(map(tuple, resolve.code_classes(table).collect()))
+    assert class_of == {i: min(j for j, _, y in rows if y == x) for i, _, x in rows}
+    wanted = {}
+    for i, s, x in rows:
+        for j, t, y in rows:
+            bits = ((x ^ y) & (2**64 - 1)).bit_count()
+            if i < j and s != t and bits <= 5:
+                key = (*sorted((class_of[i], class_of[j])), bits)
+                wanted[key] = wanted.get(key, 0) + 1
+    assert {(r.a, r.b, r.bits): r.links for r in resolve.near_codes(table).collect()} == wanted
+
+
+def test_relaxed_match_is_brute_force(spark):
+    import random
+
+    from leadloom.operators import normalize
+
+    rng = random.Random(3)
+
+    def row(k, phone):
+        return (k, rng.choice("zy"), rng.choice(["", "T1", "T2"]), rng.choice([None, 0.0, *(100.0 * 1.07**i for i in range(12))]), rng.choice(["loja nova", "loja novas", "andar bom", "casa", ""]), phone)
+
+    targets, donors = [row(k, None) for k in range(60)], [row(k, f"p{k}") for k in range(100, 180)]
+
+    def edits(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+        return d[-1]
+
+    wanted = {}
+    for t in targets:
+        rated = []
+        for d in donors:
+            if t[1] == d[1] and d[2] in (t[2], ""):
+                title = 1 - edits(t[4], d[4]) / max(len(t[4]), len(d[4])) if t[4] or d[4] else 1.0
+                p, q = (t[3] or 0) > 0, (d[3] or 0) > 0
+                gap = abs(t[3] - d[3]) / max(t[3], d[3]) if p and q else 0
+                step = 1.0 if gap <= 0.02 else 0.6 if gap <= 0.1 else 0.25 if gap <= 0.2 else 0.0
+                score = (title + step * 1.5) / 2.5 if p and q else (title + 0.1) / 1.5 if p != q else title
+                if score >= (0.60 if p and q else 0.65):
+                    rated.append((round(score, 6), -d[0]))
+        if rated:
+            wanted[t[0]] = (max(rated)[0], -max(rated)[1])
+    schema = "id long, zone_n string, kind string, price double, title_n string, phone string"
+    found = normalize.relaxed_match(spark.createDataFrame(targets, schema), spark.createDataFrame(donors, schema)).collect()
+    assert {r.id: (r.score, r.donor_id) for r in found} == wanted
+    assert all(r.phone == f"p{r.donor_id}" for r in found)
+
+
+def test_classifier_uses_word_pairs(spark):
+    from leadloom.operators import learn
+
+    rows = [(k, "aa bb cc" if k % 2 else "bb aa cc", k % 2) for k in range(60)]
+    df = learn.training_rows(spark.createDataFrame(rows, "id long, text string, label int"), least_chars=1)
+    assert sorted(df.limit(1).select(learn.terms(df.text).alias("t")).first().t)[:2] in (["aa", "aa bb"], ["aa", "aa cc"])
+    model = learn.train(df, least=10)
+    assert {r.id: r.predicted for r in learn.scored(model, df, "id").collect()} == {k: y for k, _, y in rows}
+    assert [r.accuracy for r in learn.cross_validated(df, "id", 2, least=5).collect()] == [1.0, 1.0]
 
 
 def test_headers_and_files(spark, tmp_path):

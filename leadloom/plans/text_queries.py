@@ -161,10 +161,10 @@ ORACLE_SQL = {
   CASE p WHEN 0 THEN 'Lisboa' WHEN 1 THEN 'Cascais' WHEN 3 THEN 'Almada' WHEN 4 THEN 'Seixal' WHEN 7 THEN 'Costa Da Caparica' ELSE '' END AS parish,
   CASE p WHEN 0 THEN 'Lisboa' WHEN 1 THEN 'Cascais' WHEN 2 THEN 'Sesimbra' WHEN 7 THEN 'costa da caparica' ELSE '-' END AS municipality,
   CASE p WHEN 0 THEN 'Misericordia' WHEN 1 THEN 'Cascais e Estoril' ELSE '' END AS sub_zone FROM (SELECT id, id % 9 AS p FROM raw)"""),
-    "b22_urgency": with_raw(f"SELECT id, {_POINTS} AS points, {_RULES} AS rules, NOT regexp_matches(description, '{classify.AGENCY}', 'i') AS direct FROM raw"),
+    "b22_urgency": with_raw(f"SELECT id, {_POINTS} AS points, {_RULES} AS rules, NOT regexp_matches(description, '{classify.AGENCY_WORDS}', 'i') AS direct FROM raw"),
     "b24_owner_lead_type": with_raw(f"""SELECT id, owner_type, CASE WHEN owner_type = 'agency' THEN 'agency_listing' WHEN owner_type = 'developer' THEN 'developer_listing' WHEN regexp_matches(t, '{classify.RENTAL}', 'i') THEN 'frbo' WHEN owner_type = 'fsbo' THEN 'fsbo' ELSE 'unknown' END AS lead_type
   FROM (SELECT id, {_ALL} AS t, CASE WHEN id % 19 = 0 THEN 'fsbo' WHEN id % 17 = 0 THEN 'agency' WHEN regexp_matches({_ALL}, '{classify.DEVELOPER}', 'i') THEN 'developer' WHEN regexp_matches({_ALL}, '{classify.AGENCY}', 'i') THEN 'agency' WHEN regexp_matches({_ALL}, '{classify.OWNER}', 'i') THEN 'fsbo' WHEN id % 2 = 0 THEN 'fsbo' ELSE 'unknown' END AS owner_type FROM raw)"""),
-    "b29_amenities": with_raw(f"SELECT id, array_to_string(list_sort(list_filter([{_TAGS}], lambda x: x IS NOT NULL)), ',') AS tags FROM (SELECT id, lower(strip_accents({_ALL})) AS t FROM raw)"),
+    "b29_amenities": with_raw(f"SELECT id, array_to_string(list_sort(list_filter([{_TAGS}], lambda x: x IS NOT NULL)), ',') AS tags FROM (SELECT id, trim(regexp_replace(lower(strip_accents({_ALL})), '\\s+', ' ', 'g')) AS t FROM raw)"),
     "b38_phone": with_raw(f"""SELECT id, reason = '' AS valid, CASE WHEN reason = '' THEN '+351' || n END AS canonical, CASE WHEN reason = '' OR (k = 'premium' AND regexp_full_match(n, '[0-9]{{9}}')) THEN k ELSE 'unknown' END AS kind,
   regexp_full_match(n, '[0-9]{{9}}') AND (reason = 'placeholder') AS suspicious, CASE WHEN reason <> '' THEN 0 WHEN k = 'mobile' THEN 90 WHEN k = 'landline' THEN 70 WHEN k = 'relay' THEN 50 ELSE 40 END AS confidence, reason FROM ({_PHONE})"""),
     "a1_json_payload": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN (props->>'$.k')::BIGINT END AS k, event_id % 7 = 0 AS corrupt FROM events",

@@ -175,3 +175,21 @@ def test_price_drop_first_peak(spark):
     df = spark.createDataFrame(rows, "id long, lead_id long, price double, recorded_at timestamp_ntz")
     found = history.price_drops(df, "2024-01-25 00:00:00").collect()
     assert [(r.lead_id, r.observations, r.drop_pct, r.days_since_peak) for r in found] == [(7, 3, 0.1, 18)]
+
+
+def test_rules_on_cases_of_their_own(spark):
+    def owner(text):
+        none = F.lit(None).cast("string")
+        return classify.owner_type(F.col(text), none, F.lit("x"), none)
+
+    rows = [("vendo directamente", "fsbo"), ("sem mediadora", "agency"), ("por conta própria", "fsbo"), ("direto do dono", "fsbo"), ("o imóvel na mão", "agency"), ("obra nova", "developer"), ("casa bonita", "unknown")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [r.x for r in df.select(owner("t").alias("x")).collect()] == [w for _, w in rows]
+    rows = [("armazém em Lisboa", "Armazém"), ("armazem", "Armazém"), ("casa geminada", "Moradia"), ("loja de móveis", ""), ("loja", "Loja")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [r.x for r in df.select(classify.property_type(F.col("t"), F.lit(None).cast("string")).alias("x")).collect()] == [w for _, w in rows]
+    rows = [("Apartamento T2 com piscina, garagem e vista para o mar", ["garagem", "piscina", "vista_mar"]), ("alarme e a/c", ["ar_condicionado"]), ("alojamento local, cozinha equipada, obra nova", ["aluguer_curta", "cozinha_equipada", "novo_construcao"]), ("", [])]
+    df = spark.createDataFrame(rows, "t string, want array<string>")
+    assert [r.x for r in df.select(classify.tags(F.col("t"), classify.AMENITIES).alias("x")).collect()] == [w for _, w in rows]
+    df = spark.createDataFrame([("promotora",), ("remax",)], "t string")
+    assert [r.x for r in df.select(classify.is_direct(F.col("t")).alias("x")).collect()] == [True, False]

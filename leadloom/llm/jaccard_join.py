@@ -1,25 +1,26 @@
 """N-gram Jaccard join by parity sketches, exact for the threshold.
 
 A document's set holds 64-bit hashes of its word shingles. Two sets with Jaccard similarity of PERCENT
-or more differ in at most k elements, where k follows from their sizes. Each set is turned into a
-parity sketch of many bits: every element flips the bit that its hash names, so the sketches' Hamming
-distance is at most the symmetric difference. The sketch is cut into blocks, more than k of them, so that
-linked sets agree in some whole block (pigeonhole); a block's odd bits are folded into one key by XOR.
-Sizes are in geometric bands with a sketch layout each; a set near a band's upper end is also keyed in
-the next band, so every pair that can link shares one layout.
-
-The layout has spare blocks: linked sets agree in more than spare of them. Blocks with few elements agree
-by chance, so a set isn't keyed by blocks under a count of its own, the largest up to THICK with which it
-leaves out at most half of spare. Of two linked sets take the one with the larger count: it leaves out
-fewer blocks than the two agree in, and the other keeps all that it keeps. So they share at least m keys,
-more than half of spare, a number that depends on the band alone. Then every set gives up a third of m
-keys, those that most rows have (frequent passages); two linked sets still share a third of m or more, and
-candidates with fewer keys in common are dropped unseen. Nothing is lost by any of this.
-
-Equal sets share a node from the start. Of the sets with one key, first each set is compared with one
-smallest set of its keys, the one it shares most with, and components are found; then, within a key, only
-pairs from different components are counted and compared. Comparison is on the whole sets. So copies never
-form all pairs, and no link between components is missed.
+or more differ in at most k elements, where k follows from their sizes. In a parity sketch every element flips
+the bit that its hash names, so the Hamming distance of two sketches is at most the sets' symmetric difference.
+Sizes are in geometric bands with a layout each; a set is keyed in its own band and in every higher one that
+it can have a partner in, so a linked pair shares the layout of its larger set's band.
+
+Pigeonhole: elements are dealt to k + 1 + spare blocks, and the parity of a block (of 2^64 bits, folded by XOR of
+the names of the odd ones) is a key. Linked sets differ in at most k blocks, so they agree in more than spare
+of them. In one order of all keys, empty blocks first and then those that most rows have, every set
+gives up its first spare keys. The last key that two linked sets have in common is after at least spare
+others, so both keep it: nothing is lost, and what is kept is rare. A key that only one set holds is last
+in the order and meets nothing, so most sets are out of the join here.
+
+Sets that are left meet their keys' hubs (three members of each key, chosen by hash): each set is compared with
+the hubs that it shares most keys with, and components are found. Keys that still hold several components are
+gathered under their first hub; pairs of different components there are joined under the condition that
+their sketches' Hamming distance, over 64 bits for each allowed difference, leaves them in play. Of the pairs that two
+components have, first the one with the least distance is verified, then those that still lie between
+different components. Verification is on the whole sets. So equal sets share a node from the start, linked copies never
+form pairs, only pairs that the sketches can't refuse are given out, and no link between components is missed.
+What grows with the square of a group is the count of Hamming distances between different components of one hub.
 
 Cases: sets of null, empty or blank texts are empty and link with nothing; under n words the whole text is
 one shingle; of rows with one doc_id and different texts each gets the component of its own text; a null
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import as_bytes, released, tokens, written
@@ -41,8 +42,8 @@ from leadloom.llm.components import components
 
 #: Width of a size band: its upper end over its lower end.
 BAND = 1.3
-#: Blocks with as many elements are always keyed.
-THICK = 3
+#: A sketch has 64 bits for each difference that linked sets may have, and this many times 64 at least.
+LEAST_SKETCH = 32
 #: Candidate documents whose ids may be broadcast (a few MB); above it their texts are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -72,8 +73,12 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(total)
 
 
+def node_of(s: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True)
+
+
 class Layout:
-    """Bands of sizes, and the number of blocks of each."""
+    """Bands of sizes, and what a set holds in each: keys and a sketch."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -95,81 +100,100 @@ class Layout:
         both = 2 * (self.low(band + 1) - 1)
         return (100 - self.percent) * both // (100 + self.percent)
 
-    def keys(self, s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
-        """Per band: a set's keys, how many of them may be given up, and how many linked sets then share at least."""
-        size, found = len(s), []
-        own = self.band(size)
-        for band in (own, own + 1) if 100 * size >= self.percent * self.low(own + 1) else (own,):
-            k = self.most_different(band)
-            if k == 0:  # only equal sets link
-                continue
-            spare = k // 2 + 3
-            blocks = k + 1 + spare
+    def bands(self, size: int) -> list[int]:
+        """Bands that a set of this size may meet a partner in; where only equal sets link there is nothing to key."""
+        own = band = self.band(size)
+        found = []
+        while band == own or 100 * size >= self.percent * self.low(band):
+            if self.most_different(band):
+                found.append(band)
+            band += 1
+        return found
+
+    def spare(self, band: int) -> int:
+        return self.most_different(band) // 4 + 2
+
+    def keys(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """Per band: the band, how many keys the set still has to give up, and its keys. Empty blocks are given up here."""
+        found = []
+        for band in self.bands(len(s)):
+            spare = self.spare(band)
+            blocks = self.most_different(band) + 1 + spare
             at = (s % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             counts = np.bincount(at, minlength=blocks)
-            full = np.flatnonzero(counts)
+            full, empty = np.flatnonzero(counts), np.flatnonzero(counts == 0)
             parity = np.zeros(blocks, np.uint64)
-            # The sketch has 2^64 bits a block; folding the odd ones by XOR of their names is a hash of the block.
-            parity[full] = np.bitwise_xor.reduceat(mixed(s)[order], (np.cumsum(counts) - counts)[full]) if size else 0
-            fewest = max(c for c in range(THICK + 1) if (counts < c).sum() <= spare // 2)
-            chosen = np.flatnonzero(counts >= fewest)
-            shared = spare - spare // 2 + 1
-            found.append((mixed(parity[chosen] + mixed(np.uint64(band * 2**32) + chosen.astype(np.uint64))), shared // 3, shared - 2 * (shared // 3)))
+            parity[full] = np.bitwise_xor.reduceat(mixed(s)[order], (np.cumsum(counts) - counts)[full])
+            chosen = np.concatenate([empty[spare:], full])
+            found.append((band, max(0, spare - len(empty)), mixed(parity[chosen] + mixed(np.uint64(band * 2**32) + chosen.astype(np.uint64)))))
         return found
 
+    def sketch(self, s: np.ndarray, band: int) -> np.ndarray:
+        """The parity sketch of a set in a band, in 64-bit words."""
+        bits = np.bincount((mixed(s) % np.uint64(64 * max(LEAST_SKETCH, self.most_different(band)))).astype(np.int64), minlength=64 * max(LEAST_SKETCH, self.most_different(band)))
+        return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
-def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set) and keys of every document.
 
-    keys are those of the bands one after another; first is how many are the first band's, spared how many of each
-    band's may be given up, and least how many linked sets then share at least.
-    """
+def _lists(parts: list[np.ndarray], kind: np.dtype = np.int64) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, kind), *parts])))
+
+
+def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node (a digest of the set) and keys by band of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(percent)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                rows, lengths, keys = [], [0], []
+                sizes, nodes, bands, cuts = [], [], [], [0]
                 for text in part.column("text"):
                     s = shingle_set(text.as_py(), n)
-                    bands = layout.keys(s) if len(s) else []
-                    keys += [k.view(np.int64) for k, _, _ in bands]
-                    lengths.append(lengths[-1] + sum(len(k) for k, _, _ in bands))
-                    rows.append((len(s), _node(xxhash.xxh3_128_digest(s.tobytes())), len(bands[0][0]) if bands else 0, [x for _, x, _ in bands], min((x for _, _, x in bands), default=1)))
-                listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), listed], ["doc_id", "n_shingles", "node", "first", "spared", "least", "keys"]
-                )
+                    sizes.append(len(s))
+                    nodes.append(node_of(s))
+                    bands += layout.keys(s) if len(s) else []
+                    cuts.append(len(bands))
+                fields = [pa.array([b for b, _, _ in bands], pa.int32()), pa.array([x for _, x, _ in bands], pa.int32()), _lists([k.view(np.int64) for _, _, k in bands])]
+                listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(fields, ["band", "spared", "keys"]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), listed], ["doc_id", "n_shingles", "node", "bands"])
 
     rows = docs.select("doc_id", as_bytes().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, first int, spared array<int>, least int, keys array<long>")
-
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<struct<band:int,spared:int,keys:array<long>>>")
 
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
 
-
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The sets of the wanted nodes, as bytes, from the text of one document of each (doc_id, node)."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, size, items (the set as bytes) and sketches by band of the wanted nodes, from one document of each (doc_id, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = Layout(percent)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [shingle_set(t.as_py(), n).tobytes() for t in part.column("text")]
-                # A doc_id that is repeated with another text brings that text along.
-                own = [_node(xxhash.xxh3_128_digest(x)) == node for x, node in zip(found, part.column("node").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "items"]).filter(pa.array(own, pa.bool_()))
+                nodes, sets = [], []
+                for text, node in zip(part.column("text"), part.column("node").to_pylist(), strict=True):
+                    s = shingle_set(text.as_py(), n)
+                    if node_of(s) == node:  # a doc_id that is repeated with another text brings that text along
+                        nodes.append(node)
+                        sets.append(s)
+                bands = [layout.bands(len(s)) for s in sets]
+                flat = [(b, layout.sketch(s, b)) for s, own in zip(sets, bands, strict=True) for b in own]
+                fields = pa.StructArray.from_arrays([pa.array([b for b, _ in flat], pa.int32()), _lists([x for _, x in flat])], ["band", "sketch"])
+                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), fields)
+                own = pa.array([layout.band(len(s)) for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), own, pa.array([s.tobytes() for s in sets], pa.binary()), listed], ["node", "size", "own", "items", "sketches"])
 
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", as_bytes().alias("text")).join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id")
-    return rows.mapInArrow(run, "node long, items binary")
+    return rows.mapInArrow(run, "node long, size long, own int, items binary, sketches array<struct<band:int,sketch:array<long>>>").dropDuplicates(["node"])
+
+
+def _distance(x: Column, y: Column) -> Column:
+    """The Hamming distance of two sketches."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, count: total + count)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,57 +207,81 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     second = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    # a is the smaller node of many pairs: its set is moved to them last
-    return pairs.join(first, "b").join(second.join(pairs.select("a").distinct(), "a", "left_semi"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(first, "b").join(second, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    paths = []
+    spark, paths = docs.sparkSession, []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         table, path = written(df, name)
         paths.append(path)
         return table
 
-    prof, _ = written(profiles(docs, n, percent), "profiles")
+    prof, prof_path = written(profiles(docs, n, percent), "profiles")
     real = prof.where("doc_id is not null and n_shingles > 0")
-    exploded = real.select(F.posexplode("keys").alias("pos", "key"), "node", "first", "spared", "least")
-    second_band = F.col("pos") >= F.col("first")
-    keyed = exploded.select("key", "node", second_band.alias("second"), F.element_at("spared", F.when(second_band, 2).otherwise(1)).alias("spared"), "least")
+    keyed = real.select("node", F.explode("bands").alias("at")).select("node", "at.band", "at.spared", F.explode("at.keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low != high")
     shared = kept(shared.select("key", "rows"), "shared")
     # Written before copies are collapsed, so that the join can split hot keys and the collapse starts map-side.
     met = kept(kept(keyed.join(shared, "key"), "met").distinct(), "unique")
-    frequent = Window.partitionBy("node", "second").orderBy(F.desc("rows"), "key")
-    rare = kept(met.withColumn("place", F.row_number().over(frequent)).where("place > spared").select("key", "node", "least"), "rare")
-    hubs = kept(rare.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub != top").select("key", "hub"), "hubs")
-    members = kept(rare.join(hubs, "key"), "members")
-    ids = kept(real.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("least").alias("least")), "ids")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of nodes that are linked."""
-        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = kept(_sets(docs, kept(ids.join(nodes, "node").select("node", F.col("smallest").alias("doc_id")), "wanted"), n), "sets")
-        return kept(_linked(pairs, sets, percent), "links")
-
-    common = members.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("common"), F.min("least").alias("least"))
-    most = common.groupBy("node").agg(F.max(F.struct("common", "hub")).alias("m"), F.min("least").alias("least"))
-    most = most.select(F.col("m.hub").alias("a"), F.col("node").alias("b"), F.col("m.common").alias("common"), "least").join(ids.select(F.col("node").alias("a"), F.col("least").alias("other")), "a")
-    found = kept(components(linked(kept(most.where(F.col("common") >= F.least("least", "other")).select("a", "b"), "first"))), "found")
-    placed = kept(members.join(found, "node", "left").select("key", "node", "least", F.coalesce("component", "node").alias("component")), "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = kept(placed.join(mixed_keys, "key"), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("least").alias("least_b"))
-    cross = open_.withColumnRenamed("node", "a").join(other, "key").where("a < b and component != other")
-    cross = cross.groupBy("a", "b").agg(F.count("*").alias("common"), F.least(F.min("least"), F.min("least_b")).alias("need")).where("common >= need")
-    second = linked(kept(cross.select("a", "b"), "second"))
-    if not second.isEmpty():
-        found = kept(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second)), "found")
-
-    grouped = ids.join(found, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("component"))
-    smallest = grouped.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    frequent = Window.partitionBy("node", "band").orderBy(F.desc("rows"), "key")
+    rare = kept(met.withColumn("place", F.row_number().over(frequent)).where("place > spared").select("key", "node", "band"), "rare")
+    by_hash = F.struct(F.xxhash64("node"), F.col("node"))
+    hubs = rare.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(by_hash)["node"].alias("other")).where("low != high")
+    members = kept(rare.join(kept(hubs, "hubs"), "key"), "members")
+
+    ids = kept(real.groupBy("node").agg(F.min("doc_id").alias("smallest")), "ids")
+    wanted = kept(ids.join(members.select("node").distinct(), "node").select("node", F.col("smallest").alias("doc_id")), "wanted")
+    sets = kept(_sets(docs, wanted, n, percent), "sets")
+    sketches = kept(sets.select("node", "size", "own", F.explode("sketches").alias("at")).select("node", "size", "own", "at.band", "at.sketch"), "sketches")
+
+    def side(name: str) -> DataFrame:
+        return sketches.select(F.col("node").alias(name), "band", *(F.col(c).alias(f"{c}_{name}") for c in ("size", "own", "sketch")))
+
+    reachable = F.lit(100) * F.least("size_a", "size_b") >= F.lit(percent) * F.greatest("size_a", "size_b")
+    distance = _distance(F.col("sketch_a"), F.col("sketch_b"))
+    in_play = reachable & ((100 + percent) * distance <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
+
+    # Every set against those hubs of each kind that it shares most keys with.
+    met_hubs = members.select("node", "band", F.posexplode(F.array("low", "high", "other")).alias("kind", "hub")).where("node != hub")
+    nearest = met_hubs.groupBy("node", "band", "kind", "hub").count().groupBy("node", "kind").agg(F.max(F.struct("count", "hub", "band")).alias("m"))
+    first = kept(nearest.select(F.least("node", "m.hub").alias("a"), F.greatest("node", "m.hub").alias("b"), "m.band").distinct(), "first")
+    first = kept(first.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).where(in_play).select("a", "b").distinct(), "first")
+    edges = kept(_verified(first, sets, percent), "edges")
+    found = kept(components(edges), "found")
+
+    def component(df: DataFrame, node: str, name: str) -> DataFrame:
+        """df with the component of a column of nodes."""
+        labels = found.select(F.col("node").alias(node), F.col("component").alias(name))
+        return df.join(labels, node, "left").withColumn(name, F.coalesce(name, node))
+
+    # Keys that hold several components: their sets, under the first hub.
+    placed = kept(component(members.select("key", "low", "band", "node"), "node", "component"), "placed")
+    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
+    open_ = placed.join(kept(mixed_keys, "mixed"), "key").select(F.col("low").alias("hub"), "band", "node", "component").distinct()
+    open_ = kept(open_.join(sketches, ["node", "band"]), "open")
+    left = open_.select("hub", "band", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("component", "size", "own", "sketch")))
+    right = open_.select("hub", "band", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("component", "size", "own", "sketch")))
+    apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (F.greatest("own_a", "own_b") == F.col("left_band"))
+    on = (F.col("hub") == F.col("right_hub")) & (F.col("left_band") == F.col("right_band")) & apart & in_play
+    near = left.withColumnRenamed("band", "left_band").join(right.withColumnsRenamed({"hub": "right_hub", "band": "right_band"}), on)
+    cross = kept(near.select("a", "b", distance.alias("distance"), F.least("component_a", "component_b").alias("p"), F.greatest("component_a", "component_b").alias("q")), "cross")
+    nearest_pairs = cross.groupBy("p", "q").agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("m.a", "m.b")
+    more = kept(_verified(nearest_pairs, sets, percent), "edges")
+    if not more.isEmpty():
+        edges = kept(edges.unionAll(more), "edges")
+        found = kept(components(edges), "found")
+    rest = component(component(cross.select("a", "b").distinct(), "a", "p"), "b", "q").where("p != q")
+    last = kept(_verified(kept(rest, "rest"), sets, percent), "edges")
+    if not last.isEmpty():
+        edges = kept(edges.unionAll(last), "edges")
+        found = kept(components(edges), "found")
+
+    grouped = kept(component(ids, "node", "component"), "grouped")
+    smallest = kept(grouped.groupBy("component").agg(F.min("smallest").alias("component_id")), "smallest")
     classes, _ = written(grouped.join(smallest, "component").select("node", "component_id"), "classes")
-    released(docs.sparkSession, *paths)
-    rows = prof.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")).alias("node"))
-    return rows.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    slim, _ = written(prof.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")).alias("node")), "nodes")
+    released(spark, prof_path, *paths)
+    return slim.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -11,13 +11,13 @@ from leadloom.llm.components import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, n=4):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return frozenset(tuple(words[k : k + 4]) for k in range(len(words) - 3)) if len(words) >= 4 else frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[k : k + n]) for k in range(len(words) - n + 1)) if len(words) >= n else frozenset([tuple(words)] if words else [])
 
 
-def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
+def brute(rows, n=4, percent=85):
+    sets = [(i, shingles(t, n)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
     def root(x):
@@ -27,7 +27,7 @@ def brute(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return sorted((i, len(s), root(i)) for i, s in sets)
@@ -45,7 +45,7 @@ def texts(rng, families, size):
     return rows
 
 
-def test_sketch_bound_is_lossless():
+def test_keys_and_sketch_lose_no_linked_pair():
     rng, layout = random.Random(4), jaccard_join.Layout(85)
     met = 0
     for _ in range(400):
@@ -59,15 +59,28 @@ def test_sketch_bound_is_lossless():
             else:
                 b = np.unique(np.append(b, np.uint64(rng.getrandbits(64))))
         both = len(np.intersect1d(a, b))
-        if both < len(a) == len(b) or both != len(b):
-            if 100 * both >= 85 * (len(a) + len(b) - both):
-                met += 1
-                # Both may give up d keys and still share the rest.
-                common = [(len(np.intersect1d(x, y)), 2 * d + rest) for x, d, rest in layout.keys(a) for y, e, other in layout.keys(b) if (d, rest) == (e, other)]
-                assert any(n >= m for n, m in common), (len(a), len(b), both)
+        if not both == len(a) == len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
+            met += 1
+            band = layout.band(max(len(a), len(b)))
+            (da, ka), (db, kb) = (next((d, k) for at, d, k in layout.keys(x) if at == band) for x in (a, b))
+            # Whatever the order of keys is, each may give up its first ones.
+            order = {k: rng.random() for k in {*ka.tolist(), *kb.tolist()}}
+            left = [set(sorted(k.tolist(), key=order.get)[d:]) for k, d in ((ka, da), (kb, db))]
+            assert left[0] & left[1], (len(a), len(b), both)
+            distance = sum(int(x).bit_count() for x in (layout.sketch(a, band) ^ layout.sketch(b, band)).view(np.uint64))
+            assert distance <= len(a) + len(b) - 2 * both
     assert met > 50
 
 
+def test_sets_with_empty_blocks_share_keys():
+    layout = jaccard_join.Layout(85)
+    blocks = layout.most_different(layout.band(8)) + 1 + layout.spare(layout.band(8))
+    one_block = [blocks * k + 1 for k in range(1, 9)]
+    a, b = np.array(one_block, np.uint64), np.array(one_block[:7], np.uint64)
+    keys = [{k for _, _, ks in layout.keys(x) for k in ks.tolist()} for x in (a, b)]
+    assert keys[0] & keys[1]
+
+
 def test_join_is_brute_force(spark):
     for seed, families, size in ((1, 40, 12), (2, 30, 120), (3, 12, 600)):
         rows = texts(random.Random(seed), families, size)
@@ -75,6 +88,26 @@ def test_join_is_brute_force(spark):
         assert sorted(map(tuple, found)) == brute(rows)
 
 
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(1200):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            words[rng.randrange(80)] = rng.choice(["x", "y", f"z{k}"])
+        rows.append((k, " ".join(words)))
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+
+
+def test_join_with_five_words_and_other_thresholds(spark):
+    rows = texts(random.Random(9), 25, 60)
+    for n, percent in ((5, 80), (3, 60)):
+        found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, percent).collect()
+        assert sorted(map(tuple, found)) == brute(rows, n, percent)
+
+
 def test_join_defined_cases(spark):
     rows = [(5, None, 0), (6, "", 0), (7, " \n", 0), (9, "A b", 0), (3, "a  B", 0), (3, "a  B", 0), (None, "a b", 0), (8, "w " * 50_000, 0), (4, "w w w w", 0)]
     found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string, component_id long")).collect()

@@ -11,7 +11,7 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import released, written
@@ -31,17 +31,23 @@ def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     return rest.unionAll(least.select("a", F.col("m").alias("b")))
 
 
+def _downward(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of edges (a, b), but for the smallest nodes themselves."""
     spark = edges.sparkSession
-    now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    now, path = written(_downward(edges), "edges")
     state = None
     while True:
         least, least_path = written(_both(now).groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
-        large, large_path = written(_large_star(now, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        large, large_path = written(_downward(_large_star(now, least)), "edges")
         below, below_path = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        after, new_path = written(_small_star(large, below).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-        found = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        after = _downward(_small_star(large, below)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("digest"))
+        after, new_path = written(after, "edges")
+        found = (seen.get["n"], seen.get["digest"])
         released(spark, path, least_path, large_path, below_path)
         now, path = after, new_path
         if found == state:

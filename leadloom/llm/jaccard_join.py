@@ -210,6 +210,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(first, "b").join(second, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """Components as edges."""
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark, paths = docs.sparkSession, []
@@ -249,8 +254,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     nearest = met_hubs.groupBy("node", "band", "kind", "hub").count().groupBy("node", "kind").agg(F.max(F.struct("count", "hub", "band")).alias("m"))
     first = kept(nearest.select(F.least("node", "m.hub").alias("a"), F.greatest("node", "m.hub").alias("b"), "m.band").distinct(), "first")
     first = kept(first.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).where(in_play).select("a", "b").distinct(), "first")
-    edges = kept(_verified(first, sets, percent), "edges")
-    found = kept(components(edges), "found")
+    found = kept(components(_verified(first, sets, percent)), "found")
 
     def component(df: DataFrame, node: str, name: str) -> DataFrame:
         """df with the component of a column of nodes."""
@@ -271,13 +275,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     nearest_pairs = cross.groupBy("p", "q").agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("m.a", "m.b")
     more = kept(_verified(nearest_pairs, sets, percent), "edges")
     if not more.isEmpty():
-        edges = kept(edges.unionAll(more), "edges")
-        found = kept(components(edges), "found")
+        found = kept(components(_stars(found).unionAll(more)), "found")
     rest = component(component(cross.select("a", "b").distinct(), "a", "p"), "b", "q").where("p != q")
     last = kept(_verified(kept(rest, "rest"), sets, percent), "edges")
     if not last.isEmpty():
-        edges = kept(edges.unionAll(last), "edges")
-        found = kept(components(edges), "found")
+        found = kept(components(_stars(found).unionAll(last)), "found")
 
     grouped = kept(component(ids, "node", "component"), "grouped")
     smallest = kept(grouped.groupBy("component").agg(F.min("smallest").alias("component_id")), "smallest")

@@ -6,7 +6,8 @@ the grandparent, a third of that and less further up. A container's score is its
 or id names speak for, discounted by its link density. The container with the best score is kept,
 together with siblings that score well beside it or are text-like paragraphs without links. Elements
 that never hold the article (navigation, headers and footers of the page, asides, forms, scripts, styles,
-notices, adverts, reader comments) are taken out first. If nothing scores, the body's remaining text counts.
+notices, adverts, reader comments) are taken out first. If nothing scores, the body's remaining text counts; if nothing remains, the page is read again
+and names of classes and ids, but those of comments, are left out of account.
 
 Cases: null and empty html give no text; tags that are never closed end with their parent, and a new
 paragraph or list item ends an open one; markup that is cut off in the middle is read as far as it goes;
@@ -36,10 +37,12 @@ SCORED = frozenset("p pre td blockquote li dd".split())
 #: What the names of a class or id say: parts that are never the article, and parts that may be.
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|share|sharing|social|"
-    r"related|recommend\w*|sidebar|side|nav\w*|menu\w*|breadcrumbs?|foot\w*|masthead|comments?|commentlist|respond|replies|reply|disqus|discussion|"
+    r"related|recommend\w*|sidebar|side|nav\w*|menu\w*|breadcrumbs?|foot\w*|masthead|discussion|"
     r"login|signup|search|pagination|pager|widget|toolbar|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names of reader comments, whatever the element.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus)(?:$|[\s_-])", re.IGNORECASE)
 DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:header|tags|meta|info|byline)(?:$|[\s_-])", re.IGNORECASE)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text|page|blog)(?:$|[\s_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -48,6 +51,8 @@ TAG_POINTS = {"article": 25, "main": 20, "section": 3, "div": 5, "blockquote": 3
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: A tag that the end of the page cuts off.
 CUT_OFF = re.compile(r"<[A-Za-z/!][^<>]*\Z")
+#: What a short paragraph beside the article ends with, if it belongs to it.
+SENTENCE_ENDS = ".!?…:;\"'”’»)"
 LENGTH_STEP, LENGTH_POINTS, LEAST_CHARS = 100, 3, 25
 
 
@@ -121,27 +126,29 @@ class Tree(HTMLParser):
             self.now.parts.append(data)
 
 
-def _unwanted(node: Node) -> bool:
+def _unwanted(node: Node, by_name: bool) -> bool:
     """Whether an element can't hold the article, by its tag, role and names."""
     if node.hidden or node.tag in CHROME or node.role in ROLES:
         return True
+    if node.tag not in ("body", "html") and node.names and COMMENTS.search(node.names):
+        return True
     if node.tag == "header":  # of the page; an article may have a header with its title
         up = node.parent
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    return node.tag not in ("body", "article", "main", "html") and bool(
+    return by_name and node.tag not in ("body", "article", "main", "html") and bool(
         node.names and (UNLIKELY.search(node.names) or DOUBTFUL.search(node.names) and not LIKELY.search(node.names))
     )
 
 
-def _elements(root: Node) -> list[Node]:
+def _elements(root: Node, by_name: bool) -> list[Node]:
     """All elements in page order, without those that can't hold the article (which are cut off the tree)."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        node.parts = [x for x in node.parts if isinstance(x, str) or not _unwanted(x)]
+        node.parts = [x for x in node.parts if isinstance(x, str) or not _unwanted(x, by_name)]
         stack.extend(x for x in reversed(node.parts) if not isinstance(x, str))
     return out
 
@@ -199,10 +206,13 @@ def blocks_of(nodes: list[Node | str]) -> list[str]:
 
 
 def main_text(html: str | None) -> str:
-    if not html:
-        return ""
+    """The main text of a page; where taking out by names leaves nothing, the page is read again without it."""
+    return (_scored_text(html, True) or _scored_text(html, False)) if html else ""
+
+
+def _scored_text(html: str, by_name: bool) -> str:
     root = Tree(html).root
-    nodes = _elements(root)
+    nodes = _elements(root, by_name)
     _count(nodes)
     scores: dict[int, float] = {}
     for node in nodes:
@@ -230,12 +240,16 @@ def main_text(html: str | None) -> str:
             elif not isinstance(x, str) and x.chars:
                 density = x.link_chars / x.chars
                 same = 0.2 * rated[id(best)] if x.names and x.names == best.names else 0
-                text_like = x.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "ul", "ol", "table", "figure") and density < 0.25 and (x.chars >= 80 or x.tag[0] == "h")
+                text_like = x.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "ul", "ol", "table", "figure") and density < 0.25 and (x.chars >= 80 or x.tag[0] == "h" or not x.link_chars and _is_sentence(x))
                 if rated.get(id(x), 0) + same >= least or text_like and best.tag not in ("article", "main"):
                     kept.append(x)
     return " ".join(blocks_of(kept))
 
 
+def _is_sentence(node: Node) -> bool:
+    return (" ".join(blocks_of([node])) or " ")[-1] in SENTENCE_ENDS
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 

@@ -33,3 +33,52 @@ def test_odd_pages(spark):
     texts = [r.text for r in found]
     assert texts == ["", "", "plain", "cut", P1, P1, "a b c"] and [r.n_chars for r in found] == [len(t) for t in texts]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_comments_go_whatever_the_element():
+    body = "The bridge was opened in spring, after ten years of work, and the town came to see it."
+    page = f'<body><article><p>{body}</p><p>{body}</p><article class="comment"><p>{body} No, said a reader, it was not.</p></article></article><article id="comments"><p>{body} Nor I.</p></article></body>'
+    assert main_text(page) == f"{body} {body}"
+
+
+def test_names_do_not_empty_a_page():
+    body = "The bridge was opened in spring, after ten years of work, and the town came to see it."
+    for names in ("content legal", "discussion", "related"):
+        assert main_text(f'<body><div class="{names}"><p>{body}</p><p>{body}</p></div><nav>Home</nav></body>') == f"{body} {body}"
+
+
+def test_short_sentences_beside_the_article_stay():
+    body = "The bridge was opened in spring, after ten years of work, and the town came to see it."
+    page = f"<body><div><p>{body}</p><p>{body}</p></div><p>It still stands.</p><p><a href=x>More news.</a></p></body>"
+    assert main_text(page) == f"{body} {body} It still stands."
+
+
+def test_generated_pages():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        sentences = [", ".join(f"word{rng.randint(0, 999)} and more of it" for _ in range(rng.randint(3, 8))) + "." for _ in range(rng.randint(2, 60))]
+        junk = [
+            "<nav><ul>" + "".join(f"<li><a href=#>Item {k}</a></li>" for k in range(9)) + "</ul></nav>",
+            "<div class='sidebar'><p>Follow us, like us, share us, and never miss a story of ours again.</p></div>",
+            "<script>var x = '<p>no</p>';</script><style>p {}</style>",
+            "<footer><p>All rights reserved, by the owners, in all countries of the world, for ever.</p></footer>",
+            "<div id='comments'><p>First, I say, first of all readers, to be here today, and glad.</p></div>",
+            "<div class='ad-banner'><p>Buy now, pay later, at prices, which you will not believe, ever.</p></div>",
+        ]
+        rng.shuffle(junk)
+        at = rng.randint(0, len(junk))
+        depth = rng.choice([1, 2, 40])
+        inner = "".join(f"<p>{s}</p>\n" for s in sentences)
+        article = "<div>" * depth + rng.choice(["<article>{}</article>", "<div class='post-content'>{}</div>", "<section>{}</section>"]).format(inner) + "</div>" * depth
+        assert main_text("<html><body>" + "".join(junk[:at]) + article + "".join(junk[at:]) + "</body></html>") == " ".join(sentences)
+
+
+def test_very_long_and_tied_pages(spark):
+    from leadloom.llm.html_extract import extract
+
+    long = "<body>" + "<div><p>One long line of text, with commas, and more.</p>" * 20_000
+    tied = "<body><div><p>Left text, of the same length, and score.</p></div><div><p>Next text, of the same length, and score.</p></div></body>"
+    found = {r.page_id: r for r in extract(spark.createDataFrame([(1, "u", long), (2, "u", tied), (2, "u", tied), (3, None, None)], "page_id long, url string, html string")).collect()}
+    assert found[1].n_chars > 0 and found[3].text == "" and "Left text" in found[2].text

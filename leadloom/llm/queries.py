@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.llm import embedding_join, exact_dedup, html_extract, jaccard_join, language_model, mixing, pii, sentencepiece_viterbi, token_ids, toxicity
 from leadloom.llm.common import documents, new_path
 
-#: The folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
+#: The public tokenizers' files.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
-    token_ids.write(documents(spark, sf_dir), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    token_ids.write(documents(spark, sf_dir), path, WORD_BPE)
     return token_ids.read(spark, path)
 
 
@@ -42,7 +44,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_viterbi.digests(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece_viterbi.digests(documents(spark, sf_dir), PIECE_BPE)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs. All but the last return
 the columns of documents.
+
+Cases: a null text is an empty text: it isn't toxic, is a copy of other empty texts, links with nothing, has size 0
+and so isn't taken by the mix. A null doc_id is an id too; it stays where nothing with an id is equal to it. Texts are whole,
+however long. Of equal texts the smallest doc_id stays; rows that repeat a doc_id with its text stay or go together.
+An empty table gives an empty result. Columns other than doc_id, text and source are passed on as they are, whatever
+their names, and the last stage returns doc_id, lang and source (those that are there), ids and round_trip.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import exact_dedup, jaccard_join, mixing, sentencepiece_viterbi, toxicity
 from leadloom.llm.common import documents, new_path, written
-from leadloom.llm.queries import TOKENIZERS
+from leadloom.llm.queries import PIECE_BPE
 
 #: Near copies: documents whose sets of five-word shingles have at least this Jaccard similarity in percent.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -29,18 +35,25 @@ def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     table, _ = written(kept, "kept")
     few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     table = table.withColumnRenamed("doc_id", "kept_id")
-    joined = docs.join(F.broadcast(table) if few else table.hint("merge"), docs["doc_id"].eqNullSafe(table["kept_id"]))
+    # A row travels as one struct, so that its columns may have any name.
+    rows = _packed(docs)
+    joined = rows.join(F.broadcast(table) if few else table.hint("merge"), rows["row_id"].eqNullSafe(table["kept_id"]))
     if "copies" in table.columns:
-        joined = joined.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+        joined = joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return joined.select("row.*")
+
+
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """row_id, the given columns, and row, a struct of all columns."""
+    return docs.select(F.col("doc_id").alias("row_id"), *columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.sample_of(docs, labels))
-    scored = toxicity.score(docs, model)
-    return scored.where(toxicity.predicted() == 0).select(*docs.columns)
+    scored = toxicity.score(_packed(docs, "text"), model)
+    return scored.where(toxicity.predicted() == 0).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, and whether decoding them gives the text again."""
-    return sentencepiece_viterbi.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=("doc_id", "lang", "source"))
+    return sentencepiece_viterbi.encode(docs, PIECE_BPE, keep=tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns))
 
 
 STAGES = [

@@ -33,7 +33,7 @@ def test_stages(spark, tmp_path):
         first.setdefault(SPACES.sub(" ", r["text"]), r["doc_id"])
     assert sorted(r["doc_id"] for r in rows[2]) == sorted(first.values())
 
-    linked = brute([(r["doc_id"], r["text"]) for r in rows[2]])
+    linked = brute([(r["doc_id"], r["text"]) for r in rows[2]], 5, 80)
     assert sorted(r["doc_id"] for r in rows[3]) == sorted(i for i, _, c in linked if i == c)
 
     copies = {r.doc_id: r.copies for r in mixing.mix(inputs[3]).collect()}
@@ -70,3 +70,21 @@ def test_near_copies_are_five_words_and_four_fifths(spark):
     assert wanted != near_groups(rows, 4, 85)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == wanted
+
+
+def test_defined_cases(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, None, None), (2, "", None), (3, words, "a"), (3, words, "a"), (4, words + " ", "a"), (5, words + " more", "b"), (None, "alone in the world", "b"), (6, "long " * 60_000, "b")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, source string, score int, copies int, kept_id int, copy__ int")
+    kept = corpus_pipeline.drop_exact_copies(spark, corpus_pipeline.drop_toxic(spark, docs, SF), SF)
+    assert kept.columns == docs.columns and {tuple(r)[3:] for r in kept.collect()} == {(1, 2, 3, 4)}
+    near = corpus_pipeline.drop_near_copies(spark, kept, SF)
+    assert near.columns == docs.columns and sorted(str(r.doc_id) for r in near.collect()) == sorted(map(str, [1, 3, 3, 6, None]))
+    mixed = corpus_pipeline.mix_sources(spark, near, SF)
+    assert mixed.columns == docs.columns and 1 not in {r.doc_id for r in mixed.collect()}
+    out = corpus_pipeline.encode(spark, mixed, SF)
+    assert out.columns == ["doc_id", "source", "ids", "round_trip"] and all(r.round_trip for r in out.collect())
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+        assert empty.count() == 0

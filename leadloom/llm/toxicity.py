@@ -1,22 +1,24 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-Two dictionaries share a large part trained on ordinary text; one goes on with a part trained on
-toxic text, the other with as much ordinary text. A window that only the toxic dictionary knows gets
-shorter with it. A window is one word behind a fixed carrier that both dictionaries know: longer
-windows let chance matches of the neighbours drown the difference. Each difference in bytes has a calibrated
-weight, the log ratio of its frequencies in toxic and in ordinary documents; a document's evidence is
-the sum of its windows' weights, and a logistic curve through a calibrated cut makes it a score.
-
-Toxic text is first narrowed to words that are over-represented in toxic documents, counted once per
-document and once per pair of neighbours, so that copies and one long document don't count often.
+The ordinary dictionary is trained on ordinary texts. The toxic one is that dictionary with a part in front that is
+trained on toxic texts, so that the two differ by what toxic text alone offers: what both know costs the same with both, and
+chance matches don't blur the difference. A text is cut to windows of consecutive whole words, WINDOW bytes or a
+little more each, and every window is compressed with both. Its difference in bytes has a calibrated weight, the log ratio of the
+difference's frequencies in toxic and in ordinary documents. A document's evidence is the largest sum of weights over any
+STRETCH consecutive windows, so that the length of an otherwise ordinary text can't cancel a toxic passage. A
+logistic curve through a calibrated cut makes the evidence a score.
+
+Toxic texts are narrowed for training to words that are over-represented in them, counted once per
+document and once per pair of neighbours, so that copies and one long document don't count often: a dictionary of a few
+thousand bytes would else be filled with what all texts have most of.
 
 Fitted on a bounded sample: TRAIN_DOCS documents of each label, TRAIN_CHARS of each (both are
-parameters), chosen by a digest of doc_id among rows that are not held out. Scoring covers all rows
-and whole texts; a worker keeps the lengths of words seen in a dictionary of bounded size.
+parameters), chosen by a digest of doc_id among rows that are not held out; a third of it is kept for weights and the cut. Scoring
+covers all rows and whole texts.
 
-Cases: null and empty texts have no windows and get the lowest score; a null toxic label is no label;
-of repeated labels of a document the largest counts; without examples of both kinds every score is 0;
-repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
+Cases: null and empty texts have no windows, so no evidence, and get the score of that, which is below the cut; a null toxic label
+is no label; of repeated labels of a document the largest counts; without examples of both kinds every score is 0; a word longer than
+a window is cut to pieces of WINDOW bytes; repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,21 +33,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import Memory, as_bytes, tokens
+from leadloom.llm.common import as_bytes, tokens
 
 TRAIN_DOCS = 3000
 TRAIN_CHARS = 20_000
 SHARED_BYTES, CLASS_BYTES = 110_000, 4096
-LEVEL = 19
-#: A neutral context that both dictionaries end with.
-CARRIER = b" of the and in that "
+#: Bytes of a window, windows that are compressed in one call, and the level.
+WINDOW, BATCH, LEVEL = 48, 8192, 9
+#: Windows whose weights are summed, about three thousand bytes of text.
+STRETCH = 64
 #: Differences in bytes are told apart from the lowest to the highest of these.
 LOWEST, HIGHEST = -8, 15
 #: How many times as frequent in toxic documents a word must be to be trained on.
 RATIO = 10
 CUT_SCORE = 0.7
-#: Words whose weights a worker keeps at least.
-KEPT_WORDS = 400_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -79,6 +80,21 @@ def _overrepresented(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> s
     return {w for w, n in a.items() if n >= least and n / len(toxic) >= RATIO * (b[w] + 1) / len(ordinary)}
 
 
+def windows(words: list[bytes]) -> list[bytes]:
+    """Consecutive words in windows of at least WINDOW bytes (the last may be shorter), each within spaces."""
+    out, held, size = [], [], 0
+    for word in words:
+        for at in range(0, len(word), WINDOW):
+            held.append(word[at : at + WINDOW])
+            size += len(held[-1]) + 1
+            if size >= WINDOW:
+                out.append(b" " + b" ".join(held) + b" ")
+                held, size = [], 0
+    if held:
+        out.append(b" " + b" ".join(held) + b" ")
+    return out
+
+
 @dataclass
 class Model:
     """Both dictionaries, the weights of differences, and the curve: evidence of cut has CUT_SCORE, width is its slope."""
@@ -97,7 +113,7 @@ class Scorer:
     def __init__(self, model: Model):
         import zstandard as z
 
-        how = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3)
+        how = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=4)
 
         def compressor(content: bytes):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -106,19 +122,22 @@ class Scorer:
 
         self.model = model
         self.toxic, self.ordinary = compressor(model.toxic), compressor(model.ordinary)
-        self.words = Memory(self._weigh, KEPT_WORDS)
-
-    def compare(self, words: list[bytes]) -> list[int]:
-        """For each word the difference in bytes, counted from LOWEST."""
-        windows = [CARRIER + w + b" " for w in words]
-        pairs = zip(self.toxic.multi_compress_to_buffer(windows), self.ordinary.multi_compress_to_buffer(windows), strict=True)
-        return [max(LOWEST, min(HIGHEST, len(b) - len(a))) - LOWEST for a, b in pairs]
+        self.weights = np.array(model.weights) if model.weights else None
 
-    def _weigh(self, words: list[bytes]) -> list[float]:
-        return [self.model.weights[k] for k in self.compare(words)]
+    def compare(self, words: list[bytes]) -> np.ndarray:
+        """For each window by how many bytes the toxic dictionary makes it shorter, counted from LOWEST."""
+        found, cut = [], windows(words)
+        for at in range(0, len(cut), BATCH):
+            part = cut[at : at + BATCH]
+            sizes = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(part)), np.int64, len(part)) for c in (self.ordinary, self.toxic))
+            found.append(np.clip(next(sizes) - next(sizes), LOWEST, HIGHEST) - LOWEST)
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def evidence(self, words: list[bytes]) -> float:
-        return math.fsum(self.words.values(words))
+        """The largest sum of weights over STRETCH consecutive windows (all, if there are fewer)."""
+        total = np.concatenate([[0.0], np.cumsum(self.weights[self.compare(words)])])
+        n = min(STRETCH, len(total) - 1)
+        return float((total[n:] - total[: len(total) - n]).max())
 
     def score(self, text: bytes) -> float:
         x = math.log(CUT_SCORE / (1 - CUT_SCORE)) + (self.evidence(tokens(text)) - self.model.cut) / self.model.width
@@ -138,14 +157,10 @@ def fit(sample: list[tuple[bytes, int]]) -> Model | None:
     if not toxic:
         toxic = [b" " + b" ".join(ws) + b" " for ws in used[1]]
     joined = [b" " + b" ".join(ws) + b" " for ws in used[0]]
-    shared = _dictionary(SHARED_BYTES, [o[k : k + 200] for o in joined for k in range(0, min(len(o), 4000), 200)])
-    a = _dictionary(CLASS_BYTES, toxic)
-    b = _dictionary(CLASS_BYTES, [o[k : k + 74] for o in joined for k in range(0, min(len(o), 2000), 400)])
-    n = min(len(a), len(b))
-    model = Model(a[-n:] + shared + CARRIER, b[-n:] + shared + CARRIER)
-    places = Memory(model.scorer().compare, KEPT_WORDS)
-    count = lambda ws: np.bincount(places.values(ws), minlength=HIGHEST - LOWEST + 1) if ws else 0
-    counts = np.array([sum((count(ws) for ws in kept[y]), np.zeros(HIGHEST - LOWEST + 1)) for y in (0, 1)]) + 1.0
+    shared = _dictionary(SHARED_BYTES, [o[k : k + 200] for o in joined for k in range(0, len(o), 200)])
+    model = Model(_dictionary(CLASS_BYTES, toxic) + shared, shared)
+    compare = model.scorer().compare
+    counts = np.array([sum((np.bincount(compare(ws), minlength=HIGHEST - LOWEST + 1) for ws in kept[y]), np.zeros(HIGHEST - LOWEST + 1)) for y in (0, 1)]) + 1.0
     rates = counts / counts.sum(axis=1, keepdims=True)
     model.weights = np.log(rates[1] / rates[0]).tolist()
     scorer = model.scorer()

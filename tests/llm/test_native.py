@@ -96,3 +96,41 @@ def test_toxicity_on_held_out_rows(spark):
     none = toxicity.classify(table, known.where("toxic = 0")).collect()
     assert {r.score for r in none} == {0.0}
     assert toxicity.classify(table.limit(0), known.limit(0)).count() == 0
+
+
+def test_toxicity_windows_are_whole_words_and_lengths_are_zstandards(spark):
+    import zstandard as z
+
+    rng = random.Random(4)
+    for _ in range(50):
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.choice([1, 3, 9, 40, 130]))) for _ in range(rng.randint(0, 60))]
+        cut = toxicity.windows(words)
+        assert b"".join(w for x in cut for w in x.split()) == b"".join(words)
+        assert all(x[:1] == x[-1:] == b" " and len(x) < 2 * toxicity.WINDOW + 3 for x in cut) and all(len(x) > toxicity.WINDOW for x in cut[:-1])
+    model = toxicity.Model(b" grumpleworst zibnak fudgewit" + b" ka lo mi ter san" * 20, b" ka lo mi ter san" * 20, [0.0] * (toxicity.HIGHEST - toxicity.LOWEST + 1))
+    how = z.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=4)
+
+    def length(content, window):
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window))
+
+    words = [rng.choice([b"ka", b"lo", b"grumpleworst", b"other", b"zibnak"]) for _ in range(400)]
+    wanted = [length(model.ordinary, x) - length(model.toxic, x) for x in toxicity.windows(words)]
+    assert (model.scorer().compare(words) + toxicity.LOWEST).tolist() == wanted and max(wanted) > 3
+
+
+def test_a_toxic_passage_counts_in_a_long_text():
+    rng = random.Random(9)
+    syllables = ["ka", "lo", "mi", "ter", "san", "vo", "ri", "dem", "pul", "ash"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    bad = ["grumpleworst", "zibnak", "fudgewit", "quorx"]
+    sample = []
+    for k in range(600):
+        words = [word() for _ in range(rng.randint(20, 80))]
+        for _ in range(4 * (k % 3 == 0)):
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        sample.append((" ".join(words).encode(), int(k % 3 == 0)))
+    scorer = toxicity.fit(sample).scorer()
+    clean = [word() for _ in range(30_000)]
+    passage = [w for _ in range(8) for w in (word(), rng.choice(bad))]
+    assert scorer.score(" ".join(clean).encode()) < 0.7
+    assert scorer.score(" ".join(clean[:15_000] + passage + clean[15_000:]).encode()) >= 0.7

@@ -9,10 +9,10 @@ one table for every pair, so all restaurants are sampled at once. After BURN_IN
 sweeps are averaged. A rare word is its symbol's probability times the word's smoothed share of the rare
 training words, so probabilities of all words sum to one.
 
-How the work is split: (previous, next) pairs of all documents are dealt to parts by a hash of the pair,
-in compressed chunks of postings (pair, document, times), with about PART_TOKENS tokens in a part
-however large the corpus is; a frequent pair has one posting per document at most and one count per
-chunk. A part is counted, sampled and scored by itself. What all parts need is bounded by the dictionary:
+How the work is split: documents are read once, in chunks. (Previous, next) pairs of a chunk are dealt to parts by a hash of
+the pair, as compressed postings (pair, place of the document in its chunk, times), with about PART_TOKENS tokens in a
+part on average; a pair has one posting per document at most, and the part of the most frequent pair holds all of its postings.
+A part is counted, sampled and scored by itself, and gives sums by chunk and place. What all parts need is bounded by the dictionary:
 tables by context and by symbol. The exact unigram base score needs every word's count: counts of
 dictionary words travel with the dictionary, those of other words come by a join.
 
@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,78 +146,87 @@ def dictionary_of(counts: DataFrame, texts: int, size: int) -> Dictionary:
 # ---------------------------------------------------------------- passes over the documents
 
 
-def document_sums(docs: DataFrame, shared) -> DataFrame:
-    """Per document: rid, doc_id, held_out, n_tokens, what dictionary words give, and its rare words with counts."""
+DOCUMENT = pa.schema(
+    [("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("n_rare", pa.int64())]
+    + [("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = shared.value
-        logs = np.log10(np.concatenate([d.counts, [0, d.texts]]) + 0.1)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                n, known, base, rare, lists = [], [], [], [], []
-                for text in part.column("text"):
-                    words = tokens(text.as_py())
-                    ids = d.encode(words)
-                    own = ids != d.RARE
-                    n.append(len(words) + 1)
-                    known.append(int(own.sum()) + (d.texts > 0))
-                    base.append(float(logs[ids[own]].sum() + logs[d.END]))
-                    rare.append(len(words) - int(own.sum()))
-                    lists.append(list(Counter([words[k] for k in np.flatnonzero(~own)]).items()))
-                kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-                flat = [{"word": w, "n": c} for x in lists for w, c in x]
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32()), pa.array(flat, kind.value_type))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.int64()), listed],
-                    ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "n_rare", "rare"],
-                )
-
-    return docs.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, n_rare long, rare array<struct<word:binary,n:long>>")
-
-
-def postings(docs: DataFrame, shared, parts: int) -> DataFrame:
-    """part, chunk: the pairs of a chunk of documents that are dealt to a part, with the documents they occur in."""
+
+def chunks(docs: DataFrame, shared, parts: int) -> DataFrame:
+    """part, chunk, payload: chunks of documents as they are read, in one pass.
+
+    A part from 0 on gets the pairs of a chunk that are dealt to it, with the places in the chunk of the documents they occur in;
+    a part below 0 gets what is known of the documents themselves (DOCUMENT): what dictionary words give, and rare words with
+    counts. Training documents have the first places in a chunk, so a payload holds their number and no document's id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = shared.value
-        rids, train, pairs, lengths, held = [], [], [], [], 0
+        logs = np.log10(np.concatenate([d.counts, [0, d.texts]]) + 0.1)
+        number, held, rows = TaskContext.get().partitionId() << 24, 0, []
 
         def out() -> pa.RecordBatch:
-            doc = np.repeat(np.arange(len(rids)), lengths)
-            key = np.concatenate(pairs)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
+            rows.sort(key=lambda r: r[1])
+            place = np.repeat(np.arange(len(rows)), [len(r[2]) - 1 for r in rows])
+            key = np.concatenate([r[2][:-1] * SHIFT + r[2][1:] for r in rows])
+            order = np.lexsort((place, key))
+            key, place = key[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
             times = np.diff(np.concatenate([first, [len(key)]]))
-            key, doc = key[first], doc[first]
+            key, place = key[first], place[first]
             part = part_of(key, parts)
             order = np.argsort(part, kind="stable")
-            key, doc, times, part = key[order], doc[order], times[order], part[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0]
-            numbers, payloads = [], []
+            key, place, times, part = key[order], place[order], times[order], part[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            trained = np.array([sum(not r[1] for r in rows)], np.uint16)
+            numbers, payloads = [-1 - number % (2**31 - 1)], [documents_of(number)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 k = key[a:b]
                 numbers.append(int(part[a]))
-                payloads.append(pressed((k >> 20).astype(np.uint32), (k & (SHIFT - 1)).astype(np.uint32), doc[a:b].astype(np.uint16), times[a:b].astype(np.uint32), np.array(rids), np.array(train)))
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], ["part", "chunk"])
+                payloads.append(pressed((k >> 20).astype(np.uint32), (k & (SHIFT - 1)).astype(np.uint32), place[a:b].astype(np.uint16), times[a:b].astype(np.uint32), trained))
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([number] * len(numbers), pa.int64()), pa.array(payloads, pa.binary())], ["part", "chunk", "payload"])
+
+        def documents_of(chunk: int) -> bytes:
+            columns = [[] for _ in DOCUMENT]
+            for k, (doc_id, out_, line, rare) in enumerate(rows):
+                ids = line[1:-1]
+                own = ids != d.RARE
+                values = (chunk << 16 | k, doc_id, out_, len(ids) + 1, int(own.sum()) + (d.texts > 0), float(logs[ids[own]].sum() + logs[d.END]), len(ids) - int(own.sum()), rare)
+                for column, value in zip(columns, values, strict=True):
+                    column.append(value)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, DOCUMENT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, DOCUMENT, strict=True)], schema=DOCUMENT))
+            return sink.getvalue().to_pybytes()
 
         for batch in batches:
-            for rid, out_, text in zip(batch.column("rid").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
-                ids = d.encode(tokens(text.as_py()))
-                line = np.concatenate([[d.START], ids, [d.END]])
-                pairs.append(line[:-1] * SHIFT + line[1:])
-                rids.append(rid)
-                train.append(not out_)
-                lengths.append(len(line) - 1)
-                held += len(line)
-                if len(rids) >= CHUNK_DOCS or held >= CHUNK_TOKENS:
+            for doc_id, out_, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
+                words = tokens(text.as_py())
+                ids = d.encode(words)
+                rare = Counter([words[k] for k in np.flatnonzero(ids == d.RARE)])
+                rows.append((doc_id, out_, np.concatenate([[d.START], ids, [d.END]]), [{"word": w, "n": c} for w, c in rare.items()]))
+                held += len(words) + 1
+                if len(rows) >= CHUNK_DOCS or held >= CHUNK_TOKENS:
                     yield out()
-                    rids, train, pairs, lengths, held = [], [], [], [], 0
-        if rids:
+                    number, held = number + 1, 0
+                    rows.clear()
+        if rows:
             yield out()
 
-    return docs.mapInArrow(run, "part int, chunk binary")
+    return docs.mapInArrow(run, "part int, chunk long, payload binary")
+
+
+def document_rows(parts_table: DataFrame) -> DataFrame:
+    """The documents of all chunks; rid is a document's chunk and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.column("chunks"):
+                for x in chunk.values.field("payload"):
+                    yield from pa.ipc.open_stream(x.as_py())
+
+    rows = parts_table.where("part < 0").select("chunks")
+    return rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, n_rare long, rare array<struct<word:binary,n:long>>")
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
@@ -235,17 +245,18 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
-def decoded(chunk: bytes) -> tuple[np.ndarray, ...]:
-    u, w, doc, times, rids, train = unpressed(chunk)
-    return u.astype(np.int64) * SHIFT + w, doc.astype(np.int64), times.astype(np.int64), rids, train.astype(bool)
+def decoded(payload: bytes) -> tuple[np.ndarray, ...]:
+    """Pairs, places of documents, times, and the number of training documents."""
+    u, w, place, times, trained = unpressed(payload)
+    return u.astype(np.int64) * SHIFT + w, place.astype(np.int64), times.astype(np.int64), int(trained[0])
 
 
-def pair_counts(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def pair_counts(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of a part in order, and their training counts (0 for pairs of held-out documents alone)."""
     keys, counts = [], []
-    for chunk in chunks:
-        key, doc, times, _, train = decoded(chunk)
-        k, c = summed(key, times * train[doc])
+    for payload in payloads:
+        key, place, times, trained = decoded(payload)
+        k, c = summed(key, times * (place < trained))
         keys.append(k)
         counts.append(c)
     return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -431,14 +442,14 @@ def started(parts_table: DataFrame, symbols: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                key, c = pair_counts([x.as_py() for x in batch.column("chunks")[k].values])
+                key, c = pair_counts([x.as_py() for x in batch.column("chunks")[k].values.field("payload")])
                 one, many = key[c == 1], c > 1
                 once, least = (tables_of(x >> 20, x & (SHIFT - 1), np.ones(len(x), np.int64), symbols) for x in (one, key[many]))
                 row = [batch.column("part")[k].as_py(), pressed(key[many], c[many]), once, least, len(one), int((c == 2).sum())]
                 kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], ["part", "state", "tables", "least", "n1", "n2"])
 
-    return parts_table.select("part", "chunks").mapInArrow(run, "part int, state binary, tables binary, least binary, n1 long, n2 long")
+    return parts_table.where("part >= 0").select("part", "chunks").mapInArrow(run, "part int, state binary, tables binary, least binary, n1 long, n2 long")
 
 
 def swept(states: DataFrame, shared, sweep: int, symbols: int) -> DataFrame:
@@ -484,22 +495,23 @@ def part_scores(parts_table: DataFrame, states: DataFrame, shared) -> DataFrame:
         predictor = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                chunks = [x.as_py() for x in batch.column("chunks")[k].values]
-                key, c = pair_counts(chunks)
+                listed = batch.column("chunks")[k].values
+                payloads = [x.as_py() for x in listed.field("payload")]
+                key, c = pair_counts(payloads)
                 t = np.minimum(c, 1).astype(np.float64)
                 known, _, added = unpressed(batch.column("state")[k].as_py())
                 t[np.searchsorted(key, known)] = added / len(predictor.samples)
                 logs = np.log10(predictor.probability(key >> 20, key & (SHIFT - 1), c, t))
-                for chunk in chunks:
-                    pairs, doc, times, rids, _ = decoded(chunk)
-                    sums = np.bincount(doc, weights=logs[np.searchsorted(key, pairs)] * times, minlength=len(rids))
-                    has = np.flatnonzero(np.bincount(doc, minlength=len(rids)))
-                    yield pa.RecordBatch.from_arrays([pa.array([rids[0]], pa.int64()), pa.array([pressed(rids[has], sums[has])], pa.binary())], ["chunk", "sums"])
+                for chunk, payload in zip(listed.field("chunk").to_pylist(), payloads, strict=True):
+                    pairs, place, times, _ = decoded(payload)
+                    sums = np.bincount(place, weights=logs[np.searchsorted(key, pairs)] * times)
+                    has = np.unique(place)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pressed(has.astype(np.uint16), sums[has])], pa.binary())], ["chunk", "sums"])
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         found = [unpressed(x) for x in rows["sums"]]
-        rids, sums = summed(np.concatenate([r for r, _ in found]), np.concatenate([s for _, s in found]))
-        return pd.DataFrame({"rid": rids, "pairs": sums})
+        places, sums = summed(np.concatenate([r for r, _ in found]).astype(np.int64), np.concatenate([s for _, s in found]))
+        return pd.DataFrame({"rid": (int(rows["chunk"].iloc[0]) << 16) + places, "pairs": sums})
 
     rows = parts_table.join(states.select("part", "state"), "part").mapInArrow(run, "chunk long, sums binary")
     return rows.groupBy("chunk").applyInPandas(gather, "rid long, pairs double")
@@ -516,8 +528,16 @@ def score(docs: DataFrame, dictionary: int = DICTIONARY, part_tokens: int = PART
     types = d.n + d.rare_types + (texts > 0)
     symbols, contexts = d.n + 2, d.n + 3
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), as_bytes().alias("text"))
-    sums, _ = written(document_sums(rows, shared), "sums")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), as_bytes().alias("text"))
+    parts = max(1, -(-int(train_tokens * 1.15) // part_tokens))
+    table, location = f"lm_{uuid.uuid4().hex}", new_path(spark, "parts")
+    dealt = chunks(rows, shared, parts).groupBy("part").agg(F.collect_list(F.struct("chunk", "payload")).alias("chunks"))
+    # Bucketed by part, so that later joins with small states don't move the postings again. All that is read of the
+    # documents is in this one table, so places in chunks mean the same to every later job.
+    buckets = max(1, min(parts, 10_000))
+    dealt.write.bucketBy(buckets, "part").option("path", location).saveAsTable(table)
+    parts_table = spark.table(table)
+    sums, _ = written(document_rows(parts_table), "sums")
     # The share of rare words: every word's count comes by a join with all counts but the dictionary's.
     rare = sums.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     logs = rare.join(counts, "word", "left").groupBy("rid").agg(
@@ -525,14 +545,6 @@ def score(docs: DataFrame, dictionary: int = DICTIONARY, part_tokens: int = PART
     )
     logs, _ = written(logs, "rare")
 
-    parts = max(1, -(-int(train_tokens * 1.15) // part_tokens))
-    table, location = f"lm_{uuid.uuid4().hex}", new_path(spark, "parts")
-    dealt = postings(rows.select("rid", "held_out", "text"), shared, parts).groupBy("part").agg(F.collect_list("chunk").alias("chunks"))
-    # Bucketed by part, so that later joins with small states don't move the postings again.
-    buckets = max(1, min(parts, 10_000))
-    dealt.write.bucketBy(buckets, "part").option("path", location).saveAsTable(table)
-    parts_table = spark.table(table)
-
     states, state_path = written(started(parts_table, symbols), "states")
     once = gathered(states, symbols, contexts, parts)
     seen = states.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"), F.coalesce(F.sum("n2"), F.lit(0)).alias("n2")).first()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from leadloom.functions.text import present
 
 HOT, WARM = 60, 40
+#: Listings from which a seller counts as one who sells like an agency.
+SUPER_SELLER = 5
 
 
 def live(leads: DataFrame) -> DataFrame:
@@ -141,8 +143,9 @@ def dashboard_summary(leads: DataFrame, as_of: str, urgent_words: Sequence[str]
     )
 
 
-def funnel(leads: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """Rows per stage in order, none left out, and per cent of the first stage's count."""
+def funnel(leads: DataFrame, stages: Sequence[str], since: str | None = None) -> DataFrame:
+    """Rows per stage in order, none left out, and per cent of the first stage's count; of rows first seen since a time, if given."""
+    leads = leads if since is None else leads.where(F.col("first_seen_at") >= F.lit(since).cast("timestamp_ntz"))
     spark = leads.sparkSession
     dim = spark.createDataFrame([(k, s) for k, s in enumerate(stages)], "place int, stage string")
     counts = live(leads).groupBy(F.col("crm_stage").alias("stage")).agg(F.count("*").alias("n"))
@@ -178,7 +181,9 @@ def histogram(leads: DataFrame, bins: int = 10) -> DataFrame:
 def recent_signals(leads: DataFrame, notes: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """New rows, new hot rows, drop notes, repeat sellers and contacted rows of the last days, in one row."""
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days")
-    left = live(leads).agg(count_if(F.col("first_seen_at") >= since, "new"), count_if((F.col("first_seen_at") >= since) & (F.col("score_label") == "HOT"), "new_hot"), count_if(F.col("crm_stage") == "contactado", "contacted"))
+    seen = F.col("last_seen_at") >= since
+    many = live(leads).where(seen & F.col("contact_name").isNotNull()).groupBy("contact_name").agg(F.count("*").alias("n")).agg(count_if(F.col("n") >= SUPER_SELLER, "super_sellers"))
+    left = live(leads).agg(count_if(F.col("first_seen_at") >= since, "new"), count_if((F.col("first_seen_at") >= since) & (F.col("score_label") == "HOT"), "new_hot"), count_if(seen & (F.col("crm_stage") == "contactado"), "contacted")).join(many)
     right = notes.where(F.col("created_at") >= since).agg(count_if(F.col("note_type") == "price_drop", "drops"))
     return left.join(right)
 
@@ -192,6 +197,17 @@ def daily(leads: DataFrame, since: str, until: str) -> DataFrame:
     return days.join(counts, "day", "left").select(F.col("day").cast("string").alias("day"), n.alias("n"), rate(F.coalesce("hot", F.lit(0)), n, "hot_share"), rate(F.coalesce("reached", F.lit(0)), n, "contact_rate"), "avg_score")
 
 
+def daily_drops(notes: DataFrame) -> DataFrame:
+    """Price-drop notes per day."""
+    return notes.where(F.col("note_type") == "price_drop").groupBy(F.to_date("created_at").cast("string").alias("day")).agg(F.count("*").alias("drops"))
+
+
+def daily_sources(leads: DataFrame) -> DataFrame:
+    """Per day and source its rows and their share of the day."""
+    counts = live(leads).groupBy(F.to_date("first_seen_at").cast("string").alias("day"), "discovery_source").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") * F.lit(100.0) / F.sum("n").over(Window.partitionBy("day")), 1))
+
+
 def run_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two snapshots of the same counters, their differences, and the change of the telephone rate in points."""
     def snap(df: DataFrame, tag: str) -> DataFrame:

@@ -22,6 +22,12 @@ def _now(as_of: str) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
+def mapped(label: Column, codes: dict[str, str], default: str) -> Column:
+    """A label's code, without regard to case and outer white space."""
+    pairs = [F.lit(x) for pair in codes.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(F.trim(label))), F.lit(default))
+
+
 def recently_noted(notes: DataFrame, since: Column) -> DataFrame:
     return notes.where(F.col("created_at") >= since).select("lead_id").distinct()
 

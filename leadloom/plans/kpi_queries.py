@@ -138,7 +138,7 @@ FROM (VALUES (0, 'novo'), (1, 'contactado'), (2, 'negociacao'), (3, 'ganho'), (4
   (SELECT zone, count(*) AS n, {N} (WHERE score_label = 'HOT') AS hot, round(avg(score), 1) AS avg_score, avg(latitude::DOUBLE) AS lat, avg(longitude::DOUBLE) AS lon FROM live GROUP BY 1) z JOIN nation ON zone = n_name WHERE n >= 3"""),
     "e17_histogram": with_leads("SELECT (score // 10 * 10)::INT AS bin, count(*) AS n FROM live WHERE score IS NOT NULL GROUP BY 1"),
     "e18_recent_signals": with_leads(f"""SELECT {N} (WHERE first_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS "new", {N} (WHERE first_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND score_label = 'HOT') AS new_hot,
-  {N} (WHERE crm_stage = 'contactado') AS contacted, (SELECT {N} (WHERE note_type = 'price_drop') FROM notes WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS drops FROM live"""),
+  {N} (WHERE crm_stage = 'contactado' AND last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS contacted, (SELECT count(*) FROM (SELECT 1 FROM live WHERE last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND contact_name IS NOT NULL GROUP BY contact_name HAVING count(*) >= 5)) AS super_sellers, (SELECT {N} (WHERE note_type = 'price_drop') FROM notes WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS drops FROM live"""),
     "e19_daily_series": with_leads(f"""SELECT strftime(d.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, {pct("coalesce(hot, 0)", "coalesce(n, 0)")} AS hot_share, {pct("coalesce(reached, 0)", "coalesce(n, 0)")} AS contact_rate, avg_score
 FROM (SELECT unnest(generate_series(TIMESTAMP '1998-07-01', TIMESTAMP '1998-08-15', INTERVAL 1 DAY)) AS day) d LEFT JOIN
   (SELECT date_trunc('day', first_seen_at) AS day, count(*) AS n, {N} (WHERE score_label = 'HOT') AS hot, {N} (WHERE {ANY}) AS reached, round(avg(score), 1) AS avg_score FROM live GROUP BY 1) c ON d.day = c.day"""),

@@ -81,6 +81,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A shared SQL text over the given tables."""
     named = {t: table(spark, sf_dir, t) for t in TABLES if f" {t} " in f" {sql} ".replace("\n", " ").replace(")", " ")}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in named:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(sql, **named)

@@ -113,5 +113,23 @@ def write_csv(df: DataFrame, path: str, mask: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON sink, one row a line; nested columns stay nested."""
+    df.write.mode("overwrite").json(path)
+
+
+def united(parts: Sequence[DataFrame]) -> DataFrame:
+    """Imports with different columns as one table; what a part lacks is NULL."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key, as a min that starts map-side, so that no key's rows are sorted in one task."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
 def write_sheets(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("sheet").parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,33 @@ def upserting(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
+def upserted_table(stream: DataFrame, key: str, version: Column, base: str) -> DataFrame:
+    """The row of the highest version of every key, kept up by micro-batches over what is there now.
+
+    A batch writes the table anew under its own number, from the table before it, so a batch that is run again after a
+    failure gives the same table.
+    """
+    spark, last = stream.sparkSession, []
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = batch if not number else batch.unionByName(batch.sparkSession.read.parquet(f"{base}/table-{number - 1}"))
+        best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), version).alias("r")).select("r.*")
+        best.write.mode("overwrite").parquet(f"{base}/table-{number}")
+        last.append(number)
+
+    upserting(stream, apply, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/table-{max(last)}") if last else spark.createDataFrame([], stream.schema)
+
+
+def counted_with_late(stream: DataFrame, ts: str, span: str, delay: str, base: str) -> DataFrame:
+    """Rows per span as far as the watermark closed it, and in late how many rows in all came after their span was closed."""
+    counts = stream.withWatermark(ts, delay).groupBy(F.window(ts, span)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+    query = counts.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return stream.sparkSession.read.parquet(f"{base}/out").select(F.col("start").cast("string").alias("start"), "n", F.lit(late).cast("long").alias("late"))
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partition: str | None = None) -> DataFrame:
     """Runs a query over what is there now, into Parquet files, and gives them back."""
     writer = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,10 +164,13 @@ def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, size, items (the set as bytes) and sketches by band of the wanted nodes, from one document of each (doc_id, node)."""
+    """node, row, size, items (the set as bytes) and sketches by band of the wanted nodes, from a document of each (doc_id, node).
+
+    A node comes once for each row that repeats its document; row tells them apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = Layout(percent)
+        layout, at = Layout(percent), TaskContext.get().partitionId() << 32
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -181,11 +185,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame
                 fields = pa.StructArray.from_arrays([pa.array([b for b, _ in flat], pa.int32()), _lists([x for _, x in flat])], ["band", "sketch"])
                 listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), fields)
                 own = pa.array([layout.band(len(s)) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), own, pa.array([s.tobytes() for s in sets], pa.binary()), listed], ["node", "size", "own", "items", "sketches"])
+                number = pa.array(np.arange(at, at + len(nodes)), pa.int64())
+                at += len(nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), number, pa.array([len(s) for s in sets], pa.int64()), own, pa.array([s.tobytes() for s in sets], pa.binary()), listed], ["node", "row", "size", "own", "items", "sketches"])
 
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", as_bytes().alias("text")).join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id")
-    return rows.mapInArrow(run, "node long, size long, own int, items binary, sketches array<struct<band:int,sketch:array<long>>>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, row long, size long, own int, items binary, sketches array<struct<band:int,sketch:array<long>>>")
 
 
 def _distance(x: Column, y: Column) -> Column:
@@ -240,6 +246,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     ids = kept(real.groupBy("node").agg(F.min("doc_id").alias("smallest")), "ids")
     wanted = kept(ids.join(members.select("node").distinct(), "node").select("node", F.col("smallest").alias("doc_id")), "wanted")
     sets = kept(_sets(docs, wanted, n, percent), "sets")
+    # Sets are wide: where documents are repeated, the first row of each node is found from two narrow columns.
+    repeated = kept(sets.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1").select("node", "first"), "repeated")
+    if not repeated.isEmpty():
+        sets = kept(sets.join(repeated, "node", "left").where("first is null or row = first").drop("first"), "sets")
     sketches = kept(sets.select("node", "size", "own", F.explode("sketches").alias("at")).select("node", "size", "own", "at.band", "at.sketch"), "sketches")
 
     def side(name: str) -> DataFrame:

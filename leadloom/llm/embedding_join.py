@@ -1,7 +1,7 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 For unit vectors a cosine of at least c means a distance of at most eps = sqrt(2 - 2c). Vectors are
-rotated to the principal axes of all vectors, sorted by grid cells on the leading axes, and cut into
+rotated to the principal axes of all vectors (of their spread about the mean), sorted by grid cells on the leading axes, and cut into
 blocks of consecutive vectors with bounding boxes over all axes. Blocks meet if they share a cell of
 the first axis (an equi-join) and their boxes are within eps; in a pair of blocks, sequence intervals
 are halved and joined recursively, skipping intervals whose boxes are farther apart than eps, down to
@@ -70,19 +70,24 @@ def vectors(table: DataFrame) -> DataFrame:
 
 
 def principal_axes(classes: DataFrame, dims: int) -> np.ndarray:
-    """The axes (columns) of vectors with dims numbers, by falling spread. The driver gets dims * dims sums."""
+    """The axes (columns) of vectors with dims numbers, by falling spread about their mean. The driver gets dims * (dims + 1) sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dims, dims))
+        # Row dims holds the sums of the vectors themselves.
+        total = np.zeros((dims + 1, dims))
         for batch in batches:
             x = np.array([units(r.as_py()) for r in batch.column("raw")])
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(dims, dtype=np.int32), dims)), pa.array(np.tile(np.arange(dims, dtype=np.int32), dims)), pa.array(total.ravel())], ["i", "j", "v"])
+            total[:dims] += x.T @ x
+            total[dims] += x.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(dims + 1, dtype=np.int32), dims)), pa.array(np.tile(np.arange(dims, dtype=np.int32), dims + 1)), pa.array(total.ravel())], ["i", "j", "v"])
 
-    sums = classes.where(F.col("dims") == dims).select("raw").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    matrix = np.zeros((dims, dims))
+    same = classes.where(F.col("dims") == dims)
+    sums = same.select("raw").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    found = np.zeros((dims + 1, dims))
     for r in sums.collect():
-        matrix[r.i, r.j] = r.v
+        found[r.i, r.j] = r.v
+    # Where all vectors share a direction, that direction tells them apart no more than their mean does: spread is taken about the mean.
+    matrix = found[:dims] - np.outer(found[dims], found[dims]) / max(1, same.count())
     return np.linalg.eigh((matrix + matrix.T) / 2)[1][:, ::-1]
 
 

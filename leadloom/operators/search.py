@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import norm_text
@@ -16,6 +16,26 @@ def postings(docs: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "term")).where("term <> ''")
 
 
+class Index:
+    """A posting table and a table of lengths at a place that outlives the query: built once, read by every search.
+
+    Postings are dealt to files by ranges of (term, id) and sorted within them, so a search reads only the row groups that its
+    terms can lie in, and a term that most rows hold is spread over files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.lengths = spark.read.parquet(f"{path}/lengths")
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, id_col: str, *text_cols: str) -> Index:
+        spark = docs.sparkSession
+        rows = postings(docs, id_col, *text_cols)
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "pos").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        spark.read.parquet(f"{path}/postings").groupBy("id").agg(F.count("*").alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+        return Index(spark, path)
+
+
 def _hits(index: DataFrame, term: str, prefix: bool = False) -> DataFrame:
     return index.where(F.col("term").startswith(term) if prefix else F.col("term") == term)
 
@@ -36,8 +56,11 @@ def search(
 
     if all_of:
         last = len(all_of) - 1
+        # A plain filter that the scan can prune by; the word's place is told apart after it.
+        wanted = F.col("term").isin(*all_of)
+        index_hits = index.where(wanted | F.col("term").startswith(all_of[last]) if prefix_last else wanted)
         place = F.coalesce(*[F.when(F.col("term").startswith(w) if prefix_last and k == last else F.col("term") == w, k) for k, w in enumerate(all_of)])
-        hits = index.withColumn("w", place).where("w is not null")
+        hits = index_hits.withColumn("w", place).where("w is not null")
         if prefix_last and any(w.startswith(all_of[last]) for w in all_of[:last]):
             hits = hits.withColumn("w", F.explode(F.array_compact(F.array("w", F.when(F.col("term").startswith(all_of[last]), last)))))
         found = hits.groupBy("id").agg(F.count_distinct("w").alias("n")).where(F.col("n") == len(set(all_of))).select("id")
@@ -57,9 +80,9 @@ def search(
     return found
 
 
-def bm25(index: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(index: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
     """id, score of the rows that hold a term: the Robertson and Zaragoza formula, idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    lengths = index.groupBy("id").agg(F.count("*").alias("len"))
+    lengths = lengths if lengths is not None else index.groupBy("id").agg(F.count("*").alias("len"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     tf = index.where(F.col("term").isin(*terms)).groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -70,8 +93,8 @@ def bm25(index: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.7
     return rows.groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def ranked(index: DataFrame, ids: DataFrame, terms: Sequence[str], limit: int) -> DataFrame:
-    return bm25(index, terms).join(ids, "id", "left_semi").orderBy(F.desc("score"), "id").limit(limit)
+def ranked(index: DataFrame, ids: DataFrame, terms: Sequence[str], limit: int, lengths: DataFrame | None = None) -> DataFrame:
+    return bm25(index, terms, lengths=lengths).join(ids, "id", "left_semi").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def contains_any(rows: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:

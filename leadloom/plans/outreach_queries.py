@@ -6,6 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from leadloom.functions import contact
 from leadloom.operators import history, kpi, lifecycle, lists, outreach, resolve, search
 from leadloom.plans.data_queries import _drained, _index, _stream
 from leadloom.plans.kpi_queries import EMAIL, PHONE
@@ -22,7 +23,7 @@ RECORDS = """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'abc' WHEN
 NESTED = """SELECT p_partkey AS id, concat('{"title":"', CASE WHEN p_partkey % 8 = 0 THEN 'Abc' ELSE concat('Casa ', p_brand) END, '","categoryName":"', CASE WHEN p_partkey % 7 = 0 THEN 'Desporto' ELSE 'Casas' END, '","listID":', CAST(p_partkey AS STRING), ',"price":', CAST(p_size AS STRING), ',"name":"', p_brand, '","companyAd":', CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END, ',"locationNames":{"district":"Lisboa"', CASE WHEN p_partkey % 2 = 0 THEN ',"county":"Oeiras"' ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN ',"parish":""' ELSE ',"parish":"Algés"' END, '}}') AS payload FROM part"""
 STATE_PAGES = """SELECT p_partkey AS page_id, concat('<html><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"listItems":[{"listID":', CAST(p_partkey AS STRING), ',"price":', CAST(p_size AS STRING), '},{"listID":', CAST(p_partkey + 1000000 AS STRING), ',"price":1}]}}}</script></html>') AS html FROM part"""
 COMPANIES = "SELECT concat('Agency ', CAST(s_suppkey AS STRING)) AS agency_name, CASE WHEN s_suppkey % 2 = 0 THEN concat('+35121', lpad(CAST(s_suppkey AS STRING), 7, '6')) END AS phone, CASE WHEN s_suppkey % 3 = 0 THEN concat('geral@a', CAST(s_suppkey AS STRING), '.pt') END AS email, concat('a', CAST(s_suppkey AS STRING), '.pt') AS domain FROM supplier WHERE s_suppkey < 24"
-ADS = """SELECT o_orderkey AS id, c_custkey % 9 = 0 AS odd, CASE o_orderkey % 5 WHEN 0 THEN concat('Ligue 91', lpad(CAST(o_custkey % 9000000 + 1234567 AS STRING), 7, '4')) WHEN 1 THEN concat('escreva para ana', CAST(o_custkey AS STRING), '@casa.pt.') WHEN 2 THEN concat('ver www.casa', CAST(o_custkey % 90 AS STRING), '.pt hoje') ELSE 'sem contacto' END AS ad,
+ADS = """SELECT o_orderkey AS id, c_custkey % 9 = 0 AS odd, CASE o_orderkey % 5 WHEN 0 THEN concat('Ligue 91', lpad(CAST(o_custkey % 9000000 + 1234567 AS STRING), 7, '4')) WHEN 1 THEN concat('escreva para ana', CAST(o_custkey AS STRING), '@casa.pt hoje') WHEN 2 THEN concat('ver www.casa', CAST(o_custkey % 90 AS STRING), '.pt hoje') ELSE 'sem contacto' END AS ad,
   CASE WHEN o_custkey % 4 = 0 THEN '+351912345678' END AS contact_phone, CASE WHEN o_custkey % 3 = 0 THEN 'x@y.pt' END AS contact_email, CASE WHEN o_custkey % 7 = 0 THEN 'z.pt' END AS contact_website FROM orders JOIN customer ON o_custkey = c_custkey"""
 SIGNAL_FEED = "SELECT o_orderkey AS id, o_orderpriority AS source, CASE o_orderkey % 3 WHEN 0 THEN 'building_permit' WHEN 1 THEN 'job_change' ELSE 'renovation_ad' END AS signal_type, o_orderstatus AS zone, CAST(o_custkey % 100 AS INT) AS signal_score, o_orderdate AS created_at FROM orders"
 STAGES = ("novo", "contactado", "negociacao", "ganho", "perdido")
@@ -74,6 +75,21 @@ def c10_options(spark, sf):
     return outreach.options(view(spark, sf, SIGNAL_FEED), ["signal_type", "zone", "source"])
 
 
+def a16_sitemap(spark, sf):
+    """Pages' urls as a sitemap, read again."""
+    path = f"{shared_dir(spark)}/sitemap-{uuid4().hex}"
+    table(spark, sf, "pages").select(F.col("url").alias("loc")).write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return html.sitemap_urls(spark, path)
+
+
+def b39_phones_in_ads(spark, sf):
+    return view(spark, sf, ADS).select("id", F.array_join(contact.phones_in_text(F.col("ad")), ",").alias("phones"))
+
+
+def b45_emails_in_ads(spark, sf):
+    return view(spark, sf, ADS).select("id", F.array_join(contact.emails_in_text(F.col("ad")), ",").alias("emails"))
+
+
 def a19_flat_records(spark, sf):
     return outreach.flattened(view(spark, sf, NESTED))
 
@@ -225,7 +241,7 @@ def n5_late_rows(spark, sf):
     return streams.counted_with_late(rows, "ts", "1 day", "0 seconds", f"{shared_dir(spark)}/late-{uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (b8_first_url, b16_goods_price, b30_motives, b33_signal_type, b37_label_codes, c3_actionable, c4_client_zones, c7_without_rooms, c9_good_records, c10_signals, c10_options, a11_csv_sink, a12_json_sink, a13_sheets_sink, a19_flat_records, a17_state_items, a17_gap_filled, d10_staged_fill, d10_stage_counts, d19_activity, d21_searched_list, d24_company_contacts, d25_contacts_from_text, e14_funnel_window, e19_daily_drops, e19_daily_sources, e20_tiers, e24_motive_frequency, e25_list_summary, g6_ranked, h1_by_score_with_phone, h6_hot_opportunities, h8_best_signals, h9_sweep_page, i3_imports, j7_drop_payload, j8_recomputed, n2_stream_drops, n3_stream_days, n4_stream_upserts, n5_late_rows)}
+QUERIES = {f.__name__: f for f in (a16_sitemap, b39_phones_in_ads, b45_emails_in_ads, b8_first_url, b16_goods_price, b30_motives, b33_signal_type, b37_label_codes, c3_actionable, c4_client_zones, c7_without_rooms, c9_good_records, c10_signals, c10_options, a11_csv_sink, a12_json_sink, a13_sheets_sink, a19_flat_records, a17_state_items, a17_gap_filled, d10_staged_fill, d10_stage_counts, d19_activity, d21_searched_list, d24_company_contacts, d25_contacts_from_text, e14_funnel_window, e19_daily_drops, e19_daily_sources, e20_tiers, e24_motive_frequency, e25_list_summary, g6_ranked, h1_by_score_with_phone, h6_hot_opportunities, h8_best_signals, h9_sweep_page, i3_imports, j7_drop_payload, j8_recomputed, n2_stream_drops, n3_stream_days, n4_stream_upserts, n5_late_rows)}
 
 _CASE = lambda values: " ".join(f"WHEN {k} THEN {v}" for k, v in values)
 _LIVE = "NOT archived AND NOT is_demo"
@@ -233,6 +249,9 @@ _MOTIVE = "CASE id % 11 WHEN 0 THEN 'Heranca,Urgencia' WHEN 1 THEN 'Divorcio' WH
 _CONF = f"CASE WHEN {PHONE} OR coalesce(contact_whatsapp <> '', false) THEN 100 WHEN {EMAIL} THEN 70 WHEN coalesce(contact_website <> '', false) THEN 40 WHEN coalesce(contact_name <> '', false) THEN 30 ELSE 0 END"
 
 ORACLE_SQL = {
+    "a16_sitemap": "SELECT trim(url) AS url FROM pages WHERE trim(url) <> ''",
+    "b39_phones_in_ads": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN '+35191' || lpad((o_custkey % 9000000 + 1234567)::VARCHAR, 7, '4') ELSE '' END AS phones FROM orders",
+    "b45_emails_in_ads": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'ana' || o_custkey || '@casa.pt' ELSE '' END AS emails FROM orders",
     "b8_first_url": "SELECT l_orderkey AS id, coalesce(arg_min('u' || l_partkey, (l_linenumber, 'u' || l_partkey)) FILTER (WHERE l_partkey % 3 <> 0), '') AS url FROM lineitem GROUP BY 1",
     "b16_goods_price": "SELECT id, CASE WHEN v > 0 AND v < 50000 THEN v END AS goods, CASE WHEN v >= 15000 AND v < 500000 THEN v END AS vehicle FROM (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_partkey WHEN 1 THEN (p_partkey % 900) * 1000 + 500 WHEN 3 THEN (p_partkey % 90) * 1000 + 250.5 END::DOUBLE AS v FROM part)",
     "b30_motives": f"SELECT id, {_MOTIVE} AS motives FROM (SELECT o_orderkey AS id FROM orders)",

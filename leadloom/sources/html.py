@@ -62,6 +62,11 @@ def page_phones(html: Column) -> Column:
     return F.array_distinct(F.concat(valid_phones(F.concat(*passes)), phones_in_text(F.regexp_replace(F.regexp_replace(h, r"(?is)<script.*?</script>", " "), "<[^>]*>", " "))))
 
 
+def sitemap_urls(spark, path: str) -> DataFrame:
+    """The url of every entry of sitemap files."""
+    return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path).select(F.trim("loc").alias("url")).where(present(F.col("url")))
+
+
 def kept_urls(urls: DataFrame, paths: Sequence[str], slugs: Sequence[str], limit: int = 5000) -> DataFrame:
     """Distinct urls that hold one of the paths and one of the slugs."""
     any_of = lambda words: F.lower("url").rlike("|".join(w.lower() for w in words))

@@ -64,13 +64,10 @@ def _key(name: str) -> str:
 
 def column_map(headers: Sequence[str], synonyms: dict[str, Sequence[str]] = SYNONYMS) -> dict[str, str]:
     """header -> canonical name; the first header of a canonical name wins."""
-    out: dict[str, str] = {}
-    for name, words in synonyms.items():
-        keys = {_key(w) for w in words}
-        hit = next((h for h in headers if h not in out and _key(h) in keys), None)
-        if hit is not None:
-            out[hit] = name
-    return out
+    by_word = {_key(w): name for name, words in reversed(synonyms.items()) for w in words}
+    named = [(h, by_word[_key(h)]) for h in headers if _key(h) in by_word]
+    first = dict((name, h) for h, name in reversed(named))
+    return {h: name for h, name in named if first[name] == h}
 
 
 def canonical(rows: DataFrame, synonyms: dict[str, Sequence[str]] = SYNONYMS) -> DataFrame:

@@ -26,16 +26,26 @@ def normal_text(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed, sorted index at a location. buckets is fixed when the index is created."""
+    """A bucketed, sorted index at a location. The number of buckets is fixed when the index is created and kept beside it."""
 
     def __init__(self, spark: SparkSession, location: str, buckets: int = 64):
-        self.spark, self.location, self.buckets = spark, location, buckets
+        self.spark, self.location = spark, location
+        self.buckets = self._kept_buckets(buckets)
         self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, location).hex}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'"
         )
 
+    def _kept_buckets(self, buckets: int) -> int:
+        """The number that the files at the location were dealt by; a new index takes the given one."""
+        path = f"{self.location}-buckets"
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.read.schema("buckets int").parquet(path).first().buckets
+        self.spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(path)
+        return buckets
+
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
 

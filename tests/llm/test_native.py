@@ -32,7 +32,8 @@ def test_index_outlives_batches(spark):
     for _ in range(2):  # a batch that is sent again changes nothing
         assert {(r.doc_id, r.kept) for r in exact_dedup.deduplicate(first, index).collect()} == {(10, True), (11, True)}
     spark.sql(f"DROP TABLE {index.table}")  # a new session attaches to the location
-    again = exact_dedup.DigestIndex(spark, index.location, buckets=4)
+    again = exact_dedup.DigestIndex(spark, index.location, buckets=9)
+    assert again.buckets == 4  # the number is the index's own
     assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.deduplicate(docs(spark, [(1, "a", "x"), (2, "c", "x"), (3, "c", "x")]), again).collect()} == {(1, 10, False), (2, 2, True), (3, 2, False)}
     assert again.entries().count() == 3
 
@@ -114,7 +115,7 @@ def test_toxicity_windows_are_whole_words_and_lengths_are_zstandards(spark):
         return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window))
 
     words = [rng.choice([b"ka", b"lo", b"grumpleworst", b"other", b"zibnak"]) for _ in range(400)]
-    wanted = [length(model.ordinary, x) - length(model.toxic, x) for x in toxicity.windows(words)]
+    wanted = [max(toxicity.LOWEST, min(toxicity.HIGHEST, length(model.ordinary, x) - length(model.toxic, x))) for x in toxicity.windows(words)]
     assert (model.scorer().compare(words) + toxicity.LOWEST).tolist() == wanted and max(wanted) > 3
 
 
@@ -125,8 +126,8 @@ def test_a_toxic_passage_counts_in_a_long_text():
     bad = ["grumpleworst", "zibnak", "fudgewit", "quorx"]
     sample = []
     for k in range(600):
-        words = [word() for _ in range(rng.randint(20, 80))]
-        for _ in range(4 * (k % 3 == 0)):
+        words = [word() for _ in range(rng.randint(150, 300))]
+        for _ in range(6 * (k % 3 == 0)):
             words[rng.randrange(len(words))] = rng.choice(bad)
         sample.append((" ".join(words).encode(), int(k % 3 == 0)))
     scorer = toxicity.fit(sample).scorer()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.text import elapsed_days, fold
 from leadloom.operators.kpi import live
+from leadloom.operators.scoring import window_rank
 
 # Follow-up days by stage, and allowed moves.
 SCHEDULES = {"novo": (1, 3), "contactado": (3, 7, 14), "negociacao": (2, 5, 10)}
@@ -90,6 +91,18 @@ def without_demo(leads: DataFrame, children: DataFrame, key: str = "lead_id") ->
     return children.join(leads.where("is_demo").select(F.col("id").alias(key)), key, "left_anti")
 
 
+def bulk_move(leads: DataFrame, ids: DataFrame, stage: str, transitions: dict[str, Sequence[str]] = TRANSITIONS) -> DataFrame:
+    """The chosen leads with the stage they end in, and whether the move was allowed."""
+    chosen = ids.select("id").distinct()
+    allowed = fold(F.col("crm_stage")).isin(*[a for a, bs in transitions.items() if stage in bs])
+    return leads.join(chosen, "id").select("id", F.when(allowed, stage).otherwise(fold(F.col("crm_stage"))).alias("stage"), F.coalesce(allowed, F.lit(False)).alias("moved"))
+
+
+def latest_notes(notes: DataFrame, k: int = 3) -> DataFrame:
+    """The newest notes of each lead, and their place."""
+    return window_rank(notes, "lead_id", [F.desc("created_at"), F.desc("id")], k)
+
+
 def bulk_update(leads: DataFrame, ids: DataFrame, priority: bool | None = None, archive: bool | None = None) -> DataFrame:
     chosen = ids.select("id").distinct().withColumn("chosen", F.lit(True))
     rows = leads.join(chosen, "id", "left")

@@ -16,10 +16,32 @@ FIELDS = ("title", "description", "price_raw", "area_raw", "location", "url", "e
 # Points of signals by type, words of message parts, agencies' sites.
 SIGNAL_POINTS = {"building_permit": 80, "renovation_ad": 60, "job_change": 50, "city_change": 70}
 AGENCY_SITES = (
-    (r"\bremax\b|\bre/max\b", "remax.pt"), (r"\bera\b", "era.pt"), (r"\bzome\b", "zome.pt"), (r"\bkw\b|\bkeller\s*williams\b", "kwportugal.pt"), (r"\bcentury\s*21\b", "century21.pt"),
-    (r"\bcoldwell\s*banker\b", "coldwellbanker.pt"), (r"\bsotheby", "sothebysrealty.pt"), (r"\bjll\b", "jll.pt"), (r"\bsavills\b", "savills.pt"),
-)
-NOT_AGENCY = r"\bera (?:uma|o|a|os|as)\b"
+    (r"\bremax\b|\bre/max\b|\bre\.max\b", "remax.pt"),
+    (r"\bera\b", "era.pt"),
+    (r"\bzome\b", "zome.pt"),
+    (r"\bkw\b|\bkeller\s*williams\b|\bkwportugal\b", "kwportugal.pt"),
+    (r"\bcentury\s*21\b", "century21.pt"),
+    (r"\bcoldwell\s*banker\b", "coldwellbanker.pt"),
+    (r"\bengel\b.*\bv[oö]lkers\b|\bev\b.*\breal\s*estate\b", "engelvoelkers.com/pt-pt"),
+    (r"\bsotheby\b", "sothebysrealty.pt"),
+    (r"\bknight\s*frank\b|\bquintela.*penalva\b", "knightfrank.pt"),
+    (r"\bjll\b|\bjones\s*lang\b", "jll.pt"),
+    (r"\bsavills\b", "savills.pt"),
+    (r"\bcushman\b|\bwakefield\b", "cushmanwakefield.com"),
+    (r"\bhabisale\b", "habisale.pt"),
+    (r"\bpf\s*real\s*estate\b", "pf-realestate.pt"),
+    (r"\blive\s*in\s*portugal\b", "liveinportugal.pt"),
+    (r"\blisboa\s*invest\b", "lisboainvest.pt"),
+    (r"\bpredimed\b", "predimed.pt"),
+    (r"\bvital\s*prime\b|\bvitalprime\b", "vitalprime.pt"),
+    (r"\bimovision\b", "imovision.pt"),
+    (r"\bcoelho\s*da\s*silva\b", "coelhodasilva.pt"),
+    (r"\bbernard.*raposo\b|\braposo.*bernard\b", "bernardesraposo.pt"),
+    (r"\bimokuantum\b|\bkuantum\b", "imokuantum.pt"),
+    (r"\b3c\s*imobili[aá]ria\b", "3cimobiliaria.pt"),
+)
+#: A text with one of these speaks, it doesn't name an agency.
+ERA_PHRASES = ("era uma", "era o", "era a ", "era os", "era as")
 NOISE_WORDS = r"\b(?:imobili[aá]ria|media[çc][aã]o|sociedade|unipessoal|lda|sa|grupo)\b"
 
 
@@ -57,9 +79,12 @@ def normalize_sources(raw: dict[str, DataFrame], config: dict[str, dict[str, Seq
 
 
 def agency_site(name: Column, table: Sequence[tuple[str, str]] = AGENCY_SITES) -> Column:
-    """The site of the first agency named; an everyday phrase with a short name is none."""
+    """The site of the first agency named; a short name that is an everyday word isn't one where the text speaks."""
     text = F.lower(F.coalesce(name, F.lit("")))
-    return classify.ladder(F.regexp_replace(text, NOT_AGENCY, " "), table)
+    speaks = F.lit(False)
+    for phrase in ERA_PHRASES:
+        speaks = speaks | text.contains(phrase)
+    return classify.ladder(F.when(speaks, F.regexp_replace(text, r"\bera\b", " ")).otherwise(text), table)
 
 
 def candidate_sites(name: Column) -> Column:
@@ -105,6 +130,25 @@ def permits(rows: DataFrame, as_of: str, days: int = 90, top: int = 100) -> Data
 RELAXED_RUNGS = ((0.02, 1.0), (0.10, 0.6), (0.20, 0.25))
 
 
+def permit_signals(rows: DataFrame, as_of: str, days: int = 90, top: int = 100) -> DataFrame:
+    """The newest renovation permits as signals, scored by their type."""
+    kind = F.lit("building_permit")
+    found = permits(rows, as_of, days, top)
+    return found.select("id", fingerprint(kind, F.col("zone"), F.col("subject")).alias("fingerprint"), kind.alias("signal_type"), "zone", F.col("subject").alias("signal_text"), signal_points(kind).alias("signal_score"))
+
+
+def signal_counts(sources: Sequence[DataFrame], existing: DataFrame) -> DataFrame:
+    """Per source its signals, those that are new by fingerprint, and those that are skipped."""
+    both = sources[0]
+    for s in sources[1:]:
+        both = both.unionByName(s)
+    keyed = both.withColumn("fingerprint", fingerprint(F.col("signal_type"), F.col("zone"), F.col("signal_text")))
+    first = keyed.groupBy("fingerprint").agg(F.min_by("source", "id").alias("first_source"))
+    new = first.join(existing.select("fingerprint").distinct(), "fingerprint", "left_anti").groupBy(F.col("first_source").alias("source")).agg(F.count("*").alias("new"))
+    counts = keyed.groupBy("source").agg(F.count("*").alias("n")).join(new, "source", "left")
+    return counts.select("source", "n", F.coalesce("new", F.lit(0)).alias("new"), (F.col("n") - F.coalesce("new", F.lit(0))).alias("skipped"))
+
+
 def relaxed_match(targets: DataFrame, donors: DataFrame, strict: float = 0.60, loose: float = 0.65) -> DataFrame:
     """Best donor of the same zone and kind (an unknown donor kind fits any) by title and price; without both prices the threshold is higher.
 

@@ -173,6 +173,31 @@ def tiers(leads: DataFrame) -> DataFrame:
     )
 
 
+def unscored(leads: DataFrame) -> DataFrame:
+    return leads.where(~F.col("archived") & F.col("score").isNull())
+
+
+def hot_leads(leads: DataFrame, threshold: int = 60) -> DataFrame:
+    return live(leads).where(F.col("score") >= threshold)
+
+
+def confidence_shares(leads: DataFrame) -> DataFrame:
+    """Rows by label and confidence, and their share of the label."""
+    counts = live(leads).groupBy("score_label", F.coalesce("contact_confidence", F.lit(0)).alias("confidence")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") * F.lit(100.0) / F.sum("n").over(Window.partitionBy("score_label")), 1))
+
+
+def active_owners(leads: DataFrame) -> DataFrame:
+    """Active owners by source: rows, reachable ones, mean score."""
+    return live(leads).where(F.col("lead_type") == "active_owner").groupBy("discovery_source").agg(F.count("*").alias("n"), count_if(has_phone(), "with_phone"), F.round(F.avg("score"), 1).alias("avg_score"))
+
+
+def system_counts(leads: DataFrame, raw: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows of the tables in one row."""
+    own = leads.agg(F.count("*").alias("leads"), count_if(F.col("is_demo"), "demo"), count_if(F.col("archived"), "archived"), count_if(has_phone(), "with_phone"))
+    return own.join(raw.agg(F.count("*").alias("raw"))).join(notes.agg(F.count("*").alias("notes")))
+
+
 def list_summary(rows: DataFrame) -> DataFrame:
     """The summary of a contact list: labels, owners and agencies, zones and sources."""
     label = F.col("score_label")

@@ -7,9 +7,10 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from leadloom.functions import contact
-from leadloom.operators import history, kpi, lifecycle, lists, outreach, resolve, search
+from leadloom.operators import history, kpi, lifecycle, lists, normalize, outreach, resolve, search
 from leadloom.plans.data_queries import _drained, _index, _stream
 from leadloom.plans.kpi_queries import EMAIL, PHONE
+from leadloom.plans.more_queries import PERMITS, SIGNAL_ROWS
 from leadloom.plans.views import AS_OF, NOTES, PRICES, leads, shared_dir, table, view, with_leads
 from leadloom.sources import html, ingest
 from leadloom.streaming import streams
@@ -217,6 +218,50 @@ def j8_recomputed(spark, sf):
     return outreach.recomputed(leads(spark, sf))
 
 
+def a15_permit_signals(spark, sf):
+    return normalize.permit_signals(view(spark, sf, PERMITS.replace(" FROM orders", ", o_orderstatus AS zone FROM orders")), AS_OF, 400)
+
+
+def i1_signal_counts(spark, sf):
+    rows = view(spark, sf, SIGNAL_ROWS)
+    old = rows.where("signal_type = 'other'").withColumn("fingerprint", normalize.fingerprint(F.col("signal_type"), F.col("zone"), F.col("signal_text")))
+    return normalize.signal_counts([rows.where("source = 'cm'"), rows.where("source = 'ads'")], old)
+
+
+def b47_known_agencies(spark, sf):
+    rows = view(spark, sf, "SELECT c_custkey AS id, CASE c_custkey % 12 WHEN 0 THEN 'Engel & Völkers' WHEN 1 THEN 'Quintela + Penalva' WHEN 2 THEN 'Cushman' WHEN 3 THEN 'HabiSale' WHEN 4 THEN 'era uma casa' WHEN 5 THEN 'ERA Lisboa' WHEN 6 THEN 'Predimed Sul' WHEN 7 THEN 'VitalPrime' WHEN 8 THEN 'Coelho da Silva' WHEN 9 THEN '3C Imobiliária' WHEN 10 THEN NULL ELSE c_name END AS name FROM customer")
+    return rows.select("id", normalize.agency_site(F.col("name")).alias("site"))
+
+
+def c2_unscored(spark, sf):
+    return outreach.unscored(leads(spark, sf)).select("id")
+
+
+def c2_hot(spark, sf):
+    return outreach.hot_leads(leads(spark, sf)).select("id", "score")
+
+
+def e3_confidence_shares(spark, sf):
+    return outreach.confidence_shares(leads(spark, sf))
+
+
+def e8_owners_by_source(spark, sf):
+    return outreach.active_owners(leads(spark, sf))
+
+
+def e28_table_counts(spark, sf):
+    return outreach.system_counts(leads(spark, sf), table(spark, sf, "events"), view(spark, sf, NOTES))
+
+
+def j5_latest_notes(spark, sf):
+    return lifecycle.latest_notes(view(spark, sf, NOTES)).select("lead_id", "place", "id")
+
+
+def j9_bulk_move(spark, sf):
+    rows = leads(spark, sf)
+    return lifecycle.bulk_move(rows, rows.where("priority_flag"), "negociacao")
+
+
 def n2_stream_drops(spark, sf):
     rows = _stream(spark, sf).select(F.col("user_id").alias("lead_id"), F.col("value").alias("price"), F.col("ts").cast("timestamp").alias("ts"))
     found = streams.drop_alerts(rows, "lead_id", "price", "ts", "10 days", "5 days", "1 hour", 0.5)
@@ -241,7 +286,7 @@ def n5_late_rows(spark, sf):
     return streams.counted_with_late(rows, "ts", "1 day", "0 seconds", f"{shared_dir(spark)}/late-{uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (a16_sitemap, b39_phones_in_ads, b45_emails_in_ads, b8_first_url, b16_goods_price, b30_motives, b33_signal_type, b37_label_codes, c3_actionable, c4_client_zones, c7_without_rooms, c9_good_records, c10_signals, c10_options, a11_csv_sink, a12_json_sink, a13_sheets_sink, a19_flat_records, a17_state_items, a17_gap_filled, d10_staged_fill, d10_stage_counts, d19_activity, d21_searched_list, d24_company_contacts, d25_contacts_from_text, e14_funnel_window, e19_daily_drops, e19_daily_sources, e20_tiers, e24_motive_frequency, e25_list_summary, g6_ranked, h1_by_score_with_phone, h6_hot_opportunities, h8_best_signals, h9_sweep_page, i3_imports, j7_drop_payload, j8_recomputed, n2_stream_drops, n3_stream_days, n4_stream_upserts, n5_late_rows)}
+QUERIES = {f.__name__: f for f in (a15_permit_signals, b47_known_agencies, c2_hot, c2_unscored, e3_confidence_shares, e8_owners_by_source, e28_table_counts, i1_signal_counts, j5_latest_notes, j9_bulk_move, a16_sitemap, b39_phones_in_ads, b45_emails_in_ads, b8_first_url, b16_goods_price, b30_motives, b33_signal_type, b37_label_codes, c3_actionable, c4_client_zones, c7_without_rooms, c9_good_records, c10_signals, c10_options, a11_csv_sink, a12_json_sink, a13_sheets_sink, a19_flat_records, a17_state_items, a17_gap_filled, d10_staged_fill, d10_stage_counts, d19_activity, d21_searched_list, d24_company_contacts, d25_contacts_from_text, e14_funnel_window, e19_daily_drops, e19_daily_sources, e20_tiers, e24_motive_frequency, e25_list_summary, g6_ranked, h1_by_score_with_phone, h6_hot_opportunities, h8_best_signals, h9_sweep_page, i3_imports, j7_drop_payload, j8_recomputed, n2_stream_drops, n3_stream_days, n4_stream_upserts, n5_late_rows)}
 
 _CASE = lambda values: " ".join(f"WHEN {k} THEN {v}" for k, v in values)
 _LIVE = "NOT archived AND NOT is_demo"
@@ -249,6 +294,16 @@ _MOTIVE = "CASE id % 11 WHEN 0 THEN 'Heranca,Urgencia' WHEN 1 THEN 'Divorcio' WH
 _CONF = f"CASE WHEN {PHONE} OR coalesce(contact_whatsapp <> '', false) THEN 100 WHEN {EMAIL} THEN 70 WHEN coalesce(contact_website <> '', false) THEN 40 WHEN coalesce(contact_name <> '', false) THEN 30 ELSE 0 END"
 
 ORACLE_SQL = {
+    "a15_permit_signals": f"SELECT id, sha256('building_permit|' || lower(o_orderstatus) || '|' || lower(subject))[:16] AS fingerprint, 'building_permit' AS signal_type, o_orderstatus AS zone, subject AS signal_text, 80 AS signal_score FROM ({PERMITS.replace(' FROM orders', ', o_orderstatus FROM orders')}) WHERE issued_at >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY AND regexp_matches(lower(subject), 'renova|remodel|obra|repair|alter') ORDER BY issued_at DESC, id LIMIT 100",
+    "b47_known_agencies": "SELECT c_custkey AS id, CASE c_custkey % 12 WHEN 0 THEN 'engelvoelkers.com/pt-pt' WHEN 1 THEN 'knightfrank.pt' WHEN 2 THEN 'cushmanwakefield.com' WHEN 3 THEN 'habisale.pt' WHEN 5 THEN 'era.pt' WHEN 6 THEN 'predimed.pt' WHEN 7 THEN 'vitalprime.pt' WHEN 8 THEN 'coelhodasilva.pt' WHEN 9 THEN '3cimobiliaria.pt' END AS site FROM customer",
+    "c2_hot": with_leads("SELECT id, score FROM live WHERE score >= 60"),
+    "c2_unscored": with_leads("SELECT id FROM leads WHERE NOT archived AND score IS NULL"),
+    "e3_confidence_shares": with_leads("SELECT score_label, confidence, n, round(n * 100.0 / sum(n) OVER (PARTITION BY score_label), 1)::DOUBLE AS share FROM (SELECT score_label, coalesce(contact_confidence, 0) AS confidence, count(*) AS n FROM live GROUP BY 1, 2)"),
+    "e8_owners_by_source": with_leads(f"SELECT discovery_source, count(*) AS n, count(*) FILTER (WHERE {PHONE}) AS with_phone, round(avg(score), 1) AS avg_score FROM live WHERE lead_type = 'active_owner' GROUP BY 1"),
+    "e28_table_counts": with_leads(f"SELECT count(*) AS leads, count(*) FILTER (WHERE is_demo) AS demo, count(*) FILTER (WHERE archived) AS archived, count(*) FILTER (WHERE {PHONE}) AS with_phone, (SELECT count(*) FROM events) AS raw, (SELECT count(*) FROM notes) AS notes FROM leads"),
+    "i1_signal_counts": f"WITH s AS (SELECT *, concat_ws('|', signal_type, lower(zone), signal_text) AS fp FROM ({SIGNAL_ROWS})), f AS (SELECT fp, arg_min(source, id) AS source FROM s GROUP BY 1 HAVING NOT bool_or(signal_type = 'other')) SELECT source, n, coalesce(m, 0) AS \"new\", n - coalesce(m, 0) AS skipped FROM (SELECT source, count(*) AS n FROM s GROUP BY 1) LEFT JOIN (SELECT source, count(*) AS m FROM f GROUP BY 1) USING (source)",
+    "j5_latest_notes": with_leads("SELECT lead_id, place::INT AS place, id FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY created_at DESC, id DESC) AS place FROM notes) WHERE place <= 3"),
+    "j9_bulk_move": with_leads("SELECT id, CASE WHEN crm_stage = 'contactado' THEN 'negociacao' ELSE crm_stage END AS stage, crm_stage = 'contactado' AS moved FROM leads WHERE priority_flag"),
     "a16_sitemap": "SELECT trim(url) AS url FROM pages WHERE trim(url) <> ''",
     "b39_phones_in_ads": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN '+35191' || lpad((o_custkey % 9000000 + 1234567)::VARCHAR, 7, '4') ELSE '' END AS phones FROM orders",
     "b45_emails_in_ads": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'ana' || o_custkey || '@casa.pt' ELSE '' END AS emails FROM orders",

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import as_bytes, released, tokens, written
+from leadloom.llm.common import as_bytes, forgotten, released, tokens, written
 from leadloom.llm.components import components
 
 #: Width of a size band: its upper end over its lower end.
@@ -231,19 +231,25 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         return table
 
     prof, prof_path = written(profiles(docs, n, percent), "profiles")
+    slim, _ = written(prof.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")).alias("node")), "nodes")
     real = prof.where("doc_id is not null and n_shingles > 0")
     keyed = real.select("node", F.explode("bands").alias("at")).select("node", "at.band", "at.spared", F.explode("at.keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low != high")
     shared = kept(shared.select("key", "rows"), "shared")
+    forgotten(spark)  # the shuffle of all keys
     # Written before copies are collapsed, so that the join can split hot keys and the collapse starts map-side.
-    met = kept(kept(keyed.join(shared, "key"), "met").distinct(), "unique")
+    met = kept(keyed.join(shared, "key"), "met")
+    del keyed, real, prof
+    released(spark, prof_path)
+    forgotten(spark)
+    met = kept(met.distinct(), "unique")
     frequent = Window.partitionBy("node", "band").orderBy(F.desc("rows"), "key")
     rare = kept(met.withColumn("place", F.row_number().over(frequent)).where("place > spared").select("key", "node", "band"), "rare")
     by_hash = F.struct(F.xxhash64("node"), F.col("node"))
     hubs = rare.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(by_hash)["node"].alias("other")).where("low != high")
     members = kept(rare.join(kept(hubs, "hubs"), "key"), "members")
 
-    ids = kept(real.groupBy("node").agg(F.min("doc_id").alias("smallest")), "ids")
+    ids = kept(slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest")), "ids")
     wanted = kept(ids.join(members.select("node").distinct(), "node").select("node", F.col("smallest").alias("doc_id")), "wanted")
     sets = kept(_sets(docs, wanted, n, percent), "sets")
     # Sets are wide: where documents are repeated, the first row of each node is found from two narrow columns.
@@ -294,6 +300,5 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     grouped = kept(component(ids, "node", "component"), "grouped")
     smallest = kept(grouped.groupBy("component").agg(F.min("smallest").alias("component_id")), "smallest")
     classes, _ = written(grouped.join(smallest, "component").select("node", "component_id"), "classes")
-    slim, _ = written(prof.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")).alias("node")), "nodes")
-    released(spark, prof_path, *paths)
+    released(spark, *paths)
     return slim.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

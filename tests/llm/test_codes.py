@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 
 from leadloom.llm import dac, sentencepiece_viterbi, token_ids
-from leadloom.llm.queries import TOKENIZERS
+from leadloom.llm.queries import PIECE_BPE as PIECES
+from leadloom.llm.queries import WORD_BPE
 
-WORD_BPE, PIECES = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long"
 TEXTS = ["", None, " ", "the cat sat", "a\n\n  b\tc ", "it's I'LL x\x1cy \x85z", "Ünïcödé ▁ ▁▁ 字漢 🙂", "x" * 5000, "ab" * 40_000 + " end", "<|startoftext|> a<|endoftext|>", " lead  trail  "]
 

@@ -28,7 +28,6 @@ import hashlib
 import os
 import pickle
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -46,7 +45,7 @@ CHUNK, FAN = 1 << 15, 16
 #: Pairs with at least this share of all links are broadcast.
 HOT = 1 << 17
 #: Words whose groups a worker keeps at least.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 # --- the monoid ---------------------------------------------------------------------------------------------------
@@ -191,6 +190,8 @@ class Aligner:
         self.a_bytes = {k: bytes(map(alphabet.__getitem__, x)) if set(x) <= alphabet.keys() else x.encode() for x, k in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
+        self.a_sizes, self.a_names = self._tables([self.a_bytes[k] for k in range(len(self.a_bytes))], b"|")
+        self.b_sizes, self.b_names = self._tables(self.b_bytes, b";")
         plain = [x for k, x in enumerate(pieces) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
         #: Merges of B only make pieces of its vocabulary, so they can't cross two neighbours that no piece has.
         self.joined = {x + y for p in plain for x, y in zip(p, p[1:], strict=False)}
@@ -211,6 +212,12 @@ class Aligner:
             cls._of[a_path, b_path] = cls(a_path, b_path)
         return cls._of[a_path, b_path]
 
+    @staticmethod
+    def _tables(tokens: list[bytes], end: bytes) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Of all ids the number of bytes, and as objects the bytes, the decimal id with a comma, and with what ends its side of a group."""
+        names = [[*tokens], [b"%d," % k for k in range(len(tokens))], [b"%d%s" % (k, end) for k in range(len(tokens))]]
+        return np.array([len(x) for x in tokens], np.int64), tuple(np.array([*x, None], object)[:-1] for x in names)
+
     def _a_ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -227,32 +234,56 @@ class Aligner:
         return Tokens(a_ids, a_ends, b_ids, b_ends), a_bytes == a_text.encode() and b_bytes == b_text.encode()
 
     def _closed_words(self, words: list[str]) -> list[tuple[bytes, bytes, int, int, bool]]:
-        """Of each word between two common ends: the groups' text, their links, their number, the number of A tokens, and whether the bytes agree."""
-        out = []
-        for k in range(0, len(words), 1024):
-            part = words[k : k + 1024]
-            out += map(self._closed_word, part, self._a_ids(part), self._b_ids(part))
-        return out
-
-    def _closed_word(self, word: str, a: list[int], b: list[int]) -> tuple[bytes, bytes, int, int, bool]:
-        """Tokens.split, linked and text in one pass."""
-        a_parts, b_parts, data = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b], word.encode()
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
-            return b"", b"", 0, 0, False
-        groups, links, i, j, i0, j0, ahead = [], array("q"), 0, 0, 0, 0, 0
-        while i < len(a):
-            # ahead: by how many bytes A's tokens before i are ahead of B's before j.
-            links.append(a[i] << 32 | b[j])
-            x, y = ahead + len(a_parts[i]), len(b_parts[j])
-            if x == y:
-                i, j, ahead = i + 1, j + 1, 0
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                i0, j0 = i, j
-            elif x < y:
-                i, ahead = i + 1, x
-            else:
-                j, ahead = j + 1, ahead - y
-        return ";".join(groups).encode(), links.tobytes(), len(groups), len(a), True
+        """Of each word between two common ends: the groups' text, their links, their number, the number of A tokens, and whether the bytes agree.
+
+        Words that end in what isn't white space can be encoded side by side.
+        """
+        out: dict[str, tuple] = {}
+        solid = [w for w in words if not w[-1].isspace() and w[0] in self.blanks]
+        for k in range(0, len(solid), 256):
+            self._close(solid[k : k + 256], out)
+        for w in words:
+            if w not in out:
+                self._close([w], out)
+        return [out[w] for w in words]
+
+    def _close(self, words: list[str], out: dict[str, tuple]) -> None:
+        text = "".join(words)
+        a, b = (np.array(x[0], np.int64) for x in (self._a_ids([text]), self._b_ids([text])))
+        data = text.encode()
+        if b"".join(self.a_names[0][a]) != data or b"".join(self.b_names[0][b]) != data:
+            half = len(words) // 2
+            if not half:
+                out[text] = (b"", b"", 0, 0, False)
+                return
+            self._close(words[:half], out)
+            self._close(words[half:], out)
+            return
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        # Each stretch between two neighbouring ends is the overlap of one A with one B token: a link.
+        ends = np.union1d(a_ends, b_ends)
+        i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        links = a[i] << 32 | b[j]
+        common = ends[(a_ends[i] == ends) & (b_ends[j] == ends)]
+        # The groups' tokens in order: A before B. What follows a token is told by the place of the next.
+        at = np.concatenate([np.searchsorted(common, a_ends) * 2, np.searchsorted(common, b_ends) * 2 + 1])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        more = np.append(at[1:] == at[:-1], False)
+        ids, is_a = np.concatenate([a, b])[order], at % 2 == 0
+        names = np.empty(len(ids), object)
+        for side, (_, comma, end) in ((is_a, self.a_names), (~is_a, self.b_names)):
+            names[side & more] = comma[ids[side & more]]
+            names[side & ~more] = end[ids[side & ~more]]
+        names = names.tolist()
+        stops = np.cumsum([len(w.encode()) for w in words])
+        tokens_a, tokens_b = (np.searchsorted(x, stops, "right") for x in (a_ends, b_ends))
+        n_links, n_groups = (np.searchsorted(x, stops, "right").tolist() for x in (ends, common))
+        n_tokens, n_a, data = (tokens_a + tokens_b).tolist(), tokens_a.tolist(), links.tobytes()
+        t = k = g = n = 0
+        for w, t2, k2, g2, n2 in zip(words, n_tokens, n_links, n_groups, n_a, strict=True):
+            out[w] = (b"".join(names[t:t2]), data[8 * k : 8 * k2], g2 - g, n2 - n, True)
+            t, k, g, n = t2, k2, g2, n2
 
     def run(self, words: list[str], first: int, last: int) -> Fragment:
         """The fragment of words between two common ends, first and last: it has closed groups alone."""
@@ -260,7 +291,7 @@ class Aligner:
         links = np.frombuffer(b"".join(links), np.int64)
         codes, counts = np.unique(links, return_counts=True)
         n, a = sum(n_groups), sum(n_a)
-        return Fragment(Tokens(), first, Closed(b";".join(groups), a, len(links) + n - a, n, codes, counts), last, Tokens(), all(same))
+        return Fragment(Tokens(), first, Closed(b"".join(groups)[:-1], a, len(links) + n - a, n, codes, counts), last, Tokens(), all(same))
 
     def fragment(self, text: str, base: int, a_from: int, a_to: int, b_from: int, b_to: int) -> Fragment:
         """Of a chunk: A's part of text from a_from to a_to and B's from b_from to b_to; base is the byte at which text begins."""

@@ -25,6 +25,7 @@ count are all best. Columns besides doc_id and text aren't read. An empty table
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import pickle
 import re
@@ -45,7 +46,7 @@ CHUNK, FAN = 1 << 15, 16
 #: Pairs with at least this share of all links are broadcast.
 HOT = 1 << 17
 #: Words whose groups a worker keeps at least.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 200_000
 
 
 # --- the monoid ---------------------------------------------------------------------------------------------------
@@ -166,6 +167,13 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _A_CUT = re.compile(r"(?<=[A-Za-z])(?=[\x00-@\[-`{-\x7f])|(?<=\S)(?=[ \t\n\x0b\x0c\r])")
 
 
+# Fixed value: where a byte-level tokenizer cuts a text before it merges.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Behind an id of B where another follows in its group, and at the group's end; _SHOWN writes them as the result has them.
+_NEXT, _END = b".", b";"
+_SHOWN = bytes.maketrans(_NEXT, b",")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -188,10 +196,15 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         alphabet = byte_alphabet()
         self.a_bytes = {k: bytes(map(alphabet.__getitem__, x)) if set(x) <= alphabet.keys() else x.encode() for x, k in self.a.get_vocab().items()}
+        self.ranked = self._by_ranks(a_path)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
-        self.a_sizes, self.a_names = self._tables([self.a_bytes[k] for k in range(len(self.a_bytes))], b"|")
-        self.b_sizes, self.b_names = self._tables(self.b_bytes, b";")
+        a_all = [self.a_bytes[k] for k in range(len(self.a_bytes))]
+        self.a_parts, self.b_parts = (np.array([*x, None], object)[:-1] for x in (a_all, self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.array([len(y) for y in x], np.int64) for x in (a_all, self.b_bytes))
+        # An id with what stands behind it, within its side of a group and at its end: A's, then B's.
+        names = [b"%d%s" % (k, end) for n, marks in ((len(a_all), (b",", b"|")), (len(self.b_bytes), (_NEXT, _END))) for k in range(n) for end in marks]
+        self.names, self.name_sizes = np.array([*names, None], object)[:-1], np.array([len(x) for x in names], np.int64)
         plain = [x for k, x in enumerate(pieces) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
         #: Merges of B only make pieces of its vocabulary, so they can't cross two neighbours that no piece has.
         self.joined = {x + y for p in plain for x, y in zip(p, p[1:], strict=False)}
@@ -212,13 +225,27 @@ class Aligner:
             cls._of[a_path, b_path] = cls(a_path, b_path)
         return cls._of[a_path, b_path]
 
-    @staticmethod
-    def _tables(tokens: list[bytes], end: bytes) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        """Of all ids the number of bytes, and as objects the bytes, the decimal id with a comma, and with what ends its side of a group."""
-        names = [[*tokens], [b"%d," % k for k in range(len(tokens))], [b"%d%s" % (k, end) for k in range(len(tokens))]]
-        return np.array([len(x) for x in tokens], np.int64), tuple(np.array([*x, None], object)[:-1] for x in names)
+    def _by_ranks(self, path: str):
+        """The same tokenizer as an encoder by ranks, which is several times as fast; None if the file isn't of that kind.
+
+        Its merges must make ids in ascending order from byte tokens on; then the lowest merge is the lowest id, and no pair
+        but a merge's own can make that merge's token.
+        """
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        model, cut = held["model"], held["pre_tokenizer"] or {}
+        made = [model["vocab"]["".join(x.split(" ") if isinstance(x, str) else x)] for x in model["merges"]]
+        plain = held["normalizer"] is None and model["type"] == "BPE" and not any(model[k] for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or made != list(range(256, 256 + len(made))) or (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) != ("ByteLevel", True, False):
+            return None
+        ranks = {self.a_bytes[k]: k for k in model["vocab"].values()}
+        return tiktoken.Encoding("a", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def _a_ids(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked:
+            return [self.ranked.encode_ordinary(t) for t in texts]
         return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _b_ids(self, texts: list[str]) -> list[list[int]]:
@@ -233,15 +260,15 @@ class Aligner:
         b_ends, b_bytes = self._ends(b_ids, self.b_bytes, b_base)
         return Tokens(a_ids, a_ends, b_ids, b_ends), a_bytes == a_text.encode() and b_bytes == b_text.encode()
 
-    def _closed_words(self, words: list[str]) -> list[tuple[bytes, bytes, int, int, bool]]:
-        """Of each word between two common ends: the groups' text, their links, their number, the number of A tokens, and whether the bytes agree.
+    def _closed_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each word between two common ends: the groups' text, each group with _END behind and B's ids with _NEXT behind, and the links. No text: the bytes differ.
 
         Words that end in what isn't white space can be encoded side by side.
         """
         out: dict[str, tuple] = {}
         solid = [w for w in words if not w[-1].isspace() and w[0] in self.blanks]
-        for k in range(0, len(solid), 256):
-            self._close(solid[k : k + 256], out)
+        for k in range(0, len(solid), 512):
+            self._close(solid[k : k + 512], out)
         for w in words:
             if w not in out:
                 self._close([w], out)
@@ -250,48 +277,44 @@ class Aligner:
     def _close(self, words: list[str], out: dict[str, tuple]) -> None:
         text = "".join(words)
         a, b = (np.array(x[0], np.int64) for x in (self._a_ids([text]), self._b_ids([text])))
+        stops = np.cumsum([len(w.encode()) for w in words])
         data = text.encode()
-        if b"".join(self.a_names[0][a]) != data or b"".join(self.b_names[0][b]) != data:
+        if b"".join(self.a_parts[a].tolist()) != data or b"".join(self.b_parts[b].tolist()) != data:
             half = len(words) // 2
             if not half:
-                out[text] = (b"", b"", 0, 0, False)
+                out[text] = (b"", b"")
                 return
             self._close(words[:half], out)
             self._close(words[half:], out)
             return
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         # Each stretch between two neighbouring ends is the overlap of one A with one B token: a link.
-        ends = np.union1d(a_ends, b_ends)
-        i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        links = a[i] << 32 | b[j]
-        common = ends[(a_ends[i] == ends) & (b_ends[j] == ends)]
-        # The groups' tokens in order: A before B. What follows a token is told by the place of the next.
+        ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        twice = np.append(ends[1:] == ends[:-1], False)
+        common, ends = ends[twice], ends[~twice]
+        links = (a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]).tobytes()
+        # The groups' tokens in order, A before B. What follows a token is told by the place of the next.
         at = np.concatenate([np.searchsorted(common, a_ends) * 2, np.searchsorted(common, b_ends) * 2 + 1])
         order = np.argsort(at, kind="stable")
-        at = at[order]
-        more = np.append(at[1:] == at[:-1], False)
-        ids, is_a = np.concatenate([a, b])[order], at % 2 == 0
-        names = np.empty(len(ids), object)
-        for side, (_, comma, end) in ((is_a, self.a_names), (~is_a, self.b_names)):
-            names[side & more] = comma[ids[side & more]]
-            names[side & ~more] = end[ids[side & ~more]]
-        names = names.tolist()
-        stops = np.cumsum([len(w.encode()) for w in words])
-        tokens_a, tokens_b = (np.searchsorted(x, stops, "right") for x in (a_ends, b_ends))
-        n_links, n_groups = (np.searchsorted(x, stops, "right").tolist() for x in (ends, common))
-        n_tokens, n_a, data = (tokens_a + tokens_b).tolist(), tokens_a.tolist(), links.tobytes()
-        t = k = g = n = 0
-        for w, t2, k2, g2, n2 in zip(words, n_tokens, n_links, n_groups, n_a, strict=True):
-            out[w] = (b"".join(names[t:t2]), data[8 * k : 8 * k2], g2 - g, n2 - n, True)
-            t, k, g, n = t2, k2, g2, n2
+        at, ids = at[order], np.concatenate([a, b + len(self.a_sizes)])[order] * 2
+        ids[np.append(at[1:] != at[:-1], True)] += 1
+        names = b"".join(self.names[ids].tolist())
+        tokens = np.searchsorted(a_ends, stops, "right") + np.searchsorted(b_ends, stops, "right")
+        name_stops = np.cumsum(self.name_sizes[ids])[tokens - 1].tolist()
+        link_stops = (np.searchsorted(ends, stops, "right") * 8).tolist()
+        n = k = 0
+        for w, n2, k2 in zip(words, name_stops, link_stops, strict=True):
+            out[w] = (names[n:n2], links[k:k2])
+            n, k = n2, k2
 
     def run(self, words: list[str], first: int, last: int) -> Fragment:
         """The fragment of words between two common ends, first and last: it has closed groups alone."""
-        groups, links, n_groups, n_a, same = zip(*self.words.values(words), strict=True)
-        links = np.frombuffer(b"".join(links), np.int64)
+        groups, links = zip(*self.words.values(words), strict=True)
+        text, links = b"".join(groups), np.frombuffer(b"".join(links), np.int64)
         codes, counts = np.unique(links, return_counts=True)
-        n, a = sum(n_groups), sum(n_a)
-        return Fragment(Tokens(), first, Closed(b"".join(groups)[:-1], a, len(links) + n - a, n, codes, counts), last, Tokens(), all(same))
+        n_b, n_groups = text.count(_NEXT) + text.count(_END), text.count(_END)
+        closed = Closed(text[:-1].translate(_SHOWN), len(links) + n_groups - n_b, n_b, n_groups, codes, counts)
+        return Fragment(Tokens(), first, closed, last, Tokens(), all(groups))
 
     def fragment(self, text: str, base: int, a_from: int, a_to: int, b_from: int, b_to: int) -> Fragment:
         """Of a chunk: A's part of text from a_from to a_to and B's from b_from to b_to; base is the byte at which text begins."""
@@ -371,12 +394,19 @@ def _decoded(data: bytes) -> str | None:
         return None
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task holds the results of few."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _short(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """The result of texts of one chunk."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(a_path, b_path)
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = [_decoded(x.as_py()) for x in batch.column("text")]
             found = [aligner.run(aligner.unit.findall(t), 0, 1).whole() if t else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_result(found)], ["doc_id", *_NAMES])
@@ -404,7 +434,7 @@ def _long(docs: DataFrame, a_path: str, b_path: str, chunk: int, fan: int) -> Da
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(a_path, b_path)
-        for batch in batches:
+        for batch in _sliced(batches):
             columns = [batch.column(c).to_pylist() for c in ("text", "base", "a_from", "a_to", "b_from", "b_to")]
             states = [pickle.dumps(aligner.fragment(*x) if x[0] else Fragment()) for x in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "digest", "copies", "no", "n")), pa.array(states, pa.binary())], names)
@@ -415,7 +445,7 @@ def _long(docs: DataFrame, a_path: str, b_path: str, chunk: int, fan: int) -> Da
         return out.assign(no=rows["up"].iloc[0], state=[pickle.dumps(reduce(Fragment.__add__, map(pickle.loads, rows["state"])))])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [pickle.loads(x.as_py()).whole() for x in batch.column("state")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copies"), *_result(found)], ["doc_id", "copies", *_NAMES])
 

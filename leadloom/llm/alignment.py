@@ -34,7 +34,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ CHUNK, FAN = 1 << 15, 16
 #: Pairs with at least this share of all links are broadcast.
 HOT = 1 << 17
 #: Words whose groups a worker keeps at least.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 
 
 # --- the monoid ---------------------------------------------------------------------------------------------------
@@ -439,26 +438,32 @@ def _long(docs: DataFrame, a_path: str, b_path: str, chunk: int, fan: int) -> Da
             states = [pickle.dumps(aligner.fragment(*x) if x[0] else Fragment()) for x in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "digest", "copies", "no", "n")), pa.array(states, pa.binary())], names)
 
-    def composed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("no")
-        out = rows.iloc[:1].drop(columns="up")
-        return out.assign(no=rows["up"].iloc[0], state=[pickle.dumps(reduce(Fragment.__add__, map(pickle.loads, rows["state"])))])
+    def composed(rows: pa.Table) -> tuple[dict, Fragment]:
+        """The neighbours of one task in order, composed, and what they have in common."""
+        rows = rows.sort_by("no")
+        head = {c: rows.column(c)[0].as_py() for c in rows.column_names if c != "state"}
+        return head, reduce(Fragment.__add__, (pickle.loads(x.as_py()) for x in rows.column("state")))
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            found = [pickle.loads(x.as_py()).whole() for x in batch.column("state")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copies"), *_result(found)], ["doc_id", "copies", *_NAMES])
+    def level(rows: pa.Table) -> pa.Table:
+        head, whole = composed(rows)
+        return pa.table([[x] for x in (head["doc_id"], head["digest"], head["copies"], head["up"], head["n"], pickle.dumps(whole))], schema=states)
+
+    def close(rows: pa.Table) -> pa.Table:
+        head, whole = composed(rows)
+        return pa.table([pa.array([head["doc_id"]], pa.int64()), pa.array([head["copies"]], pa.int64()), *_result([whole.whole()])], names=["doc_id", "copies", *_NAMES])
 
     names = ["doc_id", "digest", "copies", "no", "n", "state"]
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), *((c, pa.int64()) for c in ("copies", "no", "n")), ("text", pa.string()), ("base", pa.int64()), *((c, pa.int32()) for c in ("a_from", "a_to", "b_from", "b_to"))])
+    states = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), *((c, pa.int64()) for c in ("copies", "no", "n")), ("state", pa.binary())])
     once = docs.select("doc_id", as_bytes().alias("text")).groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     parts = once.mapInArrow(cut, _CHUNKS).repartition("doc_id", "digest", "no").mapInArrow(encode, _STATE)
     parts, _ = written(parts, "fragments")
     most = parts.agg(F.max("n")).first()[0] or 0
-    while most > 1:
-        parts = parts.withColumn("up", F.floor(F.col("no") / fan)).groupBy(*_ID, "up").applyInPandas(composed, _STATE)
+    while most > fan:
+        parts = parts.withColumn("up", F.floor(F.col("no") / fan)).groupBy(*_ID, "up").applyInArrow(level, _STATE)
         most = -(-most // fan)
-    return parts.mapInArrow(close, f"doc_id long, copies long, {_RESULT}")
+    # The last level closes the texts too: a further operator behind it would double the Python workers of a task.
+    return parts.groupBy(*_ID).applyInArrow(close, f"doc_id long, copies long, {_RESULT}")
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:

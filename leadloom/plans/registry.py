@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of leadloom.plans that declare QUERIES and ORACLE_SQL.
-MODULES: list[str] = ["kpi_queries", "lead_queries", "text_queries", "data_queries", "more_queries", "outreach_queries"]
+MODULES: list[str] = ["kpi_queries", "lead_queries", "text_queries", "data_queries", "more_queries", "outreach_queries", "source_queries"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -1,28 +1,27 @@
-"""A text classifier for labels: TF-IDF of words and word pairs, balanced logistic regression, cross-validation and careful relabelling."""
+"""A text classifier for two labels: TF-IDF of words and word pairs, balanced logistic regression, cross-validation and careful relabelling.
+
+Features and models are tables. A feature is a hash of a term, a model a weight per feature, and a step of the fit is two joins and two
+sums: margins per text, then the gradient per feature. Nothing of the size of the vocabulary or of the corpus passes through the driver.
+The models of all folds are fitted in the same passes, as columns side by side.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Features that terms are hashed to; no term is left out for its rank.
 FEATURES = 1 << 20
+#: The feature that all texts have.
+INTERCEPT = -1
 
 
 def training_rows(rows: DataFrame, least_chars: int = 20, label: str = "label", text: str = "text") -> DataFrame:
-    """Labelled rows with enough text, and a weight that balances the classes."""
-    kept = rows.where(F.col(label).isNotNull() & (F.length(F.trim(text)) >= least_chars)).select("*", F.col(label).cast("double").alias("y"))
-    counts = kept.groupBy("y").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    return kept.join(F.broadcast(counts), "y").join(F.broadcast(total)).withColumn("weight", F.col("total") / (F.col("classes") * F.col("n"))).drop("n", "total", "classes")
+    """Labelled rows with enough text; y is the label as a number, 0 or 1."""
+    return rows.where(F.col(label).isNotNull() & (F.length(F.trim(text)) >= least_chars)).select("*", F.col(label).cast("double").alias("y"))
 
 
 def terms(text: Column) -> Column:
@@ -32,59 +31,138 @@ def terms(text: Column) -> Column:
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-@F.udf(VectorUDT())
-def _damped(counts):
-    """1 + ln of each count."""
-    return Vectors.sparse(counts.size, counts.indices, 1.0 + np.log(counts.values))
+def counted(rows: DataFrame, id_col: str, text: str = "text", features: int = FEATURES) -> DataFrame:
+    """id, feature and tf (1 + ln of its count) of each text."""
+    found = rows.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text))).alias("term"))
+    return found.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(features)).alias("feature")).agg((1 + F.log(F.count("*"))).alias("tf"))
+
+
+def _each(models: int, column: Callable[[int], Column], name: str) -> list[Column]:
+    return [column(m).alias(f"{name}{m}") for m in range(models)]
+
 
+def _vectors(tf: DataFrame, idf: DataFrame, models: int) -> DataFrame:
+    """id, feature and x0, x1... (a value per model): tf times idf, of length 1 per text and model; and the intercept's 1."""
+    raw = tf.join(idf, "feature").select("id", "feature", *_each(models, lambda m: F.col("tf") * F.col(f"idf{m}"), "r"))
+    norms = raw.groupBy("id").agg(*_each(models, lambda m: F.sqrt(F.sum(F.col(f"r{m}") * F.col(f"r{m}"))), "n"))
+    x = raw.join(norms, "id").select("id", "feature", *_each(models, lambda m: F.when(F.col(f"n{m}") > 0, F.col(f"r{m}") / F.col(f"n{m}")).otherwise(0.0), "x"))
+    return x.unionAll(tf.select("id").distinct().select("id", F.lit(INTERCEPT).cast("long").alias("feature"), *_each(models, lambda m: F.lit(1.0), "x")))
 
-def counted(rows: DataFrame, text: str = "text", features: int = FEATURES) -> DataFrame:
-    hashed = HashingTF(inputCol="terms", outputCol="counts", numFeatures=features).transform(rows.withColumn("terms", terms(F.col(text))))
-    return hashed.withColumn("tf", _damped("counts")).drop("terms", "counts")
+
+def _margins(x: DataFrame, weights: DataFrame, models: int) -> DataFrame:
+    return x.join(weights, "feature").groupBy("id").agg(*_each(models, lambda m: F.sum(F.col(f"x{m}") * F.col(f"w{m}")), "z"))
 
 
 @dataclass
 class Classifier:
+    """Weights and idf per feature, of one or more models (columns w0, idf0...), in a table."""
+
+    table: DataFrame
+    models: int
     text: str
     features: int
-    stages: PipelineModel
 
-    def transform(self, rows: DataFrame) -> DataFrame:
-        return self.stages.transform(counted(rows, self.text, self.features))
+    def margins(self, rows: DataFrame, id_col: str) -> DataFrame:
+        """id and z0, z1...: above 0 the label is 1. A text without a term has the intercept alone."""
+        idf = self.table.where(F.col("feature") != INTERCEPT).select("feature", *[f"idf{m}" for m in range(self.models)])
+        return _margins(_vectors(counted(rows, id_col, self.text, self.features), idf, self.models), self.table, self.models)
+
+
+def train(rows: DataFrame, id_col: str, path: str, least: int = 100, text: str = "text", min_df: int = 3, max_df: float = 0.9, features: int = FEATURES, steps: int = 12, penalty: float = 0.01, folds: int = 0) -> Classifier:
+    """A fitted model of rows (see training_rows); refuses fewer than least rows. With folds, model k is fitted without the rows of fold k.
+
+    Terms in fewer than min_df texts or a larger share than max_df weigh nothing. Classes weigh the same. The loss is the mean logistic
+    loss with penalty / 2 times the squared weights; it falls by accelerated gradient steps, whose tables are written below path.
+    """
+    models, spark = max(folds, 1), rows.sparkSession
+    labels = rows.select(F.col(id_col).alias("id"), "y", (F.pmod(F.xxhash64(id_col), F.lit(folds)) if folds else F.lit(-1)).alias("fold"))
+    inside = lambda m: F.col("fold") != m
+    counts = labels.agg(*_each(models, lambda m: F.count_if(inside(m)), "n"), *_each(models, lambda m: F.count_if(inside(m) & (F.col("y") == 1)), "p"))
+    sizes = counts.first()
+    if min(sizes[f"n{m}"] for m in range(models)) < least:
+        raise ValueError(f"{min(sizes[f'n{m}'] for m in range(models))} labelled rows, {least} are needed")
+
+    def share(m: int) -> Column:
+        """A row's weight in model m: none in its own fold, else such that both classes weigh half of the rows."""
+        n, p = sizes[f"n{m}"], sizes[f"p{m}"]
+        return F.when(~inside(m), 0.0).when(F.col("y") == 1, n / (2.0 * p) if p else 1.0).otherwise(n / (2.0 * (n - p)) if n > p else 1.0)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    labels = kept(labels.select("id", "y", "fold", *_each(models, share, "c")), "labels")
+    tf = kept(counted(rows, id_col, text, features), "tf")
+    seen = tf.join(labels.select("id", "fold"), "id").groupBy("feature").agg(*_each(models, lambda m: F.count_if(inside(m)), "df"))
+
+    def idf(m: int) -> Column:
+        n, df = sizes[f"n{m}"], F.col(f"df{m}")
+        return F.when((df >= min_df) & (df <= max_df * n), F.log((n + 1) / (df + 1)) + 1).otherwise(0.0)
+
+    known = F.lit(False)
+    for m in range(models):
+        known = known | (F.col(f"idf{m}") > 0)
+    scale = kept(seen.select("feature", *_each(models, idf, "idf")).where(known), "idf")
+    x = kept(_vectors(tf, scale, models), "x")
+    start = scale.unionAll(spark.range(1).select(F.lit(INTERCEPT).cast("long"), *_each(models, lambda m: F.lit(0.0), "idf")))
+    zeros = [c for name in "wq" for c in _each(models, lambda m: F.lit(0.0), name)]
+    table = kept(start.select("*", *zeros), "model-0")
+    for step in range(steps):
+        # q is the weight before: steps are taken from beyond w, in the direction of the last move. Vectors have length sqrt(2), so 2 is a safe rate.
+        speed = step / (step + 3.0)
+        ahead = lambda m, speed=speed: F.col(f"w{m}") + speed * (F.col(f"w{m}") - F.col(f"q{m}"))
+        z = _margins(x, table.select("feature", *_each(models, ahead, "w")), models).join(labels, "id")
+        error = z.select("id", *_each(models, lambda m: F.col(f"c{m}") * (1 / (1 + F.exp(-F.col(f"z{m}"))) - F.col("y")) / float(sizes[f"n{m}"]), "e"))
+        slope = x.join(error, "id").groupBy("feature").agg(*_each(models, lambda m: F.sum(F.col(f"x{m}") * F.col(f"e{m}")), "g"))
+        moved = lambda m, ahead=ahead: ahead(m) - 2.0 * (F.coalesce(f"g{m}", F.lit(0.0)) + F.when(F.col("feature") == INTERCEPT, 0.0).otherwise(penalty * ahead(m)))
+        after = table.join(slope, "feature", "left").select("feature", *[f"idf{m}" for m in range(models)], *_each(models, moved, "w"), *_each(models, lambda m: F.col(f"w{m}"), "q"))
+        table = kept(after, f"model-{step + 1}")
+    return Classifier(table.drop(*[f"q{m}" for m in range(models)]), models, text, features)
+
+
+def cross_validated(rows: DataFrame, id_col: str, path: str, folds: int = 5, **options) -> DataFrame:
+    """Per fold (by a hash of the id): rows that were left out, and the share of them that the model without them predicts right."""
+    model = train(rows, id_col, path, folds=folds, **options)
+    fold = F.pmod(F.xxhash64(id_col), F.lit(folds))
+    rated = rows.select(F.col(id_col).alias("id"), "y", fold.alias("fold")).join(model.margins(rows, id_col), "id")
+    own = F.coalesce(*[F.when(F.col("fold") == m, F.col(f"z{m}")) for m in range(folds)])
+    return rated.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(((own > 0) == (F.col("y") == 1)).cast("double")), 4).alias("accuracy"))
+
 
+def scored(model: Classifier, rows: DataFrame, id_col: str) -> DataFrame:
+    """id, predicted label and confidence. A text without a term isn't scored."""
+    z = F.col("z0")
+    return model.margins(rows, id_col).select(F.col("id").alias(id_col), (z > 0).cast("int").alias("predicted"), F.round(1 / (1 + F.exp(-F.abs(z))), 6).alias("confidence"))
 
-def train(rows: DataFrame, least: int = 100, text: str = "text", min_df: int = 3, max_df: float = 0.9, features: int = FEATURES, iterations: int = 30) -> Classifier:
-    """A fitted model; refuses fewer than least rows. Terms in fewer than min_df texts or a larger share than max_df weigh nothing."""
-    n = rows.count()
-    if n < least:
-        raise ValueError(f"{n} labelled rows, {least} are needed")
-    vectors = counted(rows, text, features)
-    seen = np.array(IDF(inputCol="tf", outputCol="x").fit(vectors).docFreq, dtype=float)
-    weights = np.where((seen >= min_df) & (seen <= max_df * n), np.log((n + 1) / (seen + 1)) + 1, 0.0)
-    scale = ElementwiseProduct(inputCol="tf", outputCol="features", scalingVec=Vectors.dense(weights))
-    fitted = LogisticRegression(labelCol="y", weightCol="weight", maxIter=iterations, regParam=0.01).fit(scale.transform(vectors))
-    return Classifier(text, features, PipelineModel([scale, fitted]))
 
+# Parts of words by which texts are rated where no model is there.
+AGENCY_TOKENS = (
+    "imobiliaria", "imobiliária", "remax", "kw", "century", "era", "zome", "predimed", "habivida", "savills", "engel", "volkers", "sotheby", "century21", "knight", "consultor", "consultora", "mediadora",
+    "sociedade", "lda", "unipessoal", "s.a", "ami", "amplitude",
+)
+OWNER_TOKENS = ("particular", "proprietario", "proprietário", "dono", "vendo direta", "diretamente", "sem intermediarios", "sem intermediários", "venda direta", "negociavel", "negociável")
 
-def cross_validated(rows: DataFrame, id_col: str, folds: int = 5, **options) -> DataFrame:
-    """Per fold (by a hash of the id): rows that were left out, and the share of them that is predicted right."""
-    fold = F.pmod(F.xxhash64(id_col), F.lit(folds))
-    found = None
-    for k in range(folds):
-        rated = scored(train(rows.where(fold != k), **options), rows.where(fold == k), id_col).join(rows.select(id_col, "y"), id_col)
-        one = rated.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), F.round(F.avg((F.col("predicted") == F.col("y")).cast("double")), 4).alias("accuracy"))
-        found = one if found is None else found.unionByName(one)
-    return found
 
+def by_rules(rows: DataFrame, id_col: str, text: str = "text", agency: str | None = None) -> DataFrame:
+    """Where no model is there: 1 (an agency) or 0 (an owner), and how sure that is: by an agency's name, else by tokens in the text; nothing found counts for an owner."""
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
 
-def scored(model: Classifier, rows: DataFrame, id_col: str) -> DataFrame:
-    """id, predicted label and confidence."""
-    p = vector_to_array("probability")
-    return model.transform(rows).select(id_col, F.col("prediction").cast("int").alias("predicted"), F.round(F.array_max(p), 6).alias("confidence"))
+    def holds(tokens: tuple[str, ...]) -> Column:
+        return t.rlike("|".join(x.replace(".", r"\.") for x in tokens))
 
+    named = F.trim(F.coalesce(F.col(agency), F.lit(""))) != "" if agency else F.lit(False)
+    seller = holds(AGENCY_TOKENS)
+    return rows.select(id_col, (named | seller).cast("int").alias("predicted"), F.when(named, 0.85).when(seller | holds(OWNER_TOKENS), 0.7).otherwise(0.5).alias("confidence"))
 
-def relabelled(rows: DataFrame, predictions: DataFrame, id_col: str, threshold: float = 0.85) -> DataFrame:
+
+def relabelled(rows: DataFrame, predictions: DataFrame, id_col: str, threshold: float = 0.80) -> DataFrame:
     """What becomes of each label: changed only with confidence, if it differs and isn't locked."""
     both = rows.join(predictions, id_col)
     outcome = F.when(F.col("locked"), "locked").when(F.col("predicted").eqNullSafe(F.col("label")), "same").when(F.col("confidence") < threshold, "uncertain").otherwise("changed")
     return both.select(id_col, "label", "predicted", "confidence", outcome.alias("outcome"))
+
+
+def flips(outcomes: DataFrame) -> DataFrame:
+    """Per outcome, and for changes per label before and after: how many rows."""
+    changed = F.col("outcome") == "changed"
+    return outcomes.groupBy("outcome", F.when(changed, F.col("label")).alias("before"), F.when(changed, F.col("predicted")).alias("after")).agg(F.count("*").alias("n"))

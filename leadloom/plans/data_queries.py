@@ -171,14 +171,30 @@ def _labelled(spark, sf):
     return table(spark, sf, "documents").join(labels, "doc_id").select("doc_id", "text", "label")
 
 
-def l2_text_classifier(spark, sf):
+def _outcomes(spark, sf):
     rows = _labelled(spark, sf)
-    model = learn.train(learn.training_rows(rows), least=30)
+    model = learn.train(learn.training_rows(rows), "doc_id", f"{shared_dir(spark)}/classifier-{uuid4().hex}", least=30)
     return learn.relabelled(rows.select("doc_id", "label", (F.col("doc_id") % 10 == 0).alias("locked")), learn.scored(model, rows, "doc_id"), "doc_id")
 
 
+def l2_text_classifier(spark, sf):
+    return _outcomes(spark, sf)
+
+
 def l2_cross_validation(spark, sf):
-    return learn.cross_validated(learn.training_rows(_labelled(spark, sf)), "doc_id", 3, least=20)
+    return learn.cross_validated(learn.training_rows(_labelled(spark, sf)), "doc_id", f"{shared_dir(spark)}/folds-{uuid4().hex}", 3, least=20)
+
+
+def l3_rules_without_model(spark, sf):
+    rows = leads(spark, sf).withColumn("text", F.concat_ws(" ", "title", "description", F.lit("para"), "contact_name"))
+    return learn.by_rules(rows, "id", agency="agency_name")
+
+
+def l4_flips(spark, sf):
+    """Labels of owners against the rules: what changes, and what is kept for which reason."""
+    rows = leads(spark, sf).withColumn("text", F.concat_ws(" ", "title", "description", F.lit("para"), "contact_name"))
+    labels = rows.select("id", F.when(F.col("owner_type") == "agency", 1).when(F.col("owner_type") == "fsbo", 0).alias("label"), (F.col("discovery_source") == "1-URGENT").alias("locked")).where("label is not null")
+    return learn.flips(learn.relabelled(labels, learn.by_rules(rows, "id", agency="agency_name"), "id", 0.6))
 
 
 def _stream(spark, sf):
@@ -210,7 +226,7 @@ def n3_stream_sessions(spark, sf):
     return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (a2_delta_ingest, a3_queue, a4_known_ids, a4_landed_today, a5_novelty, a14_upsert, d1_listing_key, d2_upsert_merge, d3_merged_sources, d4_fuzzy_match, d4_fuzzy_match_exact_ratio, d6_filled_from_donors, d8_name_propagation, d11_find_existing, d16_near_codes, d16_code_classes, d17_merge_clusters, d22_geo_resolved, k1_search, k1_phrase_near, k1_bm25, k3_contains, k4_similar_items, l2_text_classifier, l2_cross_validation, n1_stream_dedup, n3_stream_sessions)}
+QUERIES = {f.__name__: f for f in (a2_delta_ingest, a3_queue, a4_known_ids, a4_landed_today, a5_novelty, a14_upsert, d1_listing_key, d2_upsert_merge, d3_merged_sources, d4_fuzzy_match, d4_fuzzy_match_exact_ratio, d6_filled_from_donors, d8_name_propagation, d11_find_existing, d16_near_codes, d16_code_classes, d17_merge_clusters, d22_geo_resolved, k1_search, k1_phrase_near, k1_bm25, k3_contains, k4_similar_items, l2_text_classifier, l2_cross_validation, l3_rules_without_model, l4_flips, n1_stream_dedup, n3_stream_sessions)}
 
 _REACH = f"({PHONE} OR {EMAIL} OR coalesce(contact_whatsapp <> '', false))"
 _RUNGS = lambda d, rungs: "CASE " + " ".join(f"WHEN {d} <= {m} THEN {v}" for m, v in rungs) + " ELSE 0.0 END"
@@ -224,6 +240,9 @@ scored AS (SELECT id, donor_id, (p + 1.5 + a + ratio) / (hp * 2.0 + 1.5 + ha * 1
 best AS (SELECT id, donor_id, score, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, donor_id) AS place, count(*) OVER (PARTITION BY id) AS n FROM scored WHERE score >= 0.72) WHERE place = 1)"""
 _TERMS = "terms AS (SELECT doc_id AS id, t.pos, t.term FROM documents, LATERAL (SELECT unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT string_split(trim(regexp_replace(regexp_replace(lower(translate(text, 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyaaaaaaceeeeiiiinooooouuuuy')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS w)) t WHERE t.term <> '')"
 
+_TOKEN = lambda words: "regexp_matches(lower(title || ' ' || description || concat(' para ', contact_name)), '" + "|".join(w.replace(".", "[.]") for w in words) + "')"
+_RULED = f"CASE WHEN agency_name <> '' OR {_TOKEN(learn.AGENCY_TOKENS)} THEN 1 ELSE 0 END AS predicted, CASE WHEN agency_name <> '' THEN 0.85 WHEN {_TOKEN(learn.AGENCY_TOKENS)} OR {_TOKEN(learn.OWNER_TOKENS)} THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence"
+
 ORACLE_SQL = {
     "a2_delta_ingest": f"WITH l AS ({LANDED}) SELECT min(id) AS id, source, external_id FROM l WHERE {NEW} AND external_id IS NOT NULL AND (source, external_id) NOT IN (SELECT (source, external_id) FROM l WHERE {OLD} AND external_id IS NOT NULL) GROUP BY source, external_id UNION ALL SELECT id, source, external_id FROM l WHERE {NEW} AND external_id IS NULL",
     "a3_queue": f"SELECT id, external_id FROM ({LANDED}) WHERE source = 'click' AND id % 3 <> 0 ORDER BY scraped_at, id LIMIT 500",
@@ -253,5 +272,8 @@ ORACLE_SQL = {
     "k1_bm25": f"""WITH {_TERMS}, len AS (SELECT id, count(*) AS l FROM terms GROUP BY 1), tf AS (SELECT id, term, count(*) AS tf FROM terms WHERE term IN ('license', 'copyright', 'under') GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
   SELECT id, round(score, 6) AS score FROM (SELECT tf.id, sum(ln(1 + ((SELECT count(*) FROM len) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / (SELECT avg(l) FROM len)))) AS score FROM tf JOIN df USING (term) JOIN len USING (id) GROUP BY 1) ORDER BY score DESC, id LIMIT 100""",
     "k3_contains": with_leads("SELECT id FROM leads WHERE contains(lower(title), 'urgente') OR contains(lower(description), 'urgente') OR contains(lower(zone), 'urgente')"),
+    "l3_rules_without_model": with_leads(f"SELECT id, {_RULED} FROM leads"),
+    "l4_flips": with_leads(f"SELECT outcome, CASE WHEN outcome = 'changed' THEN label END AS before, CASE WHEN outcome = 'changed' THEN predicted END AS after, count(*) AS n FROM (SELECT *, CASE WHEN discovery_source = '1-URGENT' THEN 'locked' WHEN label = predicted THEN 'same' WHEN confidence < 0.6 THEN 'uncertain' ELSE 'changed' END AS outcome FROM (SELECT *, CASE owner_type WHEN 'agency' THEN 1 WHEN 'fsbo' THEN 0 END AS label, {_RULED} FROM leads) WHERE label IS NOT NULL) GROUP BY 1, 2, 3"),
+    "n3_stream_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, k, count(*) AS n, max(ts) AS last FROM s GROUP BY 1, 2) WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1",
     "n1_stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
 }

@@ -30,6 +30,11 @@ SIGNAL_FEED = "SELECT o_orderkey AS id, o_orderpriority AS source, CASE o_orderk
 STAGES = ("novo", "contactado", "negociacao", "ganho", "perdido")
 
 
+#: Imported rows that hold one thing, several, or nothing.
+THIN = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 = 0 THEN '912345678' END AS contact_phone, CASE WHEN o_orderkey % 7 = 0 THEN 'a@b.pt' ELSE '' END AS contact_email, CASE WHEN o_orderkey % 5 = 0 THEN 'T2' END AS title,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'Lisboa' ELSE '' END AS zone, CASE WHEN o_orderkey % 9 = 0 THEN 'Rua X' END AS address FROM orders"""
+
+
 def b8_first_url(spark, sf):
     seen = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("u"), F.col("l_partkey").cast("string"))).otherwise("").alias("url")))).alias("sources"))
     return seen.select("id", outreach.first_url(F.col("sources")).alias("url"))
@@ -206,7 +211,7 @@ def a13_sheets_sink(spark, sf):
 
 
 def c3_actionable(spark, sf):
-    return ingest.actionable(leads(spark, sf).withColumn("address", F.lit(""))).select("id")
+    return ingest.actionable(view(spark, sf, THIN)).select("id")
 
 
 def j7_drop_payload(spark, sf):
@@ -268,6 +273,14 @@ def n2_stream_drops(spark, sf):
     return _drained(spark, found).select(F.col("start").cast("string").alias("start"), "lead_id", "n", "peak", "last")
 
 
+def n2_drops_by_key(spark, sf):
+    """Drops against the peak of ten days, from one state row per key."""
+    rows = _stream(spark, sf).select(F.col("user_id").alias("lead_id"), F.col("value").alias("price"), F.col("ts").cast("timestamp").alias("ts"))
+    with streams.rocks_state(spark):
+        found = _drained(spark, streams.drops_by_key(rows, "lead_id", "price", "ts", 10, "1 hour", 0.5))
+    return found.select("lead_id", F.unix_micros("ts").alias("seen_at"), "price", "peak", "drop_pct")
+
+
 def n3_stream_days(spark, sf):
     rows = _stream(spark, sf).select("value", F.col("ts").cast("timestamp").alias("ts"))
     return _drained(spark, streams.day_series(rows, "ts", "value", "1 hour")).select(F.col("day").cast("date").cast("string").alias("day"), "n")
@@ -286,7 +299,7 @@ def n5_late_rows(spark, sf):
     return streams.counted_with_late(rows, "ts", "1 day", "0 seconds", f"{shared_dir(spark)}/late-{uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (a15_permit_signals, b47_known_agencies, c2_hot, c2_unscored, e3_confidence_shares, e8_owners_by_source, e28_table_counts, i1_signal_counts, j5_latest_notes, j9_bulk_move, a16_sitemap, b39_phones_in_ads, b45_emails_in_ads, b8_first_url, b16_goods_price, b30_motives, b33_signal_type, b37_label_codes, c3_actionable, c4_client_zones, c7_without_rooms, c9_good_records, c10_signals, c10_options, a11_csv_sink, a12_json_sink, a13_sheets_sink, a19_flat_records, a17_state_items, a17_gap_filled, d10_staged_fill, d10_stage_counts, d19_activity, d21_searched_list, d24_company_contacts, d25_contacts_from_text, e14_funnel_window, e19_daily_drops, e19_daily_sources, e20_tiers, e24_motive_frequency, e25_list_summary, g6_ranked, h1_by_score_with_phone, h6_hot_opportunities, h8_best_signals, h9_sweep_page, i3_imports, j7_drop_payload, j8_recomputed, n2_stream_drops, n3_stream_days, n4_stream_upserts, n5_late_rows)}
+QUERIES = {f.__name__: f for f in (a15_permit_signals, b47_known_agencies, c2_hot, c2_unscored, e3_confidence_shares, e8_owners_by_source, e28_table_counts, i1_signal_counts, j5_latest_notes, j9_bulk_move, a16_sitemap, b39_phones_in_ads, b45_emails_in_ads, b8_first_url, b16_goods_price, b30_motives, b33_signal_type, b37_label_codes, c3_actionable, c4_client_zones, c7_without_rooms, c9_good_records, c10_signals, c10_options, a11_csv_sink, a12_json_sink, a13_sheets_sink, a19_flat_records, a17_state_items, a17_gap_filled, d10_staged_fill, d10_stage_counts, d19_activity, d21_searched_list, d24_company_contacts, d25_contacts_from_text, e14_funnel_window, e19_daily_drops, e19_daily_sources, e20_tiers, e24_motive_frequency, e25_list_summary, g6_ranked, h1_by_score_with_phone, h6_hot_opportunities, h8_best_signals, h9_sweep_page, i3_imports, j7_drop_payload, j8_recomputed, n2_stream_drops, n2_drops_by_key, n3_stream_days, n4_stream_upserts, n5_late_rows)}
 
 _CASE = lambda values: " ".join(f"WHEN {k} THEN {v}" for k, v in values)
 _LIVE = "NOT archived AND NOT is_demo"
@@ -312,7 +325,7 @@ ORACLE_SQL = {
     "b30_motives": f"SELECT id, {_MOTIVE} AS motives FROM (SELECT o_orderkey AS id FROM orders)",
     "b33_signal_type": "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'city_change' WHEN 1 THEN 'job_change' WHEN 2 THEN 'city_change' WHEN 3 THEN 'job_change' END AS signal_type, CASE WHEN c_custkey % 5 < 3 THEN c_name END AS name, CASE c_custkey % 5 WHEN 0 THEN 'Engineer' WHEN 1 THEN 'Chef' WHEN 2 THEN 'Painter' WHEN 4 THEN 'Cook' END AS role, CASE c_custkey % 5 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Blue' END AS company FROM customer",
     "b37_label_codes": "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'fsbo' WHEN '2-HIGH' THEN 'frbo' WHEN '3-MEDIUM' THEN 'agency_listing' ELSE 'unknown' END AS lead_type FROM orders",
-    "c3_actionable": with_leads(f"SELECT id FROM leads WHERE {PHONE} OR {EMAIL}"),
+    "c3_actionable": f"SELECT id FROM ({THIN}) WHERE contact_phone <> '' OR contact_email <> '' OR title <> '' OR zone <> '' OR address <> ''",
     "c4_client_zones": with_leads(f"SELECT id, zone FROM leads WHERE (zone IN ('NATION_1', 'NATION_7') OR zone LIKE 'NATION\\_2%' ESCAPE '\\') AND {PHONE} AND owner_type NOT IN ('agency', 'bank', 'developer', 'auction')"),
     "c7_without_rooms": "SELECT p_partkey AS id FROM part WHERE p_partkey % 6 IN (3, 4, 5)",
     "c9_good_records": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 9 NOT IN (0, 1) AND o_orderkey % 7 NOT IN (0, 1) AND o_orderkey % 4 NOT IN (0, 1) AND o_orderkey % 6 <> 3",
@@ -344,5 +357,9 @@ ORACLE_SQL = {
     "i3_imports": "SELECT id, key, name, balance FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS place FROM (SELECT c_custkey AS id, c_nationkey AS key, c_name AS name, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey + 10000000, s_nationkey, NULL, s_acctbal FROM supplier)) WHERE place = 1",
     "j7_drop_payload": with_leads("""SELECT lead_id, round(abs((last - peak) / peak * 100), 1) AS drop_pct, '-' || printf('%.1f', round(abs((last - peak) / peak * 100), 1)) || '%' AS subject FROM (SELECT lead_id, count(*) AS n, max(price) AS peak, arg_max(price, (recorded_at, price)) AS last, max(recorded_at) AS last_at FROM prices WHERE recorded_at >= TIMESTAMP '2024-01-01' GROUP BY 1) WHERE n >= 2 AND (peak - last) / peak >= 0.05 AND last_at >= TIMESTAMP '2024-01-17'"""),
     "j8_recomputed": with_leads(f"SELECT id, {_CONF} AS contact_confidence, CASE WHEN ({PHONE} OR coalesce(contact_whatsapp <> '', false)) AND lead_type IN ('fsbo', 'frbo') THEN 'high' WHEN {EMAIL} OR coalesce(contact_website <> '', false) OR lead_type IN ('fsbo', 'frbo') THEN 'medium' ELSE 'low' END AS lead_quality FROM leads"),
+    "n2_drops_by_key": "SELECT lead_id, seen_at, price, peak, round((peak - price) / peak, 4) AS drop_pct FROM (SELECT user_id AS lead_id, epoch_us(ts) AS seen_at, ts, value AS price, max(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND CURRENT ROW) AS peak FROM events) WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AND (peak - price) / peak >= 0.5",
+    "n2_stream_drops": "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, lead_id, n, peak, last FROM (SELECT start, user_id AS lead_id, count(*) AS n, max(value) AS peak, arg_max(value, (ts, value)) AS last FROM (SELECT *, unnest([s, s - INTERVAL 5 DAY]) AS start FROM (SELECT *, time_bucket(INTERVAL 5 DAY, ts, TIMESTAMP '1970-01-01') AS s FROM events)) GROUP BY 1, 2) WHERE n >= 2 AND (peak - last) / peak >= 0.5 AND start + INTERVAL 10 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "n3_stream_days": "SELECT strftime(day, '%Y-%m-%d') AS day, n FROM (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "n5_late_rows": "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n, 0::BIGINT AS late FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)",
     "n4_stream_upserts": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place = 1",
 }

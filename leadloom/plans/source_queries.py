@@ -5,10 +5,12 @@ The payloads are made of orders, by one SQL text for both engines: thirteen shap
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from leadloom.plans.text_queries import FRAGMENTS
-from leadloom.plans.views import view
+from leadloom.plans.views import shared_dir, view
 from leadloom.sources import landing
 
 TOWNS = (("Lisboa", "Lisboa"), ("Cascais", "Cascais"), ("Porto", "Porto"))
@@ -42,18 +44,25 @@ STATE_PAGES = """SELECT o_orderkey AS page_id, concat('<html><script id="__NEXT_
  WHEN 2 THEN '{"props":{"pageProps":{"listItems":[]}}}' ELSE '{bad' END, '</script></html>') AS html FROM orders"""
 
 
+def _new(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
 def _landing(spark, sf):
-    return landing.landed(view(spark, sf, PAYLOADS))
+    return landing.stored(landing.landed(view(spark, sf, PAYLOADS)), _new(spark, "landing"))
+
+
+def _mapped(spark, sf):
+    return landing.stored(landing.mapped(_landing(spark, sf), FRAGMENTS, TOWNS), _new(spark, "mapped"))
 
 
 def b49_source_mappers(spark, sf):
     """Listings of thirteen shapes of payload."""
-    rows = landing.listings(landing.mapped(_landing(spark, sf), FRAGMENTS, TOWNS))
-    return rows.drop("payload", "tags", "description", "first_name", "last_name", "birthday")
+    return landing.listings(_mapped(spark, sf)).drop("payload", "tags", "description", "first_name", "last_name", "birthday")
 
 
 def b49_refused(spark, sf):
-    return landing.refused_counts(landing.mapped(_landing(spark, sf), FRAGMENTS, TOWNS))
+    return landing.refused_counts(_mapped(spark, sf))
 
 
 def a1_payload_fields(spark, sf):

@@ -91,9 +91,10 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
 
 
 def actionable(rows: DataFrame) -> DataFrame:
+    """Imported rows with a way to reach someone, or with a subject to look into: a title, zone or address."""
     contact = present(F.col("contact_phone")) | present(F.col("contact_email"))
     place = present(F.col("title")) | present(F.col("zone")) | present(F.col("address"))
-    return rows.where(contact & place)
+    return rows.where(contact | place)
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str, version: Column) -> DataFrame:

@@ -100,6 +100,16 @@ def landed(rows: DataFrame, raw: str = "raw_data") -> DataFrame:
     return rows.withColumn("payload", F.try_parse_json(raw)).drop(raw)
 
 
+def stored(rows: DataFrame, path: str) -> DataFrame:
+    """rows as a table at path, read again.
+
+    Landed payloads are stored before they are mapped, and mapped rows before their listings are taken: a filter on a derived column
+    would be pushed below the mapping with copies of all that it rests on, down to the parsing of the payload.
+    """
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def payload_items(landing: DataFrame) -> DataFrame:
     """A payload that is a list is one row per element; others stay."""
     is_list = F.schema_of_variant("payload").startswith("ARRAY")
@@ -248,7 +258,7 @@ def mapped(landing: DataFrame, zones: Sequence[tuple[str, str]] = (), towns: Seq
 
 
 def listings(rows: DataFrame) -> DataFrame:
-    """The rows that are listings."""
+    """The rows, mapped and stored, that are listings."""
     return rows.where("refused is null").drop("refused")
 
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections import deque
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from leadloom.streaming.keyed import KeyedTable
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -39,31 +48,132 @@ def upserting(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def upserted_table(stream: DataFrame, key: str, version: Column, base: str) -> DataFrame:
+def upserted_table(stream: DataFrame, key: str, version: Column, base: str, most_deltas: int = 8) -> DataFrame:
     """The row of the highest version of every key, kept up by micro-batches over what is there now.
 
-    A batch writes the table anew under its own number, from the table before it, so a batch that is run again after a
-    failure gives the same table.
+    A batch writes the newest rows of its own keys beside the table; buckets are compacted after more than most_deltas batches. A
+    batch that is run again, and a restart without new rows, give the same table.
     """
-    spark, last = stream.sparkSession, []
+    table = KeyedTable(stream.sparkSession, f"{base}/table", stream.schema, key, version)
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = batch if not number else batch.unionByName(batch.sparkSession.read.parquet(f"{base}/table-{number - 1}"))
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), version).alias("r")).select("r.*")
-        best.write.mode("overwrite").parquet(f"{base}/table-{number}")
-        last.append(number)
+        table.apply(batch, number)
+        table.compact(most_deltas)
 
     upserting(stream, apply, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/table-{max(last)}") if last else spark.createDataFrame([], stream.schema)
+    return table.read()
+
+
+class _Late(StreamingQueryListener):
+    """Adds up the rows that each batch of a query dropped behind the watermark; the query's own progress list keeps the last hundred batches only."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        found = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.rows[str(event.progress.runId)] = self.rows.get(str(event.progress.runId), 0) + found
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.add(str(event.runId))
 
 
 def counted_with_late(stream: DataFrame, ts: str, span: str, delay: str, base: str) -> DataFrame:
     """Rows per span as far as the watermark closed it, and in late how many rows in all came after their span was closed."""
+    spark, late = stream.sparkSession, _Late()
     counts = stream.withWatermark(ts, delay).groupBy(F.window(ts, span)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
-    query = counts.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-    return stream.sparkSession.read.parquet(f"{base}/out").select(F.col("start").cast("string").alias("start"), "n", F.lit(late).cast("long").alias("late"))
+    spark.streams.addListener(late)
+    try:
+        query = counts.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(600):  # events come in order, a little after the query's end
+            if str(query.runId) in late.ended:
+                break
+            time.sleep(0.1)
+        else:
+            raise TimeoutError("the query's last event didn't come within a minute")
+    finally:
+        spark.streams.removeListener(late)
+    n = late.rows.get(str(query.runId), 0)
+    return spark.read.parquet(f"{base}/out").select(F.col("start").cast("string").alias("start"), "n", F.lit(n).cast("long").alias("late"))
+
+
+class _Drops(StatefulProcessor):
+    """A key's state: the prices of the span that can still be a peak (later ones are lower), and rows that the watermark hasn't passed."""
+
+    def __init__(self, span: int, least: float):
+        self.span, self.least = span, least
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("history", "peak_at array<long>, peak array<double>, next_at array<long>, next array<double>")
+
+    def _advanced(self, key, times, new: list[tuple[int, float]]) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else ([], [], [], [])
+        peaks = deque(zip(held[0], held[1], strict=True))
+        waiting = [*zip(held[2], held[3], strict=True), *new]
+        passed = times.getCurrentWatermarkInMs() * 1000
+        out = []
+        for at, same in groupby(sorted(x for x in waiting if x[0] <= passed), key=lambda x: x[0]):
+            prices = [p for _, p in same]
+            while peaks and peaks[0][0] < at - self.span:
+                peaks.popleft()
+            while peaks and peaks[-1][1] <= prices[-1]:
+                peaks.pop()
+            peaks.append((at, prices[-1]))
+            top = peaks[0][1]
+            out += [(key[0], at, p, top, round((top - p) / top, 4)) for p in prices if top > 0 and (top - p) / top >= self.least]
+        waiting = [x for x in waiting if x[0] > passed]
+        if not waiting and (not peaks or peaks[-1][0] < passed - self.span):
+            self.state.clear()
+        else:
+            at, peak = zip(*peaks, strict=True) if peaks else ((), ())
+            next_at, prices = zip(*waiting, strict=True) if waiting else ((), ())
+            self.state.update((list(at), list(peak), list(next_at), list(prices)))
+            # When the first waiting row is due, or when nothing of the state can matter any more.
+            self.handle.registerTimer((min(next_at) if waiting else peaks[-1][0] + self.span) // 1000 + 1)
+        yield pd.DataFrame(out, columns=["key", "at", "price", "peak", "drop_pct"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(t), float(p)) for df in rows for t, p in zip(df["at"], df["price"], strict=True)]
+        yield from self._advanced(key, timerValues, new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._advanced(key, timerValues, [])
+
+    def close(self) -> None:
+        pass
+
+
+def drops_by_key(stream: DataFrame, key: str, price: str, ts: str, span_days: float = 30, delay: str = "1 day", min_drop: float = 0.05) -> DataFrame:
+    """Observations that lie min_drop or more under the highest price of the span_days before them: key, ts, price, peak, drop_pct.
+
+    One state row per key instead of a copy of each row for every window it lies in. Rows may come in any order within delay; each is
+    rated once the watermark has passed it, in the order of its time, and later ones are dropped. The state of a key goes a span after its
+    last row. NULL keys, prices and times are left out. Start it within rocks_state.
+    """
+    rows = stream.where(F.col(key).isNotNull() & F.col(price).isNotNull()).select(F.col(key).alias("key"), F.col(price).cast("double").alias("price"), F.col(ts).alias("ts")).withWatermark("ts", delay)
+    kind = rows.schema["key"].dataType.simpleString()
+    processor = _Drops(int(span_days * 86_400_000_000), min_drop)
+    keyed = rows.select("key", F.unix_micros("ts").alias("at"), "price", "ts").groupBy("key")
+    found = keyed.transformWithStateInPandas(processor, f"key {kind}, at long, price double, peak double, drop_pct double", "append", "eventTime")
+    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("price").alias(price), "peak", "drop_pct")
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, as per-key state with timers needs; the session's setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partition: str | None = None) -> DataFrame:

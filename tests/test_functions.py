@@ -146,15 +146,52 @@ def test_relaxed_match_is_brute_force(spark):
     assert all(r.phone == f"p{r.donor_id}" for r in found)
 
 
-def test_classifier_uses_word_pairs(spark):
+def test_classifier_uses_word_pairs(spark, tmp_path):
     from leadloom.operators import learn
 
     rows = [(k, "aa bb cc" if k % 2 else "bb aa cc", k % 2) for k in range(60)]
     df = learn.training_rows(spark.createDataFrame(rows, "id long, text string, label int"), least_chars=1)
     assert sorted(df.limit(1).select(learn.terms(df.text).alias("t")).first().t)[:2] in (["aa", "aa bb"], ["aa", "aa cc"])
-    model = learn.train(df, least=10)
+    model = learn.train(df, "id", f"file://{tmp_path}/a", least=10, steps=4)
     assert {r.id: r.predicted for r in learn.scored(model, df, "id").collect()} == {k: y for k, _, y in rows}
-    assert [r.accuracy for r in learn.cross_validated(df, "id", 2, least=5).collect()] == [1.0, 1.0]
+    assert [r.accuracy for r in learn.cross_validated(df, "id", f"file://{tmp_path}/b", 2, least=5, steps=4).collect()] == [1.0, 1.0]
+    with pytest.raises(ValueError):
+        learn.train(df, "id", f"file://{tmp_path}/c", least=61)
+
+
+def test_classifier_equals_plain_steps(spark, tmp_path):
+    """The same steps over dense arrays."""
+    import random
+
+    import numpy as np
+
+    from leadloom.operators import learn
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["casa", "loja", "dono", "agencia", "novo", "sol", "mar"]) for _ in range(rng.randint(2, 9))) for _ in range(40)]
+    y = np.array([float("agencia" in t) for t in texts])
+    df = learn.training_rows(spark.createDataFrame([(k, t, int(v)) for k, (t, v) in enumerate(zip(texts, y, strict=True))], "id long, text string, label int"), 1)
+    model = learn.train(df, "id", f"file://{tmp_path}/m", least=10, min_df=2, steps=5)
+    found = {r.id: r.z0 for r in model.margins(df, "id").collect()}
+    listed = []
+    for t in texts:
+        w = [x for x in t.split() if len(x) >= 2]
+        listed.append(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    names = sorted({x for d in listed for x in d})
+    tf = np.array([[1 + np.log(d.count(x)) if x in d else 0.0 for x in names] for d in listed])
+    df_ = (tf > 0).sum(axis=0)
+    idf = np.where((df_ >= 2) & (df_ <= 0.9 * 40), np.log(41 / (df_ + 1)) + 1, 0)
+    x = tf * idf
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = np.hstack([np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), np.ones((40, 1))])
+    share = np.where(y == 1, 40 / (2 * y.sum()), 40 / (2 * (40 - y.sum())))
+    w, before = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for step in range(5):
+        ahead = w + step / (step + 3.0) * (w - before)
+        slope = x.T @ (share * (1 / (1 + np.exp(-x @ ahead)) - y) / 40)
+        slope[:-1] += 0.01 * ahead[:-1]
+        w, before = ahead - 2 * slope, w
+    assert [found[k] for k in range(40)] == pytest.approx((x @ w).tolist(), rel=1e-9)
 
 
 def test_headers_and_files(spark, tmp_path):

@@ -154,10 +154,11 @@ def relaxed_match(targets: DataFrame, donors: DataFrame, strict: float = 0.60, l
 
     Columns: id, zone_n, kind, price, title_n, phone; no row is both target and donor. Title agreement is one less the edit distance over the longer length.
     Priced pairs meet in log-price buckets as wide as the largest gap with which equal titles still reach strict. Pairs
-    without both prices are rated by distinct titles of a zone and kind whose lengths leave them in play, with the first
-    donor of each title, so rows with equal titles don't multiply.
+    without both prices meet by distinct titles of a zone and kind in a join on rare q-grams, with the first donor of each
+    title, so rows with equal titles don't multiply.
     """
     from leadloom.operators.history import similarity
+    from leadloom.operators.simjoin import similar_texts
 
     kinds = F.array_distinct(F.array(F.col("kind"), F.lit("")))
     keyed = targets.withColumn("kind", F.explode(kinds))
@@ -180,18 +181,15 @@ def relaxed_match(targets: DataFrame, donors: DataFrame, strict: float = 0.60, l
     rated = near.select(F.col("t.id").alias("id"), F.col("d.id").alias("donor_id"), F.col("d.phone").alias("phone"), ((similarity(F.col("t.title_n"), F.col("d.title_n")) + step * 1.5) / 2.5).alias("score"))
     found = rated.where(F.col("score") >= strict)
 
-    # A side without a price: by distinct titles, with the first donor of each.
-    def titles(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select("zone_n", "kind", F.col("title_n").alias(side)).distinct()
-
-    for some, others, extra, weight in ((~priced, priced, 0.20 * 0.5, 1.5), (priced, ~priced, 0.20 * 0.5, 1.5), (~priced, ~priced, 0.0, 1.0)):
-        t, d = keyed.where(some), donors.where(others)
-        a, b = F.length("a"), F.length("b")
-        bound = F.when(F.greatest(a, b) == 0, 1.0).otherwise(F.least(a, b) / F.greatest(a, b))
-        score = (similarity(F.col("a"), F.col("b")) + extra) / weight
-        near = titles(t, "a").join(titles(d, "b"), ["zone_n", "kind"]).where((bound + extra) / weight >= loose - 1e-9).withColumn("score", score).where(F.col("score") >= loose)
-        first = d.groupBy("zone_n", "kind", F.col("title_n").alias("b")).agg(F.min("id").alias("donor_id"), F.min_by("phone", "id").alias("phone"))
-        pairs = t.select("id", "zone_n", "kind", F.col("title_n").alias("a")).join(near, ["zone_n", "kind", "a"]).join(first, ["zone_n", "kind", "b"])
-        found = found.unionByName(pairs.select("id", "donor_id", "phone", "score"))
+    # A side without a price: by distinct titles, with the first donor of each. One price alone counts as a gap, with a small weight.
+    one, none = (0.20 * 0.5, 1.5), (0.0, 1.0)
+    least = min(loose * weight - extra for extra, weight in (one, none))
+    t = keyed.select("id", "zone_n", "kind", F.col("title_n").alias("a"), priced.alias("t_priced"))
+    first = donors.groupBy("zone_n", "kind", F.col("title_n").alias("b"), priced.alias("d_priced")).agg(F.min("id").alias("donor_id"), F.min_by("phone", "id").alias("phone"))
+    alike = similar_texts(t.select("zone_n", "kind", "a").distinct(), first.select("zone_n", "kind", "b").distinct(), ["zone_n", "kind"], least)
+    met = t.join(alike.join(first, ["zone_n", "kind", "b"]), ["zone_n", "kind", "a"]).where(~(F.col("t_priced") & F.col("d_priced")))
+    some = F.col("t_priced") | F.col("d_priced")
+    score = F.when(some, (F.col("ratio") + one[0]) / one[1]).otherwise((F.col("ratio") + none[0]) / none[1])
+    found = found.unionByName(met.select("id", "donor_id", "phone", score.alias("score")).where(F.col("score") >= loose))
     best = found.groupBy("id").agg(F.max(F.struct("score", (-F.col("donor_id")).alias("i"), "phone")).alias("b"))
     return best.select("id", (-F.col("b.i")).alias("donor_id"), F.round("b.score", 6).alias("score"), "b.phone")

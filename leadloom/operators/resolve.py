@@ -82,29 +82,47 @@ PRICE_RUNGS = ((0.02, 1.0), (0.05, 0.85), (0.10, 0.60), (0.20, 0.25))
 AREA_RUNGS = ((0.05, 1.0), (0.10, 0.75), (0.20, 0.35))
 
 
-def candidate_pairs(targets: DataFrame, donors: DataFrame) -> DataFrame:
-    """Pairs of rows of different sources in one zone that can reach the threshold.
+def _kind_keys(kind: Column, wild: str) -> Column:
+    """Keys by which rows of one kind, or of an unknown one, meet just once: a donor's own kind and all targets of unknown kind, and so on."""
+    k = F.upper(F.coalesce(kind, F.lit("")))
+    return F.when(k == "", F.array(F.lit("*")) if wild == "target" else F.array(F.lit(""), F.lit("*"))).otherwise(F.array(k, F.lit("")) if wild == "target" else F.array(k, F.lit("*")))
 
-    A pair with both prices more than 20 % apart reaches 4/6 at most, so priced rows meet in log-price buckets
-    of that width and their neighbours; a pair without a price needs typology, area and title on both sides
-    and meets by typology and area. Columns: zone_n, typology, price, area, title_n, source, id.
+
+def candidate_pairs(targets: DataFrame, donors: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """Pairs of rows of different sources in one zone and of kinds that may be equal that can reach the threshold, each once.
+
+    With prices more than 20 % apart a pair reaches 4/6 at most, which the threshold must exceed; so priced rows meet in log-price
+    buckets of that width. Where both have an area too, areas more than 20 % apart cost so much that prices must lie
+    within the narrow gap that still reaches the threshold: such rows meet in narrow buckets, the others by area buckets as well. Without a
+    price all else must agree, and rows meet by typology and area. Columns: zone_n, typology, price, area, title_n, source, id.
     """
+    if threshold <= 4 / 6:
+        raise ValueError("the threshold must exceed 4/6")
     width = -math.log(0.8)
-    bucket = F.floor(F.log("price") / width)
-    priced = F.coalesce(F.col("price") > 0, F.lit(False))
-    priced_t = targets.where(priced).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("t")
-    priced_d = donors.where(priced).withColumn("bucket", bucket).alias("d")
-    other_source = F.col("t.source") != F.col("d.source")
-    same_kind = (F.coalesce("t.typology", F.lit("")) == "") | (F.coalesce("d.typology", F.lit("")) == "") | (F.upper("t.typology") == F.upper("d.typology"))
-    columns = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "td" for c in ("id", "price", "area", "typology", "title_n")]
-    with_price = priced_t.join(priced_d, (F.col("t.zone_n") == F.col("d.zone_n")) & (F.col("t.bucket") == F.col("d.bucket")) & other_source & same_kind).select(*columns)
-    # Without a price, areas more than 20 % apart reach 2.5 / 4 at most, so such pairs meet in log-area buckets; priced pairs are left out first.
-    area = F.floor(F.log("area") / width)
-    whole = (F.col("typology") != "") & (F.col("area") > 0)
-    left, right = targets.where(whole).withColumn("bucket", F.explode(F.array(area - 1, area, area + 1))), donors.where(whole).withColumn("bucket", area)
-    meet = (F.col("t.zone_n") == F.col("d.zone_n")) & (F.upper("t.typology") == F.upper("d.typology")) & (F.col("t.bucket") == F.col("d.bucket")) & other_source
-    without = left.where(~priced).alias("t").join(right.alias("d"), meet).select(*columns).unionByName(left.where(priced).alias("t").join(right.where(~priced).alias("d"), meet).select(*columns))
-    return with_price.unionByName(without)
+    near = [gap for gap, points in PRICE_RUNGS if (2 * points + 1.5 + 1) / 6 >= threshold - 1e-9]
+    log = lambda c, w: F.floor(F.log(c) / w)
+    around = lambda x: F.explode(F.array(x - 1, x, x + 1))
+    priced, sized = F.coalesce(F.col("price") > 0, F.lit(False)), F.coalesce(F.col("area") > 0, F.lit(False))
+    columns = ("id", "price", "area", "typology", "title_n")
+    t = targets.withColumn("kind", F.explode(_kind_keys(F.col("typology"), "target")))
+    d = donors.withColumn("kind", F.explode(_kind_keys(F.col("typology"), "donor")))
+
+    def met(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+        a, b = (x.select("zone_n", "kind", *keys, *[F.col(c).alias(f"{s}_{c}") for c in (*columns, "source")]) for x, s in ((a, "t"), (b, "d")))
+        return a.join(b, ["zone_n", "kind", *keys]).where("t_source != d_source").select(*[f"{s}_{c}" for s in "td" for c in columns])
+
+    t_priced, d_priced = t.where(priced).withColumn("p", around(log("price", width))), d.where(priced).withColumn("p", log("price", width))
+    t_both, d_both = t_priced.where(sized).withColumn("s", around(log("area", width))), d_priced.where(sized).withColumn("s", log("area", width))
+    apart = F.abs(F.col("t_area") - F.col("d_area")) / F.greatest("t_area", "d_area") > 0.20
+    out = met(t_both, d_both, "p", "s").where(~apart).unionByName(met(t_priced.where(~sized), d_priced, "p")).unionByName(met(t_priced.where(sized), d_priced.where(~sized), "p"))
+    if near:
+        narrow = -math.log(1 - max(near))
+        fine = met(t.where(priced & sized).withColumn("p", around(log("price", narrow))), d.where(priced & sized).withColumn("p", log("price", narrow)), "p")
+        out = out.unionByName(fine.where(apart))
+    # Without a price on a side: typology and area on both, in area buckets.
+    t_whole, d_whole = (x.where((F.col("typology") != "") & sized & ~F.col("kind").isin("", "*")) for x in (t, d))
+    t_whole, d_whole = t_whole.withColumn("s", around(log("area", width))), d_whole.withColumn("s", log("area", width))
+    return out.unionByName(met(t_whole.where(~priced), d_whole, "s")).unionByName(met(t_whole.where(priced), d_whole.where(~priced), "s"))
 
 
 def fuzzy_match(leads: DataFrame, threshold: float = 0.72, exact_ratio: bool = True) -> DataFrame:
@@ -117,7 +135,7 @@ def fuzzy_match(leads: DataFrame, threshold: float = 0.72, exact_ratio: bool = T
     rows = leads.where(~F.col("archived")).select("id", norm_text(F.col("zone")).alias("zone_n"), "typology", "price", F.col("area_m2").alias("area"), norm_text(F.col("title")).alias("title_n"), F.col("discovery_source").alias("source"), reach.alias("reach"), "is_demo", F.coalesce("contact_source", F.lit("")).alias("contact_source"))
     rows = rows.where("zone_n <> ''")
     donors = rows.where(F.col("reach") & ~F.col("is_demo") & ~F.col("contact_source").rlike("^(cross_portal|website):"))
-    pairs = candidate_pairs(rows.where(~F.col("reach") & ~F.col("is_demo")), donors)
+    pairs = candidate_pairs(rows.where(~F.col("reach") & ~F.col("is_demo")), donors, threshold)
     gap = lambda c: F.abs(F.col(f"t_{c}") - F.col(f"d_{c}")) / F.greatest(f"t_{c}", f"d_{c}")
     both = lambda c: F.coalesce((F.col(f"t_{c}") > 0) & (F.col(f"d_{c}") > 0), F.lit(False))
     kind = F.coalesce((F.col("t_typology") != "") & (F.col("d_typology") != ""), F.lit(False))
@@ -136,7 +154,7 @@ def fuzzy_match(leads: DataFrame, threshold: float = 0.72, exact_ratio: bool = T
         rated = rated.withColumn("ratio", F.when(F.col("has_title"), similarity(F.col("t_title_n"), F.col("d_title_n"))).otherwise(0.0))
     scored = rated.withColumn("score", (F.col("known") + F.col("ratio")) / F.col("weight")).where(F.col("score") >= threshold)
     # The best of each target by a max, not a sort of its candidates.
-    best = scored.groupBy(F.col("t_id").alias("id")).agg(F.max(F.struct("score", (-F.col("d_id")).alias("i"))).alias("b"), F.count_distinct("d_id").alias("n_candidates"))
+    best = scored.groupBy(F.col("t_id").alias("id")).agg(F.max(F.struct("score", (-F.col("d_id")).alias("i"))).alias("b"), F.count("*").alias("n_candidates"))
     return best.select("id", (-F.col("b.i")).alias("donor_id"), F.round("b.score", 6).alias("score"), "n_candidates")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom.plans.text_queries import FRAGMENTS
 from leadloom.plans.views import shared_dir, view
-from leadloom.sources import landing
+from leadloom.sources import imports, landing
 
 TOWNS = (("Lisboa", "Lisboa"), ("Cascais", "Cascais"), ("Porto", "Porto"))
 _K = "o_orderkey"
@@ -44,6 +44,14 @@ STATE_PAGES = """SELECT o_orderkey AS page_id, concat('<html><script id="__NEXT_
  WHEN 2 THEN '{"props":{"pageProps":{"listItems":[]}}}' ELSE '{bad' END, '</script></html>') AS html FROM orders"""
 
 
+#: Rows as people keep them; every tenth pair of keys is the same listing again, and some rows are empty.
+IMPORTED = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 25 = 0 THEN '' ELSE concat(CASE o_orderkey % 4 WHEN 0 THEN 'T2 centro' WHEN 1 THEN 'Moradia antiga' WHEN 2 THEN 'Loja' ELSE 'T1 novo' END, ' ', CAST(o_custkey % 40 AS STRING)) END AS title,
+  CASE WHEN o_orderkey % 25 = 0 THEN '' WHEN o_custkey % 3 = 0 THEN 'Cascais' WHEN o_custkey % 3 = 1 THEN 'Almada' ELSE 'Evora' END AS zone, CASE WHEN o_orderkey % 25 = 0 THEN '' ELSE concat(CAST(100 + o_custkey % 7 AS STRING), '.000 EUR') END AS price,
+  CASE WHEN o_orderkey % 25 = 0 OR o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN '912 345 678' ELSE '123' END AS phone, CASE WHEN o_orderkey % 25 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'Casa Lda' WHEN o_orderkey % 7 = 1 THEN 'Não' ELSE '' END AS agency,
+  CASE WHEN o_orderkey % 25 = 0 THEN '' ELSE CASE o_orderkey % 6 WHEN 0 THEN 'Proprietário Venda' WHEN 2 THEN 'promotor' ELSE 'sonst' END END AS lead, CASE WHEN o_orderkey % 25 = 0 THEN '' ELSE CASE o_orderkey % 10 WHEN 0 THEN 'Sapo Casa' WHEN 2 THEN 'OLX' WHEN 4 THEN 'Jornal' ELSE '' END END AS source,
+  CASE WHEN o_orderkey % 25 <> 0 AND o_orderkey % 8 = 0 THEN 'https://wa.me/351961234567' ELSE '' END AS wa, CASE WHEN o_orderkey % 25 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN 'Sim' ELSE 'false' END AS owner, CASE WHEN o_orderkey % 25 = 0 THEN '' ELSE '80 m2' END AS area FROM orders"""
+
+
 def _new(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
@@ -69,13 +77,42 @@ def a1_payload_fields(spark, sf):
     return landing.payload_fields(_landing(spark, sf))
 
 
+def _import_folder(spark, sf) -> str:
+    """Orders as CSV files of two kinds: semicolons and headers of one language, commas and headers of another."""
+    folder, rows = _new(spark, "imports"), view(spark, sf, IMPORTED)
+    even = rows.where("k % 2 = 0").select(F.col("title").alias("Titulo"), F.col("zone").alias("Zona"), F.col("price").alias("Valor"), F.col("phone").alias("Telefone"), F.col("agency").alias("Agencia"), F.col("lead").alias("Tipo_Lead"), F.col("source").alias("Fonte"), F.col("wa").alias("WhatsApp"), F.col("area").alias("Area_m2"))
+    odd = rows.where("k % 2 = 1").select(F.col("price"), "title", "zone", F.col("phone").alias("contact_phone"), F.col("owner").alias("is_owner"), F.col("agency").alias("agency_name"), F.lit("x").alias("unknown"), F.col("area"))
+    even.write.csv(f"{folder}/a", header=True, sep=";", emptyValue="", quoteAll=True)
+    odd.write.csv(f"{folder}/b", header=True, emptyValue="", quoteAll=True)
+    return f"{folder}/*"
+
+
+def a10_export_job(spark, sf):
+    """Unique leads of a folder's files, counted by what all rows of a fingerprint have in common."""
+    out = _new(spark, "export")
+    imports.export_job(spark, _import_folder(spark, sf), out, FRAGMENTS)
+    rows = spark.read.csv(out, header=True, escape='"')
+    return rows.groupBy("typology", "zone").agg(F.count("*").alias("n"), F.count_distinct("fingerprint").alias("keys"), F.round(F.sum(F.bround(F.col("price").cast("double") / 1000)), 0).alias("thousands"))
+
+
+def a10_job_counts(spark, sf):
+    c = imports.export_job(spark, _import_folder(spark, sf), _new(spark, "export"), FRAGMENTS)
+    return spark.createDataFrame([(c.read, c.refused["empty"], c.repeated, c.written)], "read long, empty long, repeated long, written long")
+
+
+def b37_import_codes(spark, sf):
+    """Rows of the imported files by lead type, source, owner and agency, as the label maps and rules have them."""
+    rows = imports.normalized(imports.read_folder(spark, _import_folder(spark, sf)), FRAGMENTS).where("refused is null")
+    return rows.groupBy("lead_type", "discovery_source", "is_owner", "owner_type", "agency_name", "phone_type", "contact_confidence").agg(F.count("*").alias("n"))
+
+
 def a17_state_rows(spark, sf):
     rows = landing.state_rows(view(spark, sf, STATE_PAGES))
     text = lambda c, path, kind: F.try_variant_get(c, path, kind)
     return rows.select("page_id", "kind", text("payload", "$.listID", "long").alias("list_id"), text("payload", "$.price", "double").alias("price"), text("seller", "$.name", "string").alias("seller"))
 
 
-QUERIES = {f.__name__: f for f in (b49_source_mappers, b49_refused, a1_payload_fields, a17_state_rows)}
+QUERIES = {f.__name__: f for f in (b49_source_mappers, b49_refused, a1_payload_fields, a10_export_job, a10_job_counts, b37_import_codes, a17_state_rows)}
 
 _NUMBER = r"(9[1236][0-9] ?[0-9]{3} ?[0-9]{3})(?:[^0-9]|$)"
 _GOODS = "source IN ('olx_marketplace', 'standvirtual')"
@@ -109,6 +146,8 @@ k AS (SELECT *, CASE WHEN price0 > 5000 AND price0 < 10000000 THEN price0 END AS
   CASE WHEN j IS NULL THEN 'unparsable' WHEN title = '' THEN 'no title' WHEN source = 'olx' AND (coalesce(area_m2 < 10, false) OR (regexp_matches(blob, '(?i)\bgaragem\b|\barrecada[çc]') AND NOT regexp_matches(blob, '(?i)\bapartamento\b|\bmoradia\b|\bquarto\b|\bandar\b|\bt[0-9]\b|habita[çc]'))) THEN 'not residential' END AS refused FROM i)"""
 _CONDITION = r"CASE WHEN regexp_matches(lower(blob), '\bnovo\b') THEN 'novo' WHEN regexp_matches(lower(blob), 'para renovar|habitar e renovar') THEN 'renovar' WHEN contains(lower(blob), 'bom estado') THEN 'usado' ELSE 'desconhecido' END"
 
+_IMPORTED_KEY = "CASE WHEN title LIKE 'T2%' THEN 'T2' WHEN title LIKE 'T1%' THEN 'T1' WHEN title LIKE 'Loja%' THEN 'Comercial' WHEN title LIKE 'Moradia%' THEN 'Moradia' ELSE 'Desconhecido' END AS typology, CASE zone WHEN '' THEN 'Outra' ELSE zone END AS zone, title, try_cast(price[1:3] AS INT) AS p"
+
 ORACLE_SQL = {
     "b49_source_mappers": rf"""WITH {_MAPPED} SELECT id, source, title, CASE WHEN NOT goods THEN price1 END AS price, area_m2,
   CASE WHEN goods THEN NULL WHEN regexp_matches(rooms, '(?i)terreno|lote') THEN 'Terreno' WHEN regexp_matches(rooms, '(?i)loja') THEN 'Comercial' WHEN regexp_matches(rooms, '(?i)moradia|\bv\s*[1-9]\b') THEN 'Moradia' WHEN regexp_matches(rooms, '(?i)est[úu]dio') THEN 'T0'
@@ -126,5 +165,10 @@ ORACLE_SQL = {
   {_J("url")} AS url, {_FIRST(_J("external_id"), _J("post_id"), _J("listID"))} AS external_id FROM k WHERE refused IS NULL""",
     "b49_refused": f"WITH {_MAPPED} SELECT source, count(*) AS n, count(*) FILTER (WHERE refused IS NULL) AS listings, count(*) FILTER (WHERE refused = 'unparsable') AS unparsable, count(*) FILTER (WHERE refused = 'no title') AS no_title, count(*) FILTER (WHERE refused = 'not residential') AS not_residential FROM k GROUP BY 1",
     "a1_payload_fields": f"SELECT source, field, count(*) AS n FROM (SELECT source, unnest(json_keys(raw_data::JSON)) AS field FROM ({PAYLOADS}) WHERE json_valid(raw_data)) GROUP BY 1, 2",
+    "a10_export_job": f"SELECT typology, zone, count(*) AS n, count(*) AS keys, sum(p)::DOUBLE AS thousands FROM (SELECT DISTINCT {_IMPORTED_KEY} FROM ({IMPORTED}) WHERE k % 25 <> 0) GROUP BY 1, 2",
+    "a10_job_counts": f"SELECT count(*) AS read, count(*) FILTER (WHERE k % 25 = 0) AS empty, count(*) FILTER (WHERE k % 25 <> 0) - written AS repeated, any_value(written) AS written FROM ({IMPORTED}), (SELECT count(*) AS written FROM (SELECT DISTINCT {_IMPORTED_KEY} FROM ({IMPORTED}) WHERE k % 25 <> 0)) GROUP BY written",
+    "b37_import_codes": f"""SELECT CASE WHEN k % 2 = 1 THEN 'unknown' WHEN k % 6 = 0 THEN 'fsbo' WHEN k % 6 = 2 THEN 'developer_listing' ELSE 'unknown' END AS lead_type, CASE WHEN k % 2 = 1 THEN 'import' WHEN k % 10 = 0 THEN 'sapo' WHEN k % 10 = 2 THEN 'olx' WHEN k % 10 = 4 THEN 'jornal' ELSE 'import' END AS discovery_source,
+  is_owner, CASE WHEN is_owner THEN 'fsbo' ELSE 'agency' END AS owner_type, CASE WHEN NOT is_owner AND agency NOT IN ('', 'Não') THEN agency END AS agency_name, CASE WHEN reach THEN 'mobile' ELSE 'unknown' END AS phone_type, CASE WHEN reach THEN 100 ELSE 0 END AS contact_confidence, count(*) AS n
+  FROM (SELECT *, CASE WHEN k % 2 = 1 THEN owner = 'Sim' ELSE agency IN ('', 'Não') END AS is_owner, phone = '912 345 678' OR (k % 2 = 0 AND wa <> '') AS reach FROM ({IMPORTED}) WHERE k % 25 <> 0) GROUP BY 1, 2, 3, 4, 5, 6, 7""",
     "a17_state_rows": f"SELECT page_id, kind, list_id, price, seller FROM (SELECT {_K} AS page_id, 'item' AS kind, {_K} AS list_id, 5.0::DOUBLE AS price, NULL AS seller FROM orders WHERE {_K} % 4 = 0 UNION ALL SELECT {_K}, 'item', {_K} + 1000000000, NULL, NULL FROM orders WHERE {_K} % 4 = 0 UNION ALL SELECT {_K}, 'detail', {_K}, 7.0, 'Eva ' || {_K} % 5 FROM orders WHERE {_K} % 4 = 1)",
 }

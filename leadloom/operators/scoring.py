@@ -112,13 +112,35 @@ def phone_frequency(leads: DataFrame) -> DataFrame:
 
 
 def learned_benchmark(leads: DataFrame, min_count: int = 5) -> DataFrame:
-    """Median price per area by zone and typology where enough rows hold one, with the zone's median beside it."""
+    """Exact median price per area by zone and typology where enough rows hold one, else the zone's. A median holds all values of its group: see sketched_benchmark for large zones."""
     rows = leads.where((F.col("price") > 0) & (F.col("area_m2") > 0)).select("zone", "typology", (F.col("price") / F.col("area_m2")).alias("v"))
     both = rows.groupBy("zone", "typology").agg(F.median("v").alias("own"), F.count("*").alias("n"))
     zones = rows.groupBy("zone").agg(F.median("v").alias("zone_median"))
     return both.join(zones, "zone").select("zone", "typology", "n", F.round(F.when(F.col("n") >= min_count, F.col("own")).otherwise(F.col("zone_median")), 2).alias("benchmark"))
 
 
+def benchmark_sketches(leads: DataFrame, k: int = 400) -> DataFrame:
+    """zone, typology, n and a mergeable quantile sketch of the price per area: of every (zone, typology), of every zone (typology NULL) and of all (both NULL).
+
+    Values are read once; zones and the total are merged from the sketches below them, so no task holds a zone's values. The rank
+    error of a quantile is about 1.65 / k ** 0.9 at 99 % confidence: under 1 % for k = 400.
+    """
+    rows = leads.where((F.col("price") > 0) & (F.col("area_m2") > 0)).select("zone", "typology", (F.col("price") / F.col("area_m2")).alias("v"))
+    own = rows.groupBy("zone", "typology").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("v", k).alias("sketch"))
+    merged = F.expr(f"kll_merge_agg_double(sketch, {k})").alias("sketch")
+    zones = own.groupBy("zone").agg(F.lit(None).cast("string").alias("typology"), F.sum("n").alias("n"), merged)
+    total = own.agg(F.lit(None).cast("string").alias("zone"), F.lit(None).cast("string").alias("typology"), F.sum("n").alias("n"), merged).where("n is not null")
+    return own.unionByName(zones).unionByName(total)
+
+
+def sketched_benchmark(sketches: DataFrame, min_count: int = 5, digits: int = 2) -> DataFrame:
+    """learned_benchmark from sketches: the median of (zone, typology) where enough rows hold one, else the zone's."""
+    median = F.expr("kll_sketch_get_quantile_double(sketch, 0.5D)")
+    zones = sketches.where("zone is not null and typology is null").select("zone", median.alias("zone_median"))
+    own = sketches.where("zone is not null and typology is not null").select("zone", "typology", "n", median.alias("own"))
+    return own.join(zones, "zone").select("zone", "typology", "n", F.round(F.when(F.col("n") >= min_count, F.col("own")).otherwise(F.col("zone_median")), digits).alias("benchmark"))
+
+
 def with_benchmark(leads: DataFrame, table: DataFrame, fallback: Sequence[str] = ("T2", "T3", "T1", "T0"), default: float = 2500.0, digits: int | None = 2) -> DataFrame:
     """Benchmark by (zone, typology), else of the zone's first fallback typology, else the default; and the difference in per cent."""
     rounded = lambda c: c if digits is None else F.round(c, digits)

@@ -42,6 +42,15 @@ def f14_score_bump(spark, sf):
     return leads(spark, sf).where("priority_flag").select("id", raised.alias("score"), label.alias("score_label"))
 
 
+def d13_sketched_benchmark(spark, sf):
+    """Whether the values up to each sketched benchmark are half of its group's, give or take two hundredths and one value."""
+    rows = leads(spark, sf)
+    found = scoring.sketched_benchmark(scoring.benchmark_sketches(rows), digits=9)
+    values = rows.where("price > 0 AND area_m2 > 0").select("zone", "typology", (F.col("price") / F.col("area_m2")).alias("v"))
+    ranked = values.join(found, ["zone", "typology"]).groupBy("zone", "typology", "n").agg(F.count_if(F.col("v") <= F.col("benchmark") + 1e-6).alias("below"))
+    return ranked.where("n >= 5").select("zone", "typology", "n", (F.abs(F.col("below") - F.col("n") / 2) <= 1 + 0.02 * F.col("n")).alias("is_median"))
+
+
 def d13_learned_benchmark(spark, sf):
     return scoring.learned_benchmark(leads(spark, sf))
 
@@ -179,7 +188,7 @@ def d18_due_alerts(spark, sf):
     return lifecycle.due_alerts(leads(spark, sf), view(spark, sf, ALERTS), "2024-01-15 00:00:00").select("id", "score")
 
 
-QUERIES = {f.__name__: f for f in (f1_score, f12_phone_frequency, f13_needs_rescore, f14_score_bump, d12_benchmark_join, d13_learned_benchmark, g1_price_drops, g1_drop_stats, g2_price_changes, g2_accepted_changes, g3_text_edits, g4_edit_notes, g5_best_per_phone, g7_price_in_force, c1_active_page, c5_preset, c8_without_demo, h2_digest, h3_hot_focus, h4_premium, h5_expanded, h10_top_actionable, h11_per_stage, d23_seller_rollup, i4_timeline, i6_alert_feed, a13_deliverable, b31_contact_list, j1_reminders, e26_pending_per_stage, j2_stale, j3_dropped, j4_stage_moves, j6_promote, j9_bulk_update, d18_due_alerts)}
+QUERIES = {f.__name__: f for f in (f1_score, f12_phone_frequency, f13_needs_rescore, f14_score_bump, d12_benchmark_join, d13_learned_benchmark, d13_sketched_benchmark, g1_price_drops, g1_drop_stats, g2_price_changes, g2_accepted_changes, g3_text_edits, g4_edit_notes, g5_best_per_phone, g7_price_in_force, c1_active_page, c5_preset, c8_without_demo, h2_digest, h3_hot_focus, h4_premium, h5_expanded, h10_top_actionable, h11_per_stage, d23_seller_rollup, i4_timeline, i6_alert_feed, a13_deliverable, b31_contact_list, j1_reminders, e26_pending_per_stage, j2_stale, j3_dropped, j4_stage_moves, j6_promote, j9_bulk_update, d18_due_alerts)}
 
 _DROPS = f"""SELECT lead_id, count(*) AS observations, max(price) AS peak_price, arg_min(recorded_at, recorded_at) FILTER (WHERE price = peak) AS peak_at, arg_max(price, recorded_at) AS last_price, max(recorded_at) AS last_at
   FROM (SELECT *, max(price) OVER (PARTITION BY lead_id) AS peak FROM prices WHERE recorded_at >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 30 DAY) GROUP BY lead_id"""
@@ -224,6 +233,7 @@ ORACLE_SQL = {
     "f14_score_bump": with_leads("SELECT id, least(100, coalesce(score, 0) + 15) AS score, CASE WHEN coalesce(score, 0) + 15 >= 60 THEN 'HOT' WHEN coalesce(score, 0) + 15 >= 40 THEN 'WARM' ELSE 'COLD' END AS score_label FROM leads WHERE priority_flag"),
     "d12_benchmark_join": with_leads("""SELECT id, zone, typology, per AS price_per_m2, bench AS price_benchmark, (bench - per) / bench * 100 AS delta_pct FROM (SELECT id, zone, typology, CASE WHEN price > 0 AND area_m2 > 0 THEN price / area_m2 END AS per,
   CASE WHEN n_nationkey < 15 AND typology IN ('T2', 'T1', 'Moradia') AND NOT (zone = 'NATION_5' AND typology = 'T2') THEN n_nationkey * 100.0::DOUBLE + 1000 + length(typology) WHEN n_nationkey < 15 THEN n_nationkey * 100.0::DOUBLE + 1000 + 2 ELSE 2500.0::DOUBLE END AS bench FROM leads JOIN nation ON zone = n_name)"""),
+    "d13_sketched_benchmark": with_leads("SELECT zone, typology, count(*) AS n, true AS is_median FROM leads WHERE price > 0 AND area_m2 > 0 GROUP BY 1, 2 HAVING count(*) >= 5"),
     "d13_learned_benchmark": with_leads("""SELECT b.zone, typology, n, round(CASE WHEN n >= 5 THEN own ELSE zm END, 2) AS benchmark FROM (SELECT zone, typology, count(*) AS n, median(price / area_m2) AS own FROM leads WHERE price > 0 AND area_m2 > 0 GROUP BY 1, 2) b
   JOIN (SELECT zone, median(price / area_m2) AS zm FROM leads WHERE price > 0 AND area_m2 > 0 GROUP BY 1) z ON b.zone = z.zone"""),
     "g1_price_drops": with_leads(_DROP_ROWS),

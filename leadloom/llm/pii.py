@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
 Base kinds (always reported): email; ip with parts up to 255; card, 16 to 19 digits that pass Luhn;
-phone in international form with 8 to 15 digits. Added kinds, where no base span lies: iban (mod 97),
-card of 13 to 15 digits that passes Luhn, phone in national form, and nin (three groups of 3, 2 and 4
+phone in international form with 8 to 15 digits. Added kinds, where no base span lies: iban (cut by its country's
+length, mod 97), card of 13 to 15 digits that passes Luhn (the shortest head of whole digit groups), phone in national form, and nin (three groups of 3, 2 and 4
 digits). A span's score is its pattern's prior, plus what its checksum adds, plus CONTEXT for a fitting
 word within NEARBY characters before it or half of that after it; added spans need a score of THRESHOLD.
 
@@ -27,10 +27,21 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 NATIONAL = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 NIN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-DIGIT = re.compile(r"[0-9]")
+DIGIT, DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
+
+# Characters of an account number by its country (ISO 13616).
+IBAN_LENGTHS = dict(
+    x.split()
+    for x in (
+        "AD 24,AE 23,AL 28,AT 20,AZ 28,BA 20,BE 16,BG 22,BH 22,BI 27,BR 29,BY 28,CH 21,CR 22,CY 28,CZ 24,DE 22,DJ 27,DK 18,DO 28,EE 20,EG 29,ES 24,FI 18,FK 18,FO 18,FR 27,GB 22,GE 22,GI 23,GL 18,GR 27,GT 28,HR 21,HU 28,IE 22,"
+        "IL 23,IQ 23,IS 26,IT 27,JO 30,KW 30,KZ 20,LB 28,LC 32,LI 21,LT 20,LU 20,LV 21,LY 25,MC 27,MD 24,ME 22,MK 19,MN 20,MR 27,MT 31,MU 30,NI 28,NL 18,NO 15,OM 23,PK 24,PL 28,PS 29,PT 25,QA 29,RO 24,RS 22,RU 33,SA 24,SC 31,"
+        "SD 18,SE 24,SI 19,SK 24,SM 27,SO 23,ST 25,SV 28,TL 23,TN 24,TR 26,UA 29,VA 22,VG 24,XK 20,YE 30"
+    ).split(",")
+)
+IBAN_BODY = {country: re.compile(rf"(?: ?[A-Z0-9]){{{int(n) - 4}}}(?![A-Za-z0-9])") for country, n in IBAN_LENGTHS.items()}
 
 KINDS = ("email", "ip", "card", "phone", "iban", "nin")
 PRIOR = {"email": 0.6, "ip": 0.5, "card": 0.2, "phone": 0.4, "iban": 0.2, "nin": 0.3}
@@ -78,6 +89,32 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", free)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers as long as their country has them, whatever word or number follows."""
+    free = 0
+    for m in IBAN_HEAD.finditer(text):
+        body = IBAN_BODY.get(m[0][:2])
+        found = body.match(text, m.end()) if body and m.start() >= free else None
+        if found and mod97(text[m.start() : found.end()].replace(" ", "")):
+            yield m.start(), found.end()
+            free = found.end()
+
+
+def short_cards(text: str) -> Iterator[tuple[int, int]]:
+    """Card numbers of 13 to 15 digits: of a run of digit groups the shortest head of whole groups that passes."""
+    for m in CARD.finditer(text):
+        if m.end() - m.start() < 13 or (16 <= len(d := only_digits(m[0])) <= 19 and luhn(d)):
+            continue
+        digits = ""
+        for g in DIGITS.finditer(m[0]):
+            digits += g[0]
+            if len(digits) > 15:
+                break
+            if len(digits) >= 13 and luhn(digits):
+                yield m.start(), m.start() + g.end()
+                break
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     if DIGIT.search(text):
@@ -100,8 +137,7 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     out = [(k, s, e, score(text, k, s, e, k == "card"), True) for k, s, e in base]
     if DIGIT.search(text):
         taken = sorted((s, e) for _, s, e in base)
-        proposed = [("iban", *m.span(), True) for m in IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c)]
-        proposed += [("card", *m.span(), True) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := only_digits(m[0])) <= 15 and luhn(d)]
+        proposed = [("iban", *x, True) for x in ibans(text)] + [("card", *x, True) for x in short_cards(text)]
         proposed += [("nin", *m.span(), False) for m in NIN.finditer(text)]
         proposed += [("phone", *m.span(), False) for m in NATIONAL.finditer(text)]
         at = 0

@@ -36,6 +36,10 @@ def test_checksums_and_context():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
     kinds = lambda t: [(k, b) for k, _, _, _, b in pii.spans(t)]
     assert kinds("IBAN: GB82 WEST 1234 5698 7654 32") == [("iban", False)]
+    for text in ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "IBAN DE89 3704 0044 0532 0130 00 2024 paid", "bank GB82 WEST 1234 5698 7654 32 OK", "konto DE89370400440532013000, DE89 3704 0044"):
+        assert kinds(text) == [("iban", False)]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 01") == kinds("IBAN DE893704004405320130001") == kinds("IBAN ZZ82 WEST 1234 5698 7654 32") == []
+    assert [(k, s, e) for k, s, e, _, _ in pii.spans("amex card 3782 822463 10005 2024 ok")] == [("card", 10, 27)]
     assert kinds("amex card 3782 822463 10005") == [("card", False)]
     assert kinds("code 3782 822463 10005") == []
     assert kinds("call (212) 555-0100 now") == [("phone", False)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -105,6 +106,10 @@ def contains_any(rows: DataFrame, query: str, columns: Sequence[str]) -> DataFra
     return rows.where(hit)
 
 
+#: The band of items without a price; slack for sums of products in another order.
+_NO_PRICE, _SLACK = -(1 << 40), 1e-7
+
+
 def tfidf(rows: DataFrame, id_col: str, blob: Column, min_df: int = 2, max_df: float = 0.85) -> DataFrame:
     """id, term, w: sublinear tf times smooth idf over words and word pairs, normalised to length 1."""
     words = F.filter(F.split(blob, r"\s+"), lambda x: x != "")
@@ -121,11 +126,41 @@ def tfidf(rows: DataFrame, id_col: str, blob: Column, min_df: int = 2, max_df: f
 
 
 def similar(weights: DataFrame, rows: DataFrame, queries: DataFrame, top: int = 5, price_window: float = 0.15) -> DataFrame:
-    """For each query id the rows with the highest cosine, within a price window where both have one; itself left out."""
-    q = weights.join(queries.select(F.col("id").alias("qid")).distinct(), F.col("id") == F.col("qid"), "left_semi").select(F.col("id").alias("q"), "term", F.col("w").alias("qw"))
-    scores = q.join(weights, "term").where("q != id").groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("cosine"))
-    price = lambda k, n: rows.select(F.col("id").alias(k), F.col("price").alias(n))
-    near = scores.join(price("q", "qp"), "q").join(price("id", "ip"), "id")
-    fits = F.col("qp").isNull() | F.col("ip").isNull() | ((F.col("ip") >= F.col("qp") * (1 - price_window)) & (F.col("ip") <= F.col("qp") * (1 + price_window)))
+    """For each query id the top rows by cosine, within a price window where both have a price; itself left out.
+
+    Items lie in log-price bands, so that the window is part of the join key. In each band a term can add at most its largest weight there to a
+    score. A first pass adds up the terms that bring half of that most; its top-th score is a bound that the answer can't fall
+    below. An item that shares none of the terms without which the rest can't reach the bound isn't looked at, and the whole cosine is
+    taken for those alone that are left.
+    """
+    width = -math.log(1 - price_window)
+    band = F.when(F.col("price") > 0, F.floor(F.log("price") / width)).otherwise(F.lit(None).cast("long"))
+    priced = rows.select("id", F.when(F.col("price") > 0, F.col("price")).alias("price"), band.alias("band"))
+    asked = priced.join(queries.select("id").distinct(), "id").select(F.col("id").alias("q"), F.col("price").alias("qp"), F.col("band").alias("qb"))
+    # The bands of a query: its own, its neighbours, and that of items without a price; a query without a price looks into all.
+    items = weights.join(priced, "id").select("term", "id", "w", "price", F.coalesce("band", F.lit(_NO_PRICE)).alias("band"))
+    most = items.groupBy("term", "band").agg(F.max("w").alias("most"))
+    bands = F.when(F.col("qb").isNotNull(), F.array(F.col("qb") - 1, F.col("qb"), F.col("qb") + 1, F.lit(_NO_PRICE)))
+    terms = weights.join(asked, weights["id"] == asked["q"]).select("q", "qp", "term", F.col("w").alias("qw"), bands.alias("bands"))
+    near = terms.where("bands is not null").withColumn("band", F.explode("bands")).drop("bands").join(most, ["term", "band"])
+    anywhere = terms.where("bands is null").drop("bands").join(most, "term")
+    bound = F.col("qw") * F.col("most")
+    after = Window.partitionBy("q", "band").orderBy(bound.desc(), "term").rowsBetween(0, Window.unboundedFollowing)
+    # reach: what this term and all lesser ones can add to the score of an item of the band.
+    ranked = near.unionByName(anywhere).withColumns({"reach": F.sum(bound).over(after), "all": F.sum(bound).over(Window.partitionBy("q", "band"))}).drop("most")
+
+    def met(some: DataFrame) -> DataFrame:
+        fits = F.col("qp").isNull() | F.col("price").isNull() | ((F.col("price") >= F.col("qp") * (1 - price_window)) & (F.col("price") <= F.col("qp") * (1 + price_window)))
+        return some.join(items, ["term", "band"]).where((F.col("q") != F.col("id")) & fits)
+
+    part = met(ranked.where(F.col("reach") > F.col("all") / 2)).groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("least"))
+    place = Window.partitionBy("q").orderBy(F.desc("least"), "id")
+    floor = part.withColumn("place", F.row_number().over(place)).where(F.col("place") == top).select("q", (F.col("least") - _SLACK).alias("floor"))
+    needed = ranked.join(floor, "q", "left").where(F.col("floor").isNull() | (F.col("reach") >= F.col("floor")))
+    pairs = met(needed).select("q", "id").distinct()
+    vectors = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
+    own = vectors.join(asked, vectors["id"] == asked["q"], "left_semi").select(F.col("id").alias("q"), F.map_entries("v").alias("qv"))
+    cosine = F.aggregate("qv", F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at(F.col("v"), e["key"]), F.lit(0.0)))
+    scored = pairs.join(vectors, "id").join(own, "q").select("q", "id", cosine.alias("cosine"))
     w = Window.partitionBy("q").orderBy(F.desc(F.round("cosine", 9)), "id")
-    return near.where(fits & (F.col("cosine") > 0)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("q", "place", "id", F.round("cosine", 6).alias("cosine"))
+    return scored.where("cosine > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("q", "place", "id", F.round("cosine", 6).alias("cosine"))

@@ -122,13 +122,20 @@ def d22_geo_resolved(spark, sf):
     return resolve.geo_resolved(rows, cache, nations.where("n_nationkey % 2 = 0").select("zone", (F.col("n_nationkey") * 1.0).alias("lat"), F.lit(0.5).alias("lon")))
 
 
-#: Where the index of a folder's documents lies, by application and folder.
-_BUILT: dict[tuple[str, str], str] = {}
+#: Where the index of a folder's documents lies, by application and by the files with their times and sizes.
+_BUILT: dict[tuple, str] = {}
+
+
+def _stamp(spark, path: str) -> tuple:
+    """The files at a path with their times and sizes: other documents have another stamp."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((str(f.getPath()), f.getModificationTime(), f.getLen()) for f in found))
 
 
 def _stored_index(spark, sf):
-    """Built once for an application and a folder."""
-    key = (spark.sparkContext.applicationId, sf)
+    """Built once for an application and the documents as they are now."""
+    key = (spark.sparkContext.applicationId, _stamp(spark, f"{sf}/documents.parquet"))
     if key not in _BUILT:
         path = f"{shared_dir(spark)}/postings-{uuid4().hex}"
         search.Index.build(table(spark, sf, "documents"), path, "doc_id", "text")
@@ -275,5 +282,13 @@ ORACLE_SQL = {
     "l3_rules_without_model": with_leads(f"SELECT id, {_RULED} FROM leads"),
     "l4_flips": with_leads(f"SELECT outcome, CASE WHEN outcome = 'changed' THEN label END AS before, CASE WHEN outcome = 'changed' THEN predicted END AS after, count(*) AS n FROM (SELECT *, CASE WHEN discovery_source = '1-URGENT' THEN 'locked' WHEN label = predicted THEN 'same' WHEN confidence < 0.6 THEN 'uncertain' ELSE 'changed' END AS outcome FROM (SELECT *, CASE owner_type WHEN 'agency' THEN 1 WHEN 'fsbo' THEN 0 END AS label, {_RULED} FROM leads) WHERE label IS NOT NULL) GROUP BY 1, 2, 3"),
     "n3_stream_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, k, count(*) AS n, max(ts) AS last FROM s GROUP BY 1, 2) WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1",
+    "k4_similar_items": """WITH words AS (SELECT p_partkey AS id, p_retailprice AS price, list_filter(string_split_regex(lower(concat_ws(' ', p_type, p_type, p_brand, p_name)), '\\s+'), lambda x: x <> '') AS w FROM part),
+  tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM words UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words) GROUP BY 1, 2),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM part),
+  raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS r FROM tf JOIN df USING (term), n WHERE df >= 2 AND df <= 0.85::DOUBLE * n),
+  v AS (SELECT id, term, r / sqrt(sum(r * r) OVER (PARTITION BY id)) AS w FROM raw),
+  c AS (SELECT a.id AS q, b.id, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.term = b.term AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2)
+  SELECT q, place::INT AS place, id, round(cosine, 6) AS cosine FROM (SELECT q, c.id, cosine, row_number() OVER (PARTITION BY q ORDER BY round(cosine, 9) DESC, c.id) AS place FROM c JOIN part x ON x.p_partkey = q JOIN part y ON y.p_partkey = c.id
+    WHERE y.p_retailprice >= x.p_retailprice * 0.85::DOUBLE AND y.p_retailprice <= x.p_retailprice * 1.15::DOUBLE) WHERE place <= 5""",
     "n1_stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
 }

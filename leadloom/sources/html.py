@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -69,5 +70,5 @@ def sitemap_urls(spark, path: str) -> DataFrame:
 
 def kept_urls(urls: DataFrame, paths: Sequence[str], slugs: Sequence[str], limit: int = 5000) -> DataFrame:
     """Distinct urls that hold one of the paths and one of the slugs."""
-    any_of = lambda words: F.lower("url").rlike("|".join(w.lower() for w in words))
+    any_of = lambda words: F.lower("url").rlike("|".join(re.escape(w.lower()) for w in words))
     return urls.where(any_of(paths) & any_of(slugs)).select("url").distinct().orderBy("url").limit(limit)

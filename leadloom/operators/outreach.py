@@ -156,6 +156,40 @@ def contacts_from_text(leads: DataFrame, text: Column) -> DataFrame:
     return found.where(F.coalesce(gained, F.lit(False))).select("id", fill("contact_phone", "p"), fill("contact_email", "m"), fill("contact_website", "w"), F.lit("text").alias("contact_source"))
 
 
+def backfilled(leads: DataFrame, unknown: str = "listagem") -> DataFrame:
+    """Leads without a contact's source, chat number or website, with what their texts hold for them: id, the fields as they are then, and what changed.
+
+    A lead without a source gets its portal's name and the confidence of the best channel that it has or gains, in the order telephone or chat
+    (100), e-mail (70), website (40), name (30); a telephone and an e-mail are looked for only as far as no better channel is there.
+    """
+    rows = leads.where(F.col("contact_source").isNull() | F.col("contact_whatsapp").isNull() | F.col("contact_website").isNull())
+    chat = F.coalesce(contact.listing_whatsapp(F.col("description")), contact.listing_whatsapp(F.col("title")))
+    number = F.coalesce(contact.first(contact.phones_in_text(F.col("description"))), contact.first(contact.phones_in_text(F.col("title"))))
+    rows = rows.withColumns({
+        "new_chat": F.when(F.col("contact_whatsapp").isNull(), chat),
+        "new_site": F.when(F.col("contact_website").isNull(), contact.website_in_text(F.col("description"))),
+        "bare": F.col("contact_source").isNull(),
+    })
+    rows = rows.withColumns({"chat": F.coalesce("contact_whatsapp", "new_chat"), "site": F.coalesce("contact_website", "new_site")})
+    rows = rows.withColumn("new_phone", F.when(F.col("bare") & ~has_phone() & ~present(F.col("chat")), number))
+    reached = has_phone() | present(F.col("chat")) | F.col("new_phone").isNotNull()
+    rows = rows.withColumn("new_email", F.when(F.col("bare") & ~reached & ~present(F.col("contact_email")), contact.listing_email(F.col("description"))))
+    mailed = present(F.col("contact_email")) | F.col("new_email").isNotNull()
+    best = F.when(reached, 100).when(mailed, 70).when(present(F.col("site")), 40).when(present(F.col("contact_name")), 30)
+    rows = rows.withColumn("gained", F.when(F.col("bare"), best))
+    return rows.select(
+        "id", F.coalesce("new_phone", "contact_phone").alias("contact_phone"), F.coalesce("new_email", "contact_email").alias("contact_email"), F.col("chat").alias("contact_whatsapp"), F.col("site").alias("contact_website"),
+        F.coalesce("contact_source", F.when(F.col("gained").isNotNull(), F.coalesce(F.nullif("discovery_source", F.lit("")), F.lit(unknown)))).alias("contact_source"), F.coalesce("gained", "contact_confidence").alias("contact_confidence"),
+        F.col("gained").isNotNull().alias("new_source"), F.col("new_chat").isNotNull().alias("new_whatsapp"), F.col("new_site").isNotNull().alias("new_website"),
+    )
+
+
+def backfill_counts(rows: DataFrame) -> DataFrame:
+    """One row: how many leads were looked at, gained a source, a chat number, a website, and were left as they were."""
+    nothing = ~(F.col("new_source") | F.col("new_whatsapp") | F.col("new_website"))
+    return rows.agg(F.count("*").alias("checked"), count_if(F.col("new_source"), "sources"), count_if(F.col("new_whatsapp"), "whatsapps"), count_if(F.col("new_website"), "websites"), count_if(nothing, "skipped"))
+
+
 def recomputed(leads: DataFrame) -> DataFrame:
     """Confidence and quality of every row set anew from its fields, as one ladder each."""
     confidence = contact.contact_confidence(F.col("contact_phone"), F.col("contact_whatsapp"), F.col("contact_email"), F.col("contact_website"), F.col("contact_name"))

@@ -30,6 +30,12 @@ SIGNAL_FEED = "SELECT o_orderkey AS id, o_orderpriority AS source, CASE o_orderk
 STAGES = ("novo", "contactado", "negociacao", "ganho", "perdido")
 
 
+#: Leads of which some channels are known, with texts that name others.
+HALF_KNOWN = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'ligue 912 345 678' WHEN 1 THEN 'escreva a Rui.X@casa.pt' WHEN 2 THEN 'ver www.casa-x.pt' WHEN 3 THEN 'whatsapp 961 234 567' WHEN 4 THEN '' END AS description,
+  CASE o_orderkey % 7 WHEN 0 THEN 'T2, tel 213456789' WHEN 1 THEN 'T1 wa.me/351931112223' ELSE 'T3' END AS title, CASE WHEN o_orderkey % 11 = 0 THEN '+351910000001' END AS contact_phone, CASE WHEN o_orderkey % 13 = 0 THEN 'a@b.pt' END AS contact_email,
+  CASE WHEN o_orderkey % 17 = 0 THEN '+351920000001' END AS contact_whatsapp, CASE WHEN o_orderkey % 9 = 0 THEN 'z.pt' END AS contact_website, CASE WHEN o_orderkey % 3 = 0 THEN 'seen' END AS contact_source, CASE WHEN o_orderkey % 2 = 0 THEN 'Ana' END AS contact_name,
+  CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS discovery_source, 7 AS contact_confidence FROM orders"""
+
 #: Imported rows that hold one thing, several, or nothing.
 THIN = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 = 0 THEN '912345678' END AS contact_phone, CASE WHEN o_orderkey % 7 = 0 THEN 'a@b.pt' ELSE '' END AS contact_email, CASE WHEN o_orderkey % 5 = 0 THEN 'T2' END AS title,
   CASE WHEN o_orderkey % 6 = 0 THEN 'Lisboa' ELSE '' END AS zone, CASE WHEN o_orderkey % 9 = 0 THEN 'Rua X' END AS address FROM orders"""
@@ -135,6 +141,14 @@ def d24_company_contacts(spark, sf):
     return outreach.company_contacts(leads(spark, sf), view(spark, sf, COMPANIES))
 
 
+def d25_backfilled(spark, sf):
+    return outreach.backfilled(view(spark, sf, HALF_KNOWN))
+
+
+def d25_backfill_counts(spark, sf):
+    return outreach.backfill_counts(outreach.backfilled(view(spark, sf, HALF_KNOWN)))
+
+
 def d25_contacts_from_text(spark, sf):
     return outreach.contacts_from_text(view(spark, sf, ADS), F.col("ad"))
 
@@ -299,13 +313,19 @@ def n5_late_rows(spark, sf):
     return streams.counted_with_late(rows, "ts", "1 day", "0 seconds", f"{shared_dir(spark)}/late-{uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (a15_permit_signals, b47_known_agencies, c2_hot, c2_unscored, e3_confidence_shares, e8_owners_by_source, e28_table_counts, i1_signal_counts, j5_latest_notes, j9_bulk_move, a16_sitemap, b39_phones_in_ads, b45_emails_in_ads, b8_first_url, b16_goods_price, b30_motives, b33_signal_type, b37_label_codes, c3_actionable, c4_client_zones, c7_without_rooms, c9_good_records, c10_signals, c10_options, a11_csv_sink, a12_json_sink, a13_sheets_sink, a19_flat_records, a17_state_items, a17_gap_filled, d10_staged_fill, d10_stage_counts, d19_activity, d21_searched_list, d24_company_contacts, d25_contacts_from_text, e14_funnel_window, e19_daily_drops, e19_daily_sources, e20_tiers, e24_motive_frequency, e25_list_summary, g6_ranked, h1_by_score_with_phone, h6_hot_opportunities, h8_best_signals, h9_sweep_page, i3_imports, j7_drop_payload, j8_recomputed, n2_stream_drops, n2_drops_by_key, n3_stream_days, n4_stream_upserts, n5_late_rows)}
+QUERIES = {f.__name__: f for f in (a15_permit_signals, b47_known_agencies, c2_hot, c2_unscored, e3_confidence_shares, e8_owners_by_source, e28_table_counts, i1_signal_counts, j5_latest_notes, j9_bulk_move, a16_sitemap, b39_phones_in_ads, b45_emails_in_ads, b8_first_url, b16_goods_price, b30_motives, b33_signal_type, b37_label_codes, c3_actionable, c4_client_zones, c7_without_rooms, c9_good_records, c10_signals, c10_options, a11_csv_sink, a12_json_sink, a13_sheets_sink, a19_flat_records, a17_state_items, a17_gap_filled, d10_staged_fill, d10_stage_counts, d19_activity, d21_searched_list, d24_company_contacts, d25_contacts_from_text, d25_backfilled, d25_backfill_counts, e14_funnel_window, e19_daily_drops, e19_daily_sources, e20_tiers, e24_motive_frequency, e25_list_summary, g6_ranked, h1_by_score_with_phone, h6_hot_opportunities, h8_best_signals, h9_sweep_page, i3_imports, j7_drop_payload, j8_recomputed, n2_stream_drops, n2_drops_by_key, n3_stream_days, n4_stream_upserts, n5_late_rows)}
 
 _CASE = lambda values: " ".join(f"WHEN {k} THEN {v}" for k, v in values)
 _LIVE = "NOT archived AND NOT is_demo"
 _MOTIVE = "CASE id % 11 WHEN 0 THEN 'Heranca,Urgencia' WHEN 1 THEN 'Divorcio' WHEN 2 THEN 'Emigracao' WHEN 3 THEN 'Urgencia' WHEN 4 THEN 'Obras' WHEN 5 THEN 'Heranca,Partilhas' WHEN 6 THEN 'Mudanca' ELSE '' END"
 _CONF = f"CASE WHEN {PHONE} OR coalesce(contact_whatsapp <> '', false) THEN 100 WHEN {EMAIL} THEN 70 WHEN coalesce(contact_website <> '', false) THEN 40 WHEN coalesce(contact_name <> '', false) THEN 30 ELSE 0 END"
 
+_BACKFILLED = f"""a AS (SELECT *, CASE WHEN contact_whatsapp IS NULL THEN CASE WHEN description LIKE 'whatsapp%' THEN '+351961234567' WHEN title LIKE '%wa.me%' THEN '+351931112223' END END AS chat1, CASE WHEN contact_website IS NULL AND description LIKE '%www%' THEN 'casa-x.pt' END AS site1, contact_source IS NULL AS bare FROM ({HALF_KNOWN}) WHERE contact_source IS NULL OR contact_whatsapp IS NULL OR contact_website IS NULL),
+b AS (SELECT *, CASE WHEN bare AND contact_phone IS NULL AND coalesce(contact_whatsapp, chat1) IS NULL THEN CASE WHEN description LIKE 'ligue%' THEN '+351912345678' WHEN title LIKE '%tel%' THEN '+351213456789' END END AS phone1 FROM a),
+c AS (SELECT *, coalesce(contact_phone, phone1, contact_whatsapp, chat1) IS NOT NULL AS reached FROM b),
+d AS (SELECT *, CASE WHEN bare AND NOT reached AND contact_email IS NULL AND description LIKE 'escreva%' THEN 'rui.x@casa.pt' END AS mail1 FROM c),
+e AS (SELECT *, CASE WHEN bare THEN CASE WHEN reached THEN 100 WHEN coalesce(contact_email, mail1) IS NOT NULL THEN 70 WHEN coalesce(contact_website, site1) IS NOT NULL THEN 40 WHEN contact_name IS NOT NULL THEN 30 END END AS gained FROM d)"""
+
 ORACLE_SQL = {
     "a15_permit_signals": f"SELECT id, sha256('building_permit|' || lower(o_orderstatus) || '|' || lower(subject))[:16] AS fingerprint, 'building_permit' AS signal_type, o_orderstatus AS zone, subject AS signal_text, 80 AS signal_score FROM ({PERMITS.replace(' FROM orders', ', o_orderstatus FROM orders')}) WHERE issued_at >= TIMESTAMP '{AS_OF}' - INTERVAL 400 DAY AND regexp_matches(lower(subject), 'renova|remodel|obra|repair|alter') ORDER BY issued_at DESC, id LIMIT 100",
     "b47_known_agencies": "SELECT c_custkey AS id, CASE c_custkey % 12 WHEN 0 THEN 'engelvoelkers.com/pt-pt' WHEN 1 THEN 'knightfrank.pt' WHEN 2 THEN 'cushmanwakefield.com' WHEN 3 THEN 'habisale.pt' WHEN 5 THEN 'era.pt' WHEN 6 THEN 'predimed.pt' WHEN 7 THEN 'vitalprime.pt' WHEN 8 THEN 'coelhodasilva.pt' WHEN 9 THEN '3cimobiliaria.pt' END AS site FROM customer",
@@ -357,6 +377,8 @@ ORACLE_SQL = {
     "i3_imports": "SELECT id, key, name, balance FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS place FROM (SELECT c_custkey AS id, c_nationkey AS key, c_name AS name, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey + 10000000, s_nationkey, NULL, s_acctbal FROM supplier)) WHERE place = 1",
     "j7_drop_payload": with_leads("""SELECT lead_id, round(abs((last - peak) / peak * 100), 1) AS drop_pct, '-' || printf('%.1f', round(abs((last - peak) / peak * 100), 1)) || '%' AS subject FROM (SELECT lead_id, count(*) AS n, max(price) AS peak, arg_max(price, (recorded_at, price)) AS last, max(recorded_at) AS last_at FROM prices WHERE recorded_at >= TIMESTAMP '2024-01-01' GROUP BY 1) WHERE n >= 2 AND (peak - last) / peak >= 0.05 AND last_at >= TIMESTAMP '2024-01-17'"""),
     "j8_recomputed": with_leads(f"SELECT id, {_CONF} AS contact_confidence, CASE WHEN ({PHONE} OR coalesce(contact_whatsapp <> '', false)) AND lead_type IN ('fsbo', 'frbo') THEN 'high' WHEN {EMAIL} OR coalesce(contact_website <> '', false) OR lead_type IN ('fsbo', 'frbo') THEN 'medium' ELSE 'low' END AS lead_quality FROM leads"),
+    "d25_backfilled": f"WITH {_BACKFILLED} SELECT id, coalesce(phone1, contact_phone) AS contact_phone, coalesce(mail1, contact_email) AS contact_email, coalesce(contact_whatsapp, chat1) AS contact_whatsapp, coalesce(contact_website, site1) AS contact_website, coalesce(contact_source, CASE WHEN gained IS NOT NULL THEN coalesce(nullif(discovery_source, ''), 'listagem') END) AS contact_source, coalesce(gained, contact_confidence) AS contact_confidence, gained IS NOT NULL AS new_source, chat1 IS NOT NULL AS new_whatsapp, site1 IS NOT NULL AS new_website FROM e",
+    "d25_backfill_counts": f"WITH {_BACKFILLED} SELECT count(*) AS checked, count(gained) AS sources, count(chat1) AS whatsapps, count(site1) AS websites, count(*) FILTER (WHERE gained IS NULL AND chat1 IS NULL AND site1 IS NULL) AS skipped FROM e",
     "n2_drops_by_key": "SELECT lead_id, seen_at, price, peak, round((peak - price) / peak, 4) AS drop_pct FROM (SELECT user_id AS lead_id, epoch_us(ts) AS seen_at, ts, value AS price, max(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND CURRENT ROW) AS peak FROM events) WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AND (peak - price) / peak >= 0.5",
     "n2_stream_drops": "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, lead_id, n, peak, last FROM (SELECT start, user_id AS lead_id, count(*) AS n, max(value) AS peak, arg_max(value, (ts, value)) AS last FROM (SELECT *, unnest([s, s - INTERVAL 5 DAY]) AS start FROM (SELECT *, time_bucket(INTERVAL 5 DAY, ts, TIMESTAMP '1970-01-01') AS s FROM events)) GROUP BY 1, 2) WHERE n >= 2 AND (peak - last) / peak >= 0.5 AND start + INTERVAL 10 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "n3_stream_days": "SELECT strftime(day, '%Y-%m-%d') AS day, n FROM (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",

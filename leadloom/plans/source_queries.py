@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom.plans.text_queries import FRAGMENTS
 from leadloom.plans.views import shared_dir, view
-from leadloom.sources import imports, landing
+from leadloom.sources import html, imports, landing
 
 TOWNS = (("Lisboa", "Lisboa"), ("Cascais", "Cascais"), ("Porto", "Porto"))
 _K = "o_orderkey"
@@ -52,6 +52,11 @@ IMPORTED = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 25 = 0 THEN '' ELSE
   CASE WHEN o_orderkey % 25 <> 0 AND o_orderkey % 8 = 0 THEN 'https://wa.me/351961234567' ELSE '' END AS wa, CASE WHEN o_orderkey % 25 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN 'Sim' ELSE 'false' END AS owner, CASE WHEN o_orderkey % 25 = 0 THEN '' ELSE '80 m2' END AS area FROM orders"""
 
 
+#: Pages whose seller's number stands in one of the marked places, beside a relay.
+PHONE_PAGES = """SELECT o_orderkey AS page_id, concat('<html>', CASE o_orderkey % 7 WHEN 0 THEN '<span itemprop="telephone">912 345 678</span>' WHEN 1 THEN '<meta property="og:phone_number" content="+351961234567">' WHEN 2 THEN '<span itemprop="phone" content="213456789"></span>'
+  WHEN 3 THEN '<input type="hidden" name="telefone" value="931112223">' WHEN 4 THEN '<meta name="telefone" content="707123456">' WHEN 5 THEN '<p>Tel 213 456 780 ou 924 445 556</p>' ELSE '' END, '<a href="tel:+351661234567">x</a></html>') AS html FROM orders"""
+
+
 def _new(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
@@ -106,13 +111,17 @@ def b37_import_codes(spark, sf):
     return rows.groupBy("lead_type", "discovery_source", "is_owner", "owner_type", "agency_name", "phone_type", "contact_confidence").agg(F.count("*").alias("n"))
 
 
+def b44_best_real_phone(spark, sf):
+    return view(spark, sf, PHONE_PAGES).select("page_id", html.best_real_phone(F.col("html")).alias("phone"), F.array_join(html.page_phones(F.col("html")), ",").alias("phones"))
+
+
 def a17_state_rows(spark, sf):
     rows = landing.state_rows(view(spark, sf, STATE_PAGES))
     text = lambda c, path, kind: F.try_variant_get(c, path, kind)
     return rows.select("page_id", "kind", text("payload", "$.listID", "long").alias("list_id"), text("payload", "$.price", "double").alias("price"), text("seller", "$.name", "string").alias("seller"))
 
 
-QUERIES = {f.__name__: f for f in (b49_source_mappers, b49_refused, a1_payload_fields, a10_export_job, a10_job_counts, b37_import_codes, a17_state_rows)}
+QUERIES = {f.__name__: f for f in (b49_source_mappers, b49_refused, a1_payload_fields, a10_export_job, a10_job_counts, b37_import_codes, b44_best_real_phone, a17_state_rows)}
 
 _NUMBER = r"(9[1236][0-9] ?[0-9]{3} ?[0-9]{3})(?:[^0-9]|$)"
 _GOODS = "source IN ('olx_marketplace', 'standvirtual')"
@@ -170,5 +179,6 @@ ORACLE_SQL = {
     "b37_import_codes": f"""SELECT CASE WHEN k % 2 = 1 THEN 'unknown' WHEN k % 6 = 0 THEN 'fsbo' WHEN k % 6 = 2 THEN 'developer_listing' ELSE 'unknown' END AS lead_type, CASE WHEN k % 2 = 1 THEN 'import' WHEN k % 10 = 0 THEN 'sapo' WHEN k % 10 = 2 THEN 'olx' WHEN k % 10 = 4 THEN 'jornal' ELSE 'import' END AS discovery_source,
   is_owner, CASE WHEN is_owner THEN 'fsbo' ELSE 'agency' END AS owner_type, CASE WHEN NOT is_owner AND agency NOT IN ('', 'Não') THEN agency END AS agency_name, CASE WHEN reach THEN 'mobile' ELSE 'unknown' END AS phone_type, CASE WHEN reach THEN 100 ELSE 0 END AS contact_confidence, count(*) AS n
   FROM (SELECT *, CASE WHEN k % 2 = 1 THEN owner = 'Sim' ELSE agency IN ('', 'Não') END AS is_owner, phone = '912 345 678' OR (k % 2 = 0 AND wa <> '') AS reach FROM ({IMPORTED}) WHERE k % 25 <> 0) GROUP BY 1, 2, 3, 4, 5, 6, 7""",
+    "b44_best_real_phone": "SELECT o_orderkey AS page_id, CASE o_orderkey % 7 WHEN 0 THEN '+351912345678' WHEN 1 THEN '+351961234567' WHEN 2 THEN '+351213456789' WHEN 3 THEN '+351931112223' WHEN 5 THEN '+351924445556' END AS phone, CASE o_orderkey % 7 WHEN 0 THEN '+351912345678,' WHEN 1 THEN '+351961234567,' WHEN 2 THEN '+351213456789,' WHEN 3 THEN '+351931112223,' ELSE '' END || '+351661234567' || CASE o_orderkey % 7 WHEN 5 THEN ',+351213456780,+351924445556' ELSE '' END AS phones FROM orders",
     "a17_state_rows": f"SELECT page_id, kind, list_id, price, seller FROM (SELECT {_K} AS page_id, 'item' AS kind, {_K} AS list_id, 5.0::DOUBLE AS price, NULL AS seller FROM orders WHERE {_K} % 4 = 0 UNION ALL SELECT {_K}, 'item', {_K} + 1000000000, NULL, NULL FROM orders WHERE {_K} % 4 = 0 UNION ALL SELECT {_K}, 'detail', {_K}, 7.0, 'Eva ' || {_K} % 5 FROM orders WHERE {_K} % 4 = 1)",
 }

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.functions.contact import phones_in_text, valid_phones
+from leadloom.functions.contact import COUNTRY, best_phone, phones_in_text, valid_phones
 from leadloom.functions.text import present
 
 LD_JSON = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
@@ -48,19 +48,32 @@ def listing_id(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"-ID([A-Za-z0-9]+)\.html", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"(\d{5,})(?:\.html)?/?$", 1), F.lit("")), F.substring(F.regexp_extract(url, r"([^/?#]*)/?(?:[?#].*)?$", 1), 1, 100))
 
 
-def page_phones(html: Column) -> Column:
-    """Valid numbers in order of trust: message links, data attributes and hidden inputs, JSON keys, scripts, all text."""
+def page_phones(html: Column, relays: bool = True) -> Column:
+    """Valid numbers in order of trust: message links, marked elements, data attributes, hidden inputs and meta tags, JSON keys, scripts, links, all text.
+
+    Without relays, numbers of the portals' own ranges that only pass a call on are left out.
+    """
     h = F.coalesce(html, F.lit(""))
     take = lambda p: F.regexp_extract_all(h, F.lit(p), 1)
+    marked = r"""(?i)<[^>]*\bitemprop=["'](?:telephone|phone)["'][^>]*"""
     passes = [
         F.transform(take(r"(?i)wa\.me/\+?(\d{9,12})"), lambda x: F.right(x, F.lit(9))),
+        take(marked + r"""\bcontent=["']([^"']+)"""),
+        take(marked + r""">\s*([^<]+)<"""),
         take(r"""(?i)data-(?:phone|tel|telephone|mobile|contact|seller-phone|number)=["']([^"']+)"""),
         take(r"""(?i)<input[^>]*name=["'][^"']*(?:phone|telef)[^"']*["'][^>]*value=["']([^"']+)"""),
+        take(r"""(?i)<meta[^>]*\b(?:property|name)=["'][^"']*(?:phone|telef)[^"']*["'][^>]*\bcontent=["']([^"']+)"""),
         take(r'(?i)"(?:phone|telephone|phoneNumber|mobile)"\s*:\s*"([^"]+)"'),
         take(r"""(?i)(?:sellerPhone|phone(?:Number)?|telephone)["']?\s*[:=]\s*["']([^"']+)"""),
         take(r"(?i)href=[\"'](?:tel|callto):([^\"']+)"),
     ]
-    return F.array_distinct(F.concat(valid_phones(F.concat(*passes)), phones_in_text(F.regexp_replace(F.regexp_replace(h, r"(?is)<script.*?</script>", " "), "<[^>]*>", " "))))
+    found = F.array_distinct(F.concat(valid_phones(F.concat(*passes)), phones_in_text(F.regexp_replace(F.regexp_replace(h, r"(?is)<script.*?</script>", " "), "<[^>]*>", " "))))
+    return found if relays else F.filter(found, lambda x: ~x.startswith(f"{COUNTRY}6"))
+
+
+def best_real_phone(html: Column) -> Column:
+    """The page's number of the best kind that isn't a relay; NULL if there is none."""
+    return best_phone(page_phones(html, relays=False))
 
 
 def sitemap_urls(spark, path: str) -> DataFrame:

@@ -30,6 +30,7 @@ doc_id links with nothing; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,9 @@ LEAST_SKETCH = 32
 #: Candidate documents whose ids may be broadcast (a few MB); above it their texts are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Keys are compared in so many passes over the written profiles, each with the keys of one remainder, so that a shuffle holds a part of all keys.
+KEY_PASSES = 4
+
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -234,14 +238,19 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     slim, _ = written(prof.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("node")).alias("node")), "nodes")
     real = prof.where("doc_id is not null and n_shingles > 0")
     keyed = real.select("node", F.explode("bands").alias("at")).select("node", "at.band", "at.spared", F.explode("at.keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low != high")
-    shared = kept(shared.select("key", "rows"), "shared")
-    forgotten(spark)  # the shuffle of all keys
-    # Written before copies are collapsed, so that the join can split hot keys and the collapse starts map-side.
-    met = kept(keyed.join(shared, "key"), "met")
+    parts = []
+    for k in range(KEY_PASSES):
+        some = keyed.where(F.pmod("key", F.lit(KEY_PASSES)) == k)
+        shared = some.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low != high")
+        shared = kept(shared.select("key", "rows"), "shared")
+        forgotten(spark)  # the shuffle of this pass's keys
+        # Written before copies are collapsed, so that the join can split hot keys and the collapse starts map-side.
+        parts.append(kept(some.join(shared, "key"), "met"))
+        del some, shared
+        forgotten(spark)
     del keyed, real, prof
     released(spark, prof_path)
-    forgotten(spark)
+    met = reduce(DataFrame.unionAll, parts)
     met = kept(met.distinct(), "unique")
     frequent = Window.partitionBy("node", "band").orderBy(F.desc("rows"), "key")
     rare = kept(met.withColumn("place", F.row_number().over(frequent)).where("place > spared").select("key", "node", "band"), "rare")

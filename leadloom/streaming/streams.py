@@ -126,7 +126,7 @@ class _Drops(StatefulProcessor):
                 peaks.pop()
             peaks.append((at, prices[-1]))
             top = peaks[0][1]
-            out += [(key[0], at, p, top, round((top - p) / top, 4)) for p in prices if top > 0 and (top - p) / top >= self.least]
+            out += [(key[0], at, p, top, (top - p) / top) for p in prices if top > 0 and (top - p) / top >= self.least]
         waiting = [x for x in waiting if x[0] > passed]
         if not waiting and (not peaks or peaks[-1][0] < passed - self.span):
             self.state.clear()
@@ -161,7 +161,8 @@ def drops_by_key(stream: DataFrame, key: str, price: str, ts: str, span_days: fl
     processor = _Drops(int(span_days * 86_400_000_000), min_drop)
     keyed = rows.select("key", F.unix_micros("ts").alias("at"), "price", "ts").groupBy("key")
     found = keyed.transformWithStateInPandas(processor, f"key {kind}, at long, price double, peak double, drop_pct double", "append", "eventTime")
-    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("price").alias(price), "peak", "drop_pct")
+    # Rounded half up, as elsewhere: Python rounds a tie by the double next to it.
+    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("price").alias(price), "peak", F.round("drop_pct", 4).alias("drop_pct"))
 
 
 @contextmanager

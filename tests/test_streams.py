@@ -99,3 +99,14 @@ def test_upserts_after_a_restart_without_new_rows(spark, tmp_path):
     stream = files(spark, tmp_path, [[(n, n % 3, float(n), at(n))] for n in range(12)])
     run = lambda: {(r.k, r.id) for r in streams.upserted_table(stream, "k", F.struct("ts", "id"), f"file://{tmp_path}/u", most_deltas=2).collect()}
     assert run() == {(0, 9), (1, 10), (2, 11)} == run()
+
+
+def test_drops_by_key_round_half_up(spark, tmp_path):
+    """A share that lies halfway between two of four digits goes up, whatever the double beside it."""
+    at = lambda n: datetime(2024, 1, 1) + timedelta(hours=n)
+    pairs = [(16.0, 5.82, 0.6363), (136.96, 12.84, 0.9063), (152.0, 48.83, 0.6788), (118.4, 6.66, 0.9438)]
+    rows = [r for k, (peak, price, _) in enumerate(pairs) for r in ((2 * k, k, peak, at(1)), (2 * k + 1, k, price, at(2)))]
+    stream = files(spark, tmp_path, [[*rows, (99, 99, 1.0, at(400))]])
+    with streams.rocks_state(spark):
+        found = streams.drained(streams.drops_by_key(stream, "k", "v", "ts", 1, "1 hour", 0.2), f"file://{tmp_path}/o", f"file://{tmp_path}/c").collect()
+    assert {(r.k, r.drop_pct) for r in found} == {(k, p) for k, (_, _, p) in enumerate(pairs)}

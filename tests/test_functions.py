@@ -230,3 +230,15 @@ def test_rules_on_cases_of_their_own(spark):
     assert [r.x for r in df.select(classify.tags(F.col("t"), classify.AMENITIES).alias("x")).collect()] == [w for _, w in rows]
     df = spark.createDataFrame([("promotora",), ("remax",)], "t string")
     assert [r.x for r in df.select(classify.is_direct(F.col("t")).alias("x")).collect()] == [True, False]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_fold_their_text_once(spark):
+    """However many phrases there are, the plan holds one normal form of the text."""
+    df = spark.createDataFrame([("Com piscina e a/c, vista mar",), ("Novo, metro a 5 min; caldeira",), (None,)], "t string")
+    found = df.select(classify.tags(F.col("t"), classify.AMENITIES).alias("tags"))
+    assert [r.tags for r in found.collect()] == [["ar_condicionado", "piscina", "vista_mar"], ["metro_perto", "novo_construcao"], []]
+    assert plan_of(found).count("translate(") == 1

@@ -62,7 +62,7 @@ def _new(spark, name: str) -> str:
 
 
 def _landing(spark, sf):
-    return landing.stored(landing.landed(view(spark, sf, PAYLOADS)), _new(spark, "landing"))
+    return landing.stored(landing.landed(landing.spread(view(spark, sf, PAYLOADS), "id")), _new(spark, "landing"))
 
 
 def _mapped(spark, sf):

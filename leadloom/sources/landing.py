@@ -100,6 +100,11 @@ def landed(rows: DataFrame, raw: str = "raw_data") -> DataFrame:
     return rows.withColumn("payload", F.try_parse_json(raw)).drop(raw)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key over four tasks a core: parsing and mapping cost far more than reading, and a small file alone would be one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def stored(rows: DataFrame, path: str) -> DataFrame:
     """rows as a table at path, read again.
 

@@ -69,3 +69,10 @@ def test_empty_folder_of_rows(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "a.csv").write_text("title;zona\n")
     assert imports.export_job(spark, f"file://{tmp_path}/e", f"file://{tmp_path}/o", FRAGMENTS).written == 0
+
+
+def test_a_small_file_is_mapped_by_many_tasks(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    rows = landing.spread(spark.read.parquet(f"file://{tmp_path}/one"), "id")
+    assert rows.rdd.glom().filter(bool).count() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in rows.collect()) == list(range(1000))

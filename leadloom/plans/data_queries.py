@@ -169,7 +169,8 @@ def k3_contains(spark, sf):
 def k4_similar_items(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), "p_name", "p_brand", "p_type")
     blob = F.lower(F.concat_ws(" ", "p_type", "p_type", "p_brand", "p_name"))
-    weights = search.tfidf(rows, "id", blob)
+    shared_dir(spark)
+    weights = search.tfidf(rows, "id", blob).checkpoint()
     return search.similar(weights, rows, rows.where("id % 20 = 0").select("id"), top=5)
 
 

@@ -81,8 +81,11 @@ def zone_bonus(signals: DataFrame) -> DataFrame:
 
 def with_context(leads: DataFrame, signals: DataFrame) -> DataFrame:
     """How many rows share a lead's telephone (a count joined back, so a shared number isn't one task), and its zone's bonus."""
-    counts = leads.where(F.col("contact_phone").isNotNull() & ~F.col("is_demo")).groupBy("contact_phone").agg(F.count("*").alias("phone_count"))
-    return leads.join(counts, "contact_phone", "left").join(zone_bonus(signals), "zone", "left")
+    # Rows without a telephone match nothing; a second key keeps them from meeting in one task. It is a sum, as a constant wouldn't stay a key.
+    counts = leads.where(F.col("contact_phone").isNotNull() & ~F.col("is_demo")).groupBy("contact_phone").agg(F.count("*").alias("phone_count"), F.sum(F.lit(0)).alias("deal"))
+    dealt = leads.withColumn("deal", F.when(F.col("contact_phone").isNull(), F.xxhash64("id")).otherwise(0))
+    counted = dealt.join(counts, ["contact_phone", "deal"], "left").drop("deal")
+    return counted.join(zone_bonus(signals), "zone", "left")
 
 
 def score(leads: DataFrame, signals: DataFrame, as_of: str, zone_points: dict[str, int], hot: int = HOT, warm: int = WARM) -> DataFrame:

@@ -1,5 +1,6 @@
 """Column functions on literal cases."""
 
+import re
 from datetime import datetime
 from difflib import SequenceMatcher
 
@@ -242,3 +243,28 @@ def test_tags_fold_their_text_once(spark):
     found = df.select(classify.tags(F.col("t"), classify.AMENITIES).alias("tags"))
     assert [r.tags for r in found.collect()] == [["ar_condicionado", "piscina", "vista_mar"], ["metro_perto", "novo_construcao"], []]
     assert plan_of(found).count("translate(") == 1
+
+
+def test_best_phone_parses_a_candidate_once(spark):
+    df = spark.createDataFrame([(["661234568", "213456789", "912 345 678", "961234567"],), (["123"],), (None,)], "c array<string>")
+    found = df.select(contact.best_phone(F.col("c")).alias("best"))
+    assert [r.best for r in found.collect()] == ["+351912345678", None, None]
+    assert plan_of(found).count("[\\s\\-()./+]") == 1
+
+
+def test_rows_without_a_telephone_are_not_one_task(spark):
+    from leadloom.operators import scoring
+
+    leads = spark.createDataFrame([(k, None if k % 2 else f"+35191{k % 10:07}", "a", False) for k in range(2000)], "id long, contact_phone string, zone string, is_demo boolean")
+    signals = spark.createDataFrame([("a", "permit")], "zone string, signal_type string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = scoring.with_context(leads, signals)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert re.search(r"hashpartitioning\(contact_phone#\d+, deal#", plan)
+    counts = {r.id: r.phone_count for r in scoring.with_context(leads, signals).collect()}
+    assert counts == {k: None if k % 2 else 200 for k in range(2000)}

@@ -112,7 +112,8 @@ def b37_import_codes(spark, sf):
 
 
 def b44_best_real_phone(spark, sf):
-    return view(spark, sf, PHONE_PAGES).select("page_id", html.best_real_phone(F.col("html")).alias("phone"), F.array_join(html.page_phones(F.col("html")), ",").alias("phones"))
+    pages = landing.spread(view(spark, sf, PHONE_PAGES), "page_id").select("page_id", html.page_phones(F.col("html")).alias("found"))
+    return pages.select("page_id", html.best_real_phone(F.col("found")).alias("phone"), F.array_join("found", ",").alias("phones"))
 
 
 def a17_state_rows(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import classify, contact, parse, text
 from leadloom.plans.views import table, view
 from leadloom.sources import html, ingest
+from leadloom.sources.landing import spread
 
 RAW = """
 SELECT p_partkey AS id, p_name,
@@ -29,7 +30,7 @@ OWNER_SOURCES = ("olx",)
 
 
 def raw(spark, sf):
-    return view(spark, sf, RAW)
+    return spread(view(spark, sf, RAW), "id")
 
 
 def b2_norm_text(spark, sf):

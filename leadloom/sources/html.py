@@ -68,12 +68,16 @@ def page_phones(html: Column, relays: bool = True) -> Column:
         take(r"(?i)href=[\"'](?:tel|callto):([^\"']+)"),
     ]
     found = F.array_distinct(F.concat(valid_phones(F.concat(*passes)), phones_in_text(F.regexp_replace(F.regexp_replace(h, r"(?is)<script.*?</script>", " "), "<[^>]*>", " "))))
-    return found if relays else F.filter(found, lambda x: ~x.startswith(f"{COUNTRY}6"))
+    return found if relays else without_relays(found)
 
 
-def best_real_phone(html: Column) -> Column:
-    """The page's number of the best kind that isn't a relay; NULL if there is none."""
-    return best_phone(page_phones(html, relays=False))
+def without_relays(phones: Column) -> Column:
+    return F.filter(phones, lambda x: ~x.startswith(f"{COUNTRY}6"))
+
+
+def best_real_phone(phones: Column) -> Column:
+    """Of a page's numbers (page_phones) that of the best kind that isn't a relay; NULL if there is none."""
+    return best_phone(without_relays(phones))
 
 
 def sitemap_urls(spark, path: str) -> DataFrame:

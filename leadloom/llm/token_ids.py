@@ -58,11 +58,10 @@ class WordEncoder:
         for k in range(0, len(words), 256):
             part = [w.decode("utf-8", "replace") for w in words[k : k + 256]]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            of = np.searchsorted(np.cumsum([len(w) + 1 for w in part]), starts, side="right")
-            cuts = np.searchsorted(of, np.arange(len(part) + 1))
-            out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            ids = np.array(found.ids, "<u4").tobytes()
+            starts = np.array([start for start, _ in found.offsets], np.int64)
+            cuts = (4 * np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in part)]))).tolist()
+            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
     def encode(self, text: bytes) -> bytes:
@@ -106,6 +105,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, WRITTEN).write.parquet(path)
 
 
+def checksums(block: dac.Block) -> list[int]:
+    """The CRC-32 of each document's ids. All documents of the block are wanted, so its levels are read once."""
+    ids, cuts = memoryview(block.slice(0, block.n).astype("<u4", copy=False)).cast("B"), (4 * block.starts).tolist()
+    return [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
 
@@ -115,7 +120,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 block = dac.Block(batch.column("payload")[row].as_py())
                 shard, before = batch.column("shard")[row].as_py(), batch.column("before")[row].as_py()
                 n = len(block.doc_ids)
-                sums = [zlib.crc32(block.document(k).astype("<u4").tobytes()) for k in range(n)]
+                sums = checksums(block)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * n, pa.int32()), pa.array(block.doc_ids, pa.int64()), pa.array(before + block.starts[:-1]), pa.array(np.diff(block.starts)), pa.array(sums, pa.int64())],
                     ["shard", "doc_id", "in_shard", "n_tokens", "ids_crc32"],

@@ -85,3 +85,17 @@ def test_sentencepiece_rows(spark):
     assert {r.doc_id for r in found if not r.ids} == {0, 1}
     assert all(r.round_trip for r in sentencepiece_viterbi.digests(docs, PIECES).collect())
     assert sentencepiece_viterbi.encode(docs.limit(0), PIECES).count() == 0
+
+
+def test_checksums_read_a_block_once():
+    import zlib
+
+    rng = np.random.default_rng(5)
+    starts = np.array([0, 0, 3, 1500, 1501, 4000])
+    ids = rng.integers(0, 1 << 18, starts[-1]).astype(np.uint32)
+    block, reads = dac.Block(dac.pack([1, 2, None, 4, 5], starts, ids)), []
+    plain = block.slice
+    block.slice = lambda a, b: reads.append((a, b)) or plain(a, b)
+    assert token_ids.checksums(block) == [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert reads == [(0, 4000)]
+    assert token_ids.checksums(dac.Block(dac.pack([], np.array([0]), np.zeros(0, np.uint32)))) == []

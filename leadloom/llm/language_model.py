@@ -50,6 +50,8 @@ CONCENTRATION = 1.0
 PART_TOKENS = 2_000_000
 CHUNK_DOCS, CHUNK_TOKENS = 4096, 500_000
 SHIFT = np.int64(1 << 20)
+#: Pairs whose probabilities are computed at once.
+AT_ONCE = 1 << 17
 
 
 def held_out(doc_id: Column) -> Column:
@@ -483,6 +485,14 @@ class Predictor:
         mass = sum(s.mass(u, w) for s in self.samples) / len(self.samples)
         return (c - self.discount * t + mass) / (CONCENTRATION + self.context_counts[u])
 
+    def logs(self, key: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of a part's pairs, some at a time: what is computed on the way isn't held for the whole part."""
+        out = np.empty(len(key))
+        for first in range(0, len(key), AT_ONCE):
+            s = slice(first, first + AT_ONCE)
+            out[s] = np.log10(self.probability(key[s] >> 20, key[s] & (SHIFT - 1), c[s], t[s]))
+        return out
+
 
 def part_scores(parts_table: DataFrame, states: DataFrame, shared) -> DataFrame:
     """rid, pairs: the sum of log probabilities of each document's pairs.
@@ -501,7 +511,8 @@ def part_scores(parts_table: DataFrame, states: DataFrame, shared) -> DataFrame:
                 t = np.minimum(c, 1).astype(np.float64)
                 known, _, added = unpressed(batch.column("state")[k].as_py())
                 t[np.searchsorted(key, known)] = added / len(predictor.samples)
-                logs = np.log10(predictor.probability(key >> 20, key & (SHIFT - 1), c, t))
+                logs = predictor.logs(key, c, t)
+                del c, t, known, added
                 for chunk, payload in zip(listed.field("chunk").to_pylist(), payloads, strict=True):
                     pairs, place, times, _ = decoded(payload)
                     sums = np.bincount(place, weights=logs[np.searchsorted(key, pairs)] * times)

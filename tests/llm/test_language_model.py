@@ -103,3 +103,17 @@ def test_tables_of_frequent_pairs_have_the_exact_distribution():
 def test_a_sweep_moves_a_dish_of_a_million():
     t = lm.drawn(np.random.default_rng(1), np.full(200, 1_000_000), np.full(200, 300.0), 0.6)
     assert 400 < t.mean() < 550 and len(set(t.tolist())) > 20
+
+
+def test_probabilities_of_a_part_are_computed_some_at_a_time(monkeypatch):
+    rng, n = np.random.default_rng(4), 50
+    totals = lm.Totals(rng.integers(1, 9, n + 1), rng.integers(1, 9, n), 0.5).seat(rng, None)
+    predictor = lm.Predictor([totals, totals], rng.integers(10, 99, n + 1))
+    u, w = rng.integers(0, n + 1, 1000), rng.integers(0, n, 1000)
+    c, t = rng.integers(1, 9, 1000), np.ones(1000)
+    whole = np.log10(predictor.probability(u, w, c, t))
+    sizes, plain = [], predictor.probability
+    predictor.probability = lambda *x: sizes.append(len(x[0])) or plain(*x)
+    monkeypatch.setattr(lm, "AT_ONCE", 64)
+    assert predictor.logs((u << 20) + w, c, t).tolist() == whole.tolist() and max(sizes) == 64
+    assert len(predictor.logs(u[:0], c[:0], t[:0])) == 0

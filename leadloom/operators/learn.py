@@ -1,22 +1,29 @@
 """A text classifier for two labels: TF-IDF of words and word pairs, balanced logistic regression, cross-validation and careful relabelling.
 
-Features and models are tables. A feature is a hash of a term, a model a weight per feature, and a step of the fit is two joins and two
-sums: margins per text, then the gradient per feature. Nothing of the size of the vocabulary or of the corpus passes through the driver.
-The models of all folds are fitted in the same passes, as columns side by side.
+A feature is a hash of a term, a model a weight per feature; idf and weights of all features are bounded by FEATURES and are broadcast. Each
+text is one row of features and counts, written once. A step of the fit reads those rows in a bounded number of tasks; each task gives its
+part of the gradient, a row per feature, and Spark sums them up. So no step moves texts or their features, and what it does
+move is bounded. Nothing of the size of the corpus passes through the driver. The models of all folds are fitted in the same passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.functions.text import bound
+
 #: Features that terms are hashed to; no term is left out for its rank.
 FEATURES = 1 << 20
 #: The feature that all texts have.
 INTERCEPT = -1
+#: Features of texts that are looked at at once, but for one longer text.
+AT_ONCE = 1 << 20
 
 
 def training_rows(rows: DataFrame, least_chars: int = 20, label: str = "label", text: str = "text") -> DataFrame:
@@ -27,30 +34,85 @@ def training_rows(rows: DataFrame, least_chars: int = 20, label: str = "label",
 def terms(text: Column) -> Column:
     """Words of two characters or more, and pairs of neighbours among them."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
+    def with_pairs(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+
+    return bound(words, with_pairs)
+
+
+def counted(rows: DataFrame, id_col: str, text: str = "text", features: int = FEATURES, *more: Column) -> DataFrame:
+    """id, feature (a list) and n (how often each occurs) of each text, and more aggregates; texts of one id are one text. Texts without a term and null ids are left out."""
+    grouped = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.collect_list(text).alias("texts"), *more)
+    hashed = F.flatten(F.transform("texts", lambda t: F.transform(terms(t), lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))))
+    texts = grouped.withColumn("all", hashed).drop("texts")
+    kinds = texts.drop("all")
+    names = kinds.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, at, found in _parts(batch, "all"):
+                key, n = np.unique(at * features + found, return_counts=True)
+                cuts = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * features), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (key % features, n)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *lists], [*names, "feature", "n"])
 
-def counted(rows: DataFrame, id_col: str, text: str = "text", features: int = FEATURES) -> DataFrame:
-    """id, feature and tf (1 + ln of its count) of each text."""
-    found = rows.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text))).alias("term"))
-    return found.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(features)).alias("feature")).agg((1 + F.log(F.count("*"))).alias("tf"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.schema]
+    return texts.where(F.size("all") > 0).mapInArrow(count, ", ".join([*kept, "feature array<int>", "n array<int>"]))
+
+
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with about AT_ONCE values in a column of lists: the slice, and of each value its row and itself."""
+    sizes = batch.column(column).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), AT_ONCE, side="right")))
+        part = batch.slice(first, last - first)
+        yield part, np.repeat(np.arange(last - first), sizes[first:last]), part.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        first = last
 
 
 def _each(models: int, column: Callable[[int], Column], name: str) -> list[Column]:
     return [column(m).alias(f"{name}{m}") for m in range(models)]
 
 
-def _vectors(tf: DataFrame, idf: DataFrame, models: int) -> DataFrame:
-    """id, feature and x0, x1... (a value per model): tf times idf, of length 1 per text and model; and the intercept's 1."""
-    raw = tf.join(idf, "feature").select("id", "feature", *_each(models, lambda m: F.col("tf") * F.col(f"idf{m}"), "r"))
-    norms = raw.groupBy("id").agg(*_each(models, lambda m: F.sqrt(F.sum(F.col(f"r{m}") * F.col(f"r{m}"))), "n"))
-    x = raw.join(norms, "id").select("id", "feature", *_each(models, lambda m: F.when(F.col(f"n{m}") > 0, F.col(f"r{m}") / F.col(f"n{m}")).otherwise(0.0), "x"))
-    return x.unionAll(tf.select("id").distinct().select("id", F.lit(INTERCEPT).cast("long").alias("feature"), *_each(models, lambda m: F.lit(1.0), "x")))
+def _rated(part: pa.RecordBatch, at: np.ndarray, feature: np.ndarray, idf: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of one model's features (tf times idf, of length 1 per text) and the texts' margins; the last weight is the intercept's."""
+    x = (1 + np.log(part.column("n").flatten().to_numpy(zero_copy_only=False))) * idf[feature]
+    norm = np.sqrt(np.bincount(at, x * x, part.num_rows))
+    x /= np.where(norm > 0, norm, 1.0)[at]
+    return x, np.bincount(at, x * weights[feature], part.num_rows) + weights[-1]
+
+
+def _summed(vectors: DataFrame, models: int, features: int, add: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """What add puts into an array [model, feature] for all texts (features is the intercept): a part in each task, summed by Spark. The array is bounded by the features."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((models, features + 1))
+        for batch in batches:
+            for part, at, feature in _parts(batch, "feature"):
+                add(part, at, feature, total)
+        some = np.flatnonzero(total.any(axis=0))
+        for k in range(0, len(some), 1 << 16):
+            here = some[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), *(pa.array(total[m, here]) for m in range(models))], ["feature", *(f"g{m}" for m in range(models))])
 
-def _margins(x: DataFrame, weights: DataFrame, models: int) -> DataFrame:
-    return x.join(weights, "feature").groupBy("id").agg(*_each(models, lambda m: F.sum(F.col(f"x{m}") * F.col(f"w{m}")), "z"))
+    # As many tasks as there are cores: each gives a row per feature at most, however long the table.
+    spread = vectors.coalesce(vectors.sparkSession.sparkContext.defaultParallelism)
+    rows = spread.mapInArrow(run, ", ".join(["feature int", *(f"g{m} double" for m in range(models))]))
+    return _dense(rows.groupBy("feature").agg(*_each(models, lambda m: F.sum(f"g{m}"), "g")), "g", models, features)
+
+
+def _dense(table: DataFrame, name: str, models: int, features: int) -> np.ndarray:
+    """Columns of a table by feature as an array [model, feature]; the intercept comes last."""
+    found = table.select("feature", *(f"{name}{m}" for m in range(models))).toArrow()
+    out = np.zeros((models, features + 1))
+    # The intercept's place is the last, also where it is written as -1.
+    place = found["feature"].to_numpy()
+    for m in range(models):
+        out[m, place] = found[f"{name}{m}"].to_numpy()
+    return out
 
 
 @dataclass
@@ -63,61 +125,86 @@ class Classifier:
     features: int
 
     def margins(self, rows: DataFrame, id_col: str) -> DataFrame:
-        """id and z0, z1...: above 0 the label is 1. A text without a term has the intercept alone."""
-        idf = self.table.where(F.col("feature") != INTERCEPT).select("feature", *[f"idf{m}" for m in range(self.models)])
-        return _margins(_vectors(counted(rows, id_col, self.text, self.features), idf, self.models), self.table, self.models)
+        """id and z0, z1...: above 0 the label is 1. A text without a known term has the intercept alone, one without any term isn't there."""
+        models = self.models
+        shared = rows.sparkSession.sparkContext.broadcast([_dense(self.table, name, models, self.features) for name in ("idf", "w")])
+        vectors = counted(rows, id_col, self.text, self.features)
+
+        def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            idf, weights = shared.value
+            for batch in batches:
+                for part, at, feature in _parts(batch, "feature"):
+                    z = [_rated(part, at, feature, idf[m], weights[m])[1] for m in range(models)]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, z)], ["id", *(f"z{m}" for m in range(models))])
+
+        kind = vectors.schema["id"].dataType.simpleString()
+        return vectors.select("id", "feature", "n").mapInArrow(rate, ", ".join([f"id {kind}", *(f"z{m} double" for m in range(models))]))
 
 
 def train(rows: DataFrame, id_col: str, path: str, least: int = 100, text: str = "text", min_df: int = 3, max_df: float = 0.9, features: int = FEATURES, steps: int = 12, penalty: float = 0.01, folds: int = 0) -> Classifier:
     """A fitted model of rows (see training_rows); refuses fewer than least rows. With folds, model k is fitted without the rows of fold k.
 
     Terms in fewer than min_df texts or a larger share than max_df weigh nothing. Classes weigh the same. The loss is the mean logistic
-    loss with penalty / 2 times the squared weights; it falls by accelerated gradient steps, whose tables are written below path.
+    loss with penalty / 2 times the squared weights; it falls by accelerated gradient steps. Texts' features and the model are tables below path.
     """
     models, spark = max(folds, 1), rows.sparkSession
-    labels = rows.select(F.col(id_col).alias("id"), "y", (F.pmod(F.xxhash64(id_col), F.lit(folds)) if folds else F.lit(-1)).alias("fold"))
+    labels = rows.select("y", (F.pmod(F.xxhash64(id_col), F.lit(folds)) if folds else F.lit(-1)).alias("fold"))
     inside = lambda m: F.col("fold") != m
     counts = labels.agg(*_each(models, lambda m: F.count_if(inside(m)), "n"), *_each(models, lambda m: F.count_if(inside(m) & (F.col("y") == 1)), "p"))
     sizes = counts.first()
     if min(sizes[f"n{m}"] for m in range(models)) < least:
         raise ValueError(f"{min(sizes[f'n{m}'] for m in range(models))} labelled rows, {least} are needed")
 
-    def share(m: int) -> Column:
-        """A row's weight in model m: none in its own fold, else such that both classes weigh half of the rows."""
+    def share(m: int) -> tuple[float, float]:
+        """Weights of a row of either class in model m, such that both weigh half of the rows, over their number."""
         n, p = sizes[f"n{m}"], sizes[f"p{m}"]
-        return F.when(~inside(m), 0.0).when(F.col("y") == 1, n / (2.0 * p) if p else 1.0).otherwise(n / (2.0 * (n - p)) if n > p else 1.0)
+        return (n / (2.0 * (n - p)) if n > p else 1.0) / n, (n / (2.0 * p) if p else 1.0) / n
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    labels = kept(labels.select("id", "y", "fold", *_each(models, share, "c")), "labels")
-    tf = kept(counted(rows, id_col, text, features), "tf")
-    seen = tf.join(labels.select("id", "fold"), "id").groupBy("feature").agg(*_each(models, lambda m: F.count_if(inside(m)), "df"))
-
-    def idf(m: int) -> Column:
-        n, df = sizes[f"n{m}"], F.col(f"df{m}")
-        return F.when((df >= min_df) & (df <= max_df * n), F.log((n + 1) / (df + 1)) + 1).otherwise(0.0)
-
-    known = F.lit(False)
-    for m in range(models):
-        known = known | (F.col(f"idf{m}") > 0)
-    scale = kept(seen.select("feature", *_each(models, idf, "idf")).where(known), "idf")
-    x = kept(_vectors(tf, scale, models), "x")
-    start = scale.unionAll(spark.range(1).select(F.lit(INTERCEPT).cast("long"), *_each(models, lambda m: F.lit(0.0), "idf")))
-    zeros = [c for name in "wq" for c in _each(models, lambda m: F.lit(0.0), name)]
-    table = kept(start.select("*", *zeros), "model-0")
+    def numbers(part: pa.RecordBatch, name: str) -> np.ndarray:
+        return part.column(name).to_numpy(zero_copy_only=False)
+
+    # A text's rows of either label: more than one where rows repeat an id.
+    found = counted(rows, id_col, text, features, F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") != 1).alias("zeros"))
+    fold = (F.pmod(F.xxhash64("id"), F.lit(folds)) if folds else F.lit(-1)).cast("int")
+    vectors = kept(found.select(fold.alias("fold"), "ones", "zeros", "feature", "n"), "vectors")
+
+    def texts_with(part: pa.RecordBatch, at: np.ndarray, feature: np.ndarray, total: np.ndarray) -> None:
+        times = (numbers(part, "ones") + numbers(part, "zeros")).astype(np.float64)
+        for m in range(models):
+            total[m] += np.bincount(feature, np.where(numbers(part, "fold") != m, times, 0.0)[at], features + 1)
+
+    df = _summed(vectors, models, features, texts_with)
+    n = np.array([[sizes[f"n{m}"]] for m in range(models)])
+    idf = np.where((df >= min_df) & (df <= max_df * n), np.log((n + 1) / (df + 1)) + 1, 0.0)
+    idf[:, features] = 0.0
+    shares = [share(m) for m in range(models)]
+    weights = before = np.zeros((models, features + 1))
+    scale = spark.sparkContext.broadcast(idf)
     for step in range(steps):
-        # q is the weight before: steps are taken from beyond w, in the direction of the last move. Vectors have length sqrt(2), so 2 is a safe rate.
-        speed = step / (step + 3.0)
-        ahead = lambda m, speed=speed: F.col(f"w{m}") + speed * (F.col(f"w{m}") - F.col(f"q{m}"))
-        z = _margins(x, table.select("feature", *_each(models, ahead, "w")), models).join(labels, "id")
-        error = z.select("id", *_each(models, lambda m: F.col(f"c{m}") * (1 / (1 + F.exp(-F.col(f"z{m}"))) - F.col("y")) / float(sizes[f"n{m}"]), "e"))
-        slope = x.join(error, "id").groupBy("feature").agg(*_each(models, lambda m: F.sum(F.col(f"x{m}") * F.col(f"e{m}")), "g"))
-        moved = lambda m, ahead=ahead: ahead(m) - 2.0 * (F.coalesce(f"g{m}", F.lit(0.0)) + F.when(F.col("feature") == INTERCEPT, 0.0).otherwise(penalty * ahead(m)))
-        after = table.join(slope, "feature", "left").select("feature", *[f"idf{m}" for m in range(models)], *_each(models, moved, "w"), *_each(models, lambda m: F.col(f"w{m}"), "q"))
-        table = kept(after, f"model-{step + 1}")
-    return Classifier(table.drop(*[f"q{m}" for m in range(models)]), models, text, features)
+        # Steps are taken from beyond the weights, in the direction of the last move. Vectors have length sqrt(2), so 2 is a safe rate.
+        ahead = weights + step / (step + 3.0) * (weights - before)
+        shared = spark.sparkContext.broadcast(ahead)
+
+        def slopes(part: pa.RecordBatch, at: np.ndarray, feature: np.ndarray, total: np.ndarray, shared=shared) -> None:
+            for m in range(models):
+                x, z = _rated(part, at, feature, scale.value[m], shared.value[m])
+                p = 1 / (1 + np.exp(-np.clip(z, -700.0, 700.0)))
+                error = np.where(numbers(part, "fold") != m, shares[m][1] * numbers(part, "ones") * (p - 1) + shares[m][0] * numbers(part, "zeros") * p, 0.0)
+                total[m] += np.bincount(feature, x * error[at], features + 1)
+                total[m, features] += error.sum()
+
+        slope = _summed(vectors, models, features, slopes)
+        slope[:, :features] += penalty * ahead[:, :features]
+        weights, before = ahead - 2.0 * slope, weights
+        shared.destroy()
+    scale.destroy()
+    used = np.append(np.flatnonzero(idf.any(axis=0)), features)
+    columns = {"feature": np.where(used == features, INTERCEPT, used)} | {f"{name}{m}": x[m, used] for name, x in (("idf", idf), ("w", weights)) for m in range(models)}
+    return Classifier(kept(spark.createDataFrame(pa.table(columns)), "model"), models, text, features)
 
 
 def cross_validated(rows: DataFrame, id_col: str, path: str, folds: int = 5, **options) -> DataFrame:

@@ -195,6 +195,20 @@ def test_classifier_equals_plain_steps(spark, tmp_path):
     assert [found[k] for k in range(40)] == pytest.approx((x @ w).tolist(), rel=1e-9)
 
 
+def test_a_step_of_the_fit_moves_no_texts(spark, tmp_path):
+    """What is shuffled and written doesn't follow the texts times the steps; rows that repeat an id count each, with one text of all."""
+    from leadloom.operators import learn
+
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(200)) + (" aa" if k % 2 else " bb"), k % 2) for k in range(60)] + [(0, "more bb", 0), (61, "-", 1)]
+    df = learn.training_rows(spark.createDataFrame(rows, "id long, text string, label int"), least_chars=1)
+    model = learn.train(df, "id", f"file://{tmp_path}/m", least=10, steps=3)
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["model", "vectors"]  # no table per step, none of values by feature
+    vectors = spark.read.parquet(f"file://{tmp_path}/m/vectors").collect()
+    assert len(vectors) == 60 and [(r.ones, r.zeros) for r in vectors if r.ones + r.zeros > 1] == [(0, 2)]
+    found = {r.id: r.z0 for r in model.margins(df, "id").collect()}
+    assert len(found) == 60 and 61 not in found and all((z > 0) == bool(k % 2) for k, z in found.items())
+
+
 def test_headers_and_files(spark, tmp_path):
     assert ingest.column_map(["Nome", "Telefone", "Preço", "Zona", "Notas", "Tel"]) == {"Nome": "contact_name", "Telefone": "contact_phone", "Preço": "price", "Zona": "zone", "Notas": "description"}
     (tmp_path / "a.csv").write_text("Nome;Telefone;Preço\nAna;912345678;250.000 EUR\n", encoding="utf-8-sig")

@@ -76,19 +76,20 @@ class Memory:
         self.older: dict = {}
 
     def values(self, keys: list) -> list:
-        try:
-            return [self.recent[k] for k in keys]
-        except KeyError:
-            pass
+        """The values of keys (never None), in one pass where few are absent."""
+        found = list(map(self.recent.get, keys))
+        if None not in found:
+            return found
         if len(self.recent) > self.size:
             self.recent, self.older = {}, self.recent
-        absent = [k for k in dict.fromkeys(keys) if k not in self.recent]
-        new = []
-        for k in absent:
-            if k in self.older:
-                self.recent[k] = self.older[k]
+        recent, places, new = self.recent, [k for k, v in enumerate(found) if v is None], []
+        for key in dict.fromkeys([keys[k] for k in places]):
+            if (value := self.older.get(key)) is not None:
+                recent[key] = value
             else:
-                new.append(k)
+                new.append(key)
         if new:
-            self.recent.update(zip(new, self.compute(new), strict=True))
-        return [self.recent[k] for k in keys]
+            recent.update(zip(new, self.compute(new), strict=True))
+        for k in places:
+            found[k] = recent[keys[k]]
+        return found

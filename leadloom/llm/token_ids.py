@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from leadloom.llm.common import Memory, as_bytes
 
 #: Words whose ids a worker keeps at least.
 KEPT_WORDS = 400_000
+#: Bytes of texts that are encoded at once, but for one longer text.
+AT_ONCE = 1 << 22
 #: Ids in a block, but for one longer document.
 BLOCK_IDS = 1 << 20
 
@@ -55,8 +58,8 @@ class WordEncoder:
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """Many words at once, with a space between; offsets tell to which word an id belongs."""
         out = []
-        for k in range(0, len(words), 256):
-            part = [w.decode("utf-8", "replace") for w in words[k : k + 256]]
+        for k in range(0, len(words), 64):
+            part = [w.decode("utf-8", "replace") for w in words[k : k + 64]]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             starts = np.array([start for start, _ in found.offsets], np.int64)
@@ -66,7 +69,32 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """All ids of the text as little-endian unsigned 32-bit integers."""
-        return b"".join(self.words.values(text.split()))
+        return next(self.encode_all(pa.array([text], pa.binary())))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """encode of each text. Of AT_ONCE bytes of texts, or of one longer text, a word is looked up once."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        first = 0
+        while first < len(sizes):
+            last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), AT_ONCE, side="right")))
+            # The bytes of a text are split as they are: only ASCII white space counts.
+            split = pc.ascii_split_whitespace(texts.slice(first, last - first).view(pa.string()))
+            words = split.flatten()
+            some = pc.greater(pc.binary_length(words), 0)
+            upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+            upto = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
+            found = words.filter(some).view(pa.binary()).dictionary_encode()
+            # One string of all words, split again, is cheaper than a scalar for each.
+            listed = pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary)
+            codes = self.words.values(pc.binary_join(listed, b" ")[0].as_py().split())
+            sizes_of = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+            which = found.indices.to_numpy()
+            n = sizes_of[which]
+            after = np.concatenate([[0], np.cumsum(n)])
+            place = np.repeat((np.cumsum(sizes_of) - sizes_of)[which] - after[:-1], n) + np.arange(after[-1])
+            ids, cuts = memoryview(np.frombuffer(b"".join(codes), "<u4")[place]).cast("B"), (4 * after[upto]).tolist()
+            yield from (bytes(ids[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True))
+            first = last
 
 
 WRITTEN = "shard int, block int, before long, n_docs long, n_ids long, payload binary"
@@ -88,12 +116,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text")), strict=True):
                 if held >= block_ids:
                     yield out()
                     block, before = block + 1, before + held
                     ids, parts, lengths, held = [], [], [], 0
-                code = encoder.encode(text.as_py()) + end
+                code = found + end
                 ids.append(doc_id)
                 parts.append(code)
                 lengths.append(len(code) // 4)

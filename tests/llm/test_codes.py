@@ -99,3 +99,22 @@ def test_checksums_read_a_block_once():
     assert token_ids.checksums(block) == [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
     assert reads == [(0, 4000)]
     assert token_ids.checksums(dac.Block(dac.pack([], np.array([0]), np.zeros(0, np.uint32)))) == []
+
+
+def test_texts_encoded_at_once_are_encoded_alike(monkeypatch):
+    """encode_all looks a word up once for many texts; the ids are those of the tokenizer for each text, whatever its white space."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from leadloom.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "AT_ONCE", 40)
+    texts = ["", "  ", "a b a", " the the\x0bthe\x0c\tcat\r\n", "x\u00a0y \u2003z", "\x1cw \x85v", "long " * 30, "na\u00efve caf\u00e9 \u4e2d\u6587"]
+    encoder, plain = token_ids.WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    looked_up = []
+    values = encoder.words.values
+    encoder.words.values = lambda keys: looked_up.extend(keys) or values(keys)
+    column = pa.array([b"unseen", *(t.encode() for t in texts)], pa.binary()).slice(1)  # as Spark's batches may be sliced
+    found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(column)]
+    assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert looked_up.count(b"long") == 1

@@ -3,8 +3,9 @@
 The model file gives the pieces. It holds merge ranks, not log probabilities, so a piece of rank r is
 given the score -log(r + 2) (Zipf's law over the ranks), and the segmentation with the highest sum is
 found by a Viterbi pass whose window is bounded by the longest piece: whenever the backpointer paths
-of all ends in the window meet, the ids before the meeting point are committed and forgotten. A
-character without a piece is spelled in byte pieces.
+of all ends in the window meet, the ids before the meeting point are committed and forgotten. From each
+start pieces are followed up to the first prefix that no piece has. A character without a piece is spelled
+in byte pieces.
 
 The paths always meet where a word ends, as no piece holds the space mark after another character, and
 at line feeds, which no longer piece holds. So a text is encoded in such parts, and the ids of parts
@@ -64,6 +65,9 @@ class Pieces:
                 rank += 1
         if any(" " in p.lstrip(" ") or ("\n" in p and len(p) > 1) for p in self.scores):
             raise ValueError("a piece crosses a word's start or a line feed: texts can't be encoded in parts")
+        #: What pieces begin with: the score and ids of those that are pieces themselves, () for the others.
+        self.prefixes: dict[str, tuple] = {p[:k]: () for p in self.scores for k in range(1, len(p))}
+        self.prefixes.update((p, (score, [k])) for p, (score, k) in self.scores.items())
         self.longest = max(map(len, self.scores))
         self.byte_score = -math.log(rank + 2) - 1
         self.kind = "H" if len(self.bytes) <= 65536 else "I"
@@ -77,20 +81,23 @@ class Pieces:
 
     def stream(self, part: str) -> Iterator[list[int]]:
         """Ids in the order in which they are committed. Of equal scores the one with the longer last piece wins."""
-        scores, longest = self.scores, self.longest
+        prefixes, scores, longest = self.prefixes, self.scores, self.longest
         best, back = {0: 0.0}, {}
         committed = 0
         n = len(part)
         for end in range(1, n + 1):
-            top, found = -math.inf, None
-            for start in range(max(committed, end - longest), end):
-                if (p := scores.get(part[start:end])) is not None and (s := best[start] + p[0]) > top:
-                    top, found = s, (start, [p[1]])
-            if found is None or part[end - 1 : end] not in scores:
-                raw = part[end - 1].encode("utf-8", "surrogatepass")
-                if (s := best[end - 1] + self.byte_score * len(raw)) > top:
-                    top, found = s, (end - 1, [self.byte_ids[b] for b in raw])
-            best[end], back[end] = top, found
+            # Pieces are followed from the start of the last character, up to the first prefix that no piece has.
+            start = end - 1
+            so_far = best[start]
+            for at in range(end, min(n, start + longest) + 1):
+                if (p := prefixes.get(part[start:at])) is None:
+                    break
+                if p and (at not in best or so_far + p[0] > best[at]):
+                    best[at], back[at] = so_far + p[0], (start, p[1])
+            if end not in best or part[start] not in scores:
+                raw = part[start].encode("utf-8", "surrogatepass")
+                if end not in best or so_far + self.byte_score * len(raw) > best[end]:
+                    best[end], back[end] = so_far + self.byte_score * len(raw), (start, [self.byte_ids[b] for b in raw])
             if end < n and end - committed >= 2 * longest:
                 # The ends from which a later piece can start, followed back until they meet.
                 ends = set(range(end - longest + 1, end + 1))

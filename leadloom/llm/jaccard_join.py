@@ -15,12 +15,12 @@ in the order and meets nothing, so most sets are out of the join here.
 
 Sets that are left meet their keys' hubs (three members of each key, chosen by hash): each set is compared with
 the hubs that it shares most keys with, and components are found. Keys that still hold several components are
-gathered under their first hub; pairs of different components there are joined under the condition that
-their sketches' Hamming distance, over 64 bits for each allowed difference, leaves them in play. Of the pairs that two
-components have, first the one with the least distance is verified, then those that still lie between
-different components. Verification is on the whole sets. So equal sets share a node from the start, linked copies never
-form pairs, only pairs that the sketches can't refuse are given out, and no link between components is missed.
-What grows with the square of a group is the count of Hamming distances between different components of one hub.
+gathered under their first hub, whose sets are dealt to blocks; every pair of blocks is compared in one task. There
+the sketches' Hamming distance, over 64 bits for each allowed difference, refuses pairs; the others are verified on
+the whole sets, nearest first, as long as they lie between different components. Only links that make two components one
+are given out, fewer than the components of the two blocks. So equal sets share a node from the start, linked copies never
+form pairs, and no link between components is missed. What grows with the square of a group is the count
+of Hamming distances between different components of one hub, and beyond DEALT_BLOCKS * BLOCK_ROWS sets the copies of sets.
 
 Cases: sets of null, empty or blank texts are empty and link with nothing; under n words the whole text is
 one shingle; of rows with one doc_id and different texts each gets the component of its own text; a null
@@ -49,6 +49,9 @@ LEAST_SKETCH = 32
 #: Candidate documents whose ids may be broadcast (a few MB); above it their texts are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
+#: The sets under one hub are dealt to blocks, and each pair of blocks is a task's group: up to DEALT_BLOCKS blocks of LEAST_ROWS sets or more, so that
+#: a hub's sets are copied that often; more where a block would pass BLOCK_ROWS sets or about BLOCK_BYTES.
+LEAST_ROWS, DEALT_BLOCKS, BLOCK_ROWS, BLOCK_BYTES = 128, 32, 4096, 1 << 24
 #: Keys are compared in so many passes over the written profiles, each with the keys of one remainder, so that a shuffle holds a part of all keys.
 KEY_PASSES = 4
 
@@ -220,6 +223,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(first, "b").join(second, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _blocks(open_: DataFrame) -> DataFrame:
+    """hub, band, blocks: how many blocks the sets of a hub are dealt to."""
+    n, size = F.count("*"), F.sum(F.col("size") * 10 + 256)
+    few = F.least(F.lit(DEALT_BLOCKS), F.ceil(n / LEAST_ROWS))
+    return open_.groupBy("hub", "band").agg(F.greatest(few, F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int").alias("blocks"))
+
+
+def linked(block: np.ndarray, component: np.ndarray, sizes: np.ndarray, own: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], band: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of two blocks (or within one, where all rows are of one) that make different components one.
+
+    Of the pairs that the sketches leave in play, those are verified on the whole sets that still lie in different components.
+    """
+    found, label = [], np.unique(component, return_inverse=True)[1].reshape(-1)
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    for k in left.tolist():
+        among = right[(label[right] != label[k]) & (np.maximum(own[right], own[k]) == band)]
+        among = among[among > k] if len(left) == len(block) else among
+        small, large = np.minimum(sizes[among], sizes[k]), np.maximum(sizes[among], sizes[k])
+        among = among[100 * small >= percent * large]
+        distance = np.bitwise_count(sketches[among] ^ sketches[k]).sum(axis=1, dtype=np.int64)
+        in_play = (100 + percent) * distance <= (100 - percent) * (sizes[among] + sizes[k])
+        for j in among[in_play][np.argsort(distance[in_play], kind="stable")].tolist():
+            if label[j] != label[k]:
+                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
+                    found.append((k, j))
+                    label[label == label[j]] = label[k]
+    return found
+
+
+def _links(open_: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the components under each hub, as each pair of its blocks finds them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, items = table.column("node").to_numpy(), table.column("items").to_pylist()
+        if len(set(table.column("component").to_pylist())) > 1:
+            sketches = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
+            columns = (table.column(c).to_numpy() for c in ("block", "component", "size", "own"))
+            found = linked(*columns, sketches, [np.frombuffer(x, np.uint64) for x in items], table.column("band")[0].as_py(), percent)
+        else:
+            found = []
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(nodes[at[:, 0]], pa.int64()), "b": pa.array(nodes[at[:, 1]], pa.int64())})
+
+    dealt = open_.join(blocks, ["hub", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    return dealt.groupBy("hub", "band", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _stars(found: DataFrame) -> DataFrame:
     """Components as edges."""
     return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -289,22 +343,12 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # Keys that hold several components: their sets, under the first hub.
     placed = kept(component(members.select("key", "low", "band", "node"), "node", "component"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
-    open_ = placed.join(kept(mixed_keys, "mixed"), "key").select(F.col("low").alias("hub"), "band", "node", "component").distinct()
-    open_ = kept(open_.join(sketches, ["node", "band"]), "open")
-    left = open_.select("hub", "band", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("component", "size", "own", "sketch")))
-    right = open_.select("hub", "band", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("component", "size", "own", "sketch")))
-    apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (F.greatest("own_a", "own_b") == F.col("left_band"))
-    on = (F.col("hub") == F.col("right_hub")) & (F.col("left_band") == F.col("right_band")) & apart & in_play
-    near = left.withColumnRenamed("band", "left_band").join(right.withColumnsRenamed({"hub": "right_hub", "band": "right_band"}), on)
-    cross = kept(near.select("a", "b", distance.alias("distance"), F.least("component_a", "component_b").alias("p"), F.greatest("component_a", "component_b").alias("q")), "cross")
-    nearest_pairs = cross.groupBy("p", "q").agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("m.a", "m.b")
-    more = kept(_verified(nearest_pairs, sets, percent), "edges")
-    if not more.isEmpty():
-        found = kept(components(_stars(found).unionAll(more)), "found")
-    rest = component(component(cross.select("a", "b").distinct(), "a", "p"), "b", "q").where("p != q")
-    last = kept(_verified(kept(rest, "rest"), sets, percent), "edges")
-    if not last.isEmpty():
-        found = kept(components(_stars(found).unionAll(last)), "found")
+    open_ = kept(placed.join(kept(mixed_keys, "mixed"), "key").select(F.col("low").alias("hub"), "band", "node", "component").distinct(), "open")
+    own_sketch = F.filter("sketches", lambda x: x["band"] == F.col("band"))[0]["sketch"]
+    open_ = kept(open_.join(sets, "node").select("hub", "band", "node", "component", "size", "own", "items", own_sketch.alias("sketch")), "open")
+    links = kept(_links(open_, kept(_blocks(open_), "blocks"), percent), "edges")
+    if not links.isEmpty():
+        found = kept(components(_stars(found).unionAll(links)), "found")
 
     grouped = kept(component(ids, "node", "component"), "grouped")
     smallest = kept(grouped.groupBy("component").agg(F.min("smallest").alias("component_id")), "smallest")

@@ -101,6 +101,48 @@ def test_large_group_of_near_copies(spark):
     assert sorted(map(tuple, found)) == brute(rows)
 
 
+def near_threshold(rng, n):
+    """Copies of 100 words with a word of their own each: most pairs are just below the threshold, those with neighbouring places above it."""
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        words[rng.randrange(100)] = f"z{k}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_pairs_under_one_hub_grow_with_its_sets(spark, monkeypatch):
+    counts, plain = {}, jaccard_join.written
+
+    def written(df, name, *more):
+        table, path = plain(df, name, *more)
+        if {"a", "b"} <= set(table.columns):
+            counts[path] = table.count()
+        return table, path
+
+    monkeypatch.setattr(jaccard_join, "written", written)
+    rows = near_threshold(random.Random(12), 900)
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+    # A hub gives out fewer links than its sets times their blocks; the pairs in play were 234,865.
+    assert max(counts.values()) <= jaccard_join.DEALT_BLOCKS * len(rows), counts
+
+
+def test_blocks_of_a_hub_lose_no_link(spark, monkeypatch):
+    for name, value in (("LEAST_ROWS", 10), ("DEALT_BLOCKS", 4), ("BLOCK_ROWS", 30)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    # Places of every other word only, and two words in some copies: more components that reach each other by few links.
+    rng, base, rows = random.Random(13), [f"w{k}" for k in range(100)], []
+    for k in range(250):
+        words = list(base)
+        for at in rng.sample(range(0, 100, 2), rng.choice([1, 1, 2])):
+            words[at] = f"z{k}"
+        rows.append((k, " ".join(words)))
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+
+
 def test_join_with_five_words_and_other_thresholds(spark):
     rows = texts(random.Random(9), 25, 60)
     for n, percent in ((5, 80), (3, 60)):

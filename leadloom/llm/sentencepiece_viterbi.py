@@ -9,7 +9,7 @@ in byte pieces.
 
 The paths always meet where a word ends, as no piece holds the space mark after another character, and
 at line feeds, which no longer piece holds. So a text is encoded in such parts, and the ids of parts
-seen are kept in a dictionary of bounded size. Decoding joins the pieces' bytes.
+seen are kept in a dictionary of bounded size, by encode until the task ends. Decoding joins the pieces' bytes.
 
 Cases: null and empty texts have no ids; every other text decodes to exactly itself, whatever white
 space or characters it holds (the space mark itself, U+2581, is spelled in bytes); repeated rows are
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import Memory
 
-#: Parts whose ids a worker keeps at least.
-KEPT_PARTS = 400_000
+#: Parts whose ids a worker keeps at least, and those that a task of encode keeps, which comes after other operators in a worker's memory.
+KEPT_PARTS, TASK_PARTS = 400_000, 200_000
 SPACE = "▁"
 #: Parts at whose ends all paths meet: spaces with the word after them, single line feeds, spaces alone.
 PART = re.compile(r" *[^ \n]+|\n| +")
@@ -44,7 +44,7 @@ class Pieces:
 
     _of: dict[str, Pieces] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_parts: int = KEPT_PARTS):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -71,7 +71,7 @@ class Pieces:
         self.longest = max(map(len, self.scores))
         self.byte_score = -math.log(rank + 2) - 1
         self.kind = "H" if len(self.bytes) <= 65536 else "I"
-        self.parts = Memory(self._encode, KEPT_PARTS)
+        self.parts = Memory(self._encode, kept_parts)
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -142,19 +142,23 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
     """The kept columns, ids (array of int) and round_trip: whether decoding them gives the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(model)
-        for batch in batches:
-            # Slices, so that the ids of many long texts don't add up.
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lengths, codes, same = [0], [], []
-                for text in part.column("text__").to_pylist():
-                    ids = pieces.encode(text or "")
-                    same.append(pieces.decode(ids) == (text or ""))
-                    codes.append(np.frombuffer(ids, f"u{ids.itemsize}").astype(np.int32) if len(ids) else np.zeros(0, np.int32))
-                    lengths.append(lengths[-1] + len(ids))
-                found = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found, pa.array(same, pa.bool_())], [*keep, "ids", "round_trip"])
+        # A task has its own: workers go on with other operators, and what each keeps would add up.
+        pieces = Pieces(model, TASK_PARTS)
+        try:
+            for batch in batches:
+                # Slices, so that the ids of many long texts don't add up.
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    lengths, codes, same = [0], [], []
+                    for text in part.column("text__").to_pylist():
+                        ids = pieces.encode(text or "")
+                        same.append(pieces.decode(ids) == (text or ""))
+                        codes.append(np.frombuffer(ids, f"u{ids.itemsize}").astype(np.int32) if len(ids) else np.zeros(0, np.int32))
+                        lengths.append(lengths[-1] + len(ids))
+                    found = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32)))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), found, pa.array(same, pa.bool_())], [*keep, "ids", "round_trip"])
+        finally:
+            pieces.parts = None  # it refers back to the pieces, which would stay until a collection
 
     rows = docs.select(*keep, F.col(text_col).alias("text__"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]

@@ -137,3 +137,24 @@ def test_viterbi_looks_up_no_further_than_pieces_go():
     assert [list(pieces.stream(w)) for w in words] == wanted
     # Every start against all lengths up to the longest piece is 13 to 16 a character.
     assert Counted.looked_up < 7 * sum(map(len, words)), Counted.looked_up / sum(map(len, words))
+
+
+def test_encoding_leaves_nothing_in_its_workers(spark, tmp_path):
+    import shutil
+
+    model = shutil.copy(PIECES, f"{tmp_path}/pieces.model")
+    docs = spark.createDataFrame([(k, f"word{k} the cat") for k in range(64)], "doc_id long, text string").repartition(8)
+    assert sentencepiece_viterbi.encode(docs, model).where("round_trip").count() == 64
+
+    def kept(batches):
+        import gc
+
+        import pyarrow as pa
+
+        from leadloom.llm.sentencepiece_viterbi import Pieces
+
+        for batch in batches:
+            alive = {id(x) for x in gc.get_objects() if isinstance(x, Pieces)} - set(map(id, Pieces._of.values()))
+            yield pa.RecordBatch.from_arrays([pa.array([len(alive) + (model in Pieces._of)] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in docs.select("doc_id").mapInArrow(kept, "n long").collect()} == {0}

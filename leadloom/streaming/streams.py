@@ -161,8 +161,9 @@ def drops_by_key(stream: DataFrame, key: str, price: str, ts: str, span_days: fl
     processor = _Drops(int(span_days * 86_400_000_000), min_drop)
     keyed = rows.select("key", F.unix_micros("ts").alias("at"), "price", "ts").groupBy("key")
     found = keyed.transformWithStateInPandas(processor, f"key {kind}, at long, price double, peak double, drop_pct double", "append", "eventTime")
-    # Rounded half up, as elsewhere: Python rounds a tie by the double next to it.
-    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("price").alias(price), "peak", F.round("drop_pct", 4).alias("drop_pct"))
+    # Half up, as SQL does it: the share in ten-thousandths is rounded, not the digits of the share itself.
+    rounded = F.round(F.col("drop_pct") * 10_000) / 10_000
+    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("price").alias(price), "peak", rounded.alias("drop_pct"))
 
 
 @contextmanager

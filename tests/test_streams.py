@@ -110,3 +110,17 @@ def test_drops_by_key_round_half_up(spark, tmp_path):
     with streams.rocks_state(spark):
         found = streams.drained(streams.drops_by_key(stream, "k", "v", "ts", 1, "1 hour", 0.2), f"file://{tmp_path}/o", f"file://{tmp_path}/c").collect()
     assert {(r.k, r.drop_pct) for r in found} == {(k, p) for k, (_, _, p) in enumerate(pairs)}
+
+
+def test_drops_by_key_round_as_sql(spark, tmp_path):
+    """Shares that lie beside a tie are rounded as DuckDB's round does it, which takes ten-thousandths first."""
+    import duckdb
+
+    at = lambda n: datetime(2024, 1, 1) + timedelta(hours=n)
+    pairs = [(488.0, 225.09), (472.0, 47.79), (480.0, 223.8), (464.0, 17.98), (480.0, 224.28), (400.0, 100.0)]
+    rows = [r for k, (peak, price) in enumerate(pairs) for r in ((2 * k, k, peak, at(1)), (2 * k + 1, k, price, at(2)))]
+    stream = files(spark, tmp_path, [[*rows, (99, 99, 1.0, at(400))]])
+    with streams.rocks_state(spark):
+        found = streams.drained(streams.drops_by_key(stream, "k", "v", "ts", 1, "1 hour", 0.2), f"file://{tmp_path}/o", f"file://{tmp_path}/c").collect()
+    wanted = {k: duckdb.execute("SELECT round((?::DOUBLE - ?::DOUBLE) / ?::DOUBLE, 4)", [peak, price, peak]).fetchone()[0] for k, (peak, price) in enumerate(pairs)}
+    assert {r.k: r.drop_pct for r in found} == wanted and wanted[0] == 0.5387 and wanted[1] == 0.8988

@@ -191,3 +191,17 @@ def test_a_large_block_with_few_titles_does_not_rate_its_pairs(monkeypatch):
     found = resolve._best_of_block(t, d, True, True, 0.72, False)
     assert len(found) == 2500 and (found["score"] > 0.99).all() and found["n"].min() > 0
     assert not resolve._best_of_block(t, d, True, True, 0.72, False, False)["n"].any()
+
+
+def test_exact_ratios_by_titles_equal_all_pairs(monkeypatch):
+    """The matching-blocks ratio, which isn't symmetric, is taken once for a target's and a donor's title."""
+    rng = random.Random(6)
+    titles = ["tide is", "diet is", "side it", "casa nova", "nova casa", ""]
+    side = lambda start, n: pd.DataFrame([(start + k, round(rng.uniform(80, 120), 2), 50.0, True, rng.choice(titles), "xy"[k % 2], 1) for k in range(n)], columns=["id", "price", "area", "sized", "title_n", "source", "n"])
+    t, d = side(0, 120), side(1000, 130)
+    listed = lambda found: sorted(map(tuple, found[["class", "score", "donor_id", "n"]].itertuples(index=False)))
+    wanted = listed(resolve._best_by_pairs(t, d, True, True, 0.72, True))
+    rated, plain = [], resolve._title_ratios
+    monkeypatch.setattr(resolve, "_title_ratios", lambda a, b, exact: rated.extend(zip(a, b, strict=True)) or plain(a, b, exact))
+    assert listed(resolve._best_by_title(t, d, True, 0.72, True, True)) == wanted and len(wanted) == 120
+    assert len(rated) == len(set(rated)) == 36

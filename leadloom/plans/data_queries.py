@@ -87,7 +87,7 @@ def d4_fuzzy_match_exact_ratio(spark, sf):
 
 def d6_filled_from_donors(spark, sf):
     rows = leads(spark, sf)
-    return resolve.filled_from_donors(rows, resolve.fuzzy_match(rows, exact_ratio=False).select("id", "donor_id"))
+    return resolve.filled_from_donors(rows, resolve.fuzzy_match(rows, exact_ratio=False, counted=False).select("id", "donor_id"))
 
 
 def d8_name_propagation(spark, sf):

@@ -205,3 +205,14 @@ def test_exact_ratios_by_titles_equal_all_pairs(monkeypatch):
     monkeypatch.setattr(resolve, "_title_ratios", lambda a, b, exact: rated.extend(zip(a, b, strict=True)) or plain(a, b, exact))
     assert listed(resolve._best_by_title(t, d, True, 0.72, True, True)) == wanted and len(wanted) == 120
     assert len(rated) == len(set(rated)) == 36
+
+
+def test_filled_from_donors_counts_no_candidates(spark, monkeypatch):
+    """d6_filled_from_donors asks for the best donor alone."""
+    from leadloom.plans import data_queries
+
+    asked, plain = [], resolve.fuzzy_match
+    monkeypatch.setattr(resolve, "fuzzy_match", lambda leads, **options: asked.append(options.get("counted")) or plain(leads, **options))
+    found = data_queries.d6_filled_from_donors(spark, "/root/testdata/sf0.001")
+    assert asked == [False] and found.count() == data_queries.d4_fuzzy_match(spark, "/root/testdata/sf0.001").count()
+    assert "n_candidates" not in plain(data_queries.leads(spark, "/root/testdata/sf0.001"), counted=False).columns
